@@ -107,7 +107,7 @@ def dedup_issues(issues: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 def visible_issues(issues: DataFrame, tab: str, status: str) -> DataFrame:
     """The rows one review tab shows: reasoning findings or all the others."""
-    reasoning = F.col("category") == "Engineering Review"
+    reasoning = F.col("category") == "AI Reasoning"
     shown = issues.filter(reasoning if tab == "reasoning" else ~reasoning)
     if status == "open":
         return shown.filter(F.col("status") != "resolved")

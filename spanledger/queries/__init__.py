@@ -4,7 +4,7 @@ from importlib import import_module
 
 from spanledger.queries.registry import ORACLES, QUERIES
 
-for _name in ("reviews",):
+for _name in ("reviews", "scalars", "reconcile"):
     import_module(f"spanledger.queries.{_name}")
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -284,7 +284,7 @@ def visible_issues(t):
         F.col("l_orderkey").alias("id"),
         F.col("l_linenumber").alias("no"),
         F.when(F.col("l_returnflag") == "R", "error").otherwise("warning").alias("severity"),
-        F.when(F.col("l_returnflag") == "N", "Engineering Review").otherwise(F.col("l_returnflag")).alias("category"),
+        F.when(F.col("l_returnflag") == "N", "AI Reasoning").otherwise(F.col("l_returnflag")).alias("category"),
         F.when(F.col("l_linestatus") == "O", "open").otherwise("resolved").alias("status"),
     )
     return R.visible_issues(issues, "checks", "open").drop("status").orderBy(*R.issue_order())

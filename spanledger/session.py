@@ -31,6 +31,7 @@ def local_session(cpus: str = "*", app: str = "spanledger", memory: str = "8g")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     )

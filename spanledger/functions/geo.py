@@ -63,10 +63,11 @@ def box(x, y, w, h) -> Column:
 
 
 def fallback_box(zone: Column) -> Column:
-    out = box(*FALLBACK_BOXES["default"])
-    for name, values in FALLBACK_BOXES.items():
-        out = F.when(zone == name, box(*values)).otherwise(out)
-    return out
+    def fixed(v):
+        return "named_struct('x', {}D, 'y', {}D, 'w', {}D, 'h', {}D)".format(*v)
+
+    known = ", ".join(f"'{k}', {fixed(v)}" for k, v in FALLBACK_BOXES.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({known})"), zone), F.expr(fixed(FALLBACK_BOXES["default"])))
 
 
 def box_or_fallback(zone: Column, b: Column) -> Column:

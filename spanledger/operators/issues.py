@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,66 +70,95 @@ ISSUE = (
 )
 
 
-def _fill(form: str, values: dict[str, Column]) -> Column:
-    pieces = []
-    for part in re.split(r"(\{\w+\})", form):
-        if not part:
-            continue
-        if part.startswith("{"):
-            v = values.get(part[1:-1])
-            if v is None:
-                v = F.initcap(values["comp"]) if part == "{Comp}" else F.lit("")
-            pieces.append(F.coalesce(v.cast("string"), F.lit("")))
-        else:
-            pieces.append(F.lit(part))
-    return F.concat(*pieces) if pieces else F.lit("")
+BOX = "struct<x:double,y:double,w:double,h:double>"
 
 
-def issue(code: str, box: Column | None = None, zone: Column | None = None, nobox: bool = False, **values: Column) -> Column:
-    """One issue as a struct, its texts filled from ``values``.
+@dataclass(frozen=True)
+class Finding:
+    """What one issue needs: its code, the values its texts name, and its place."""
 
-    The box is ``box`` where usable, else the fixed box of ``zone``; ``nobox``
-    leaves the four numbers NULL.
-    """
-    category, title, description = MESSAGES[code]
-    if nobox:
-        b = [F.lit(None).cast("double")] * 4
-    else:
-        whole = box_or_fallback(
-            zone if zone is not None else F.lit("default"),
-            box if box is not None else F.lit(None).cast("struct<x:double,y:double,w:double,h:double>"),
-        )
-        b = [whole[k] for k in "xywh"]
-    return F.struct(
-        F.lit(code).alias("code"),
-        F.lit(category).alias("category"),
-        _fill(title, values).alias("title"),
-        _fill(description, values).alias("description"),
-        F.lit("Review and correct.").alias("suggestion"),
-        F.lit("error").alias("severity"),
-        F.lit(1).alias("page_num"),
-        b[0].alias("x"),
-        b[1].alias("y"),
-        b[2].alias("width"),
-        b[3].alias("height"),
+    code: str
+    values: dict[str, Column]
+    box: Column | None
+    zone: Column | None
+    nobox: bool
+
+
+def issue(code: str, box: Column | None = None, zone: Column | None = None, nobox: bool = False, **values: Column) -> Finding:
+    """The box is ``box`` where usable, else the fixed box of ``zone``; ``nobox``
+    leaves the four numbers NULL."""
+    named = set(re.findall(r"\{(\w+)\}", " ".join(MESSAGES[code])))
+    given = {k: v for k, v in values.items() if k in named}
+    if "Comp" in named:
+        given["Comp"] = F.initcap(values["comp"])
+    return Finding(code, given, box, zone, nobox)
+
+
+def _args(f: Finding) -> Column:
+    if not f.values:
+        return F.create_map().cast("map<string,string>")
+    return F.create_map(*[x for k, v in f.values.items() for x in (F.lit(k), v.cast("string"))])
+
+
+def _by_no(options: list, make) -> Column:
+    """One column if all findings share it, else a choice by finding number."""
+    if all(o is options[0] for o in options):
+        return make(options[0])
+    out = make(options[0])
+    for i, o in list(enumerate(options))[1:]:
+        out = F.when(F.col("__no") == i, make(o)).otherwise(out)
+    return out
+
+
+def _text(column: int, found: list[Finding], args: Column) -> Column:
+    """The text forms of the findings, filled in."""
+    forms = F.array(*[F.lit(MESSAGES[f.code][column]) for f in found])
+    return F.aggregate(
+        F.map_entries(args),
+        F.get(forms, F.col("__no")),
+        lambda acc, e: F.replace(
+            acc, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))
+        ),
     )
 
 
-def emit(df: DataFrame, keys: list[str], ord_cols: list[Column], candidates: list[tuple[Column, Column]]) -> DataFrame:
+def emit(df: DataFrame, keys: list[str], ord_cols: list[Column], candidates: list[tuple[Column, Finding]]) -> DataFrame:
     """One row per candidate whose condition holds.
 
     ``candidates`` are (condition, issue) pairs of one input row; ``ord`` becomes
     the given numbers followed by the candidate's own.
     """
+    found = [f for _, f in candidates]
     hits = F.array_compact(F.array(*[F.when(cond, F.lit(i)) for i, (cond, _) in enumerate(candidates)]))
-    # The texts are built after the conditions have thinned the rows out.
-    rows = df.withColumn("__no", F.explode(hits))
-    built = None
-    for i, (_, iss) in enumerate(candidates):
-        hit = F.col("__no") == i
-        built = F.when(hit, iss) if built is None else built.when(hit, iss)
+    # Values are collected and texts built after the conditions have thinned the rows out.
+    # (The outer form keeps Spark from testing the conditions in a filter of their own.)
+    rows = df.withColumn("__no", F.explode_outer(hits)).filter("__no IS NOT NULL")
+    codes = F.array(*[F.lit(f.code) for f in found])
     order = F.array(*[c.cast("int") for c in ord_cols], F.col("__no"))
-    return rows.select(*keys, order.alias("ord"), built.alias("__i")).select(*keys, "ord", "__i.*")
+    raw = rows.select(
+        *keys,
+        order.alias("ord"),
+        "__no",
+        F.get(codes, F.col("__no")).alias("code"),
+        _by_no(found, _args).alias("__args"),
+        _by_no([f.zone for f in found], lambda z: F.lit("default") if z is None else z).alias("__zone"),
+        _by_no([f.box for f in found], lambda b: F.lit(None).cast(BOX) if b is None else b.cast(BOX)).alias("__box"),
+        _by_no([f.nobox for f in found], F.lit).alias("__nobox"),
+    )
+    whole = F.when(~F.col("__nobox"), box_or_fallback(F.col("__zone"), F.col("__box")))
+    args = F.col("__args")
+    return raw.select(
+        *keys,
+        "ord",
+        "code",
+        F.get(F.array(*[F.lit(MESSAGES[f.code][0]) for f in found]), F.col("__no")).alias("category"),
+        _text(1, found, args).alias("title"),
+        _text(2, found, args).alias("description"),
+        F.lit("Review and correct.").alias("suggestion"),
+        F.lit("error").alias("severity"),
+        F.lit(1).alias("page_num"),
+        whole.alias("__b"),
+    ).select("*", *[F.col(f"__b.{k}").alias(n) for k, n in zip("xywh", ("x", "y", "width", "height"))]).drop("__b")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -171,8 +171,8 @@ def bar_scalar_issues(summary: DataFrame, drawing: DataFrame, sheet: DataFrame |
 
     dims = N.match_dims(d["shape_dims"], c("shape_dimensions"))
     segments = j.filter(F.coalesce("shape_dims_capable", F.lit(True))).select(
-        *BAR, "zone_ord", "mark_ord", "row_bbox", F.posexplode(dims).alias("seg", "pair")
-    )
+        *BAR, "zone_ord", "mark_ord", "row_bbox", F.posexplode_outer(dims).alias("seg", "pair")
+    ).filter("seg IS NOT NULL")
     pct = N.pct_diff(c("pair.design_mm"), c("pair.drawing_mm"))
     shapes = emit(
         segments, [*BAR, "zone_ord"], [*ordering, c("seg") + 100],
@@ -249,7 +249,7 @@ def bar_total_issues(design: DataFrame, summary: DataFrame, drawing: DataFrame,
         .join(side(drawing, "total_length_m").withColumnRenamed("rows", "wr"), BAR)
     )
     pick = lambda rows, o: F.get(F.filter(rows, lambda r: r["ord"] == o), 0)
-    pairs = both.select("*", F.posexplode(N.closest_pairs(c("dr"), c("wr"))).alias("no", "pair")).withColumns(
+    pairs = both.select("*", F.posexplode_outer(N.closest_pairs(c("dr"), c("wr"))).alias("no", "pair")).withColumns(
         {"d1": pick(c("dr"), c("pair.design_ord")), "w1": pick(c("wr"), c("pair.drawing_ord"))}
     )
     one_by_one = emit(

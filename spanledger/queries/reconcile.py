@@ -115,9 +115,7 @@ def bar_totals(t):
     design, drawing = design_bars(t), drawing_bars(t)
     out = C.bar_total_issues(design, C.mark_summary(design), drawing, pile_counts(t))
     # The marks compared as sums; zone-by-zone pairs are in bar_zone_pairs.
-    return out.filter(F.element_at("ord", 4) == 1000).join(
-        _zone_counts(design, drawing).filter("NOT paired"), BAR, "left_semi"
-    ).select(*BAR, "code")
+    return out.join(_zone_counts(design, drawing).filter("NOT paired"), BAR, "left_semi").select(*BAR, "code")
 
 
 def _zone_counts(design, drawing):

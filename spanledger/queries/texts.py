@@ -176,7 +176,7 @@ def missing_notes(t):
 
 @query(
     "note_values",
-    """SELECT doc_id, CASE WHEN doc_id%3=0 THEN n_chars/8.0 END AS pile_length_m, CASE WHEN doc_id%3=1 THEN 2.5 END AS pile_fixity_m,
+    """SELECT doc_id, CAST(CASE WHEN doc_id%3=0 THEN n_chars/8.0 END AS DOUBLE) AS pile_length_m, CAST(CASE WHEN doc_id%3=1 THEN 2.5 END AS DOUBLE) AS pile_fixity_m,
     CASE doc_id%3 WHEN 0 THEN 'FE500D' WHEN 1 THEN 'TMT' END AS steel_grade, CASE WHEN doc_id%3=2 THEN 'M35' END AS lap_length_concrete_grade FROM documents
     WHERE NOT regexp_matches(upper(text), '\\b(FE\\s*-?\\s*\\d+[A-Z]*|HYSD|TMT)\\b')""".replace("\\\\", "\\"),
 )

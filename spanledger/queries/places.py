@@ -219,13 +219,30 @@ def mutual_nn(t):
     return G.bundles(points(t), ["sheet"], "id").select("sheet", "n", "mutual", F.round("ratio", 4).alias("ratio"), "is_bundle")
 
 
-@query("collapse_pairs")
+@query(
+    "collapse_pairs",
+    f"""WITH RECURSIVE {PTS}, e AS (SELECT a.sheet, a.id AS a, b.id AS b, {dist('a','b')} AS d FROM p a JOIN p b ON a.sheet=b.sheet AND a.id<b.id),
+    k AS (SELECT sheet, a, b, row_number() OVER (PARTITION BY sheet ORDER BY d, a, b) AS i FROM e JOIN (SELECT sheet, min(d)*2.5 AS r FROM e GROUP BY 1) USING (sheet) JOIN (SELECT sheet FROM p GROUP BY 1 HAVING count(*)>=4) USING (sheet) WHERE d<=r),
+    s AS (SELECT sheet, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM (SELECT DISTINCT sheet FROM k)
+      UNION ALL SELECT k.sheet, k.i, CASE WHEN list_contains(used,k.a) OR list_contains(used,k.b) THEN used ELSE list_concat(used,[k.a,k.b]) END,
+        CASE WHEN list_contains(used,k.a) OR list_contains(used,k.b) THEN NULL ELSE k.a END, CASE WHEN list_contains(used,k.a) OR list_contains(used,k.b) THEN NULL ELSE k.b END FROM s JOIN k ON k.sheet=s.sheet AND k.i=s.i+1),
+    t AS (SELECT a, b FROM s WHERE a IS NOT NULL)
+    SELECT x.sheet, a AS first_id, b AS other_id, round((x.x+y.x)/2,3) AS x, round((x.y+y.y)/2,3) AS y FROM t JOIN p x ON x.id=a JOIN p y ON y.id=b
+    UNION ALL SELECT sheet, id, NULL, round(x,3), round(y,3) FROM p WHERE id NOT IN (SELECT a FROM t) AND id NOT IN (SELECT b FROM t)""",
+)
 def collapse_pairs(t):
     out = G.collapse_pairs(points(t), ["sheet"], "id")
     return out.select("sheet", "first_id", "other_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query("dedup_rings")
+@query(
+    "dedup_rings",
+    f"""WITH RECURSIVE {PTS}, o AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY id) AS i FROM p),
+    s AS (SELECT sheet, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[]) AS kept, CAST(NULL AS BIGINT) AS id FROM (SELECT DISTINCT sheet FROM p)
+      UNION ALL SELECT o.sheet, o.i, CASE WHEN len(list_filter(kept, lambda q: abs(q.x-o.x)<400 AND abs(q.y-o.y)<400))>0 THEN kept ELSE list_append(kept, {{'x': o.x, 'y': o.y}}) END,
+        CASE WHEN len(list_filter(kept, lambda q: abs(q.x-o.x)<400 AND abs(q.y-o.y)<400))>0 THEN NULL ELSE o.id END FROM s JOIN o ON o.sheet=s.sheet AND o.i=s.i+1)
+    SELECT id, sheet FROM s WHERE id IS NOT NULL""",
+)
 def dedup_rings(t):
     return grid.keep_first_apart(points(t), ["sheet"], "id", 400.0).select("id", "sheet")
 
@@ -287,7 +304,7 @@ def ring_regions(t):
     p = points(t)
     labels = p.filter("id % 40 = 0").select("sheet", c("id").alias("lid"), F.when(c("id") % 3 == 0, "pilecap").otherwise("pier").alias("component"), "x", "y")
     regions = rects(t).filter("id % 120 = 0").select("sheet", F.lit("pilecap").alias("component"), "xmin", "ymin", "xmax", "ymax")
-    return G.ring_regions(labels, p.select("sheet", c("id").alias("did"), "x", "y"), regions, "sheet", "lid", "did", 1500.0, 400.0)
+    return G.ring_regions(labels, p.select("sheet", c("id").alias("did"), "x", "y"), regions, "sheet", "lid", "did", 3000.0, 700.0)
 
 
 @query(

@@ -1,18 +1,20 @@
 """Row-by-row folds whose keys may be larger than one task should hold.
 
-A fold needs the state left by all earlier rows of its key. Rows are cut into
-chunks of bounded length. Every chunk is folded from a guess of the state it
-starts with; then the state each chunk ended with is handed to the next chunk, and
-only the chunks whose start was guessed wrong are folded again, until no start
-changes. The result is that of a plain fold. States that forget their past (menus,
-anchors, short windows) settle after two or three rounds; a key of one chunk, the
-usual case, takes a single pass.
+A fold needs the state left by all earlier rows of its key. Keys of ordinary size
+are hashed to partitions, sorted there, and folded as the rows stream by, many keys
+per task and with one state in memory. A key with more than ``chunk_rows`` rows is
+cut into chunks that run side by side: every chunk is folded from a guess of the
+state it starts with; then the state each chunk ended with is handed to the next
+one, and only the chunks whose start was guessed wrong are folded again, until no
+start changes. The result is that of a plain fold. States that forget their past
+(menus, anchors, short windows) settle after two or three rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,55 +22,113 @@ from pyspark.sql import functions as F
 from spanledger.plans.durable import durable
 from spanledger.plans.scan import numbered
 
-CHUNK_ROWS = 100_000
-
-Step = Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str]]
+CHUNK_ROWS = 1_000_000
+
+Columns = dict[str, np.ndarray]
+Step = Callable[[Columns, str | None], tuple[Columns, str]]
+
+
+def _segments(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where a new key starts within a batch (the first row always counts)."""
+    new = np.zeros(len(pdf), dtype=bool)
+    new[0] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _walk(batches: Iterator[pd.DataFrame], keys: list[str], step: Step):
+    """Fold sorted batches; yields (batch, start, end, key values, output, state, is_same_key)."""
+    last, state = None, None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        bounds = [*_segments(pdf, keys).tolist(), len(pdf)]
+        for i, j in zip(bounds, bounds[1:]):
+            key = tuple(cols[k][i] for k in keys)
+            same = key == last
+            if not same:
+                start = cols["__state"][i]
+                state = None if start is None or start != start else start
+            out, state = step({c: v[i:j] for c, v in cols.items()}, state)
+            yield key, same, out, j - i, state, j == len(pdf)
+            last = key
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, output: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Fold the rows of each key in order.
 
-    ``step(rows, state)`` gets the sorted rows of a chunk and the state before them
-    (text, None at the start of a key) and returns the output rows and the state
-    after them. ``output`` is the schema of the output rows without the keys.
+    ``step(columns, state)`` gets consecutive rows of one key as arrays and the state
+    before them (text, None at the start of a key) and returns the output columns
+    and the state after them. A key may arrive in several calls. ``output`` is the
+    schema of the output rows without the keys.
     """
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = [f.strip().split(" ")[0].strip("`") for f in output.split(",")]
-    placed = numbered(df, keys, order, "__pos").withColumn("__chunk", F.floor((F.col("__pos") - 1) / chunk_rows))
-
-    def run(pdf: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        pdf = pdf.sort_values("__pos", kind="stable")
-        start = pdf["__state"].iloc[0]
-        return step(pdf.reset_index(drop=True), None if pd.isna(start) else start)
-
-    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = run(pdf)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, *names]]
 
-    def end_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, state = run(pdf)
-        first = pdf.iloc[0]
-        return pd.DataFrame([{**{k: first[k] for k in keys}, "__chunk": first["__chunk"], "__end": state}])
+    def schema(cols: list[str]) -> str:
+        return ", ".join(f"`{c}` {types.get(c, 'bigint')}" for c in cols)
+
+    def rows_of(group: list[str]):
+        def work(batches):
+            parts: list[dict] = []
+            for key, _, out, n, _, batch_ends in _walk(batches, group, step):
+                parts.append({**{k: np.repeat(np.array([v], dtype=object), n) for k, v in zip(keys, key)}, **{c: out[c] for c in names}})
+                if batch_ends:
+                    yield pd.DataFrame({c: np.concatenate([np.asarray(p[c], dtype=object) for p in parts]) for c in [*keys, *names]}).infer_objects()
+                    parts = []
+
+        return work
+
+    def ends_of(group: list[str]):
+        def work(batches):
+            done, held = [], None
+            for key, _, _, _, state, batch_ends in _walk(batches, group, step):
+                if held is not None and held[:-1] != key:
+                    done.append(held)
+                held = (*key, state)
+                if batch_ends and done:
+                    yield pd.DataFrame(done, columns=[*group, "__end"])
+                    done = []
+            if held is not None:
+                yield pd.DataFrame([held], columns=[*group, "__end"])
+
+        return work
+
+    def sorted_by(part: DataFrame, group: list[str], by: list[str]) -> DataFrame:
+        return part.repartition(*group).sortWithinPartitions(*group, *by)
+
+    def plain(part: DataFrame) -> DataFrame:
+        ready = sorted_by(part.withColumn("__state", F.lit(None).cast("string")), keys, order)
+        return ready.mapInPandas(rows_of(keys), f"{schema(keys)}, {output}")
+
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk_rows).select(*keys)
+    hot = durable(hot)
+    if hot.isEmpty():
+        return plain(df)
 
     group = [*keys, "__chunk"]
-    placed = durable(placed)
-    if placed.filter("__chunk > 0").isEmpty():
-        single = placed.withColumn("__state", F.lit(None).cast("string"))
-        return single.groupBy(*group).applyInPandas(rows_of, f"{kind}, {output}")
+    placed = numbered(df.join(hot, keys, "left_semi"), keys, order, "__pos")
+    placed = durable(placed.withColumn("__chunk", F.floor((F.col("__pos") - 1) / chunk_rows)))
 
     def ends(starts: DataFrame) -> DataFrame:
-        return placed.join(starts, group).groupBy(*group).applyInPandas(end_of, f"{kind}, __chunk bigint, __end string")
+        ready = sorted_by(placed.join(starts, group), group, ["__pos"])
+        return ready.mapInPandas(ends_of(group), f"{schema(group)}, __end string")
 
     starts = durable(placed.select(*group).distinct().withColumn("__state", F.lit(None).cast("string")))
     known = durable(ends(starts))
     over = Window.partitionBy(*keys).orderBy("__chunk")
     while True:
         proposed = known.withColumn("__next", F.lag("__end").over(over)).select(*group, "__next")
-        both = starts.join(proposed, group)
-        wrong = durable(both.filter(~F.col("__state").eqNullSafe(F.col("__next"))).select(*group, F.col("__next").alias("__state")))
+        wrong = durable(
+            starts.join(proposed, group).filter(~F.col("__state").eqNullSafe(F.col("__next"))).select(*group, F.col("__next").alias("__state"))
+        )
         if wrong.isEmpty():
-            return placed.join(starts, group).groupBy(*group).applyInPandas(rows_of, f"{kind}, {output}")
+            break
         starts = durable(starts.join(wrong.select(*group), group, "left_anti").unionByName(wrong))
         known = durable(known.join(wrong.select(*group), group, "left_anti").unionByName(ends(wrong)))
+    ready = sorted_by(placed.join(starts, group), group, ["__pos"])
+    chunked = ready.mapInPandas(rows_of(group), f"{schema(keys)}, {output}")
+    return plain(df.join(hot, keys, "left_anti")).unionByName(chunked)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from spanledger.plans.fold import fold
+from spanledger.plans.fold import CHUNK_ROWS, fold
 from spanledger.session import ROCKSDB_PROVIDER, checkpoint_root
 from spanledger.streaming import machine
 
@@ -60,7 +60,7 @@ def deduplicate(messages: DataFrame, key: str, ts: str, delay: str = "1 day") ->
     return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def sessions_batch(messages: DataFrame, phone: str, order: list[str], chunk_rows: int = 100_000) -> DataFrame:
+def sessions_batch(messages: DataFrame, phone: str, order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The session machine over a table of messages (msg_id, type, content)."""
     return fold(messages, [phone], order, machine.run, machine.OUTPUT, chunk_rows)
 
@@ -74,8 +74,9 @@ class SessionProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "msg_id"])
         before = self.saved.get()[0] if self.saved.exists() else None
-        out, after = machine.run(batch, before)
+        done, after = machine.run({c: batch[c].to_numpy() for c in ("msg_id", "type", "content")}, before)
         self.saved.update((after,))
+        out = pd.DataFrame(done).astype({"photo_num": "Int32"})
         out.insert(0, "phone", key[0])
         yield out
 

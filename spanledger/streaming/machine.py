@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import numpy as np
 
 from spanledger.functions.text import GRATITUDE_EMOJI, GRATITUDE_WORDS
 
@@ -101,13 +101,13 @@ def advance(s: dict, kind: str, content: str | None) -> dict:
     return {"action": "filed", "reply": None, "category": category, "photo_num": None}
 
 
-def run(rows: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame, str]:
-    """Apply the messages of one phone in order (columns msg_id, type, content)."""
+def run(cols: dict[str, np.ndarray], state: str | None) -> tuple[dict[str, list], str]:
+    """Apply messages of one phone in order (columns msg_id, type, content)."""
     s = load(state)
-    out = []
-    for msg_id, kind, content in zip(rows["msg_id"], rows["type"], rows["content"]):
-        done = advance(s, kind, None if pd.isna(content) else content)
-        out.append({"msg_id": msg_id, **done, "session_no": s["no"], "state": s["state"], "format": s["format"], "is_open": s["open"]})
-    frame = pd.DataFrame(out, columns=OUTPUT_NAMES)
-    frame["photo_num"] = frame["photo_num"].astype("Int32")
-    return frame, save(s)
+    out: dict[str, list] = {n: [] for n in OUTPUT_NAMES}
+    for msg_id, kind, content in zip(cols["msg_id"], cols["type"], cols["content"]):
+        done = advance(s, kind, content if isinstance(content, str) else None)
+        row = {"msg_id": msg_id, **done, "session_no": s["no"], "state": s["state"], "format": s["format"], "is_open": s["open"]}
+        for n in OUTPUT_NAMES:
+            out[n].append(row[n])
+    return out, save(s)

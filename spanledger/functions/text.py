@@ -146,15 +146,16 @@ def strip_dimension_override(c: Column) -> Column:
     return strip(F.regexp_replace(out, r"\s{2,}", " "))
 
 
-def value_after_label(raw: Column, label: str) -> Column:
+def value_after_label(raw: Column, label: Column | str) -> Column:
     """What follows the first occurrence of a label, when it is unambiguous.
 
     The text up to the next boundary is returned as a protected phrase, as a
     measurement ``n m``, or as it is up to 80 characters.
     """
+    label = F.lit(label) if isinstance(label, str) else label
     low = F.lower(raw)
-    at = F.locate(label, low)
-    rest = strip(F.substring(raw, at + len(label), F.length(raw)))
+    at = F.position(label, low)
+    rest = strip(F.substring(raw, at + F.length(label), F.length(raw)))
     low_rest = F.lower(rest)
     stops = [F.locate(s, low_rest) for s in ("next ", " and then ", "\n")]
     end = F.least(*[F.when(s > 1, s - 1) for s in stops])
@@ -243,3 +244,46 @@ def comparison_pair(desc: Column) -> Column:
         pair = F.struct(strip(d).alias("design"), strip(w).alias("drawing"))
         out = F.when(F.regexp_like(desc, F.lit(pattern)), pair).otherwise(out)
     return out
+
+
+# Words for numbers and for units in dictated notes.
+NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+UNIT_WORDS = [
+    (r"(?i)\b(?:kilometers|kilometer|kilometres|kilometre)\b", "km"),
+    (r"(?i)\b(?:meters|meter|metres|metre)\b", "m"),
+    (r"(?i)\bplus\b", "+"),
+    (r"(?i)\bminus\b", "−"),
+    (r"(?i)\b(?:multiplied by|into|times)\b", "×"),
+]
+
+
+def unit_words(c: Column) -> Column:
+    for pattern, sign in UNIT_WORDS:
+        c = F.regexp_replace(c, pattern, sign)
+    return c
+
+
+def number_words(c: Column) -> Column:
+    """Number words as digits, only inside table, figure, picture and photo references."""
+    words = "|".join(NUMBER_WORDS)
+    phrase = rf"(?i)\b(?:tables?|figures?|pictures?|photos?)(?:\s+(?:number|no\.?))?(?:[\s,]+(?:and\s+)?(?:{words}))+\b"
+    hits = F.regexp_extract_all(c, F.lit(phrase), F.lit(0))
+
+    def digits(p: Column) -> Column:
+        for i, w in enumerate(NUMBER_WORDS, 1):
+            p = F.regexp_replace(p, rf"(?i)\b{w}\b", str(i))
+        return p
+
+    return F.aggregate(hits, c, lambda acc, p: F.replace(acc, p, digits(p)))
+
+
+def lenient_json(c: Column, schema: str) -> Column:
+    """The object inside a reply with fences or preamble; ``_corrupt_record`` holds what cannot be parsed."""
+    body = F.regexp_extract(c, r"(?s)(\{.*)", 1)
+    body = F.regexp_replace(body, r"(?s)\s*```.*$", "")
+    whole = F.regexp_extract(body, r"(?s)^(\{.*\})", 1)
+    return F.from_json(
+        F.when(whole != "", whole).otherwise(body),
+        f"{schema}, _corrupt_record string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
+    )

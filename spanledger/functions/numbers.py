@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanledger.functions.text import first_group, first_match, strip
+from spanledger.functions.text import first_group, first_match, let, strip
 
 # Bar diameters in millimetres accepted as bare numbers.
 VALID_DIAMETERS = [8, 10, 12, 16, 20, 25, 32]
@@ -116,34 +116,38 @@ def match_dims(design_m: Column, drawing_mm: Column) -> Column:
     (design_mm, drawing_mm), shorter than the design side when drawing segments run
     out. Of equally close ones the smaller is taken.
     """
-    design = F.array_sort(F.filter(F.transform(design_m, lambda d: d * 1000), lambda d: d != 0))
-    drawn = F.array_sort(F.filter(drawing_mm, lambda w: w != 0))
     kind = "array<struct<design_mm:double,drawing_mm:double>>"
-    start = F.struct(
-        F.transform(
-            drawn,
-            lambda w, i: F.struct(fix_leading_one(w.cast("double"), design).alias("w"), i.alias("i")),
-        ).alias("rest"),
-        F.array().cast(kind).alias("pairs"),
-    )
+    drawn = F.array_sort(F.filter(drawing_mm, lambda w: w != 0))
 
-    def step(acc, d):
-        best = F.array_min(
+    def pair_up(design: Column) -> Column:
+        start = F.struct(
             F.transform(
-                acc["rest"],
-                lambda r: F.struct(F.abs(r["w"] - d).alias("s"), r["i"].alias("i"), r["w"].alias("w")),
-            )
+                drawn,
+                lambda w, i: F.struct(fix_leading_one(w.cast("double"), design).alias("w"), i.alias("i")),
+            ).alias("rest"),
+            F.array().cast(kind).alias("pairs"),
         )
-        pair = F.struct(d.alias("design_mm"), best["w"].alias("drawing_mm"))
-        return F.when(
-            F.size(acc["rest"]) > 0,
-            F.struct(
-                F.filter(acc["rest"], lambda r: r["i"] != best["i"]).alias("rest"),
-                F.concat(acc["pairs"], F.array(pair)).alias("pairs"),
-            ),
-        ).otherwise(acc)
 
-    return F.aggregate(design, start, step, lambda acc: acc["pairs"])
+        def step(acc, d):
+            nearest = F.array_min(
+                F.transform(
+                    acc["rest"],
+                    lambda r: F.struct(F.abs(r["w"] - d).alias("s"), r["i"].alias("i"), r["w"].alias("w")),
+                )
+            )
+
+            def take(best):
+                pair = F.struct(d.alias("design_mm"), best["w"].alias("drawing_mm"))
+                return F.struct(
+                    F.filter(acc["rest"], lambda r: r["i"] != best["i"]).alias("rest"),
+                    F.concat(acc["pairs"], F.array(pair)).alias("pairs"),
+                )
+
+            return F.when(F.size(acc["rest"]) > 0, let(nearest, take)).otherwise(acc)
+
+        return F.aggregate(design, start, step, lambda acc: acc["pairs"])
+
+    return let(F.array_sort(F.filter(F.transform(design_m, lambda d: d * 1000), lambda d: d != 0)), pair_up)
 
 
 def closest_pairs(design: Column, drawing: Column) -> Column:
@@ -175,7 +179,7 @@ def closest_pairs(design: Column, drawing: Column) -> Column:
     start = F.struct(indexed.alias("rest"), F.array().cast(kind).alias("pairs"))
 
     def step(acc, x):
-        best = F.array_min(
+        nearest = F.array_min(
             F.transform(
                 acc["rest"],
                 lambda r: F.struct(
@@ -183,14 +187,15 @@ def closest_pairs(design: Column, drawing: Column) -> Column:
                 ),
             )
         )
-        pair = F.struct(x["d"]["ord"].cast("int").alias("design_ord"), best["o"].cast("int").alias("drawing_ord"))
-        return F.when(
-            F.size(acc["rest"]) > 0,
-            F.struct(
+
+        def take(best):
+            pair = F.struct(x["d"]["ord"].cast("int").alias("design_ord"), best["o"].cast("int").alias("drawing_ord"))
+            return F.struct(
                 F.filter(acc["rest"], lambda r: r["i"] != best["i"]).alias("rest"),
                 F.concat(acc["pairs"], F.array(pair)).alias("pairs"),
-            ),
-        ).otherwise(acc)
+            )
+
+        return F.when(F.size(acc["rest"]) > 0, let(nearest, take)).otherwise(acc)
 
     return F.aggregate(ordered, start, step, lambda acc: acc["pairs"])
 

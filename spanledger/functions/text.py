@@ -37,9 +37,18 @@ GRATITUDE_WORDS = ["thank you", "thanks", "thankyou", "thank u", "shukriya", "dh
 GRATITUDE_EMOJI = ["👍", "🙏", "❤️", "😊", "🤝", "👏"]
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
+
+    An expression written inside a lambda is computed again for every element; a
+    lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Column) -> Column:
-    """Trim all white space, as text clean-up in the source data does."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim all white space, not only spaces."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:

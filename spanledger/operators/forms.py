@@ -607,10 +607,16 @@ def alias_field(text: Column) -> Column:
     """The field a segment's leading label means and the text after it; the longest alias counts."""
     pairs = sorted(((a, f) for f, names in ALIASES.items() for a in names), key=lambda p: (-len(p[0]), p[0]))
     table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(f).alias("field")) for a, f in pairs])
-    low = F.lower(text)
-    hit = F.get(F.filter(table, lambda p: low.startswith(p["alias"]) & (F.substring(low, F.length(p["alias"]) + 1, F.lit(1)).isin("", " ", ":"))), 0)
-    rest = F.regexp_replace(F.substring(text, F.length(hit["alias"]) + 1, F.length(text)), r"(?i)^\s*(?:is\b|:)?\s*", "")
-    return F.when(hit.isNotNull(), F.struct(hit["field"].alias("field"), rest.alias("value")))
+
+    def found(low: Column) -> Column:
+        after = lambda p: F.substring(low, F.length(p["alias"]) + 1, F.lit(1))
+        return F.get(F.filter(table, lambda p: low.startswith(p["alias"]) & after(p).isin("", " ", ":")), 0)
+
+    def split(hit: Column) -> Column:
+        rest = F.regexp_replace(F.substring(text, F.length(hit["alias"]) + 1, F.length(text)), r"(?i)^\s*(?:is\b|:)?\s*", "")
+        return F.when(hit.isNotNull(), F.struct(hit["field"].alias("field"), rest.alias("value")))
+
+    return T.let(T.let(F.lower(text), found), split)
 
 
 def sequential_fields(notes: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -628,13 +634,15 @@ def sequential_fields(notes: DataFrame, keys: list[str], text: str) -> DataFrame
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<seq:int,field:string,value:string>>").alias("out"))
 
     def step(acc, s):
-        named = alias_field(s)
-        at = F.array_position(order, named["field"]).cast("int")
-        pos = F.when(named.isNotNull() & (at > 0), at).otherwise(acc["pos"] + 1)
-        field = F.coalesce(named["field"], F.get(order, pos - 1))
-        value = F.when(named.isNotNull(), named["value"]).otherwise(s)
-        row = F.struct(pos.alias("seq"), field.alias("field"), value.alias("value"))
-        keep = (value != "") & field.isNotNull()
-        return F.struct(pos.alias("pos"), F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+        def take(named):
+            at = F.array_position(order, named["field"]).cast("int")
+            pos = F.when(named.isNotNull() & (at > 0), at).otherwise(acc["pos"] + 1)
+            field = F.coalesce(named["field"], F.get(order, pos - 1))
+            value = F.when(named.isNotNull(), named["value"]).otherwise(s)
+            row = F.struct(pos.alias("seq"), field.alias("field"), value.alias("value"))
+            keep = (value != "") & field.isNotNull()
+            return F.struct(pos.alias("pos"), F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+
+        return T.let(alias_field(s), take)
 
     return notes.select(*keys, F.inline_outer(F.aggregate(seg, start, step, lambda acc: acc["out"]))).filter("seq IS NOT NULL")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.numbers import safe_float
-from spanledger.functions.text import first_group, normal_hyphens, strip
+from spanledger.functions.text import first_group, let, normal_hyphens, strip
 
 # Required views and the words that show them.
 REQUIRED_SECTIONS = {
@@ -117,7 +117,7 @@ def section_hits(label: Column, sections: dict[str, list[str]]) -> Column:
 
 def required_sections(labels: DataFrame, keys: DataFrame, key: str, label: str, order: str, sections: dict[str, list[str]], carry: str) -> DataFrame:
     """Presence of each required section on each sheet, with the first label that shows it."""
-    shown = labels.select(key, order, carry, F.explode(section_hits(F.upper(label), sections)).alias("name"))
+    shown = labels.select(key, order, carry, F.explode_outer(let(F.upper(label), lambda u: section_hits(u, sections))).alias("name")).filter("name IS NOT NULL")
     first = shown.groupBy(key, "name").agg(F.min_by(carry, order).alias(carry))
     wanted = keys.select(key, F.explode(F.array(*[F.lit(n) for n in sections])).alias("name"))
     return wanted.join(first.withColumn("__hit", F.lit(True)), [key, "name"], "left").select(
@@ -126,16 +126,21 @@ def required_sections(labels: DataFrame, keys: DataFrame, key: str, label: str,
 
 
 def note_hits(text: Column, keywords: dict[str, list[str]]) -> Column:
-    t = normal_hyphens(F.upper(text))
-    hits = []
-    for item, words in keywords.items():
-        hits.append(F.when(t.rlike("|".join(re.escape(w.upper()) for w in words)), F.lit(item)))
-    return F.array_compact(F.array(*hits))
+    def found(t: Column) -> Column:
+        hits = []
+        for item, words in keywords.items():
+            any_ = F.lit(False)
+            for w in words:
+                any_ = any_ | t.contains(w.upper())
+            hits.append(F.when(any_, F.lit(item)))
+        return F.array_compact(F.array(*hits))
+
+    return let(normal_hyphens(F.upper(text)), found)
 
 
 def required_notes(texts: DataFrame, keys: DataFrame, key: str, text: str, keywords: dict[str, list[str]]) -> DataFrame:
     """Presence of each note item on each sheet."""
-    seen = texts.select(key, F.explode(note_hits(F.col(text), keywords)).alias("item")).distinct()
+    seen = texts.select(key, F.explode_outer(note_hits(F.col(text), keywords)).alias("item")).filter("item IS NOT NULL").distinct()
     wanted = keys.select(key, F.explode(F.array(*[F.lit(i) for i in keywords])).alias("item"))
     return wanted.join(seen.withColumn("present", F.lit(True)), [key, "item"], "left").fillna(False, ["present"])
 

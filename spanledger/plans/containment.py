@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanledger.functions.text import let
+
 GRAM = 8
 NONE = "array<string>"
 
@@ -39,7 +41,10 @@ def needle_pieces(needle: Column) -> Column:
     word lies inside a word: as a whole if short (T), else its runs of eight
     characters (G).
     """
-    words = F.split(needle, r"\s+")
+    return let(F.split(needle, r"\s+"), lambda words: _needle_pieces(needle, words))
+
+
+def _needle_pieces(needle: Column, words: Column) -> Column:
     n = F.size(words)
     inner = F.slice(words, 2, F.greatest(n - 2, F.lit(0)))
     edges = F.array_compact(
@@ -59,22 +64,24 @@ def needle_pieces(needle: Column) -> Column:
 
 def text_pieces(text: Column, kinds: Column) -> Column:
     """The tagged pieces of a text, of the kinds that are asked for only."""
-    words = F.split(text, r"\s+")
-    once = F.array_distinct(words)
-    per_word = lambda make: F.flatten(F.transform(once, make))
     lengths = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)))
-    options = {
-        "R": lambda: _runs(words, 3),
-        "W": lambda: once,
-        "S": lambda: per_word(lambda w: F.transform(lengths(w), lambda i: F.substring(w, i, F.length(w)))),
-        "P": lambda: per_word(lambda w: F.transform(lengths(w), lambda i: F.substring(w, F.lit(1), i))),
-        "G": lambda: per_word(lambda w: _grams(w, GRAM)),
-        "T": lambda: F.flatten(F.array(*[per_word(lambda w, n=n: _grams(w, n)) for n in range(3, GRAM)])),
-    }
-    parts = [
-        F.when(F.array_contains(kinds, k), _tag(k, make())).otherwise(F.array().cast(NONE)) for k, make in options.items()
-    ]
-    return F.array_distinct(F.flatten(F.array(*parts)))
+
+    def once(words: Column, make) -> Column:
+        return F.flatten(F.transform(F.array_distinct(words), make))
+
+    def cut(words: Column) -> Column:
+        options = {
+            "R": _runs(words, 3),
+            "W": F.array_distinct(words),
+            "S": once(words, lambda w: F.transform(lengths(w), lambda i: F.substring(w, i, F.length(w)))),
+            "P": once(words, lambda w: F.transform(lengths(w), lambda i: F.substring(w, F.lit(1), i))),
+            "G": once(words, lambda w: _grams(w, GRAM)),
+            "T": F.flatten(F.array(*[once(words, lambda w, n=n: _grams(w, n)) for n in range(3, GRAM)])),
+        }
+        parts = [F.when(F.array_contains(kinds, k), _tag(k, p)).otherwise(F.array().cast(NONE)) for k, p in options.items()]
+        return F.array_distinct(F.flatten(F.array(*parts)))
+
+    return let(F.split(text, r"\s+"), cut)
 
 
 def contained(needles: DataFrame, haystacks: DataFrame, keys: list[str], nid: str, needle: str, hid: str, text: str) -> DataFrame:

@@ -7,6 +7,7 @@ from spanledger.operators import costs
 from spanledger.operators import forms as R
 from spanledger.plans.containment import contained
 from spanledger.queries.registry import query
+from spanledger.session import spread
 
 c = F.col
 
@@ -17,7 +18,7 @@ c = F.col
 )
 def traceable(t):
     return contained(
-        t.benchmark.withColumn("k", F.lit(1)), t.documents.withColumn("k", F.lit(1)), ["k"], "item_id", "text", "doc_id", "text"
+        t.benchmark.withColumn("k", F.lit(1)), spread(t.documents, "doc_id").withColumn("k", F.lit(1)), ["k"], "item_id", "text", "doc_id", "text"
     ).select("item_id", "doc_id")
 
 

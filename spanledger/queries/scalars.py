@@ -6,6 +6,7 @@ from spanledger.functions import geo as G
 from spanledger.functions import numbers as N
 from spanledger.functions import text as T
 from spanledger.queries.registry import query
+from spanledger.session import spread
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
 LINE_SQL = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice"
@@ -32,7 +33,7 @@ def counts(t):
     # A trailing full stop keeps the last form from being a number.
     c = F.col("text")
     parsed = F.coalesce(N.parse_count(c), N.parse_count(F.replace(c, F.lit("."), F.lit(""))))
-    return t.lineitem.withColumn("text", text).select(
+    return spread(t.lineitem, "l_orderkey").withColumn("text", text).select(
         *LINE_KEY,
         parsed.alias("parsed"),
         N.norm_count(c).alias("normed"),
@@ -62,7 +63,7 @@ def reinforcement_text(t):
     p = N.reinforcement(F.col("text"))
     spacing = F.when(kind == 3, F.concat(q, F.lit(" c/c"))).otherwise(F.lit("N.A."))
     flag = F.col("l_returnflag")
-    return t.lineitem.withColumn("text", text).select(
+    return spread(t.lineitem, "l_orderkey").withColumn("text", text).select(
         *LINE_KEY,
         p["dia"].alias("dia"),
         p["kind"].alias("kind"),
@@ -105,7 +106,7 @@ def text_clean(t):
     c2 = T.strip(F.substring("source", 1, 8))
     over = T.strip_dimension_override(F.concat(F.lit("\\fArial;{W1;"), c2, F.lit("<>\\X NOS}")))
     both = F.when(T.strip_mtext_codes(mtext) == T.strip_text_codes(legacy), T.strip_mtext_codes(mtext))
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         "doc_id",
         F.md5(both.cast("binary")).alias("clean_md5"),
         F.length(both).cast("long").alias("n"),
@@ -136,7 +137,7 @@ def comparison_pair(t):
         template = F.when(kind == i, form).otherwise(template)
     desc = T.fill(template, {"q": T.number_g(q.cast("double")), "s": s.cast("string")})
     pair = T.comparison_pair(F.col("desc"))
-    return t.lineitem.withColumn("desc", desc).select(
+    return spread(t.lineitem, "l_orderkey").withColumn("desc", desc).select(
         *LINE_KEY,
         pair["design"].alias("design"),
         pair["drawing"].alias("drawing"),
@@ -296,7 +297,7 @@ def sheet_boxes(t):
 def label_value(t):
     out = T.value_after_label(F.col("text"), " the ")
     found = F.locate(" the ", F.lower("text")) > 0
-    return t.documents.filter(found).select("doc_id", out.alias("value"))
+    return spread(t.documents, "doc_id").filter(found).select("doc_id", out.alias("value"))
 
 
 @query(

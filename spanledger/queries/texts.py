@@ -7,6 +7,7 @@ from spanledger.operators import rules as U
 from spanledger.plans.scan import numbered
 from spanledger.queries.reconcile import SHEET_SQL, drawing_bars
 from spanledger.queries.registry import query
+from spanledger.session import spread
 
 c = F.col
 
@@ -136,7 +137,7 @@ SECTIONS = {"the": ["THE"], "there": ["THERE"], "other": ["OTHER"], "and": ["AND
     SELECT s.source, n.name, m.doc_id IS NOT NULL AS present, m.doc_id FROM (SELECT DISTINCT source FROM documents) s, (SELECT unnest(['the','there','other','and','hand','la']) AS name) n LEFT JOIN m ON m.source=s.source AND m.name=n.name""",
 )
 def required_sections(t):
-    docs = t.documents.select("source", "doc_id", "text", c("doc_id").alias("ord"))
+    docs = spread(t.documents, "doc_id").select("source", "doc_id", "text", c("doc_id").alias("ord"))
     return L.required_sections(docs, docs.select("source").distinct(), "source", "text", "ord", SECTIONS, "doc_id")
 
 
@@ -149,7 +150,7 @@ def required_sections(t):
 )
 def required_notes(t):
     tail = F.when(c("doc_id") % 9 == 0, "fixity").otherwise("")
-    docs = t.documents.select("source", F.concat("text", F.lit(" fe–500 "), tail).alias("text"))
+    docs = spread(t.documents, "doc_id").select("source", F.concat("text", F.lit(" fe–500 "), tail).alias("text"))
     words = {"steel_grade": ["FE-500"], "pile_fixity": ["FIXITY"], "pile_length": ["PILE LENGTH"], "irc": ["LICENSE", "LIZENZ"]}
     return L.required_notes(docs, docs.select("source").distinct(), "source", "text", words)
 
@@ -189,7 +190,7 @@ def note_values(t):
     )
     v = L.note_values(c("note"))
     own = ~F.upper("text").rlike(r"\b(FE\s*-?\s*\d+[A-Z]*|HYSD|TMT)\b")
-    docs = t.documents.filter(own).select("doc_id", F.concat("text", note).alias("note"))
+    docs = spread(t.documents, "doc_id").filter(own).select("doc_id", F.concat("text", note).alias("note"))
     names = ["pile_length_m", "pile_fixity_m", "steel_grade", "lap_length_concrete_grade"]
     return docs.select("doc_id", *[v[n].alias(n) for n in names])
 
@@ -321,7 +322,7 @@ def dimension_kinds(t):
         .when(k == 5, "REMAINING Y1").otherwise(F.concat(F.lit("LENGTH OF PILE = "), s(1000)))
     )
     d = L.classify_dimension(c("text"), (c("l_suppkey") + 1).cast("double"))
-    rows = t.lineitem.withColumn("text", text).withColumn("d", d)
+    rows = spread(t.lineitem, "l_orderkey").withColumn("text", text).withColumn("d", d)
     return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "d.kind", "d.number", "d.mark", F.size(L.bar_count_pairs(c("text"))).alias("pairs"))
 
 
@@ -372,7 +373,7 @@ def section_headers(t):
         text = F.when(k == i, r).otherwise(text)
     mark = F.when(s == 0, "y7").when(s == 1, "i2").when(s == 2, "a").otherwise("q")
     label = F.when(s == 0, "section of pilecap & pier").when(s == 1, "PILE").when(s == 2, "Pier top").otherwise("abutment")
-    return t.lineitem.select(
+    return spread(t.lineitem, "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
         L.section_header(text).alias("header"), L.component_of_mark(mark).alias("mark_comp"), L.component_of_label(label).alias("label_comp"),
     )

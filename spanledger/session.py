@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,6 +51,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over the cores where the input has fewer splits than cores.
+
+    A table in many files passes unchanged; only a small one, read by a few tasks,
+    is shuffled before costly row-wise work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder for durable cuts.
 

@@ -138,9 +138,15 @@ def bar_scalar_issues(summary: DataFrame, drawing: DataFrame, sheet: DataFrame |
     zone = F.concat(comp, F.lit("_schedule"))
     box = c("row_bbox")
 
-    w_dia = F.coalesce(N.given(c("bar_dia_mm")), N.norm_dia(c("reinforcement_text")))
+    # Parsed once per row; the checks below refer to the results.
+    j = j.withColumns(
+        {
+            "__dia": F.coalesce(N.given(c("bar_dia_mm")), N.norm_dia(c("reinforcement_text"))),
+            "__text": N.reinforcement(c("reinforcement_text")),
+        }
+    )
+    w_dia, text = c("__dia"), c("__text")
     sp_d, sp_w = d["spacing_mm"], c("spacing_mm").cast("double")
-    text = N.reinforcement(c("reinforcement_text"))
     kind = d["reinf_secondary"]
     has_text = kind.isNotNull() & (F.coalesce(c("reinforcement_text"), F.lit("")) != "")
     right_kind = has_text & text["kind"].eqNullSafe(kind)

@@ -105,9 +105,9 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, output: s
         return ready.mapInPandas(rows_of(keys), f"{schema(keys)}, {output}")
 
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > chunk_rows).select(*keys)
-    hot = durable(hot)
     if hot.isEmpty():
         return plain(df)
+    hot = durable(hot)
 
     group = [*keys, "__chunk"]
     placed = numbered(df.join(hot, keys, "left_semi"), keys, order, "__pos")

@@ -1,12 +1,11 @@
-"""Ordered scans (running totals, carry-forward, neighbours) over hot keys.
-
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here the rows
-of a key are cut into chunks along the ordering column at equi-depth split
-points. The window runs inside (key, chunk); what a chunk needs from earlier
-chunks comes from a second window over one summary row per (key, chunk). The
-split points are a bounded array computed by a scalar subquery, so the whole scan
-is one lazy plan, and no task gets more than about 1/n of all rows, however the
-keys are distributed.
+"""Ordered scans (running totals, carry-forward, neighbours) over keys of any size.
+
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Keys of
+ordinary size are scanned that way. Keys with more rows than a task should hold
+are found first by a count (combined before its shuffle) and cut into chunks along
+the ordering column at equi-depth split points. Their window runs inside (key,
+chunk); what a chunk needs from earlier chunks comes from a second window over one
+summary row per (key, chunk). The result is the same either way.
 """
 
 from __future__ import annotations
@@ -17,8 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanledger.plans.durable import durable
+
 KEY, CHUNK = "__k", "__c"
 MAX_CHUNKS = 2048
+HOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -137,6 +139,16 @@ def _merge(spec: Running, before: Column, here: Column) -> Column:
     return F.coalesce(before, here)
 
 
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """The keys with more rows than one task should hold, None if there are none.
+
+    There can be no more of them than the table has such portions of rows.
+    """
+    limit = int(df.sparkSession.conf.get("spanledger.hotKeyRows", str(HOT_ROWS)))
+    found = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key)
+    return None if found.isEmpty() else durable(found)
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
@@ -151,8 +163,31 @@ def ordered_scan(
     ties, and together they should be unique within a key. Null keys form a key
     of their own.
     """
-    base = with_chunk(df, order[0], chunks)
-    base = base.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(1).alias("one")))
+    keyed = df.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(1).alias("one")))
+    hot = hot_keys(keyed, KEY)
+    if hot is None:
+        return _plain_scan(df, keys, order, outputs, descending)
+    cold = _plain_scan(keyed.join(hot, KEY, "left_anti").select(*df.columns), keys, order, outputs, descending)
+    cut = _chunked_scan(keyed.join(hot, KEY, "left_semi"), df.columns, order, outputs, descending, chunks)
+    return cold.unionByName(cut)
+
+
+def _plain_scan(df, keys, order, outputs, descending) -> DataFrame:
+    by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    over = Window.partitionBy(*keys).orderBy(*by)
+    cols = {}
+    for name, spec in outputs.items():
+        if isinstance(spec, Running):
+            frame = over.rowsBetween(Window.unboundedPreceding, 0 if spec.inclusive else -1)
+            cols[name] = _windowed(spec, frame)
+        else:
+            step = F.lag if spec.step < 0 else F.lead
+            cols[name] = step(_col(spec.value)).over(over)
+    return df.select("*", *[c.alias(n) for n, c in cols.items()])
+
+
+def _chunked_scan(base, columns, order, outputs, descending, chunks) -> DataFrame:
+    base = with_chunk(base, order[0], chunks)
     rank = F.struct(*order)
     by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     chunk_by = F.col(CHUNK).desc() if descending else F.col(CHUNK).asc()
@@ -190,7 +225,7 @@ def ordered_scan(
 
     summary = base.groupBy(KEY, CHUNK).agg(*totals).select(KEY, CHUNK, *offsets)
     joined = base.withColumns(local).join(summary, [KEY, CHUNK], "left")
-    return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
+    return joined.select(*columns, *[c.alias(n) for n, c in final.items()])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", descending: bool = False) -> DataFrame:

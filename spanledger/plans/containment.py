@@ -66,6 +66,9 @@ def text_pieces(text: Column, kinds: Column) -> Column:
     """The tagged pieces of a text, of the kinds that are asked for only."""
     lengths = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)))
 
+    def grams_of(words: Column, n: int) -> Column:
+        return once(words, lambda w: _grams(w, n))
+
     def once(words: Column, make) -> Column:
         return F.flatten(F.transform(F.array_distinct(words), make))
 
@@ -75,8 +78,8 @@ def text_pieces(text: Column, kinds: Column) -> Column:
             "W": F.array_distinct(words),
             "S": once(words, lambda w: F.transform(lengths(w), lambda i: F.substring(w, i, F.length(w)))),
             "P": once(words, lambda w: F.transform(lengths(w), lambda i: F.substring(w, F.lit(1), i))),
-            "G": once(words, lambda w: _grams(w, GRAM)),
-            "T": F.flatten(F.array(*[once(words, lambda w, n=n: _grams(w, n)) for n in range(3, GRAM)])),
+            "G": grams_of(words, GRAM),
+            "T": F.flatten(F.array(*[grams_of(words, n) for n in range(3, GRAM)])),
         }
         parts = [F.when(F.array_contains(kinds, k), _tag(k, p)).otherwise(F.array().cast(NONE)) for k, p in options.items()]
         return F.array_distinct(F.flatten(F.array(*parts)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanledger.functions import numbers as N
 from spanledger.functions.text import bar_mark_token, is_bar_mark, strip
 from spanledger.operators.labels import component_of_mark, section_header
+from spanledger.plans.durable import durable
 from spanledger.plans.fold import fold
 from spanledger.plans.scan import Neighbour, Running, numbered, ordered_scan
 
@@ -318,13 +319,14 @@ def read_schedule(texts: DataFrame, sheets: DataFrame) -> DataFrame:
     c, key = F.col, "drawing_id"
     own = texts.filter(~c("from_block")).select(key, "text", "x", "y", "ord")
     frame = sheets.select(key, "xmin", "xmax", (c("ymax") - c("ymin")).alias("dh"))
-    cells = text_rows(own, sheets, key)
+    # Each stage feeds several later ones, so it is written once.
+    cells = durable(text_rows(own, sheets, key))
     lines = row_texts(cells, [key])
     near = row_texts(cells.join(frame, key).filter(c("x") >= c("xmin") + 0.30 * (c("xmax") - c("xmin"))), [key])
     head = header_row(near, lines, [key], "row").filter("header_row IS NOT NULL")
     head_y = cells.join(head, key).filter("row = header_row").groupBy(key, "header_row").agg(F.max("row_y").alias("head_y"))
     band = cells.join(head_y, key).join(frame.select(key, "dh"), key).filter(F.abs(c("row_y") - c("head_y")) < c("dh") * HEADER_BAND)
-    columns = header_columns(band.select(key, "text", "x", "ord"), key)
+    columns = durable(header_columns(band.select(key, "text", "x", "ord"), key))
     mark_x = columns.filter("field = 'bar_mark'").select(key, c("col_x").alias("mark_x"))
     reinf_x = columns.filter("field = 'reinforcement'").select(key, c("col_x").alias("reinf_x"))
     span = columns.groupBy(key).agg(F.when(F.count(F.lit(1)) > 1, F.max("col_x") - F.min("col_x")).otherwise(100.0).alias("span"))
@@ -332,7 +334,7 @@ def read_schedule(texts: DataFrame, sheets: DataFrame) -> DataFrame:
     data = lines.join(head, key).filter("row > header_row").withColumn("r", c("row") - c("header_row") - 1)
     data = truncate_at_first(data, [key], "r", c("row_text").rlike(r"(?i)\bTABLE-1\b|\bTABLE\s+1\b|\bNOTES\s*:"))
     sizes = data.groupBy(key).agg((F.max("r") + 1).alias("n_rows"))
-    data = data.withColumn("header", section_header(c("row_text")))
+    data = durable(data.withColumn("header", section_header(c("row_text"))))
     carried = ordered_scan(data, [key], ["r"], {"comp": Running("last", "header")})
     headed = data.filter("header IS NOT NULL").select(key).distinct().withColumn("headed", F.lit(True))
 
@@ -350,15 +352,17 @@ def read_schedule(texts: DataFrame, sheets: DataFrame) -> DataFrame:
     # A mark seen again belongs to a second block and does not count twice.
     firsts = ranges.groupBy(key, "component", "bar_mark").agg(F.min("r").alias("r"))
     ranges = ranges.join(firsts, [key, "component", "bar_mark", "r"], "left_semi").select(key, "component", "bar_mark", c("r").alias("mark_row"), "row_start", "row_end", "shift")
+    ranges = durable(ranges)
 
     # A row lies in one mark's range only: the mark is carried down from its first row.
     rows = data.select(key, "r")
     starts = ranges.select(key, c("row_start").alias("r"), F.struct("component", "bar_mark", "mark_row", "row_end", "shift").alias("m"))
     owner = ordered_scan(rows.join(starts, [key, "r"], "left"), [key], ["r"], {"own": Running("last", "m")}).filter("own IS NOT NULL AND r < own.row_end")
     mine = body.join(owner.select(key, "r", "own.component", "own.bar_mark", "own.mark_row", "own.shift"), [key, "r"])
+    mine = durable(mine)
     placed = assign_columns(mine, columns, key, c("shift"))
     anchors = placed.filter((c("field") == "total_length_m") & N.safe_float(c("text")).isNotNull())
-    zones = zone_ranges(anchors, ranges, [key, "component", "bar_mark"], "r")
+    zones = durable(zone_ranges(anchors, ranges, [key, "component", "bar_mark"], "r"))
     bar = [key, "component", "bar_mark"]
     zoned = lambda df: df.join(zones.select(*bar, "zone_ord", "zone_start", "zone_end"), bar).filter((c("r") >= c("zone_start")) & (c("r") < c("zone_end")))
     zone = [*bar, "mark_row", "zone_ord"]

@@ -23,7 +23,7 @@ def sheet_texts():
 
     put(900, (4000, "BAR MARK"), (5000, "REINFORCEMENT"), (5600, "DIA"), (6200, "NOS"), (6800, "LENGTH OF BAR"), (7400, "TOTAL LENGTH"), (8000, "UNIT WT"), (8600, "TOTAL WT"))
     put(860, (4000, "PILECAP"))
-    put(820, (4000, "a"), (4400, "850"), (4700, "12,000"), (5000, "25Φ – 42 NOS."), (5600, "25"), (6200, "42"), (6800, "13.425"), (7400, "563.85"), (8000, "3.857"), (8600, "2,174.77"))
+    put(820, (4000, "a"), (4150, "850"), (4400, "12,000"), (5000, "25Φ – 42 NOS."), (5600, "25"), (6200, "42"), (6800, "13.425"), (7400, "563.85"), (8000, "3.857"), (8600, "2,174.77"))
     put(780, (4000, "PILE (SCHEDULE PER PILE)"))
     put(740, (4000, "y"), (5600, "16Ø"), (6200, "21x4"), (6800, "2.0"), (7400, "168"), (8000, "1.578"), (8600, "265"))
     put(700, (5600, "16Ø"), (6200, "10"), (6800, "2.0"), (7400, "20"), (8000, "1.578"), (8600, "31"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanledger.llm.leaks import find_cases
+from spanledger.llm.passages import without_repeats
 from spanledger.llm.quality import judge_messages
 from spanledger.session import tune
 
@@ -35,3 +37,18 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    cases = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = find_cases(messages_of(spark, folder), cases, case_id="item_id", message="text")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
+@query
+def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    left = without_repeats(messages_of(spark, folder))
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.llm.leaks import find_cases
+from spanledger.llm.packing import pack_messages
 from spanledger.llm.passages import without_repeats
 from spanledger.llm.quality import judge_messages
 from spanledger.session import tune
@@ -39,6 +41,12 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_messages(messages_of(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     cases = spark.read.parquet(f"{folder}/benchmark.parquet")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.llm.leaks import find_cases
+from spanledger.llm.near_copies import near_copies
 from spanledger.llm.packing import pack_messages
 from spanledger.llm.passages import without_repeats
 from spanledger.llm.quality import judge_messages
@@ -47,6 +48,12 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_copies(messages_of(spark, folder), words=4, percent=80)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     cases = spark.read.parquet(f"{folder}/benchmark.parquet")

@@ -4,7 +4,7 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a mes
 with a smaller id. All strings of that length are compared, as follows.
 
 1. Every window of ``LENGTH`` bytes belongs to the block of its smallest hashed
-   16-byte gram. Neighbouring windows mostly share it, so a run of windows travels as
+   12-byte gram. Neighbouring windows mostly share it, so a run of windows travels as
    one piece of text, and equal windows always meet in one block.
 2. Pieces that are equal within a batch of messages are settled at once: all but the
    one with the smallest id are repeated whole and only their place travels on. So a
@@ -15,8 +15,8 @@ with a smaller id. All strings of that length are compared, as follows.
    hashes, for their common extension. Neighbours with a common extension of
    ``LENGTH`` bytes form a class; its smallest id keeps the string. Equal hashes are
    verified by comparing bytes.
-4. The repeated ranges go back to their messages as packed arrays, are merged there
-   and joined to the text.
+4. Ranges and texts meet by message, both packed and compressed by the batch, and the
+   ranges are merged and cut out there.
 """
 
 from __future__ import annotations
@@ -33,13 +33,19 @@ from pyspark.sql import functions as F
 from spanledger.llm.rows import text_key, texts
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 #: Bytes of text that one batch settles among itself, and that are hashed at a time.
 BATCH, STEP = 8 << 20, 1 << 20
-#: Bytes of text for each block; a block holds about four times as many.
-BLOCK_TEXT = 4 << 20
+#: Bytes of text for each block, which holds more than three times as many, and the
+#: parts of a block that are sorted one after another.
+BLOCK_TEXT, PARTS = 16 << 20, 6
 
 PACKED = "block int, kind int, n int, body binary"
+PACKED_COLUMNS = ["block", "kind", "n", "body"]
+LEFT = (
+    "id long, content string, spans array<array<long>>, n_bytes long, n_removed long, n_spans long, "
+    "kept_sha256 string"
+)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _VALUES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,7 +121,7 @@ def window_runs(data: np.ndarray, first: np.ndarray, size: np.ndarray, length: i
         g = part.astype(np.uint64)
         for width in (1, 2, 4):
             g = g[:-width] | (g[width:] << np.uint64(8 * width))
-        h = mixed(g[:-8] * np.uint64(0xD6E8FEB86659FD93) + mixed(g[8:]))
+        h = mixed(g[: 8 - GRAM] * np.uint64(0xD6E8FEB86659FD93) + mixed(g[GRAM - 8 :]))
         step = 1
         while step * 2 <= w:
             h = np.minimum(h[:-step], h[step:])
@@ -158,27 +164,26 @@ def settle(data, at, size, digest, ids):
     return lead, ids > ids[lead]
 
 
-def packed(block: int, kind: int, arrays: list[np.ndarray], data: bytes = b"") -> tuple:
-    body = b"".join(x.tobytes() for x in arrays) + data
-    return block, kind, len(arrays[0]), zstandard.ZstdCompressor(level=1).compress(body)
+#: Kinds of packed rows: pieces of text to compare, repeated ranges, whole texts.
+PIECE, RANGE, TEXT = 0, 1, 2
+ARRAYS = (np.int64, np.uint32, np.uint32, np.int32, np.uint8)
+
+
+def packed(block: int, kind: int, arrays, data: bytes = b"") -> tuple:
+    """A row of ids, keys, starts, sizes and marks, and the text behind them."""
+    body = b"".join(x.astype(k).tobytes() for x, k in zip(arrays, ARRAYS, strict=True)) + data
+    return block, kind, len(arrays[0]), zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def unpacked(n: int, body: bytes) -> tuple[list[np.ndarray], bytes]:
-    """ids, keys, starts and sizes of ``n`` ranges, and the text behind them."""
     body = zstandard.ZstdDecompressor().decompress(body)
     out, at = [], 0
-    for kind in (np.int64, np.uint32, np.uint32, np.uint32):
-        width = np.dtype(kind).itemsize * n
+    for kind in ARRAYS:
         out.append(np.frombuffer(body, kind, n, at).astype(np.int64))
-        at += width
+        at += np.dtype(kind).itemsize * n
     return out, body[at:]
 
 
-def _ranges(ids, keys, starts, sizes) -> list[np.ndarray]:
-    kinds = (np.int64, np.uint32, np.uint32, np.uint32)
-    return [x.astype(k) for x, k in zip((ids, keys, starts, sizes), kinds, strict=True)]
-
-
 def stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of the runs of equal values."""
     if len(values):
@@ -191,12 +196,12 @@ def _shelves(ids: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _by_shelf(ids, keys, starts, sizes, blocks: int) -> Iterator[tuple]:
-    """Settled ranges packed by the shelf of their message."""
+    """Repeated ranges packed by the shelf of their message."""
     shelf = _shelves(ids, blocks)
     order = np.lexsort((starts, ids, shelf))
     for a, b in stretches(shelf[order]):
-        pick = order[a:b]
-        yield packed(int(shelf[pick[0]]), 1, _ranges(ids[pick], keys[pick], starts[pick], sizes[pick]))
+        p = order[a:b]
+        yield packed(int(shelf[p[0]]), RANGE, (ids[p], keys[p], starts[p], sizes[p], np.zeros(len(p))))
 
 
 def _joined(starts: np.ndarray, sizes: np.ndarray, owner: np.ndarray):
@@ -232,14 +237,16 @@ def _cut(frames: Iterator[pd.DataFrame], length: int, blocks: int) -> Iterator[p
         start, wide, who = _joined(at[s] - first[owner[s]], width[s], owner[s])
         yield from _by_shelf(id_of[who], key_of[who], start, wide, blocks)
         rest = np.flatnonzero(~settled)
-        block = (mixed(gram[rest]) % np.uint64(blocks)).astype(np.int64)
-        order = np.lexsort((gram[rest], block))
-        rest, block = rest[order], block[order]
+        spot = mixed(gram[rest])
+        block = (spot % np.uint64(blocks)).astype(np.int64)
+        part = (spot >> np.uint64(48)) % np.uint64(PARTS)
+        order = np.argsort(block, kind="stable")
+        rest, block, part = rest[order], block[order], part[order]
         for a, b in stretches(block):
-            pick = rest[a:b]
-            who = owner[pick]
-            ranges = _ranges(id_of[who], key_of[who], at[pick] - first[who], width[pick])
-            yield packed(int(block[a]), 0, ranges, data[spread_index(at[pick], width[pick])].tobytes())
+            p = rest[a:b]
+            who = owner[p]
+            arrays = (id_of[who], key_of[who], at[p] - first[who], width[p], part[a:b])
+            yield packed(int(block[a]), PIECE, arrays, data[spread_index(at[p], width[p])].tobytes())
 
     for frame in frames:
         ids, keys, held, total = [], [], [], 0
@@ -250,10 +257,10 @@ def _cut(frames: Iterator[pd.DataFrame], length: int, blocks: int) -> Iterator[p
             held.append(body)
             total += len(body)
             if total >= BATCH:
-                yield pd.DataFrame(batch(ids, keys, held), columns=["block", "kind", "n", "body"])
+                yield pd.DataFrame(batch(ids, keys, held), columns=PACKED_COLUMNS)
                 ids, keys, held, total = [], [], [], 0
         if held:
-            yield pd.DataFrame(batch(ids, keys, held), columns=["block", "kind", "n", "body"])
+            yield pd.DataFrame(batch(ids, keys, held), columns=PACKED_COLUMNS)
 
 
 class SuffixOrder:
@@ -358,91 +365,96 @@ def repeated_windows(data, at, ids, length: int, hashes: PrefixHashes) -> np.nda
 
 def _resolve(frame: pd.DataFrame, length: int, blocks: int) -> pd.DataFrame:
     """The repeated ranges of one block's pieces, packed by message."""
-    rows = [tuple(x) for x in frame[frame["kind"] == 1][["block", "kind", "n", "body"]].itertuples(index=False)]
-    pieces = [unpacked(n, body) for n, body in frame.loc[frame["kind"] == 0, ["n", "body"]].itertuples(index=False)]
-    if pieces:
-        ids, keys, starts, sizes = (np.concatenate(x) for x in zip(*[p[0] for p in pieces], strict=True))
-        data = np.frombuffer(b"".join(p[1] for p in pieces), np.uint8)
-        del pieces
-        at = np.cumsum(sizes) - sizes
-        hashes = PrefixHashes(data)
-        digest = mixed(hashes.of(at, sizes) + sizes.astype(np.uint64))
-        lead, settled = settle(data, at, sizes, digest, ids)
-        reps = np.flatnonzero(lead == np.arange(len(lead)))
-        windows = sizes[reps] - length + 1
-        flags = np.zeros(len(data), bool)
-        where = spread_index(at[reps], windows)
-        flags[where] = repeated_windows(data, where, np.repeat(ids[reps], windows), length, hashes)
-        # Pieces that are equal to a representative of their own message share its flags.
-        same = np.flatnonzero((lead != np.arange(len(lead))) & ~settled)
-        if len(same):
-            wide = sizes[same] - length + 1
-            flags[spread_index(at[same], wide)] = flags[spread_index(at[lead[same]], wide)]
-        s = np.flatnonzero(settled)
-        flags[spread_index(at[s], sizes[s] - length + 1)] = True
-        hit = np.flatnonzero(flags)
-        piece = np.searchsorted(at, hit, "right") - 1
-        new = np.ones(len(hit), bool)
-        new[1:] = (np.diff(hit) > 1) | (np.diff(piece) > 0)
-        begin = np.flatnonzero(new)
-        runs = np.diff(np.append(begin, len(hit)))
-        who = piece[begin]
-        begin = starts[who] + hit[begin] - at[who]
-        rows += _by_shelf(ids[who], keys[who], begin, runs + length - 1, blocks)
-    return pd.DataFrame(rows, columns=["block", "kind", "n", "body"])
+    is_piece = frame["kind"] == PIECE
+    rows = [tuple(x) for x in frame.loc[~is_piece, PACKED_COLUMNS].itertuples(index=False)]
+    held = [unpacked(n, body) for n, body in frame.loc[is_piece, ["n", "body"]].itertuples(index=False)]
+    for part in range(PARTS if held else 0):
+        arrays, texts_ = [], []
+        for (*ranges, mark), body in held:
+            pick = mark == part
+            at, size = (np.cumsum(ranges[3]) - ranges[3])[pick], ranges[3][pick]
+            arrays.append([x[pick] for x in ranges])
+            texts_.append(np.frombuffer(body, np.uint8)[spread_index(at, size)])
+        ids, keys, starts, sizes = (np.concatenate(x) for x in zip(*arrays, strict=True))
+        if len(ids):
+            who, begin, wide = _repeats(np.concatenate(texts_), ids, sizes, length)
+            rows += _by_shelf(ids[who], keys[who], starts[who] + begin, wide, blocks)
+    return pd.DataFrame(rows, columns=PACKED_COLUMNS)
+
+
+def _repeats(data, ids, sizes, length: int):
+    """Repeated ranges of the pieces in ``data``: piece, start in it, size."""
+    at = np.cumsum(sizes) - sizes
+    hashes = PrefixHashes(data)
+    digest = mixed(hashes.of(at, sizes) + sizes.astype(np.uint64))
+    lead, settled = settle(data, at, sizes, digest, ids)
+    own = lead == np.arange(len(lead))
+    reps, windows = np.flatnonzero(own), sizes - length + 1
+    flags = np.zeros(len(data), bool)
+    where = spread_index(at[reps], windows[reps])
+    flags[where] = repeated_windows(data, where, np.repeat(ids[reps], windows[reps]), length, hashes)
+    # Pieces that are equal to a representative of their own message share its flags.
+    same = np.flatnonzero(~own & ~settled)
+    flags[spread_index(at[same], windows[same])] = flags[spread_index(at[lead[same]], windows[same])]
+    s = np.flatnonzero(settled)
+    flags[spread_index(at[s], windows[s])] = True
+    hit = np.flatnonzero(flags)
+    piece = np.searchsorted(at, hit, "right") - 1
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) > 1) | (np.diff(piece) > 0)
+    begin = np.flatnonzero(new)
+    runs = np.diff(np.append(begin, len(hit)))
+    who = piece[begin]
+    return who, hit[begin] - at[who], runs + length - 1
+
+
+def _shelve(frames: Iterator[pd.DataFrame], blocks: int) -> Iterator[pd.DataFrame]:
+    """Whole texts packed by the shelf of their message; mark 1: no id, 2: no text."""
+    for frame in frames:
+        no_id, no_text = frame["id"].isna().to_numpy(), frame["content"].isna().to_numpy()
+        ids = frame["id"].fillna(0).to_numpy(np.int64)
+        bodies = [(x or "").encode("utf-8", "surrogatepass") for x in frame["content"]]
+        size = np.array([len(x) for x in bodies], np.int64)
+        # Rows without id are dealt out by their place.
+        shelf = _shelves(np.where(no_id, np.arange(len(ids)), ids), blocks)
+        order, keys = np.argsort(shelf, kind="stable"), frame["key"].to_numpy(np.int64)
+        rows = []
+        for a, b in stretches(shelf[order]):
+            p = order[a:b]
+            arrays = (ids[p], keys[p], np.zeros(len(p)), size[p], no_id[p] + 2 * no_text[p])
+            rows.append(packed(int(shelf[p[0]]), TEXT, arrays, b"".join(bodies[k] for k in p)))
+        yield pd.DataFrame(rows, columns=PACKED_COLUMNS)
 
 
 def _gather(frame: pd.DataFrame) -> pd.DataFrame:
-    """The merged ranges of each message of one shelf."""
-    found = [unpacked(n, body)[0] for n, body in frame[["n", "body"]].itertuples(index=False)]
-    ids, keys, starts, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((starts, keys, ids))
-    ids, keys, starts, sizes = ids[order], keys[order], starts[order], sizes[order]
-    new = (np.diff(ids, prepend=ids[0] - 1) != 0) | (np.diff(keys, prepend=keys[0]) != 0)
-    owner = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    starts, sizes, owner = _joined(starts, sizes, owner)
-    spans = np.stack([starts, starts + sizes], 1).astype(np.int64)
-    edges = np.searchsorted(owner, np.arange(len(head) + 1))
-    body = [spans[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pd.DataFrame({"id": ids[head], "key": keys[head], "spans": body})
-
-
-def _without(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for item, text, spans in zip(frame["id"], frame["content"], frame["spans"], strict=True):
-            body = (text or "").encode("utf-8", "surrogatepass")
-            ranges = np.frombuffer(spans or b"", np.int64).reshape(-1, 2).tolist()
-            kept, last = [], 0
-            for a, b in ranges:
-                kept.append(body[last:a])
-                last = b
-            rest = b"".join([*kept, body[last:]])
-            rows.append(
-                (item, text if not ranges else rest.decode("utf-8", "ignore"), [list(x) for x in ranges],
-                 len(body), len(body) - len(rest), len(ranges), hashlib.sha256(rest).hexdigest())
-            )
-        out = pd.DataFrame(
-            rows, columns=["id", "content", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        )
-        out["id"] = out["id"].astype("Int64")
-        yield out
-
-
-def repeated_spans(
-    messages: DataFrame, id_column: str = "id", content: str = "content", length: int = LENGTH
-) -> DataFrame:
-    """id, key and spans (packed pairs of long: start and end) of messages with repeats."""
-    docs = texts(messages, id_column, content).withColumn("key", _key())
-    docs = docs.where(F.col("id").isNotNull() & (F.octet_length("content") >= length))
-    total = docs.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    blocks = max(16, int(total // BLOCK_TEXT) + 1)
-    # fmt: off
-    pieces = docs.mapInPandas(lambda frames: _cut(frames, length, blocks), PACKED)
-    ranges = pieces.groupBy("block").applyInPandas(lambda frame: _resolve(frame, length, blocks), PACKED)
-    # fmt: on
-    return ranges.groupBy("block").applyInPandas(_gather, "id long, key long, spans binary")
+    """The messages of one shelf without their repeated ranges."""
+    spans: dict[tuple[int, int], list[list[int]]] = {}
+    ranges = frame.loc[frame["kind"] == RANGE, ["n", "body"]]
+    if len(ranges):
+        found = [unpacked(n, body)[0] for n, body in ranges.itertuples(index=False)]
+        ids, keys, starts, sizes, _ = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((starts, keys, ids))
+        ids, keys, starts, sizes = ids[order], keys[order], starts[order], sizes[order]
+        new = (np.diff(ids, prepend=ids[0] - 1) != 0) | (np.diff(keys, prepend=keys[0]) != 0)
+        head = np.flatnonzero(new)
+        starts, sizes, owner = _joined(starts, sizes, np.cumsum(new) - 1)
+        for a, size, k in zip(starts.tolist(), sizes.tolist(), head[owner].tolist(), strict=True):
+            spans.setdefault((int(ids[k]), int(keys[k])), []).append([a, a + size])
+    rows = []
+    for n, body in frame.loc[frame["kind"] == TEXT, ["n", "body"]].itertuples(index=False):
+        (ids, keys, _, sizes, marks), text = unpacked(n, body)
+        at = 0
+        for item, key, size, mark in zip(ids.tolist(), keys.tolist(), sizes.tolist(), marks.tolist(), strict=True):
+            whole, at = text[at : at + size], at + size
+            cut = [] if mark & 1 else spans.get((item, key), [])
+            edges = [0, *(x for pair in cut for x in pair), size]
+            rest = b"".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else whole
+            left = None if mark & 2 else rest.decode("utf-8", "ignore" if cut else "surrogatepass")
+            digest = hashlib.sha256(rest).hexdigest()
+            rows.append((None if mark & 1 else item, left, cut, size, size - len(rest), len(cut), digest))
+    out = pd.DataFrame(rows, columns=["id", "content", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    out["id"] = out["id"].astype("Int64")
+    return out
 
 
 def _key():
@@ -454,8 +466,8 @@ def without_repeats(
 ) -> DataFrame:
     """Each message without the bytes that a message with a smaller id has already.
 
-    Removed is every byte covered by a string of ``length`` (32 or more) UTF-8 bytes that also
-    starts in a message with a smaller id; strings may overlap, never cross messages
+    Removed is every byte covered by a string of ``length`` (24 or more) UTF-8 bytes that
+    also starts in a message with a smaller id; strings may overlap, never cross messages
     and are judged on the input. Returns id, content (what is left; of a character
     that is cut, nothing stays), spans (start and end in bytes), n_bytes, n_removed,
     n_spans and kept_sha256 (of the bytes left).
@@ -467,7 +479,12 @@ def without_repeats(
     if length < 2 * GRAM:
         raise ValueError("length must be at least twice the gram")
     docs = texts(messages, id_column, content).withColumn("key", _key())
-    spans = repeated_spans(messages, id_column, content, length)
-    joined = docs.join(spans, ["id", "key"], "left").select("id", "content", "spans")
-    out = "id long, content string, spans array<array<long>>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInPandas(_without, out)
+    total = docs.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    blocks = max(16, int(total // BLOCK_TEXT) + 1)
+    long_enough = docs.where(F.col("id").isNotNull() & (F.octet_length("content") >= length))
+    # fmt: off
+    pieces = long_enough.mapInPandas(lambda frames: _cut(frames, length, blocks), PACKED)
+    ranges = pieces.groupBy("block").applyInPandas(lambda frame: _resolve(frame, length, blocks), PACKED)
+    shelved = docs.mapInPandas(lambda frames: _shelve(frames, blocks), PACKED)
+    # fmt: on
+    return ranges.unionByName(shelved).groupBy("block").applyInPandas(_gather, LEFT)

@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanledger.llm.language import identify_language, learn_languages
 from spanledger.llm.leaks import find_cases
 from spanledger.llm.near_copies import near_copies
 from spanledger.llm.packing import pack_messages
 from spanledger.llm.passages import without_repeats
 from spanledger.llm.quality import judge_messages
+from spanledger.llm.toxicity import tag_messages, train_tagger
 from spanledger.session import tune
 
 QUERIES: dict = {}
@@ -54,6 +56,28 @@ def op3_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def fold(of: int):
+    """Remainder of crc32 of the id, written as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    messages = messages_of(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(fold(3) != 1)
+    tagger = train_tagger(messages, labels.select(F.col("doc_id").alias("id"), "toxic"))
+    tagged = tag_messages(messages, tagger).withColumnRenamed("id", "doc_id")
+    return tagged.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted", "spans")
+
+
+@query
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    known = spark.read.parquet(f"{folder}/documents.parquet").where(fold(4) != 2)
+    filters = learn_languages(known, "doc_id", "text", "lang")
+    found = identify_language(messages_of(spark, folder), filters).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), "score")
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     cases = spark.read.parquet(f"{folder}/benchmark.parquet")

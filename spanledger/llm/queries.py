@@ -10,9 +10,11 @@ from spanledger.llm.language import identify_language, learn_languages
 from spanledger.llm.leaks import find_cases
 from spanledger.llm.near_copies import near_copies
 from spanledger.llm.packing import pack_messages
+from spanledger.llm.page_text import page_texts
 from spanledger.llm.passages import without_repeats
 from spanledger.llm.quality import judge_messages
 from spanledger.llm.toxicity import tag_messages, train_tagger
+from spanledger.llm.warc import archive_pages
 from spanledger.session import tune
 
 QUERIES: dict = {}
@@ -78,6 +80,20 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), "score")
 
 
+@query
+def op6_archives(spark: SparkSession, folder: str) -> DataFrame:
+    found = archive_pages(spark.read.parquet(f"{folder}/pages.parquet"))
+    return found.select(
+        F.col("metadata.page_id").alias("page_id"), "response.payload_bytes", "response.payload_digest",
+        "response.record_type", F.col("refers_to_page").alias("refers_to"),
+    )
+
+
+@query
+def op8_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_texts(spark.read.parquet(f"{folder}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     cases = spark.read.parquet(f"{folder}/benchmark.parquet")

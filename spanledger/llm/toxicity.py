@@ -10,9 +10,10 @@ offending places, and a logistic layer turns them into a score of the message.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ THRESHOLD = 0.7
 #: Tokens of a training piece, rounds of fitting, and step size.
 PIECE, ROUNDS, RATE = 64, 40, 0.5
 #: A word part labels tokens if so many toxic messages hold it, and this much more often.
-MIN_MESSAGES, MIN_ODDS = 5, 20.0
+MIN_MESSAGES, MIN_ODDS = 3, 20.0
 
 OUT = "id long, score double, spans array<struct<start:long,stop:long,probability:double>>"
 _WORD = re.compile(r"\w+")
@@ -113,11 +114,21 @@ def fit(messages: list[str], toxic: list[int]) -> Tagger:
     ids = [np.array([kinds.setdefault(w.lower(), len(kinds)) for w in x], np.int64) for x in tokens]
     names: dict[str, int] = {}
     features = [[names.setdefault(p, len(names)) for p in parts(w)] for w in kinds]
-    in_toxic, in_clean = Counter(), Counter()
+    # Near copies mostly agree in their smallest word hash, and count once.
+    hashes = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in kinds])
+    in_toxic, in_clean, groups = defaultdict(set), Counter(), set()
     for x, flag in zip(ids, flags, strict=True):
-        seen = {f for k in np.unique(x) for f in features[k]}
-        (in_toxic if flag else in_clean).update(seen)
-    n_toxic, n_clean = flags.sum(), (1 - flags).sum()
+        words = np.unique(x)
+        group = int(hashes[words].min()) if len(words) else -1
+        seen = {f for k in words for f in features[k]}
+        if flag:
+            groups.add(group)
+            for f in seen:
+                in_toxic[f].add(group)
+        else:
+            in_clean.update(seen)
+    in_toxic = {f: len(found) for f, found in in_toxic.items()}
+    n_toxic, n_clean = len(groups), (1 - flags).sum()
     telling = {
         f for f, n in in_toxic.items()
         if n >= MIN_MESSAGES and n / n_toxic >= MIN_ODDS * (in_clean[f] + 0.5) / n_clean

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.llm.language import identify_language, learn_languages
+from spanledger.llm import licences
 from spanledger.llm.leaks import find_cases
 from spanledger.llm.near_copies import near_copies
 from spanledger.llm.packing import pack_messages
@@ -89,6 +90,17 @@ def op6_archives(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.licence_findings(messages_of(spark, folder))
+    return found.select(
+        F.col("id").alias("doc_id"), *[F.array_join(x, ",").alias(x) for x in ("sentences", "licences", "unclaimed")]
+    )
+
+
+ORACLES["op7_licences"] = licences.oracle()
+
+
 @query
 def op8_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_texts(spark.read.parquet(f"{folder}/pages.parquet")).select("page_id", "url", "text", "n_chars")

@@ -171,8 +171,9 @@ def _confirm(frames: Iterator[pd.DataFrame], words: int, percent: int) -> Iterat
 
 def confirmed(pairs: DataFrame, sources: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` whose full sets share at least ``percent`` of their union."""
-    a = sources.select(F.col("id").alias("a"), F.col("content").alias("text_a"))
-    b = sources.select(F.col("id").alias("b"), F.col("content").alias("text_b"))
+    # Texts meet pairs by a shuffle at every size; neither side has a size bound.
+    a = sources.select(F.col("id").alias("a"), F.col("content").alias("text_a")).hint("merge")
+    b = sources.select(F.col("id").alias("b"), F.col("content").alias("text_b")).hint("merge")
     both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     return both.mapInPandas(lambda frames: _confirm(frames, words, percent), "a long, b long")
 
@@ -207,7 +208,7 @@ def near_copies(
         "distinct-sets",
     )
     pairs = stored(candidates(sets, percent), "set-pairs")
-    nodes = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct()
+    nodes = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct().hint("merge")
     sources = stored(docs.join(nodes, docs["id"] == nodes["a"], "left_semi").dropDuplicates(["id"]), "pair-texts")
 
     # The best partner of each set first, then what still crosses components.

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.rows import text_key, texts
+from spanledger.llm.rows import text_key
 
 LENGTH = 50
 GRAM = 12
@@ -44,7 +44,7 @@ PACKED = "block int, kind int, n int, body binary"
 PACKED_COLUMNS = ["block", "kind", "n", "body"]
 LEFT = (
     "id long, content string, spans array<array<long>>, n_bytes long, n_removed long, n_spans long, "
-    "kept_sha256 string"
+    "kept_sha256 string, others string"
 )
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -409,20 +409,25 @@ def _repeats(data, ids, sizes, length: int):
 
 
 def _shelve(frames: Iterator[pd.DataFrame], blocks: int) -> Iterator[pd.DataFrame]:
-    """Whole texts packed by the shelf of their message; mark 1: no id, 2: no text."""
+    """Whole texts and other columns packed by the shelf of their message.
+
+    The starts hold the bytes of the other columns; mark 1: no id, 2: no text.
+    """
     for frame in frames:
         no_id, no_text = frame["id"].isna().to_numpy(), frame["content"].isna().to_numpy()
         ids = frame["id"].fillna(0).to_numpy(np.int64)
         bodies = [(x or "").encode("utf-8", "surrogatepass") for x in frame["content"]]
+        others = [x.encode() for x in frame["others"]]
         size = np.array([len(x) for x in bodies], np.int64)
+        extra = np.array([len(x) for x in others], np.int64)
         # Rows without id are dealt out by their place.
         shelf = _shelves(np.where(no_id, np.arange(len(ids)), ids), blocks)
         order, keys = np.argsort(shelf, kind="stable"), frame["key"].to_numpy(np.int64)
         rows = []
         for a, b in stretches(shelf[order]):
             p = order[a:b]
-            arrays = (ids[p], keys[p], np.zeros(len(p)), size[p], no_id[p] + 2 * no_text[p])
-            rows.append(packed(int(shelf[p[0]]), TEXT, arrays, b"".join(bodies[k] for k in p)))
+            arrays = (ids[p], keys[p], extra[p], size[p], no_id[p] + 2 * no_text[p])
+            rows.append(packed(int(shelf[p[0]]), TEXT, arrays, b"".join(bodies[k] + others[k] for k in p)))
         yield pd.DataFrame(rows, columns=PACKED_COLUMNS)
 
 
@@ -442,17 +447,18 @@ def _gather(frame: pd.DataFrame) -> pd.DataFrame:
             spans.setdefault((int(ids[k]), int(keys[k])), []).append([a, a + size])
     rows = []
     for n, body in frame.loc[frame["kind"] == TEXT, ["n", "body"]].itertuples(index=False):
-        (ids, keys, _, sizes, marks), text = unpacked(n, body)
+        arrays, text = unpacked(n, body)
         at = 0
-        for item, key, size, mark in zip(ids.tolist(), keys.tolist(), sizes.tolist(), marks.tolist(), strict=True):
-            whole, at = text[at : at + size], at + size
+        for item, key, extra, size, mark in zip(*[x.tolist() for x in arrays], strict=True):
+            whole, others = text[at : at + size], text[at + size : at + size + extra]
+            at += size + extra
             cut = [] if mark & 1 else spans.get((item, key), [])
             edges = [0, *(x for pair in cut for x in pair), size]
             rest = b"".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else whole
             left = None if mark & 2 else rest.decode("utf-8", "ignore" if cut else "surrogatepass")
             digest = hashlib.sha256(rest).hexdigest()
-            rows.append((None if mark & 1 else item, left, cut, size, size - len(rest), len(cut), digest))
-    out = pd.DataFrame(rows, columns=["id", "content", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((None if mark & 1 else item, left, cut, size, size - len(rest), len(cut), digest, others.decode()))
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in LEFT.split(", ")])
     out["id"] = out["id"].astype("Int64")
     return out
 
@@ -462,7 +468,11 @@ def _key():
 
 
 def without_repeats(
-    messages: DataFrame, id_column: str = "id", content: str = "content", length: int = LENGTH
+    messages: DataFrame,
+    id_column: str = "id",
+    content: str = "content",
+    length: int = LENGTH,
+    others: list[str] | None = None,
 ) -> DataFrame:
     """Each message without the bytes that a message with a smaller id has already.
 
@@ -470,7 +480,8 @@ def without_repeats(
     also starts in a message with a smaller id; strings may overlap, never cross messages
     and are judged on the input. Returns id, content (what is left; of a character
     that is cut, nothing stays), spans (start and end in bytes), n_bytes, n_removed,
-    n_spans and kept_sha256 (of the bytes left).
+    n_spans, kept_sha256 (of the bytes left) and the struct others of the columns
+    named in ``others``, unchanged.
 
     A null text counts as empty and stays null; a row without id is neither compared
     nor cut; rows that repeat an id are compared with other ids only and keep their
@@ -478,13 +489,22 @@ def without_repeats(
     """
     if length < 2 * GRAM:
         raise ValueError("length must be at least twice the gram")
-    docs = texts(messages, id_column, content).withColumn("key", _key())
+    # One named field keeps the struct from being empty.
+    carried = F.struct(F.lit(0).alias("spanledger_row"), *[messages[c] for c in others or []])
+    docs = messages.select(
+        messages[id_column].cast("long").alias("id"), messages[content].cast("string").alias("content"),
+        carried.alias("carried"),
+    )
+    kind = docs.schema["carried"].dataType
+    docs = docs.withColumn("key", _key()).withColumn("others", F.to_json("carried")).drop("carried")
     total = docs.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     blocks = max(16, int(total // BLOCK_TEXT) + 1)
-    long_enough = docs.where(F.col("id").isNotNull() & (F.octet_length("content") >= length))
+    long_enough = docs.drop("others").where(F.col("id").isNotNull() & (F.octet_length("content") >= length))
     # fmt: off
     pieces = long_enough.mapInPandas(lambda frames: _cut(frames, length, blocks), PACKED)
     ranges = pieces.groupBy("block").applyInPandas(lambda frame: _resolve(frame, length, blocks), PACKED)
     shelved = docs.mapInPandas(lambda frames: _shelve(frames, blocks), PACKED)
     # fmt: on
-    return ranges.unionByName(shelved).groupBy("block").applyInPandas(_gather, LEFT)
+    return ranges.unionByName(shelved).groupBy("block").applyInPandas(_gather, LEFT).withColumn(
+        "others", F.from_json("others", kind).dropFields("spanledger_row") if others else F.lit(None)
+    )

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.rows import BLANKS, stored, texts
+from spanledger.llm.rows import BLANKS, stored, text_key, texts
 
 #: (rule, bad where, good where), over the counts of one text.
 RULES = [
@@ -40,11 +40,11 @@ def text_counts(messages: DataFrame, id_column: str = "id", content: str = "cont
     n_distinct_words, all long. A null text counts as empty; repeated rows stay.
     """
     df = texts(messages, id_column, content).select(
-        "id", F.coalesce("content", F.lit("")).alias("content")
+        "id", text_key(F.col("content")).alias("key"), F.coalesce("content", F.lit("")).alias("content")
     )
     trimmed = F.btrim("content", F.lit(BLANKS))
     df = df.select(
-        "id",
+        "id", "key",
         F.when(trimmed == "", F.array().cast("array<string>"))
         .otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
         .alias("words"),
@@ -54,7 +54,7 @@ def text_counts(messages: DataFrame, id_column: str = "id", content: str = "cont
         F.length(F.regexp_replace("content", r"[^\p{L}\p{N}]+", "")).cast("long").alias("n_letters"),
     )
     df = df.select(
-        "id", "word_chars", "n_symbols", "n_letters",
+        "id", "key", "word_chars", "n_symbols", "n_letters",
         F.size("words").cast("long").alias("n_words"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -164,7 +164,7 @@ def pattern_quality(voted: DataFrame) -> DataFrame:
 def judge_messages(messages: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
     """One verdict for each row of messages.
 
-    Returns id, the counts of ``text_counts``, the vote of each rule, base_failed
+    Returns id, key (stands for the text in joins), the counts of ``text_counts``, the vote of each rule, base_failed
     (fewer than 50 words, or over half of the words repeated), posterior and kept.
     A null or empty text has no words and fails the base; a null id is passed on;
     repeated rows each get the same verdict; an empty table gives no rows.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from corpus_pipeline import ORACLE_SQL, run
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +120,8 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     left = without_repeats(messages_of(spark, folder))
     return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES["pipeline"] = run
+if ORACLE_SQL:
+    ORACLES["pipeline"] = ORACLE_SQL

@@ -1,6 +1,6 @@
 """The language of messages from bit-sliced Bloom filters of character n-grams.
 
-Each language has a Bloom filter of its most frequent n-grams, all of one size. They
+Each language has a Bloom filter of its most frequent n-grams. They
 are stored sliced: a slot holds one bit for each language, so reading a gram's slots
 and joining them by AND gives all languages that contain it at once. For each
 language the hits of a text are counted, freed of the false positives to be expected
@@ -23,6 +23,8 @@ from spanledger.llm.rows import texts
 GRAM = 4
 #: Messages of each language that its filter is fitted on, chosen by a hash of their id.
 SAMPLE = 5000
+#: A language contains a gram if it uses it at least so often as the one that uses it most.
+MIN_RATE = 0.25
 #: Grams of each language, slots of the filters (a power of two), slots of a gram.
 GRAMS, SLOTS, HASHES = 20_000, 1 << 20, 3
 MAX_LANGUAGES = 64
@@ -144,9 +146,13 @@ def learn_languages(
     # At most MAX_LANGUAGES * sample ids.
     picked = rows.join(F.broadcast(chosen.select("id", "language").distinct()), ["id", "language"])
     counted = picked.select("language", "content").mapInPandas(_counted, "language string, gram long, n long")
+    totals = counted.groupBy("language").agg(F.sum("n").alias("total"))
     by_count = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
     top = (
-        counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
+        counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).join(F.broadcast(totals), "language")
+        .withColumn("rate", F.col("n") / F.col("total"))
+        .withColumn("most", F.max("rate").over(Window.partitionBy("gram")))
+        .where(F.col("rate") >= MIN_RATE * F.col("most"))
         .withColumn("k", F.row_number().over(by_count)).where(F.col("k") <= GRAMS)
     )
     found = top.select("language", "gram").toPandas()  # at most MAX_LANGUAGES * GRAMS rows

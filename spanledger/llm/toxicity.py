@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from spanledger.llm.rows import texts
 
 #: Messages of each kind that the field is fitted on, chosen by a hash of their id.
-SAMPLE = 3000
+SAMPLE = 1500
 THRESHOLD = 0.7
 #: Tokens of a training piece, rounds of fitting, and step size.
-PIECE, ROUNDS, RATE = 64, 40, 0.5
-#: A word part labels tokens if so many toxic messages hold it, and this much more often.
-MIN_MESSAGES, MIN_ODDS = 3, 20.0
+PIECE, ROUNDS, RATE = 64, 25, 0.5
+#: A word part labels tokens if toxic messages hold it so much more often, and if among
+#: all parts of the sample less than so many would do so by chance.
+MIN_ODDS, BY_CHANCE = 20.0, 0.01
 
 OUT = "id long, score double, spans array<struct<start:long,stop:long,probability:double>>"
 _WORD = re.compile(r"\w+")
@@ -129,9 +130,10 @@ def fit(messages: list[str], toxic: list[int]) -> Tagger:
             in_clean.update(seen)
     in_toxic = {f: len(found) for f, found in in_toxic.items()}
     n_toxic, n_clean = len(groups), (1 - flags).sum()
+    enough = np.log(len(names) / BY_CHANCE) / np.log(1 + n_clean / n_toxic)
     telling = {
         f for f, n in in_toxic.items()
-        if n >= MIN_MESSAGES and n / n_toxic >= MIN_ODDS * (in_clean[f] + 0.5) / n_clean
+        if n >= enough and n / n_toxic >= MIN_ODDS * (in_clean[f] + 0.5) / n_clean
     }
     offending = np.array([any(f in telling for f in fs) for fs in features], bool)
 

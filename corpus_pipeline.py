@@ -40,9 +40,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies."""
-    found = near_copies(docs, "doc_id", "text").where("kept")
-    kept = found.select(F.col("id").alias("_id")).distinct().hint("merge")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    found = near_copies(docs, "doc_id", "text")
+    return _kept(docs, found.where("kept").select(F.col("id").alias("doc_id"), "key"))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

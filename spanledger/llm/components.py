@@ -22,11 +22,12 @@ def _stars(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """node and component (its smallest member) of every node that has a link.
 
+    Nodes may be of any type that can be ordered.
     Rounds grow with the logarithm of the longest path; each is written to the shared
     folder. Links of a node with itself and repeated links change nothing.
     """
     edges = links.select(
-        F.greatest(left, right).cast("long").alias("u"), F.least(left, right).cast("long").alias("v")
+        F.greatest(left, right).alias("u"), F.least(left, right).alias("v")
     ).where("u > v")
     edges, seen = stored(edges.distinct(), "links"), None
     while True:

@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.llm.components import components
-from spanledger.llm.rows import stored, texts
+from spanledger.llm.rows import stored, text_key, texts
 
 WORDS, SIMILARITY = 5, 80
 TREES, DEPTH, MIN_DEPTH = 24, 8, 3
 #: How many places ahead in each order a set is compared.
 AHEAD = 3
 
-SIGNED = "id long, set_key binary, n_shingles long, signature binary"
-NEAR = "a long, b long, depth int, tree int, branch binary, size long"
+SIGNED = "id long, key long, set_key binary, n_shingles long, signature binary"
+NEAR = "a binary, b binary, depth int, tree int, branch binary, size long"
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MULTIPLY = np.random.default_rng(3).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,16 +85,16 @@ def _sign(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     shingles = Shingles(words)
     for frame in frames:
         rows, signed = [], {}
-        for item, text in zip(frame["id"], frame["content"], strict=True):
+        for item, key, text in zip(frame["id"], frame["key"], frame["content"], strict=True):
             found = shingles.of(text)
             if not len(found):
-                rows.append((item, None, 0, None))
+                rows.append((item, key, None, 0, None))
                 continue
-            key = xxhash.xxh3_128_digest(found.tobytes())
-            if key not in signed:
-                signed[key] = signature(found)
-            rows.append((item, key, len(found), signed[key]))
-        out = pd.DataFrame(rows, columns=["id", "set_key", "n_shingles", "signature"])
+            name = xxhash.xxh3_128_digest(found.tobytes())
+            if name not in signed:
+                signed[name] = signature(found)
+            rows.append((item, key, name, len(found), signed[name]))
+        out = pd.DataFrame(rows, columns=["id", "key", "set_key", "n_shingles", "signature"])
         out["id"] = out["id"].astype("Int64")
         yield out
 
@@ -109,7 +109,7 @@ def _near(frames: Iterator[pd.DataFrame], percent: int, edges: bool) -> Iterator
         new = 0 if carry is None else len(carry)
         carry = frame.tail(AHEAD)
         first = frame.head(AHEAD) if first is None or len(first) < AHEAD else first
-        tree, item, size = (frame[x].to_numpy() for x in ("tree", "id", "size"))
+        tree, item, size = (frame[x].to_numpy() for x in ("tree", "set_key", "size"))
         levels = np.frombuffer(b"".join(frame["branch"]), np.uint16).reshape(-1, DEPTH)
         for step in range(1, AHEAD + 1):
             i = np.arange(max(0, new - step), len(frame) - step)
@@ -117,12 +117,11 @@ def _near(frames: Iterator[pd.DataFrame], percent: int, edges: bool) -> Iterator
             depth = np.logical_and.accumulate(same, axis=1).sum(axis=1)
             small, large = np.minimum(size[i], size[i + step]), np.maximum(size[i], size[i + step])
             ok = (depth >= MIN_DEPTH) & (100 * small >= percent * large)
-            a, b = item[i[ok]], item[i[ok] + step]
-            out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "depth": depth[ok]})
+            out = pd.DataFrame({"a": item[i[ok]], "b": item[i[ok] + step], "depth": depth[ok]})
             out["tree"], out["branch"], out["size"] = None, None, None
             yield out
     if edges and carry is not None:
-        out = pd.concat([first, carry]).rename(columns={"id": "a"})
+        out = pd.concat([first, carry]).rename(columns={"set_key": "a"})
         out["b"], out["depth"] = None, None
         yield out[["a", "b", "depth", "tree", "branch", "size"]]
 
@@ -130,12 +129,12 @@ def _near(frames: Iterator[pd.DataFrame], percent: int, edges: bool) -> Iterator
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of neighbouring sets and score, the levels they share over all orders.
 
-    ``sets`` has id, n_shingles and signature, one row per distinct set. A range
+    ``sets`` has set_key, n_shingles and signature, one row per distinct set. A range
     partition splits even a region that most sets fall into; the few rows at the
     ends of the stretches are then compared once more across the cuts.
     """
     branches = sets.select(
-        "id", F.col("n_shingles").alias("size"),
+        "set_key", F.col("n_shingles").alias("size"),
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(TREES - 1)),
@@ -145,14 +144,15 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
                 ),
             )
         ).alias("t"),
-    ).select(F.col("t.tree").alias("tree"), F.col("t.branch").alias("branch"), "id", "size")
-    order = ["tree", "branch", "id"]
+    ).select(F.col("t.tree").alias("tree"), F.col("t.branch").alias("branch"), "set_key", "size")
+    order = ["tree", "branch", "set_key"]
     ranged = branches.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ranged.mapInPandas(lambda frames: _near(frames, percent, True), NEAR), "near-sets")
-    ends = found.where("b IS NULL").select("tree", "branch", F.col("a").alias("id"), "size")
+    ends = found.where("b IS NULL").select("tree", "branch", F.col("a").alias("set_key"), "size")
     ends = ends.distinct().repartition(1).sortWithinPartitions(*order)  # 2 * AHEAD rows per task
     across = ends.mapInPandas(lambda frames: _near(frames, percent, False), NEAR)
     pairs = found.where("b IS NOT NULL").unionByName(across)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth")
     return pairs.groupBy("a", "b").agg(F.sum("depth").alias("score"))
 
 
@@ -172,10 +172,10 @@ def _confirm(frames: Iterator[pd.DataFrame], words: int, percent: int) -> Iterat
 def confirmed(pairs: DataFrame, sources: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` whose full sets share at least ``percent`` of their union."""
     # Texts meet pairs by a shuffle at every size; neither side has a size bound.
-    a = sources.select(F.col("id").alias("a"), F.col("content").alias("text_a")).hint("merge")
-    b = sources.select(F.col("id").alias("b"), F.col("content").alias("text_b")).hint("merge")
+    a = sources.select(F.col("set_key").alias("a"), F.col("content").alias("text_a")).hint("merge")
+    b = sources.select(F.col("set_key").alias("b"), F.col("content").alias("text_b")).hint("merge")
     both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInPandas(lambda frames: _confirm(frames, words, percent), "a long, b long")
+    return both.mapInPandas(lambda frames: _confirm(frames, words, percent), "a binary, b binary")
 
 
 def near_copies(
@@ -185,35 +185,37 @@ def near_copies(
     words: int = WORDS,
     percent: int = SIMILARITY,
 ) -> DataFrame:
-    """One row for each message: id, n_shingles, component_id and kept.
+    """One row for each message: id, key, n_shingles, component_id and kept.
 
     Words are the runs without blanks of the text, A-Z in lower case; a text of fewer
     than ``words`` words has its whole sequence as the one element of its set. Two
     messages are linked if ``100 * shared >= percent * union``. component_id is the
-    smallest id that links lead to, kept is true for that message.
+    smallest id that links lead to, kept is true for that message. key stands for the
+    text in joins.
 
     A null or empty text has no set and is linked with nothing; a row without id is
-    kept and has no component; rows that repeat an id get the same verdict; an empty
-    table gives no rows.
+    kept and has no component; a row that repeats an id is judged by its own text; an
+    empty table gives no rows.
     """
-    docs = texts(messages, id_column, content)
+    docs = texts(messages, id_column, content).withColumn("key", text_key(F.col("content")))
     signed = stored(docs.mapInPandas(lambda frames: _sign(frames, words), SIGNED), "signatures")
     known = signed.where("id IS NOT NULL AND n_shingles > 0")
     sets = stored(
         known.groupBy("set_key").agg(
-            F.min("id").alias("id"),
+            F.min(F.struct("id", "key")).alias("first"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"),
         ),
         "distinct-sets",
     )
     pairs = stored(candidates(sets, percent), "set-pairs")
-    nodes = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct().hint("merge")
-    sources = stored(docs.join(nodes, docs["id"] == nodes["a"], "left_semi").dropDuplicates(["id"]), "pair-texts")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(sets, "set_key")
+    nodes = nodes.select("set_key", "first.id", "first.key").hint("merge")
+    sources = stored(docs.join(nodes, ["id", "key"]).select("set_key", "content").dropDuplicates(["set_key"]), "pair-texts")
 
     # The best partner of each set first, then what still crosses components.
     ends = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("node"))
-    best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("score", -F.col("a"), -F.col("b"))).alias("p"))
+    best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p"))
     best = stored(best.select("p.a", "p.b").distinct(), "best-pairs")
     links = stored(confirmed(best, sources, words, percent), "set-links")
     joined = stored(components(links), "set-components")
@@ -225,11 +227,13 @@ def near_copies(
     links = links.unionByName(confirmed(rest, sources, words, percent))
     joined = stored(components(links), "set-components")
 
-    least = sets.join(joined, sets["id"] == joined["node"], "left").select(
-        "set_key", F.coalesce("component", "id").alias("component")
+    members = sets.join(joined, sets["set_key"] == joined["node"], "left").select(
+        "set_key", F.col("first.id").alias("own"), F.coalesce("component", "set_key").alias("component")
     )
+    least = members.groupBy("component").agg(F.min("own").alias("component_id"))
+    least = members.join(least, "component").select("set_key", "component_id")
     out = signed.join(least, "set_key", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select("id", "n_shingles", own.alias("component_id")).withColumn(
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select("id", "key", "n_shingles", own.alias("component_id")).withColumn(
         "kept", F.col("id").isNull() | (F.col("id") == F.col("component_id"))
     )

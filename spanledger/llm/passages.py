@@ -38,7 +38,7 @@ GRAM = 12
 BATCH, STEP = 8 << 20, 1 << 20
 #: Bytes of text for each block, which holds more than three times as many, and the
 #: parts of a block that are sorted one after another.
-BLOCK_TEXT, PARTS = 16 << 20, 6
+BLOCK_TEXT, PARTS = 16 << 20, 24
 
 PACKED = "block int, kind int, n int, body binary"
 PACKED_COLUMNS = ["block", "kind", "n", "body"]
@@ -93,8 +93,14 @@ def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndar
     """Whether the bytes of each pair of ranges are the same."""
     if not len(a):
         return np.zeros(0, bool)
-    same = data[spread_index(a, length)] == data[spread_index(b, length)]
-    return np.logical_and.reduceat(same, np.cumsum(length) - length)
+    out = np.zeros(len(a), bool)
+    # A bounded number of bytes at a time.
+    step = np.cumsum(length) // STEP
+    for low, high in stretches(step):
+        x, y, n = a[low:high], b[low:high], length[low:high]
+        same = data[spread_index(x, n)] == data[spread_index(y, n)]
+        out[low:high] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+    return out
 
 
 def window_runs(data: np.ndarray, first: np.ndarray, size: np.ndarray, length: int):
@@ -175,13 +181,13 @@ def packed(block: int, kind: int, arrays, data: bytes = b"") -> tuple:
     return block, kind, len(arrays[0]), zstandard.ZstdCompressor(level=3).compress(body)
 
 
-def unpacked(n: int, body: bytes) -> tuple[list[np.ndarray], bytes]:
+def unpacked(n: int, body: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     body = zstandard.ZstdDecompressor().decompress(body)
     out, at = [], 0
     for kind in ARRAYS:
-        out.append(np.frombuffer(body, kind, n, at).astype(np.int64))
+        out.append(np.frombuffer(body, kind, n, at))
         at += np.dtype(kind).itemsize * n
-    return out, body[at:]
+    return out, np.frombuffer(body, np.uint8, offset=at)
 
 
 def stretches(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -272,7 +278,9 @@ class SuffixOrder:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes ``a`` and ``b``, at most ``length``."""
-        out = np.zeros(len(a), np.int64)
+        # Equal at full length is the most frequent case.
+        whole = self.hashes.of(a, self.length) == self.hashes.of(b, self.length)
+        out = np.where(whole, self.length, 0)
         for step in self.steps:
             open_ = np.flatnonzero(out + step <= self.length)
             x, y = a[open_] + out[open_], b[open_] + out[open_]
@@ -372,9 +380,9 @@ def _resolve(frame: pd.DataFrame, length: int, blocks: int) -> pd.DataFrame:
         arrays, texts_ = [], []
         for (*ranges, mark), body in held:
             pick = mark == part
-            at, size = (np.cumsum(ranges[3]) - ranges[3])[pick], ranges[3][pick]
-            arrays.append([x[pick] for x in ranges])
-            texts_.append(np.frombuffer(body, np.uint8)[spread_index(at, size)])
+            at = (np.cumsum(ranges[3], dtype=np.int64) - ranges[3])[pick]
+            arrays.append([x[pick].astype(np.int64) for x in ranges])
+            texts_.append(body[spread_index(at, arrays[-1][3])])
         ids, keys, starts, sizes = (np.concatenate(x) for x in zip(*arrays, strict=True))
         if len(ids):
             who, begin, wide = _repeats(np.concatenate(texts_), ids, sizes, length)
@@ -437,7 +445,7 @@ def _gather(frame: pd.DataFrame) -> pd.DataFrame:
     ranges = frame.loc[frame["kind"] == RANGE, ["n", "body"]]
     if len(ranges):
         found = [unpacked(n, body)[0] for n, body in ranges.itertuples(index=False)]
-        ids, keys, starts, sizes, _ = (np.concatenate(x) for x in zip(*found, strict=True))
+        ids, keys, starts, sizes, _ = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
         order = np.lexsort((starts, keys, ids))
         ids, keys, starts, sizes = ids[order], keys[order], starts[order], sizes[order]
         new = (np.diff(ids, prepend=ids[0] - 1) != 0) | (np.diff(keys, prepend=keys[0]) != 0)
@@ -448,7 +456,7 @@ def _gather(frame: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for n, body in frame.loc[frame["kind"] == TEXT, ["n", "body"]].itertuples(index=False):
         arrays, text = unpacked(n, body)
-        at = 0
+        text, at = text.tobytes(), 0
         for item, key, extra, size, mark in zip(*[x.tolist() for x in arrays], strict=True):
             whole, others = text[at : at + size], text[at + size : at + size + extra]
             at += size + extra

@@ -57,7 +57,7 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     found = near_copies(messages_of(spark, folder), words=4, percent=80)
-    return found.withColumnRenamed("id", "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def fold(of: int):

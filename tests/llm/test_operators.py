@@ -1,0 +1,427 @@
+"""The corpus operators on messages of inspection sessions, against plain computations."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from spanledger.llm import licences, packing
+from spanledger.llm.components import components
+from spanledger.llm.language import Filters, grams, identify_language, learn_languages
+from spanledger.llm.leaks import find_cases
+from spanledger.llm.near_copies import near_copies
+from spanledger.llm.packing import pack_messages
+from spanledger.llm.page_text import main_text, page_texts
+from spanledger.llm.passages import PrefixHashes, SuffixOrder, without_repeats
+from spanledger.llm.quality import judge_messages
+from spanledger.llm.toxicity import Tagger, fit, marginals, tag_messages, train_tagger
+from spanledger.llm.warc import archive_pages, captures, read_records, write_archives
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+# Names that the operators use inside, as columns of the input.
+CLASHING = "id long, content string, key string, words int, b string, block int, n_words string, spans string"
+
+
+def messages(spark, rows):
+    """Messages with further columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "k", 1, "b", 2, "n", "s") for i, t in rows], CLASHING)
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+EDGES = [(None, "pier cracks near bearing " * 20), (1, None), (2, ""), (3, " \t\n "), (4, "crack"), (5, "crack")]
+
+
+def test_quality_counts_and_verdict(spark):
+    rng = random.Random(1)
+    rows = [(k, prose(rng, 80)) for k in range(10, 70)]
+    rows += [(k, " | ".join(prose(rng, 60).split())) for k in range(70, 82)]
+    rows += [(k, "spalling at pier two " * 40) for k in range(82, 90)] + EDGES + EDGES
+    rows.append((90, "a b c d a b c\nx\nx\n\n #x $ \x0b z " + prose(rng, 30_000)))
+    got = judge_messages(messages(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by_id = defaultdict(list)
+    for r in got:
+        by_id[r["id"]].append(r)
+    for item, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        covered = {
+            k + d for k in range(len(words) - 2) for d in range(3) if windows[tuple(words[k : k + 3])] > 1
+        }
+        want = (
+            len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")),
+            len(lines) - len(set(lines)), len(covered),
+        )
+        r = by_id[item][0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
+    assert all(by_id[k][0].kept for k in range(10, 70)) and not any(by_id[k][0].kept for k in range(70, 90))
+    assert judge_messages(messages(spark, [])).count() == 0
+
+
+def test_packing_round_trip(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, rng.choice([1, 30, 300, 5000])) for _ in range(120)]
+    texts += ["", None, "a  b \n c", "naïve café <|endoftext|> x", "日本語 текст", " lead", "x  y"]
+    rows = list(enumerate(texts)) + [(None, "no id"), (3, texts[3])]
+    got = pack_messages(messages(spark, rows).repartition(3), TOKENIZER).collect()
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        pieces[r.id].append(r)
+    assert set(pieces) == {i for i, _ in rows}
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 2048
+    for item, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        found = sorted(pieces[item], key=lambda r: r.start)
+        for r in found:
+            assert r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        copies = sum(i == item for i, _ in rows)
+        assert sum(r.length for r in found) == copies * len(ids)
+    padding = sum(2048 - sum(n for _, n in x) for x in sequences.values())
+    assert padding < 0.03 * sum(r.length for r in got) + 2048
+    assert pack_messages(messages(spark, []), TOKENIZER).count() == 0
+
+
+def test_windows_keep_their_number():
+    windows = packing.Windows(100, 2)
+    assert windows.put((1, 0, 60, 0, 60)) and windows.put((2, 0, 70, 0, 70))
+    assert windows.put((3, 0, 30, 0, 30)) and windows.used == [(60, 0), (100, 1)]
+    assert not windows.put((4, 0, 50, 0, 50))
+    assert [p[0] for p in windows.fullest()] == [2, 3]
+
+
+def shingles(text, n):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if len(words) < n:
+        return {tuple(words)} if words else set()
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_near_copies_equal_all_pairs(spark, n):
+    rng = random.Random(3)
+    rows, base = [], prose(rng, 120).split()
+    for _ in range(40):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = "edit" + str(rng.randrange(10**6))
+        rows.append(" ".join(words))
+    for _ in range(25):
+        text = prose(rng, rng.randrange(1, 60))
+        rows += [text, text.upper() if rng.random() < 0.3 else text + " tail"]
+    rows = [(k * 3, t) for k, t in enumerate(rows)] + EDGES[1:] + [(None, rows[0]), (6, rows[2])]
+    rows = [*rows, *rows[:2]]
+    nodes = sorted({(i, frozenset(shingles(t, n))) for i, t in rows if i is not None}, key=lambda x: (x[0], len(x[1])))
+    parent = list(range(len(nodes)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, (_, x) in enumerate(nodes):
+        for v, (_, y) in enumerate(nodes[:u]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                parent[max(find(u), find(v))] = min(find(u), find(v))
+    want = Counter()
+    for item, text in rows:
+        found = frozenset(shingles(text, n))
+        root = None if item is None else nodes[find(nodes.index((item, found)))][0]
+        want[item, len(found), root, item is None or item == root] += 1
+    got = near_copies(messages(spark, rows), words=n).collect()
+    assert Counter((r.id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    assert near_copies(messages(spark, [])).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 90), (5, 5)], "a long, b long")
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == {k: 0 for k in range(61)} | {100: 90, 90: 90}
+
+
+def without(rows, length):
+    """Brute force of passage removal: {row: (content bytes, removed flags)}."""
+    starts = {}
+    for item, text in rows:
+        body = (text or "").encode()
+        for k in range(len(body) - length + 1):
+            if item is not None:
+                g = body[k : k + length]
+                starts[g] = min(starts.get(g, item), item)
+    out = []
+    for item, text in rows:
+        body = (text or "").encode()
+        cut = bytearray(len(body))
+        for k in range(len(body) - length + 1):
+            if item is not None and starts[body[k : k + length]] < item:
+                cut[k : k + length] = b"\1" * length
+        out.append((item, body, cut))
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(4)
+    shared = [prose(rng, 25) for _ in range(6)] + ["é" * 40, "ab" * 400, "x" * 200]
+    rows = []
+    for k in range(80):
+        parts = [prose(rng, rng.randrange(20))]
+        for _ in range(rng.randrange(4)):
+            parts += [rng.choice(shared)[rng.randrange(30) :], prose(rng, rng.randrange(9))]
+        rows.append((k * 2, " ".join(parts)))
+    rows += [(7, rows[3][1]), (900, rows[3][1]), (901, shared[0][:49]), (902, shared[0][:50]), (8, shared[7] * 30)]
+    rows += [(None, rows[0][1]), (903, None), (904, ""), (0, rows[0][1]), (0, shared[1]), (905, shared[6] + "z")]
+    got = without_repeats(messages(spark, rows).repartition(4), others=["words", "spans"]).collect()
+    want = Counter()
+    for item, body, cut in without(rows, 50):
+        rest = bytes(b for b, c in zip(body, cut, strict=True) if not c)
+        spans = sum(1 for k, c in enumerate(cut) if c and (not k or not cut[k - 1]))
+        want[item, len(body), len(body) - len(rest), spans, hashlib.sha256(rest).hexdigest()] += 1
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert all(r.others.words == 1 and r.others.spans == "s" for r in got)
+    assert [r.content for r in got if r.id == 903] == [None]
+    assert without_repeats(messages(spark, [])).count() == 0
+
+
+def test_suffix_order_is_the_byte_order():
+    rng = random.Random(5)
+    data = np.frombuffer("".join(rng.choice("ab") for _ in range(600)).encode(), np.uint8)
+    at = np.array(rng.sample(range(540), 300))
+    group = np.sort(np.array([rng.randrange(5) for _ in at]))
+    got = SuffixOrder(data, PrefixHashes(data), 50).sorted(at, group)
+    for g in set(group):
+        part = [data[x : x + 50].tobytes() for x in got[group == g]]
+        assert part == sorted(part) and set(got[group == g]) == set(at[group == g])
+
+
+def words_of(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+@pytest.mark.parametrize("pass_words", [None, 3])
+def test_cases_equal_brute_force(spark, monkeypatch, pass_words):
+    if pass_words:
+        monkeypatch.setattr("spanledger.llm.leaks.PASS_WORDS", pass_words)
+    rng = random.Random(6)
+    cases = [(k, prose(rng, n, 6)) for k, n in enumerate([1, 2, 3, 9, 10, 11, 14, 40])]
+    cases += [(8, None), (9, "..."), (None, "x y"), (10, cases[4][1]), (4, cases[4][1])]
+    rows = [(k, " ".join([prose(rng, 8, 6), rng.choice(cases[:8])[1].upper(), "é,", prose(rng, 5, 6)])) for k in range(60)]
+    rows += EDGES + [(2000, prose(rng, 20_000, 6))] + EDGES[4:]
+    windows = defaultdict(set)
+    for item, text in cases:
+        w = words_of(text)
+        if w and item is not None:
+            n = min(10, len(w))
+            for k in range(len(w) - n + 1):
+                windows[tuple(w[k : k + n])].add(item)
+    table = spark.createDataFrame([(i, t, "x") for i, t in cases], "id long, style1_msg string, content string")
+    got = find_cases(messages(spark, rows), table).collect()
+    want = Counter()
+    for item, text in rows:
+        w = words_of(text)
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if items := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    found |= items
+        digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        want[item, len(w), len(hit), len(found), digest, bool(hit)] += 1
+    assert Counter((r.id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+    none = find_cases(messages(spark, rows[:3]), table.limit(0)).collect()
+    assert len(none) == 3 and not any(r.contaminated for r in none)
+    assert find_cases(messages(spark, []), table).count() == 0
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(7)
+    size, moves = np.array([5, 0, 3, 1]), ((0.4, -0.7), (-0.2, 0.9))
+    odds = np.exp(rng.normal(0, 1.5, size.sum()))
+    want, at = [], 0
+    for n in size:
+        total, mass = 0.0, np.zeros(n)
+        for labels in np.ndindex(*[2] * n) if n else ():
+            weight, last = 1.0, 0
+            for k, y in enumerate(labels):
+                weight *= np.exp(moves[last][y]) * (odds[at + k] if y else 1.0)
+                last = y
+            total += weight
+            mass += weight * np.array(labels)
+        want += list(mass / total) if n else []
+        at += n
+    assert np.allclose(marginals(odds, size, moves), want)
+
+
+def test_toxicity_finds_new_forms_of_flagged_words(spark):
+    rng = random.Random(8)
+
+    def text(bad):
+        words = prose(rng, 60).split()
+        for _ in range(3 if bad else 0):
+            words.insert(rng.randrange(len(words)), "grumf" + rng.choice("aeiou") + rng.choice("lmnr"))
+        return " ".join(words)
+
+    rows = [(k, text(k % 4 == 0)) for k in range(400)]
+    flags = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows[:300]] + [(None, 1), (5, None)], "id long, toxic int")
+    tagger = train_tagger(messages(spark, rows), flags)
+    new = [(1000, "pier " * 30 + "Grumfox, bearing"), (1001, "pier bearing " * 30), *EDGES, *EDGES[:1]]
+    got = tag_messages(messages(spark, rows[300:] + new), tagger).collect()
+    assert len(got) == 100 + len(new)
+    for r in got:
+        if r.id is not None and r.id < 1000 and r.id >= 300:
+            assert r.predicted == int(r.id % 4 == 0)
+    hit = next(r for r in got if r.id == 1000)
+    assert [("pier " * 30 + "Grumfox, bearing")[s.start : s.stop] for s in hit.spans] == ["Grumfox"]
+    assert all(0 <= r.score <= 1 and not r.predicted for r in got if r.id in (None, 1, 2, 3, 4, 5, 1001))
+    assert tag_messages(messages(spark, []), tagger).count() == 0
+    assert fit([], []) == Tagger() and fit(["a"], [1]) == Tagger()
+
+
+def test_language_of_held_out_messages(spark):
+    rng = random.Random(9)
+    syllables = {"en": ["the", "ing", "ou", "wh"], "de": ["sch", "ung", "ei", "ä"], "fr": ["eau", "que", "é", "oi"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(n))
+
+    rows = [(k, text(lang, 60), lang) for k, lang in enumerate(list(syllables) * 40)]
+    known = spark.createDataFrame([*rows, (900, "x", None), (901, None, "en"), (None, "y", "de")], "id long, content string, language string")
+    filters = learn_languages(known)
+    assert filters.languages == ["de", "en", "fr"]
+    new = [(k, text(lang, 12)) for k, lang in enumerate(list(syllables) * 10)]
+    got = identify_language(messages(spark, [*new, (100, None), (101, " 12 .. "), (None, text("de", 9))]), filters).collect()
+    expected = dict(enumerate(list(syllables) * 10)) | {100: "und", 101: "und", None: "de"}
+    assert {r.id: r.language for r in got} == expected and all(0 <= r.score <= 1 for r in got)
+    some = identify_language(messages(spark, EDGES), Filters()).collect()
+    assert {r.language for r in some} == {"und"}
+    assert identify_language(messages(spark, []), filters).count() == 0
+
+
+def test_sliced_filter_returns_every_language_of_a_gram():
+    filters = Filters()
+    en, de = grams("the thing"), grams("die unge the")
+    filters.add("en", en)
+    filters.add("de", de)
+    masks = filters.containing(np.concatenate([en, de]))
+    assert (masks[: len(en)] & np.uint64(1) == 1).all() and (masks[len(en) :] & np.uint64(2) == 2).all()
+    assert max(filters.false_positives()) < 1e-6
+
+
+PAGES = "page_id long, url string, html string, content string, record_type string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "c", "r") for r in rows], PAGES)
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rows = [
+        (5, "http://a/5", "<p>é same"), (3, "http://a/3", "<p>é same"), (9, "http://a/9", "<p>é same"),
+        (7, "http://a/7\r\nX: y", "other\r\n\r\nWARC/1.1\r\n"), (8, None, None), (10, "http://a/10", ""),
+        (11, "http://a/11", "long " * 200_000), (None, "http://a/n", "alone"), (7, "http://a/7\r\nX: y", "other\r\n\r\nWARC/1.1\r\n"),
+    ]
+    first = {}
+    for item, _, html in rows:
+        if item is not None:
+            first[html or ""] = min(first.get(html or "", item), item)
+    got = archive_pages(pages(spark, rows)).collect()
+    assert len(got) == len(set(rows))
+    for r in got:
+        html = next((h or "") for i, _, h in rows if i == r.metadata.page_id)
+        body = html.encode()
+        answer = r.response
+        assert answer.payload_bytes == len(body)
+        assert answer.payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
+        revisit = first.get(html, r.metadata.page_id) != r.metadata.page_id
+        assert answer.record_type == ("revisit" if revisit else "response")
+        assert r.refers_to_page == (first[html] if revisit else None)
+        assert r.request.concurrent_to == answer.record_id == r.metadata.concurrent_to
+    write_archives(pages(spark, rows), str(tmp_path / "a"), min_revisit_bytes=9)
+    some = captures(read_records(spark, str(tmp_path / "a"), with_payload=True)).collect()
+    assert {r.response.record_type for r in some if r.metadata.page_id in (8, 10)} == {"response"}
+    assert next(r.response.payload for r in some if r.metadata.page_id == 3) == "<p>é same"
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("*.gz"))
+    assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
+    assert archive_pages(pages(spark, [])).count() == 0
+
+
+def test_captures_without_some_records(spark):
+    kinds = "record_id string, record_type string, concurrent_to string, refers_to string, page_id long, payload string"
+    rows = [("<r>", "request", "<gone>", None, None, None), ("<a>", "response", None, None, None, None), ("<i>", "warcinfo", None, None, None, None)]
+    got = {r.capture_id: r for r in captures(spark.createDataFrame(rows, kinds)).collect()}
+    assert set(got) == {"<gone>", "<a>"}
+    assert got["<gone>"].response is None and got["<a>"].request is None
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<nav><a href="/a">Menu and more</a></nav><div class="cookie-notice">We use cookies on this site and more of that.</div>
+<article><h1>Bridge &amp; pier</h1><p>The pier of the bridge is cracked in the middle and it
+has   to be <b>repaired</b> by the owner of the road.<br>Yes.<p>Short one.</p><!-- no -->
+<div class="ad">Buy the best of the bricks and the mortar for a bridge in the town now.</div>
+<ul><li><a href="/x">Related link</a></li></ul></article>
+<section id="comments"><p>The reader is of the opinion that it is in need of the repair and that is it.</p></section>
+<aside>Aside text of the page</aside><form><label>Name</label><button>Go</button></form><footer>&copy; all</footer></body></html>"""
+
+
+def test_page_text(spark):
+    want = (
+        "Bridge & pier The pier of the bridge is cracked in the middle and it has to be repaired by the owner "
+        "of the road. Yes. Short one."
+    )
+    assert main_text(PAGE)[0] == want
+    plain = "<div>The state of the bridge is that of a ruin and it is to be closed for the traffic on the road.</div><div>Soon</div>"
+    assert main_text(plain)[0].endswith("on the road. Soon")
+    assert main_text("<article><p>Kurz</p></article>")[0] == "Kurz"
+    assert main_text("<article><p>a &lt;b&gt; &nbsp; c<script>x<y</script> d")[0] == "a <b> c d"
+    long_page = "<article>" + "<p>word of the day</p>" * 20_000
+    rows = [(1, "u", PAGE), (None, None, None), (2, "u", ""), (1, "u", PAGE), (3, "u", long_page)]
+    got = page_texts(pages(spark, rows)).collect()
+    assert Counter((r.page_id, r.n_chars) for r in got) == {
+        (1, len(want)): 2, (None, 0): 1, (2, 0): 1, (3, 20_000 * len("word of the day ") - 1): 1,
+    }
+    assert page_texts(pages(spark, [])).count() == 0
+
+
+def test_licences(spark):
+    apache = "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License."
+    whole = apache + " You may obtain a copy of the License at\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis."
+    rows = [
+        (10, "Crack. Released under the MIT License."), (11, whole), (12, apache), (13, "All rights reserved.\nAll rights reserved."),
+        (14, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. x"),
+        *EDGES, (14, "This work is licensed under the GNU General Public License, version 3."), (15, "The bearing is licensed. " * 20_000),
+    ]
+    got = licences.licence_findings(messages(spark, rows)).collect()
+    assert len(got) == len(rows)
+    found = {(r.id, tuple(r.licences), tuple(r.unclaimed)) for r in got if r.id and 9 < r.id < 16}
+    assert found == {
+        (10, ("MIT",), ()), (11, ("Apache-2.0",), ()), (12, ("Apache-2.0",), ("apache_use",)),
+        (13, ("All-Rights-Reserved",), ()), (14, (), ("mit_grant",)), (14, ("GPL-3.0-only",), ()), (15, (), ()),
+    }
+    assert not any(r.licences or r.unclaimed for r in got if r.id is None or r.id < 10)
+    assert licences.licence_findings(messages(spark, [])).count() == 0
+
+
+def test_extra_columns_do_not_leak(spark):
+    df = messages(spark, [(1, "a")]).withColumn("content", F.lit("b"))
+    assert near_copies(df).columns == ["id", "key", "n_shingles", "component_id", "kept"]

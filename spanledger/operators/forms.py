@@ -457,13 +457,16 @@ def form_expected(long: DataFrame, forms: DataFrame, key: str, mapping: DataFram
     return g.select(key, "fmt", "sheet", "cell", value.alias("expected")).filter("expected IS NOT NULL")
 
 
-CHECK = "rule int, severity string, sheet string, cell string, found string, expected string, auto_fixable boolean"
+#: ``found`` and ``expected`` are what a listing shows; ``full`` is the whole value that a fix writes.
+CHECK = "rule int, severity string, sheet string, cell string, found string, expected string, auto_fixable boolean, full string"
+SHOWN = 120
 
 
 def _issue(df: DataFrame, key: str, rule: int, severity: str, found: Column, expected: Column, fixable: Column) -> DataFrame:
+    shown = expected if rule == 4 else F.substring(expected, 1, SHOWN)
     return df.select(
         key, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "sheet", "cell",
-        found.alias("found"), expected.alias("expected"), fixable.alias("auto_fixable"),
+        found.alias("found"), shown.alias("expected"), fixable.alias("auto_fixable"), expected.alias("full"),
     )
 
 
@@ -473,7 +476,7 @@ def lost_inputs(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     want = expected.withColumn("expected", T.cell_text(c("expected"))).filter("expected IS NOT NULL")
     have = actual.filter(T.cell_text(c("value")).isNotNull()).select(key, "sheet", "cell")
     gone = want.join(have, [key, "sheet", "cell"], "left_anti")
-    return _issue(gone, key, 1, "warning", F.lit("(empty)"), F.substring("expected", 1, 120), F.lit(True))
+    return _issue(gone, key, 1, "warning", F.lit("(empty)"), c("expected"), F.lit(True))
 
 
 def special_values_kept(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
@@ -556,10 +559,10 @@ def word_losses(long: DataFrame, documents: DataFrame, key: str, text: str) -> D
 
 
 def corrected_cells(actual: DataFrame, issues: DataFrame, key: str) -> DataFrame:
-    """The report after its fixable issues: rule 2 clears a cell, rules 1, 4 and 5 write the expected value."""
+    """The report after its fixable issues: rule 2 clears a cell, rules 1, 4 and 5 write the whole expected value."""
     c = F.col
     fixes = issues.filter("auto_fixable AND rule IN (1, 2, 4, 5)").groupBy(key, "sheet", "cell").agg(
-        F.max_by(F.struct(F.when(c("rule") != 2, c("expected")).alias("to")), "rule").alias("fix")
+        F.max_by(F.struct(F.when(c("rule") != 2, c("full")).alias("to")), "rule").alias("fix")
     )
     return actual.select(key, "sheet", "cell", "value").join(fixes, [key, "sheet", "cell"], "full").select(
         key, "sheet", "cell", F.when(c("fix").isNotNull(), c("fix.to")).otherwise(c("value")).alias("value")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.geo import clock
-from spanledger.plans.grid import close_pairs, gap_clusters, greedy_matching, near_buckets, nearest_within, points_in_boxes, two_nearest
+from spanledger.plans.grid import close_pairs, gap_clusters, greedy_matching, near_buckets, nearest, nearest_within, points_in_boxes, two_nearest
 from spanledger.plans.scan import Neighbour, Running, numbered, ordered_scan
 
 # Fixed values, millimetres: reach of a label, dimension snap, stacked boxes, dot
@@ -342,19 +342,23 @@ def ring_regions(labels: DataFrame, dots: DataFrame, regions: DataFrame, key: st
     return best.filter(kind == c("component"))
 
 
-def cut_mark_component(marks: DataFrame, labels: DataFrame, caps: DataFrame, key: str, reach: float) -> DataFrame:
+def cut_mark_component(marks: DataFrame, labels: DataFrame, caps: DataFrame, key: str, start: float) -> DataFrame:
     """The component of unqualified section letters, by majority of their cut marks.
 
+    Labels and pilecaps count at any distance; the search begins within ``start``.
+    A sheet without a pilecap gives no result.
+
     ``marks``: key, mid, letter, x, y; ``labels``: qualified labels key, ord, x, y,
     components (array); ``caps``: pilecap boxes with ord. A mark takes the
     components of its nearest label. With several, its height against the pilecap
     nearest in x decides: above it the pier, beside it the pilecap.
     """
     c = F.col
-    hit = nearest_within(marks, labels, [key], "mid", reach, ["components"], "ord").filter("components IS NOT NULL")
+    marks = marks.join(caps.select(key).distinct(), key, "left_semi")
+    hit = nearest(marks, labels, [key], "mid", start, ["components"], "ord")
     flat = caps.select(key, "ord", ((c("xmin") + c("xmax")) / 2).alias("x"), F.lit(0.0).alias("y"), "ymin", "ymax")
     many = hit.filter("size(components) > 1 AND array_contains(components, 'pilecap')").select(key, "mid", "letter", "components", "x", c("y").alias("my"), F.lit(0.0).alias("y"))
-    cap = nearest_within(many, flat, [key], "mid", reach, ["ymin", "ymax"], "ord").filter("ymin IS NOT NULL")
+    cap = nearest(many, flat, [key], "mid", start, ["ymin", "ymax"], "ord")
     vote = F.when((c("my") > c("ymax")) & F.array_contains("components", "pier"), "pier").when(c("my").between(c("ymin"), c("ymax")), "pilecap")
     single = hit.filter("size(components) = 1").select(key, "mid", "letter", F.get("components", 0).alias("vote"))
     votes = single.unionByName(cap.select(key, "mid", "letter", vote.alias("vote"))).filter("vote IS NOT NULL")

@@ -243,7 +243,7 @@ def zone_count(text: Column, length: Column, total_length: Column) -> tuple[list
     """
     t = strip(text)
     equal, product = t.startswith("="), t.rlike("[×xX*]") & ~t.contains("=")
-    eq = F.sum(F.when(equal, N.safe_float(F.substring(t, 2, 1000)).cast("long"))).alias("__eq")
+    eq = F.sum(F.when(equal, N.safe_float(F.substring(t, F.lit(2), F.length(t))).cast("long"))).alias("__eq")
     mul = F.sum(F.when(product, N.parse_count(t))).alias("__mul")
     bare = F.sum(F.when(~equal & ~product, N.parse_count(t))).alias("__bare")
     c = F.col

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from spanledger.plans.scan import Running, first_per, numbered, ordered_scan
 
-LINES_PER_PART = 500
-
 
 def active_session(sessions: DataFrame, phone: str, started: str, not_ended: Column, tie: str) -> DataFrame:
     """The latest session of each phone that has not ended."""
@@ -71,41 +69,22 @@ def group_lines(messages: DataFrame, session: list[str], category: str, content:
 
 
 def group_text(
-    messages: DataFrame,
-    session: list[str],
-    category: str,
-    content: str,
-    order: list[str],
-    headings: dict[str, str],
-    lines_per_part: int = LINES_PER_PART,
+    messages: DataFrame, session: list[str], category: str, content: str, order: list[str], headings: dict[str, str]
 ) -> DataFrame:
-    """The text of each category under its heading, categories in a fixed order.
+    """The text of each category under its heading as rows, categories in a fixed order.
 
     ``headings`` maps category to heading in the wanted order; other categories are
-    left out. Long categories come in numbered parts of ``lines_per_part`` lines, so
-    that no row has to hold an unbounded text; the heading opens part 0.
+    left out. Line 0 is the heading, the lines follow in message order. Rows keep a
+    category of any length spread over tasks.
     """
-    lines = group_lines(
-        messages.filter(F.col(category).isin(*headings)), session, category, content, order
-    )
-    part = F.floor((F.col("line_no") - 1) / lines_per_part).cast("int")
-    texts = (
-        lines.withColumn("part", part)
-        .groupBy(*session, category, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("__l"))
-        .withColumn("__t", F.array_join(F.transform("__l", lambda r: r["line"]), "\n"))
-    )
+    lines = group_lines(messages.filter(F.col(category).isin(*headings)), session, category, content, order)
     rank, head = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, (name, title) in enumerate(headings.items()):
         hit = F.col(category) == name
         rank = F.when(hit, F.lit(i)).otherwise(rank)
         head = F.when(hit, F.lit(title)).otherwise(head)
-    return texts.select(
-        *session,
-        rank.alias("category_no"),
-        category,
-        "part",
-        F.when(F.col("part") == 0, F.concat(head, F.lit("\n"), F.col("__t")))
-        .otherwise(F.col("__t"))
-        .alias("text"),
+    shape = [*session, rank.alias("category_no"), category]
+    heads = lines.select(*session, category).distinct()
+    return lines.select(*shape, "line_no", "line").unionByName(
+        heads.select(*shape, F.lit(0).cast("bigint").alias("line_no"), head.alias("line"))
     )

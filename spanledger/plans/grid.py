@@ -9,6 +9,15 @@ from spanledger.plans.durable import durable
 from spanledger.plans.scan import numbered
 
 
+def _aside(df: DataFrame, keys: list[str], pid: str | None = None) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``df`` with its key columns (and ``pid``) under reserved names, and how to undo that.
+
+    What a plan calls its own columns then never meets a caller's name.
+    """
+    names = {k: f"__key{i}" for i, k in enumerate(keys)} | ({pid: "__pid"} if pid else {})
+    return df.withColumnsRenamed(names), [names[k] for k in keys], {v: k for k, v in names.items()}
+
+
 def cell(v: Column | str, size: Column | float) -> Column:
     v = F.col(v) if isinstance(v, str) else v
     return F.floor(v / size).cast("long")
@@ -90,6 +99,25 @@ def nearest_within(points: DataFrame, anchors: DataFrame, keys: list[str], pid:
     return found.unionByName(rest).select(*points.columns, "__best.*")
 
 
+def nearest(points: DataFrame, anchors: DataFrame, keys: list[str], pid: str, start: float, carry: list[str], order: str) -> DataFrame:
+    """The nearest anchor of each point of a key that has anchors, however far it is.
+
+    Points look within ``start`` first; those that find nothing look twice as far,
+    again and again, so the rounds follow the logarithm of the largest distance.
+    """
+    anchors = durable(anchors)
+    open_ = durable(points.join(anchors.select(*keys).distinct(), keys, "left_semi"))
+    reach, done = start, None
+    while True:
+        seen = durable(nearest_within(open_, anchors, keys, pid, reach, carry, order))
+        found = seen.filter("dist IS NOT NULL")
+        done = found if done is None else done.unionByName(found)
+        open_ = seen.filter("dist IS NULL").select(*points.columns)
+        if open_.isEmpty():
+            return done
+        reach *= 2
+
+
 def linked_cells(points: DataFrame, keys: list[str], gap: float, pid: str, levels: int = 3) -> tuple[DataFrame, DataFrame]:
     """Points as cells, and the cell pairs that hold a pair of points within ``gap``.
 
@@ -196,13 +224,14 @@ def gap_clusters(points: DataFrame, keys: list[str], gap: float, pid: str) -> Da
     largest first and the earlier first point on ties. ``pid`` is unique over all
     keys and gives the point order.
     """
-    members, links = linked_cells(points, keys, gap, pid)
+    points, inner, back = _aside(points.select(*keys, pid, "x", "y"), keys, pid)
+    members, links = linked_cells(points, inner, gap, "__pid")
     members = durable(members)
     roots = components(members, links)
-    tagged = members.join(roots, "node_id").select(*keys, pid, F.col("root").alias("cluster"))
-    sizes = tagged.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("size"))
-    ranked = numbered(sizes.withColumn("__n", -F.col("size")), keys, ["__n", "cluster"], "cluster_rank").drop("__n")
-    return tagged.join(ranked, [*keys, "cluster"])
+    tagged = members.join(roots, "node_id").select(*inner, "__pid", F.col("root").alias("cluster"))
+    sizes = tagged.groupBy(*inner, "cluster").agg(F.count(F.lit(1)).alias("size"))
+    ranked = numbered(sizes.withColumn("__n", -F.col("size")), inner, ["__n", "cluster"], "cluster_rank").drop("__n")
+    return tagged.join(ranked, [*inner, "cluster"]).withColumnsRenamed(back)
 
 
 def two_nearest(points: DataFrame, keys: list[str], pid: str) -> DataFrame:
@@ -213,6 +242,11 @@ def two_nearest(points: DataFrame, keys: list[str], pid: str) -> DataFrame:
     searched at close range. Adds n1, d1, n2, d2, NULL where a key is too small.
     Ties go to the lower ``pid``.
     """
+    points, inner, back = _aside(points.select(*keys, pid, "x", "y"), keys, pid)
+    return _two_nearest(points, inner, "__pid").withColumnsRenamed(back)
+
+
+def _two_nearest(points: DataFrame, keys: list[str], pid: str) -> DataFrame:
     shape = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), (F.max("x") - F.min("x")).alias("__w"), (F.max("y") - F.min("y")).alias("__h")
     )
@@ -245,37 +279,39 @@ def two_nearest(points: DataFrame, keys: list[str], pid: str) -> DataFrame:
 
 def close_pairs(points: DataFrame, keys: list[str], pid: str, radius: str) -> DataFrame:
     """Pairs of points of a key no farther apart than the key's ``radius`` (a column)."""
-    p = points.select(*keys, pid, "x", "y", radius).filter(F.col(radius) > 0)
+    points, keys, back = _aside(points.select(*keys, pid, "x", "y", F.col(radius).alias("__radius")), keys, pid)
+    pid, radius = "__pid", "__radius"
+    p = points.filter(F.col(radius) > 0)
     left = p.select(*keys, F.col(pid).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), radius).withColumns(
         {"__cx": cell("ax", F.col(radius)), "__cy": cell("ay", F.col(radius))}
     )
     right = around(p, "x", "y", F.col(radius)).select(*keys, F.col(pid).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "__cx", "__cy")
     d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return left.join(right, [*keys, "__cx", "__cy"]).filter("a < b").withColumn("d", d).filter(F.col("d") <= F.col(radius)).drop("__cx", "__cy", radius)
+    return left.join(right, [*keys, "__cx", "__cy"]).filter("a < b").withColumn("d", d).filter(F.col("d") <= F.col(radius)).drop("__cx", "__cy", radius).withColumnsRenamed(back)
 
 
 def greedy_matching(pairs: DataFrame, keys: list[str], weight: list[str]) -> DataFrame:
     """The pairs a greedy pass by ascending weight takes, each point once.
 
-    ``pairs`` has a, b. A pair that is the smallest of all open pairs at both of
+    ``pairs`` has a, b, which no key may be called. A pair that is the smallest of all open pairs at both of
     its points is certain to be taken; each round takes all such pairs at once and
     drops what they rule out.
     """
     order = F.struct(*weight, "a", "b")
     open_, taken = durable(pairs), None
     while True:
-        ends = open_.select(*keys, F.explode(F.array("a", "b")).alias("p"), order.alias("w"))
-        best = ends.groupBy(*keys, "p").agg(F.min("w").alias("w"))
-        sure = open_.withColumn("w", order)
+        ends = open_.select(*keys, F.explode(F.array("a", "b")).alias("__p"), order.alias("__w"))
+        best = ends.groupBy(*keys, "__p").agg(F.min("__w").alias("__w"))
+        sure = open_.withColumn("__w", order)
         for end in ("a", "b"):
-            sure = sure.join(best.withColumnRenamed("p", end), [*keys, end, "w"], "left_semi")
-        sure = durable(sure.drop("w"))
+            sure = sure.join(best.withColumnRenamed("__p", end), [*keys, end, "__w"], "left_semi")
+        sure = durable(sure.drop("__w"))
         if sure.isEmpty():
             return taken if taken is not None else sure
         taken = sure if taken is None else taken.unionByName(sure)
-        gone = sure.select(*keys, F.explode(F.array("a", "b")).alias("p"))
+        gone = sure.select(*keys, F.explode(F.array("a", "b")).alias("__p"))
         for end in ("a", "b"):
-            open_ = open_.join(gone.withColumnRenamed("p", end), [*keys, end], "left_anti")
+            open_ = open_.join(gone.withColumnRenamed("__p", end), [*keys, end], "left_anti")
         open_ = durable(open_)
 
 
@@ -290,19 +326,19 @@ def keep_first_apart(points: DataFrame, keys: list[str], pid: str, size: float)
     kept = None
     here = [*keys, "__cx", "__cy"]
     while True:
-        firsts = open_.groupBy(*here).agg(F.min(pid).alias("f"))
+        firsts = open_.groupBy(*here).agg(F.min(pid).alias("__f"))
         spread = firsts.withColumn("__s", F.explode(_shifts(1))).select(
-            *keys, (F.col("__cx") + F.col("__s.i")).alias("__cx"), (F.col("__cy") + F.col("__s.j")).alias("__cy"), "f"
+            *keys, (F.col("__cx") + F.col("__s.i")).alias("__cx"), (F.col("__cy") + F.col("__s.j")).alias("__cy"), "__f"
         )
-        lowest = spread.groupBy(*here).agg(F.min("f").alias("low"))
-        winners = firsts.join(lowest, here).filter("f = low").select(*keys, F.col("f").alias(pid))
+        lowest = spread.groupBy(*here).agg(F.min("__f").alias("__low"))
+        winners = firsts.join(lowest, here).filter("__f = __low").select(*keys, F.col("__f").alias(pid))
         new = durable(open_.join(winners, [*keys, pid], "left_semi"))
         if new.isEmpty():
             return (kept if kept is not None else new).drop("__cx", "__cy")
         kept = new if kept is None else kept.unionByName(new)
         ruling = new.withColumn("__s", F.explode(_shifts(1))).select(
             *keys, (F.col("__cx") + F.col("__s.i")).alias("__cx"), (F.col("__cy") + F.col("__s.j")).alias("__cy"),
-            F.col("x").alias("kx"), F.col("y").alias("ky"),
+            F.col("x").alias("__kx"), F.col("y").alias("__ky"),
         )
-        out = open_.join(ruling, here).filter((F.abs(F.col("x") - F.col("kx")) < size) & (F.abs(F.col("y") - F.col("ky")) < size)).select(*keys, pid).distinct()
+        out = open_.join(ruling, here).filter((F.abs(F.col("x") - F.col("__kx")) < size) & (F.abs(F.col("y") - F.col("__ky")) < size)).select(*keys, pid).distinct()
         open_ = durable(open_.join(out, [*keys, pid], "left_anti"))

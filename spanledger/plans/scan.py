@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from spanledger.plans.durable import durable
 
 KEY, CHUNK = "__k", "__c"
-MAX_CHUNKS = 2048
 HOT_ROWS = 1_000_000
 
 
@@ -57,17 +56,17 @@ def as_position(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def chunk_count(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def chunk_count(rows: int, limit: int) -> int:
+    """A power of two that leaves about half of ``limit`` rows to a chunk."""
     n = 8
-    while n < wanted and n < MAX_CHUNKS:
+    while n * limit < 2 * rows:
         n *= 2
     return n
 
 
-def with_chunk(df: DataFrame, column: str, chunks: int | None = None, name: str = CHUNK) -> DataFrame:
+def with_chunk(df: DataFrame, column: str, chunks: int, name: str = CHUNK) -> DataFrame:
     """Add the equi-depth chunk number of ``column`` (null values get -1)."""
-    n = chunks or chunk_count(df)
+    n = chunks
     position = as_position(df, column)
     shares = [i / n for i in range(1, n)]
     splits = df.select(
@@ -139,14 +138,19 @@ def _merge(spec: Running, before: Column, here: Column) -> Column:
     return F.coalesce(before, here)
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
-    """The keys with more rows than one task should hold, None if there are none.
+def hot_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spanledger.hotKeyRows", str(HOT_ROWS)))
+
+
+def hot_keys(df: DataFrame, key: str) -> tuple[DataFrame, int] | None:
+    """The keys with more rows than one task should hold and all their rows, None if there are none.
 
     There can be no more of them than the table has such portions of rows.
     """
-    limit = int(df.sparkSession.conf.get("spanledger.hotKeyRows", str(HOT_ROWS)))
-    found = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key)
-    return None if found.isEmpty() else durable(found)
+    limit = hot_limit(df)
+    found = durable(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit))
+    rows = found.agg(F.sum("__n")).first()[0]
+    return None if rows is None else (found.select(key), int(rows))
 
 
 def ordered_scan(
@@ -167,6 +171,8 @@ def ordered_scan(
     hot = hot_keys(keyed, KEY)
     if hot is None:
         return _plain_scan(df, keys, order, outputs, descending)
+    hot, rows = hot
+    chunks = chunks or chunk_count(rows, hot_limit(df))
     cold = _plain_scan(keyed.join(hot, KEY, "left_anti").select(*df.columns), keys, order, outputs, descending)
     cut = _chunked_scan(keyed.join(hot, KEY, "left_semi"), df.columns, order, outputs, descending, chunks)
     return cold.unionByName(cut)

@@ -282,7 +282,7 @@ def snap_dimensions(t):
 @query(
     "cut_mark_component",
     f"""WITH {PTS}, l AS (SELECT id AS lid, sheet, x, y, CASE id%3 WHEN 0 THEN ['pile'] WHEN 1 THEN ['pilecap','pier'] ELSE ['pile','pier'] END AS comps FROM p WHERE id%10=0),
-    m AS (SELECT id, sheet, chr(CAST(65+id%4 AS INTEGER)) AS letter, x, y FROM p WHERE id%10<>0), cap AS (SELECT id AS cid, sheet, floor(x)+ (floor(abs(z))+100)/2 AS cx, floor(y) AS y0, floor(y)+floor(abs(z)/2)+50 AS y1 FROM p WHERE id%20=1),
+    m AS (SELECT id, sheet, chr(CAST(65+id%4 AS INTEGER)) AS letter, x, y FROM p WHERE id%10<>0 AND sheet IN (SELECT sheet FROM p WHERE id%20=1)), cap AS (SELECT id AS cid, sheet, floor(x)+ (floor(abs(z))+100)/2 AS cx, floor(y) AS y0, floor(y)+floor(abs(z)/2)+50 AS y1 FROM p WHERE id%20=1),
     nl AS (SELECT m.*, comps FROM m JOIN l ON l.sheet=m.sheet QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY {dist('m','l')}, lid)=1),
     nc AS (SELECT nl.id, y0, y1 FROM nl JOIN cap ON cap.sheet=nl.sheet WHERE len(comps)>1 QUALIFY row_number() OVER (PARTITION BY nl.id ORDER BY abs(cx-nl.x), cid)=1),
     v AS (SELECT nl.sheet, letter, nl.id, CASE WHEN len(comps)=1 THEN comps[1] WHEN NOT list_contains(comps,'pilecap') THEN NULL WHEN y>y1 THEN 'pier' WHEN y BETWEEN y0 AND y1 THEN 'pilecap' END AS vote FROM nl LEFT JOIN nc USING (id)),
@@ -296,7 +296,7 @@ def cut_mark_component(t):
     labels = p.filter("id % 10 = 0").select("sheet", c("id").alias("ord"), "x", "y", comps.alias("components"))
     marks = p.filter("id % 10 <> 0").select("sheet", c("id").alias("mid"), F.char(65 + c("id") % 4).alias("letter"), "x", "y")
     caps = rects(t).filter("id % 20 = 1").withColumn("ord", c("id"))
-    return G.cut_mark_component(marks, labels, caps, "sheet", 20000.0)
+    return G.cut_mark_component(marks, labels, caps, "sheet", 500.0)
 
 
 @query("ring_regions")

@@ -231,13 +231,10 @@ def photo_count(t):
 @query(
     "group_text",
     """WITH l AS (SELECT conv_id, role, trim(text, ' ') AS line,
-      row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n
-      FROM conversations WHERE trim(text, ' ')<>'')
-    SELECT conv_id, role, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS category_no,
-      CAST((n-1)//500 AS INTEGER) AS part,
-      CASE WHEN (n-1)//500=0 THEN CASE role WHEN 'system' THEN 'SETTINGS' WHEN 'user' THEN 'NOTES' ELSE 'REPLIES' END||chr(10) ELSE '' END
-      || string_agg(line, chr(10) ORDER BY n) AS text
-    FROM l GROUP BY conv_id, role, (n-1)//500""",
+      row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS line_no FROM conversations WHERE trim(text, ' ')<>''),
+    u AS (SELECT conv_id, role, line_no, line FROM l UNION ALL
+      SELECT DISTINCT conv_id, role, 0, CASE role WHEN 'system' THEN 'SETTINGS' WHEN 'user' THEN 'NOTES' ELSE 'REPLIES' END FROM l)
+    SELECT conv_id, role, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS category_no, line_no, line FROM u""",
 )
 def group_text(t):
     heads = {"system": "SETTINGS", "user": "NOTES", "assistant": "REPLIES"}

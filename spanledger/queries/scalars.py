@@ -97,13 +97,13 @@ def dates(t):
     regexp_replace(regexp_replace(replace(replace('{W1;'||c2||'<>  NOS','{',''),'}',''),'<>',''),'\s{2,}',' ','g') AS override,
     translate(c2||'–5—6', '–—', '--') AS hyphens
     FROM (SELECT doc_id, regexp_replace(text,'^\s+|\s+$','','g') AS clean,
-       regexp_replace(substr(source,1,8),'^\s+|\s+$','','g') AS c2 FROM documents)""",
+       regexp_replace(text,'^\s+|\s+$','','g') AS c2 FROM documents)""",
 )
 def text_clean(t):
     # Codes are put around each whole text and must come off again.
     mtext = F.concat(F.lit("{\\fArial;\\C4;"), F.col("text"), F.lit("}\\L"))
     legacy = F.concat(F.lit("%%u"), F.col("text"), F.lit("%%065"))
-    c2 = T.strip(F.substring("source", 1, 8))
+    c2 = T.strip(F.col("text"))
     over = T.strip_dimension_override(F.concat(F.lit("\\fArial;{W1;"), c2, F.lit("<>\\X NOS}")))
     both = F.when(T.strip_mtext_codes(mtext) == T.strip_text_codes(legacy), T.strip_mtext_codes(mtext))
     return spread(t.documents, "doc_id").select(

@@ -34,22 +34,22 @@ def assign_columns(t):
 
 @query(
     "mark_ranges",
-    """WITH m AS (SELECT event_id, user_id, event_id AS r, 20000 AS n FROM events), l AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS x FROM m WINDOW w AS (PARTITION BY user_id ORDER BY r))
+    """WITH m AS (SELECT event_id, user_id, event_id AS r, (SELECT max(event_id)+1 FROM events) AS n FROM events), l AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS x FROM m WINDOW w AS (PARTITION BY user_id ORDER BY r))
     SELECT event_id, user_id, CAST(CASE WHEN p IS NULL THEN 0 ELSE (p+r)//2+1 END AS BIGINT) AS row_start, CAST(CASE WHEN x IS NULL THEN n ELSE (r+x)//2+1 END AS BIGINT) AS row_end FROM l""",
 )
 def mark_ranges(t):
-    m = t.events.select("event_id", "user_id", c("event_id").alias("r"), F.lit(20000).alias("n"))
+    m = t.events.select("event_id", "user_id", c("event_id").alias("r"), t.events.agg(F.max("event_id") + 1).scalar().alias("n"))
     return S.mark_ranges(m, ["user_id"], "r", "event_id", "n").select("event_id", "user_id", "row_start", "row_end")
 
 
 @query(
     "zone_ranges",
-    """WITH g AS (SELECT user_id, 100 AS rs, 12000 AS re FROM (SELECT DISTINCT user_id FROM events)), a AS (SELECT user_id, event_id AS r FROM events WHERE event_type='click' AND value>100 AND event_id>=100 AND event_id<12000),
+    """WITH g AS (SELECT user_id, min(event_id) AS rs, max(event_id)+1 AS re FROM events GROUP BY 1), a AS (SELECT user_id, event_id AS r FROM events WHERE event_type='click' AND value>100),
     l AS (SELECT g.*, r, lag(r) OVER w AS p, lead(r) OVER w AS x, row_number() OVER w AS z FROM g LEFT JOIN a USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY r))
     SELECT user_id, CAST(z AS BIGINT) AS zone_ord, CAST(CASE WHEN p IS NULL THEN rs ELSE rs+(p+r-2*rs)//2+1 END AS BIGINT) AS zone_start, CAST(CASE WHEN x IS NULL THEN re ELSE rs+(r+x-2*rs)//2+1 END AS BIGINT) AS zone_end FROM l""",
 )
 def zone_ranges(t):
-    ranges = t.events.select("user_id").distinct().select("user_id", F.lit(100).alias("row_start"), F.lit(12000).alias("row_end"))
+    ranges = t.events.groupBy("user_id").agg(F.min("event_id").alias("row_start"), (F.max("event_id") + 1).alias("row_end"))
     anchors = t.events.filter("event_type = 'click' AND value > 100").select("user_id", c("event_id").alias("r"))
     return S.zone_ranges(anchors, ranges, ["user_id"], "r").select("user_id", "zone_ord", "zone_start", "zone_end")
 
@@ -66,14 +66,15 @@ def truncate_rows(t):
 @query(
     "header_rows",
     """WITH l AS (SELECT user_id, event_id AS r, value, CASE WHEN event_type='view' AND value>60 THEN 'DIA. in mm NOS' WHEN event_type='click' AND value>50 THEN 'TOTAL LENGTH nos' ELSE 'LENGTH' END AS t FROM events),
-    n AS (SELECT user_id, min(r) FILTER (WHERE t<>'LENGTH' AND r>=5000) AS a, min(r) FILTER (WHERE t<>'LENGTH') AS b FROM l GROUP BY 1)
+    n AS (SELECT user_id, min(r) FILTER (WHERE t<>'LENGTH' AND r>=(SELECT max(event_id)//2 FROM events)) AS a, min(r) FILTER (WHERE t<>'LENGTH') AS b FROM l GROUP BY 1)
     SELECT user_id, coalesce(a,b) AS header_row, a IS NULL AS from_whole FROM n""",
 )
 def header_rows(t):
     e, v = c("event_type"), c("value")
     text = F.when((e == "view") & (v > 60), "DIA. in mm NOS").when((e == "click") & (v > 50), "TOTAL LENGTH nos").otherwise("LENGTH")
     lines = t.events.select("user_id", c("event_id").alias("r"), text.alias("row_text"))
-    return S.header_row(lines.filter("r >= 5000"), lines, ["user_id"], "r")
+    half = t.events.agg(F.floor(F.max("event_id") / 2)).scalar()
+    return S.header_row(lines.filter(c("r") >= half), lines, ["user_id"], "r")
 
 
 @query(

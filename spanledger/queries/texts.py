@@ -178,19 +178,18 @@ def missing_notes(t):
 @query(
     "note_values",
     """SELECT doc_id, CAST(CASE WHEN doc_id%3=0 THEN n_chars/8.0 END AS DOUBLE) AS pile_length_m, CAST(CASE WHEN doc_id%3=1 THEN 2.5 END AS DOUBLE) AS pile_fixity_m,
-    CASE doc_id%3 WHEN 0 THEN 'FE500D' WHEN 1 THEN 'TMT' END AS steel_grade, CASE WHEN doc_id%3=2 THEN 'M35' END AS lap_length_concrete_grade FROM documents
-    WHERE NOT regexp_matches(upper(text), '\\b(FE\\s*-?\\s*\\d+[A-Z]*|HYSD|TMT)\\b')""".replace("\\\\", "\\"),
+    CASE doc_id%3 WHEN 0 THEN 'FE500D' WHEN 1 THEN 'TMT' ELSE 'HYSD' END AS steel_grade, CASE WHEN doc_id%3=2 THEN 'M35' END AS lap_length_concrete_grade FROM documents""",
 )
 def note_values(t):
     k = c("doc_id") % 3
     note = (
-        F.when(k == 0, F.concat(F.lit("\nPile length = "), (c("n_chars") / 8).cast("string"), F.lit(" m. Fe 500D")))
-        .when(k == 1, "\nFix. length: 2.5; TMT bars")
-        .otherwise("\nLap length for (M35) concrete")
+        F.when(k == 0, F.concat(F.lit("Pile length = "), (c("n_chars") / 8).cast("string"), F.lit(" m. Fe 500D\n")))
+        .when(k == 1, "Fix. length: 2.5; TMT bars\n")
+        .otherwise("Lap length for (M35) concrete, HYSD bars\n")
     )
     v = L.note_values(c("note"))
-    own = ~F.upper("text").rlike(r"\b(FE\s*-?\s*\d+[A-Z]*|HYSD|TMT)\b")
-    docs = spread(t.documents, "doc_id").filter(own).select("doc_id", F.concat("text", note).alias("note"))
+    # The note comes first, so its values go before any that the text itself holds.
+    docs = spread(t.documents, "doc_id").select("doc_id", F.concat(note, "text").alias("note"))
     names = ["pile_length_m", "pile_fixity_m", "steel_grade", "lap_length_concrete_grade"]
     return docs.select("doc_id", *[v[n].alias(n) for n in names])
 

@@ -64,8 +64,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder for durable cuts.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only where
-    neither that nor an earlier call set one (tests, a laptop) is a local one used.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Only on one machine
+    (tests, a laptop), where neither that nor an earlier call set one, a local one is
+    used; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -75,6 +76,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spanledger-checkpoint-")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()

@@ -55,6 +55,14 @@ def parse_messages(raw: DataFrame, body: str) -> DataFrame:
     )
 
 
+def known(messages: DataFrame) -> DataFrame:
+    """Messages that a phone sent; bodies without one (phone ``unknown``) and unsupported kinds are no part of a session."""
+    phone, kind = F.col("phone").cast("string"), F.col("type")
+    return messages.filter(
+        phone.isNotNull() & (phone != "unknown") & kind.isNotNull() & ~kind.isin("unknown", "unsupported")
+    )
+
+
 def deduplicate(messages: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
     """Drop repeated messages; the watermark bounds how long a key is remembered."""
     return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
@@ -62,7 +70,7 @@ def deduplicate(messages: DataFrame, key: str, ts: str, delay: str = "1 day") ->
 
 def sessions_batch(messages: DataFrame, phone: str, order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The session machine over a table of messages (msg_id, type, content)."""
-    return fold(messages, [phone], order, machine.run, machine.OUTPUT, chunk_rows)
+    return fold(known(messages.withColumnRenamed(phone, "phone")), ["phone"], order, machine.run, machine.OUTPUT, chunk_rows).withColumnRenamed("phone", phone)
 
 
 class SessionProcessor(StatefulProcessor):
@@ -90,7 +98,7 @@ def sessions_stream(messages: DataFrame, phone_type: str = "bigint") -> DataFram
     The rows of one phone within a micro-batch are applied in (ts, msg_id) order.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    return messages.groupBy("phone").transformWithStateInPandas(
+    return known(messages).groupBy("phone").transformWithStateInPandas(
         statefulProcessor=SessionProcessor(),
         outputStructType=f"phone {phone_type}, {machine.OUTPUT}",
         outputMode="Append",

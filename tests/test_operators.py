@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanledger.operators import forms, labels, rules, schedule
+from spanledger.operators import forms, geometry, labels, rules, schedule
 from spanledger.operators.issues import passthrough
 from spanledger.streaming import machine
+from spanledger.streaming.intake import sessions_batch
 
 SHEETS = "drawing_id long, xmin double, ymin double, xmax double, ymax double"
 TEXTS = "drawing_id long, text string, x double, y double, from_block boolean, ord long"
@@ -144,3 +145,29 @@ def test_passthrough_and_check_log(spark, tmp_path):
     for _ in range(2):
         forms.append_check_log(issues, sessions, "k", str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_corrections_write_the_whole_value(spark):
+    long = "Pier cracks near the bearing. " * 8
+    cells = "k int, sheet string, cell string, value string"
+    expected = spark.createDataFrame([(1, "Appendix-A", "C9", long)], "k int, sheet string, cell string, expected string")
+    actual = spark.createDataFrame([(1, "Appendix-A", "C9", "-")], cells)
+    issues = forms.lost_inputs(expected, actual, "k")
+    assert issues.first()["expected"] == long[:120]
+    assert forms.corrected_cells(actual, issues, "k").first()["value"] == long.strip()
+
+
+def test_cut_marks_look_at_any_distance_and_need_a_pilecap(spark):
+    marks = spark.createDataFrame([(k, 1, "A", 0.0, 0.0) for k in (1, 2)], "k int, mid int, letter string, x double, y double")
+    sheets = "k int, ord int, x double, y double, components array<string>"
+    labels = spark.createDataFrame([(k, 1, 9000.0, 0.0, ["pile"]) for k in (1, 2)], sheets)
+    caps = spark.createDataFrame([(1, 1, 0.0, 1.0, 0.0, 1.0)], "k int, ord int, xmin double, xmax double, ymin double, ymax double")
+    got = geometry.cut_mark_component(marks, labels, caps, "k", 100.0).collect()
+    assert [(r["k"], r["vote"]) for r in got] == [(1, "pile")]
+
+
+def test_unknown_messages_open_no_session(spark):
+    rows = [(1, "unknown", 1, "text", "hi"), (2, "p", 2, "unknown", None), (3, "p", 3, "unsupported", "hi"), (4, "p", 4, "text", "hi")]
+    messages = spark.createDataFrame(rows, "msg_id long, phone string, ts int, type string, content string")
+    got = sessions_batch(messages, "phone", ["ts"]).collect()
+    assert [(r["msg_id"], r["session_no"]) for r in got] == [(4, 1)]

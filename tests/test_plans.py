@@ -129,3 +129,22 @@ def test_top_row_is_pruned_before_the_shuffle(spark):
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = scan.first_per(li, ["l_partkey"], ["l_orderkey", "l_linenumber"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+@pytest.mark.parametrize("key", ["s", "d", "h", "o", "w", "p", "f", "low", "node", "u", "cx", "first", "x0"])
+def test_key_names_do_not_meet_inner_columns(spark, key):
+    pts, df = cloud(spark, 20)
+    named = df.withColumnRenamed("s", key)
+    ids = lambda out: sorted(r["id"] for r in out.select("id", key).collect())
+    assert ids(grid.gap_clusters(named, [key], 60.0, "id")) == [p[0] for p in pts]
+    assert ids(grid.two_nearest(named, [key], "id")) == [p[0] for p in pts]
+    assert ids(grid.keep_first_apart(named, [key], "id", 80.0)) == ids(
+        grid.keep_first_apart(df, ["s"], "id", 80.0).withColumnRenamed("s", key)
+    )
+
+
+def test_nearest_has_no_limit(spark):
+    points = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "a", 9000.0, 5.0), (3, "b", 1.0, 1.0)], "id int, k string, x double, y double")
+    anchors = spark.createDataFrame([(7, "a", 1.0, 1.0), (8, "a", 2.0, 2.0)], "ord int, k string, x double, y double")
+    got = grid.nearest(points, anchors.withColumn("name", F.col("ord")), ["k"], "id", 4.0, ["name"], "ord").collect()
+    assert {(r["id"], r["name"]) for r in got} == {(1, 7), (2, 8)}

@@ -1 +1 @@
-
+"""Readers with explicit schemas for the tables and records the operators work on."""

@@ -3,16 +3,24 @@
 A fold needs the state left by all earlier rows of its key. Keys of ordinary size
 are hashed to partitions, sorted there, and folded as the rows stream by, many keys
 per task and with one state in memory. A key with more than ``chunk_rows`` rows is
-cut into chunks that run side by side: every chunk is folded from a guess of the
-state it starts with; then the state each chunk ended with is handed to the next
-one, and only the chunks whose start was guessed wrong are folded again, until no
-start changes. The result is that of a plain fold. States that forget their past
-(menus, anchors, short windows) settle after two or three rounds.
+cut into chunks that run side by side.
+
+Where the state has a finite control part (``Relative``), every chunk is folded once
+from each control state it might start with, which soon fall together, and gives a
+small map from start to end. Going through the maps of a key, one row per chunk, then
+gives every chunk's true start. The number of jobs does not depend on the chunks.
+
+Without one, every chunk is folded from a guess; then the state each chunk ended with
+is handed to the next one, and only the chunks whose start was guessed wrong are
+folded again, until no start changes. States that forget their past (anchors, short
+windows) settle after two or three rounds. The result is that of a plain fold either way.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +36,22 @@ Columns = dict[str, np.ndarray]
 Step = Callable[[Columns, str | None], tuple[Columns, str]]
 
 
+@dataclass(frozen=True)
+class Relative:
+    """A state split into a finite control part and what is only counted or set.
+
+    ``controls`` are all control states as text, ``control_of`` gives that of a saved
+    state (None at the start of a key), ``start_from`` a saved state of a control with
+    everything else unknown, and ``after`` the state that follows ``before`` once the
+    rows were folded that led from such a start to ``effect``.
+    """
+
+    controls: list[str]
+    control_of: Callable[[str | None], str]
+    start_from: Callable[[str], str]
+    after: Callable[[str | None, str], str]
+
+
 def _segments(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Where a new key starts within a batch (the first row always counts)."""
     new = np.zeros(len(pdf), dtype=bool)
@@ -57,7 +81,7 @@ def _walk(batches: Iterator[pd.DataFrame], keys: list[str], step: Step):
             last = key
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, output: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, output: str, chunk_rows: int = CHUNK_ROWS, relative: Relative | None = None) -> DataFrame:
     """Fold the rows of each key in order.
 
     ``step(columns, state)`` gets consecutive rows of one key as arrays and the state
@@ -117,6 +141,45 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, output: s
         ready = sorted_by(placed.join(starts, group), group, ["__pos"])
         return ready.mapInPandas(ends_of(group), f"{schema(group)}, __end string")
 
+    def maps(batches):
+        """The end of each chunk for every control it might start with."""
+        last, effects = None, {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            bounds = [*_segments(pdf, group).tolist(), len(pdf)]
+            done = []
+            for i, j in zip(bounds, bounds[1:]):
+                key = tuple(cols[k][i] for k in group)
+                if key != last:
+                    if last is not None:
+                        done.append((*last, json.dumps(effects)))
+                    effects, last = {c: relative.start_from(c) for c in relative.controls}, key
+                now = {c: relative.control_of(e) for c, e in effects.items()}
+                part = {c: v[i:j] for c, v in cols.items()}
+                ends = {c: step(part, relative.start_from(c))[1] for c in set(now.values())}
+                effects = {c: relative.after(e, ends[now[c]]) for c, e in effects.items()}
+            if done:
+                yield pd.DataFrame(done, columns=[*group, "__end"])
+        if last is not None:
+            yield pd.DataFrame([(*last, json.dumps(effects))], columns=[*group, "__end"])
+
+    def chain(pdf):
+        """The state at the start of each chunk of one key."""
+        pdf, state, starts = pdf.sort_values("__chunk"), None, []
+        for text in pdf["__end"]:
+            starts.append(state)
+            state = relative.after(state, json.loads(text)[relative.control_of(state)])
+        return pdf.assign(__state=pd.Series(starts, index=pdf.index, dtype=object))[[*group, "__state"]]
+
+    if relative:
+        known = sorted_by(placed, group, ["__pos"]).mapInPandas(maps, f"{schema(group)}, __end string")
+        starts = known.groupBy(*keys).applyInPandas(chain, f"{schema(group)}, __state string")
+        ready = sorted_by(placed.join(durable(starts), group), group, ["__pos"])
+        chunked = ready.mapInPandas(rows_of(group), f"{schema(keys)}, {output}")
+        return plain(df.join(hot, keys, "left_anti")).unionByName(chunked)
+
     starts = durable(placed.select(*group).distinct().withColumn("__state", F.lit(None).cast("string")))
     known = durable(ends(starts))
     over = Window.partitionBy(*keys).orderBy("__chunk")

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from spanledger.plans.fold import CHUNK_ROWS, fold
+from spanledger.plans.fold import CHUNK_ROWS, Relative, fold
 from spanledger.session import ROCKSDB_PROVIDER, checkpoint_root
 from spanledger.streaming import machine
 
+#: Messages of a phone that one step of the stream writes out together.
+PIECE_ROWS = 10_000
+
 # The part of a webhook body that is read.
 PAYLOAD = (
     "struct<entry:array<struct<changes:array<struct<value:struct<messages:array<struct<"
@@ -70,7 +73,9 @@ def deduplicate(messages: DataFrame, key: str, ts: str, delay: str = "1 day") ->
 
 def sessions_batch(messages: DataFrame, phone: str, order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The session machine over a table of messages (msg_id, type, content)."""
-    return fold(known(messages.withColumnRenamed(phone, "phone")), ["phone"], order, machine.run, machine.OUTPUT, chunk_rows).withColumnRenamed("phone", phone)
+    relative = Relative(machine.controls(), machine.control_of, machine.start_from, machine.after)
+    rows = known(messages.withColumnRenamed(phone, "phone"))
+    return fold(rows, ["phone"], order, machine.run, machine.OUTPUT, chunk_rows, relative).withColumnRenamed("phone", phone)
 
 
 class SessionProcessor(StatefulProcessor):
@@ -81,12 +86,14 @@ class SessionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "msg_id"])
-        before = self.saved.get()[0] if self.saved.exists() else None
-        done, after = machine.run({c: batch[c].to_numpy() for c in ("msg_id", "type", "content")}, before)
-        self.saved.update((after,))
-        out = pd.DataFrame(done).astype({"photo_num": "Int32"})
-        out.insert(0, "phone", key[0])
-        yield out
+        state = self.saved.get()[0] if self.saved.exists() else None
+        for at in range(0, len(batch), PIECE_ROWS):
+            piece = batch.iloc[at : at + PIECE_ROWS]
+            done, state = machine.run({c: piece[c].to_numpy() for c in ("msg_id", "type", "content")}, state)
+            out = pd.DataFrame(done).astype({"photo_num": "Int32"})
+            out.insert(0, "phone", key[0])
+            yield out
+        self.saved.update((state,))
 
     def close(self) -> None:
         pass

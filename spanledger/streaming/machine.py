@@ -101,6 +101,43 @@ def advance(s: dict, kind: str, content: str | None) -> dict:
     return {"action": "filed", "reply": None, "category": category, "photo_num": None}
 
 
+# A session format that is not known because it was chosen before the rows at hand.
+BEFORE = "before"
+
+
+def control_of(state: str | None) -> str:
+    """What the next steps depend on; all else is counted or only passed on."""
+    s = load(state)
+    return json.dumps([s["open"], s["state"], s["details"]] if s["open"] else [False, None, False])
+
+
+def controls() -> list[str]:
+    states = [*IDLE, *(o for o in OPTIONS if o not in ("6", "7"))]
+    return [control_of(None), *(json.dumps([True, s, d]) for s in states for d in (False, True))]
+
+
+def start_from(control: str) -> str:
+    is_open, state, details = json.loads(control)
+    return save({"no": 0, "open": is_open, "state": state, "format": BEFORE, "photos": 0, "details": details})
+
+
+def after(before: str | None, effect: str) -> str:
+    """The state once the rows that led from ``start_from`` to ``effect`` follow ``before``.
+
+    A session opened meanwhile counts its own photos; else they add up.
+    """
+    b, e = load(before), load(effect)
+    same = e["no"] == 0
+    return save(
+        {
+            **e,
+            "no": b["no"] + e["no"],
+            "photos": e["photos"] + (b["photos"] if same else 0),
+            "format": b["format"] if e["format"] == BEFORE else e["format"],
+        }
+    )
+
+
 def run(cols: dict[str, np.ndarray], state: str | None) -> tuple[dict[str, list], str]:
     """Apply messages of one phone in order (columns msg_id, type, content)."""
     s = load(state)

@@ -171,3 +171,28 @@ def test_unknown_messages_open_no_session(spark):
     messages = spark.createDataFrame(rows, "msg_id long, phone string, ts int, type string, content string")
     got = sessions_batch(messages, "phone", ["ts"]).collect()
     assert [(r["msg_id"], r["session_no"]) for r in got] == [(4, 1)]
+
+
+def test_session_machine_over_many_chunks_takes_as_many_jobs_as_over_few(spark):
+    rng = np.random.default_rng(4)
+    words = ["hi", "1", "2", "3", "4", "5", "6", "7", "done", "yes", "no", "crack at pier", "new", "thanks", "exit"]
+    rows = [(k, "p" if k % 5 else "q", k, "image" if rng.random() < 0.2 else "text", str(rng.choice(words))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "msg_id long, phone string, ts int, type string, content string").repartition(2)
+    group = spark.sparkContext.statusTracker()
+    jobs, results = [], []
+    for n, chunk in enumerate([1_000_000, 600, 50]):
+        spark.sparkContext.setJobGroup(f"chunks-{n}", "")
+        got = sessions_batch(df, "phone", ["ts"], chunk).collect()
+        jobs.append(len(group.getJobIdsForGroup(f"chunks-{n}")))
+        results.append(sorted(tuple(map(str, r)) for r in got))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert results[0] == results[1] == results[2] and jobs[1] >= jobs[2] - 3
+
+
+def test_every_control_of_the_machine_is_listed():
+    rng = np.random.default_rng(5)
+    words = ["hi", "0", "1", "2", "3", "4", "5", "6", "7", "done", "yes", "no", "x", "new", "exit"]
+    state, known = None, set(machine.controls())
+    for _ in range(20_000):
+        state = machine.run({"msg_id": [1], "type": [str(rng.choice(["text", "image"]))], "content": [str(rng.choice(words))]}, state)[1]
+        assert machine.control_of(state) in known

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.rows import texts
+from spanledger.llm.rows import in_small_batches, texts
 
 GRAM = 4
 #: Messages of each language that its filter is fitted on, chosen by a hash of their id.
@@ -134,7 +134,7 @@ def learn_languages(
     Rows with a null id, text or language are left out; the sample is that of the
     smallest id hashes. At most ``MAX_LANGUAGES`` languages are possible.
     """
-    rows = messages.select(
+    rows = in_small_batches(messages).select(
         messages[id_column].cast("long").alias("id"), messages[content].cast("string").alias("content"),
         messages[language].cast("string").alias("language"),
     ).where("id IS NOT NULL AND content IS NOT NULL AND language IS NOT NULL")

@@ -47,25 +47,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """64-bit hashes of the distinct word runs of texts."""
 
-    KNOWN = 1_000_000
-
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words = words
 
     def of(self, text: str | None) -> np.ndarray:
         found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
         if not found:
             return np.zeros(0, np.uint64)
-        known = self.known
-        try:
-            hashes = np.array([known[x] for x in found], np.uint64)
-        except KeyError:
-            if len(known) > self.KNOWN:
-                known.clear()
-            for x in found:
-                if x not in known:
-                    known[x] = xxhash.xxh3_64_intdigest(x)
-            hashes = np.array([known[x] for x in found], np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
         width = min(self.words, len(found))
         out = np.full(len(found) - width + 1, width, np.uint64)
         for k in range(width):

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanledger.llm.rows import in_small_batches
+
 GOOD, BAD, OPEN = "good", "bad", "open"
 #: Characters of a short block; shares of links and of stop words.
 SHORT, MAX_LINKS, STOP_SHARE = 70, 0.33, 0.25
@@ -203,7 +205,7 @@ def page_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", sou
     the kept blocks are joined by one blank. A null or empty page, or one without
     main text, has an empty text; null ids and urls are passed on; repeated rows stay.
     """
-    rows = pages.select(
+    rows = in_small_batches(pages).select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.col(source).cast("string").alias("html"),
     )

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.rows import text_key
+from spanledger.llm.rows import in_small_batches, text_key
 
 LENGTH = 50
 GRAM = 12
@@ -254,8 +254,8 @@ def _cut(frames: Iterator[pd.DataFrame], length: int, blocks: int) -> Iterator[p
             arrays = (id_of[who], key_of[who], at[p] - first[who], width[p], part[a:b])
             yield packed(int(block[a]), PIECE, arrays, data[spread_index(at[p], width[p])].tobytes())
 
+    ids, keys, held, total = [], [], [], 0
     for frame in frames:
-        ids, keys, held, total = [], [], [], 0
         for item, key, text in zip(frame["id"], frame["key"], frame["content"], strict=True):
             body = text.encode("utf-8", "surrogatepass")
             ids.append(item)
@@ -265,8 +265,8 @@ def _cut(frames: Iterator[pd.DataFrame], length: int, blocks: int) -> Iterator[p
             if total >= BATCH:
                 yield pd.DataFrame(batch(ids, keys, held), columns=PACKED_COLUMNS)
                 ids, keys, held, total = [], [], [], 0
-        if held:
-            yield pd.DataFrame(batch(ids, keys, held), columns=PACKED_COLUMNS)
+    if held:
+        yield pd.DataFrame(batch(ids, keys, held), columns=PACKED_COLUMNS)
 
 
 class SuffixOrder:
@@ -499,7 +499,7 @@ def without_repeats(
         raise ValueError("length must be at least twice the gram")
     # One named field keeps the struct from being empty.
     carried = F.struct(F.lit(0).alias("spanledger_row"), *[messages[c] for c in others or []])
-    docs = messages.select(
+    docs = in_small_batches(messages).select(
         messages[id_column].cast("long").alias("id"), messages[content].cast("string").alias("content"),
         carried.alias("carried"),
     )

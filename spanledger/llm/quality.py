@@ -178,3 +178,60 @@ def judge_messages(messages: DataFrame, id_column: str = "id", content: str = "c
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
     )
+
+
+def oracle(table: str = "documents", id_column: str = "doc_id", content: str = "text") -> str:
+    """The verdicts of ``judge_messages`` as DuckDB SQL, rounds as a recursive query."""
+    n = len(RULES)
+    cast = ", ".join(
+        f"CASE WHEN n_words = 0 OR ({bad}) THEN -1 WHEN {good} THEN 1 ELSE 0 END" for _, bad, good in RULES
+    )
+
+    def likelihood(side: str) -> str:
+        return "*".join(
+            f"(CASE p.vote[{k}] WHEN 1 THEN {side}[{k}] WHEN -1 THEN 1-{side}[{k}] ELSE 1 END)" for k in range(1, n + 1)
+        )
+
+    posterior = f"share*{likelihood('good')}/(share*{likelihood('good')}+(1-share)*{likelihood('bad')})"
+
+    def chances(weight: str) -> str:
+        return ", ".join(
+            f"(coalesce(list_sum(list_transform(seen, lambda p: CASE WHEN p.vote[{k}]=1 THEN {weight} ELSE 0 END)),0)+1)"
+            f"/(coalesce(list_sum(list_transform(seen, lambda p: CASE WHEN p.vote[{k}]<>0 THEN {weight} ELSE 0 END)),0)+2)"
+            for k in range(1, n + 1)
+        )
+
+    return rf"""
+    WITH RECURSIVE d AS (
+        SELECT {id_column} AS id, coalesce({content}, '') AS t, regexp_extract_all(coalesce({content}, ''), '[^\x20\x09-\x0D]+') AS words,
+            list_filter(string_split(coalesce({content}, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM {table}
+    ), u AS (SELECT id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM d
+    ), w AS (
+        SELECT id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY id ORDER BY i)
+    ), twice AS (
+        SELECT id, i FROM w WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY id, a, b, c) > 1
+    ), r AS (
+        SELECT id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY id
+    ), f AS (
+        SELECT d.id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+            length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+            length(regexp_replace(t, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS n_letters,
+            len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+            len(list_distinct(words)) AS n_distinct_words, coalesce(n_repeat_words, 0) AS n_repeat_words
+        FROM d LEFT JOIN r ON r.id = d.id
+    ), v AS (SELECT *, [{cast}] AS vote FROM f
+    ), counted AS (SELECT vote, count(*)::DOUBLE AS n FROM v GROUP BY vote
+    ), patterns AS (SELECT list({{'vote': vote, 'n': n}} ORDER BY vote) AS pats FROM counted
+    ), em AS (
+        SELECT 0 AS it, {START["share"]}::DOUBLE AS share, list_value({", ".join([f"{START['on_good']}::DOUBLE"] * n)}) AS good,
+            list_value({", ".join([f"{1 - START['on_bad']}::DOUBLE"] * n)}) AS bad
+        UNION ALL
+        SELECT it + 1, (list_sum(list_transform(seen, lambda p: p.n*p.good))+1)/(list_sum(list_transform(seen, lambda p: p.n))+2),
+            list_value({chances("p.n*p.good")}), list_value({chances("p.n*(1-p.good)")})
+        FROM (SELECT it, list_transform(pats, lambda p: {{'vote': p.vote, 'n': p.n, 'good': {posterior}}}) AS seen FROM em, patterns WHERE it < {ROUNDS})
+    ), q AS (
+        SELECT p.vote AS vote, {posterior} AS posterior FROM (SELECT unnest(pats) AS p FROM patterns), (SELECT * FROM em WHERE it = {ROUNDS})
+    )
+    SELECT v.id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept
+    FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM v) v JOIN q ON q.vote = v.vote"""

@@ -7,8 +7,8 @@ from corpus_pipeline import ORACLE_SQL, run
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanledger.llm import licences, quality
 from spanledger.llm.language import identify_language, learn_languages
-from spanledger.llm import licences
 from spanledger.llm.leaks import find_cases
 from spanledger.llm.near_copies import near_copies
 from spanledger.llm.packing import pack_messages
@@ -48,6 +48,9 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ORACLES["op1_quality"] = quality.oracle()
+
+
 @query
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack_messages(messages_of(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))

@@ -13,9 +13,24 @@ from spanledger.session import checkpoint_root
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: What crosses to a Python task at once, so that long texts bound its memory too.
+BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to hand rows to Python tasks in small batches."""
+    for key, value in BATCH_SETTINGS.items():
+        if df.sparkSession.conf.get(key, None) != value:
+            df.sparkSession.conf.set(key, value)
+    return df
+
+
 def texts(messages: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
     """Only ``id`` (long) and ``content`` of the messages, whatever else they carry."""
-    return messages.select(
+    return in_small_batches(messages).select(
         messages[id_column].cast("long").alias("id"), messages[content].cast("string").alias("content")
     )
 

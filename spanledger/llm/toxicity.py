@@ -197,7 +197,7 @@ def fit(messages: list[str], toxic: list[int]) -> Tagger:
 
 
 def _probabilities(tagger: Tagger, tokens: list[list[str]], known: dict[str, float]) -> list[np.ndarray]:
-    if len(known) > 1_000_000:
+    if len(known) > 200_000:
         known.clear()
     weights = tagger.weights
     for x in tokens:
@@ -229,8 +229,8 @@ def _spans(text: str, probability: np.ndarray) -> list[dict]:
 def _tag(frames: Iterator[pd.DataFrame], tagger: Tagger) -> Iterator[pd.DataFrame]:
     known: dict[str, float] = {}
     for whole in frames:
-        for at in range(0, len(whole), 2000):
-            frame = whole.iloc[at : at + 2000]
+        for at in range(0, len(whole), 500):
+            frame = whole.iloc[at : at + 500]
             held = ["" if x is None else x for x in frame["content"]]
             found = _probabilities(tagger, [_WORD.findall(x) for x in held], known)
             rows = []

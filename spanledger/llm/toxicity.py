@@ -27,6 +27,8 @@ SAMPLE = 1500
 THRESHOLD = 0.7
 #: Tokens of a training piece, rounds of fitting, and step size.
 PIECE, ROUNDS, RATE = 64, 25, 0.5
+#: Pieces that are worked on together.
+PIECES = 4096
 #: A word part labels tokens if toxic messages hold it so much more often, and if among
 #: all parts of the sample less than so many would do so by chance.
 MIN_ODDS, BY_CHANCE = 20.0, 0.01
@@ -105,14 +107,37 @@ def _layer(rows: np.ndarray, toxic: np.ndarray) -> tuple:
     return tuple(w.tolist())
 
 
+def _gradient(rows, labels, kind, moves):
+    """Of some pieces: labels minus marginals of the real tokens, and observed minus expected moves."""
+    n, real = len(rows), rows >= 0
+    emit = np.ones((n, PIECE, 2))
+    emit[:, :, 1] = np.exp(np.clip(np.where(real, kind[rows], 0.0), -30, 30))
+    # Forward and backward over all pieces at once, labels 0 and 1; pieces start clean.
+    alpha, beta, step = np.zeros((n, PIECE, 2)), np.ones((n, PIECE, 2)), np.exp(moves)
+    for t in range(PIECE):
+        a = emit[:, t] * (np.array([[1.0, 0.0]]) @ step if t == 0 else alpha[:, t - 1] @ step)
+        alpha[:, t] = a / a.sum(axis=1, keepdims=True)
+    for t in range(PIECE - 2, -1, -1):
+        b = (emit[:, t + 1] * beta[:, t + 1]) @ step.T
+        beta[:, t] = b / b.sum(axis=1, keepdims=True)
+    p = alpha[:, :, 1] * beta[:, :, 1]
+    p /= p + alpha[:, :, 0] * beta[:, :, 0]
+    pair = alpha[:, :-1, :, None] * step * (emit * beta)[:, 1:, None, :]
+    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    inner, y = real[:, 1:], labels.astype(int)
+    seen = np.bincount((2 * y[:, :-1] + y[:, 1:])[inner], minlength=4).reshape(2, 2)
+    return (labels - p)[real], seen - pair[inner].sum(axis=0)
+
+
 def fit(messages: list[str], toxic: list[int]) -> Tagger:
     """A tagger from whole texts and their flags."""
     flags = np.array(toxic, int)
     if not len(flags) or flags.min() == flags.max():
         return Tagger()
-    tokens = [_WORD.findall(x) for x in messages]
     kinds: dict[str, int] = {}
-    ids = [np.array([kinds.setdefault(w.lower(), len(kinds)) for w in x], np.int64) for x in tokens]
+    ids = [
+        np.array([kinds.setdefault(m[0].lower(), len(kinds)) for m in _WORD.finditer(x)], np.int32) for x in messages
+    ]
     names: dict[str, int] = {}
     features = [[names.setdefault(p, len(names)) for p in parts(w)] for w in kinds]
     # Near copies mostly agree in their smallest word hash, and count once.
@@ -142,45 +167,29 @@ def fit(messages: list[str], toxic: list[int]) -> Tagger:
     for x, flag in zip(ids, flags, strict=True):
         for at in range(0, len(x), PIECE):
             part = x[at : at + PIECE]
-            pad = np.full(PIECE - len(part), -1)
-            rows.append(np.concatenate([part, pad]))
-            labels.append(np.concatenate([offending[part] & bool(flag), pad == 0]))
+            pad = PIECE - len(part)
+            rows.append(np.append(part, np.full(pad, -1, np.int32)))
+            labels.append(np.append(offending[part] & bool(flag), np.zeros(pad, bool)))
     if not rows:
         return Tagger()
-    rows, labels = np.array(rows), np.array(labels, float)
-    real = rows >= 0
-    wide = np.full((len(features), 4), len(names))
+    rows, labels = np.array(rows), np.array(labels)
+    wide = np.full((len(features), 4), len(names), np.int32)
     for k, fs in enumerate(features):
         wide[k, : len(fs)] = fs
     weights, bias, moves = np.zeros(len(names) + 1), 0.0, np.zeros((2, 2))
     heat = [np.full(len(names) + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    flat, n = rows[real], len(rows)
     for _ in range(ROUNDS):
         kind = weights[wide].sum(axis=1) + bias
-        score = np.where(real, kind[rows], 0.0)
-        # Forward and backward over all pieces at once, labels 0 and 1.
-        alpha, beta = np.zeros((n, PIECE, 2)), np.ones((n, PIECE, 2))
-        emit = np.stack([np.ones_like(score), np.exp(np.clip(score, -30, 30))], 2)
-        step = np.exp(moves)
-        for t in range(PIECE):
-            a = emit[:, t] * (np.array([[1.0, 0.0]]) @ step if t == 0 else alpha[:, t - 1] @ step)
-            alpha[:, t] = a / a.sum(axis=1, keepdims=True)
-        for t in range(PIECE - 2, -1, -1):
-            b = (emit[:, t + 1] * beta[:, t + 1]) @ step.T
-            beta[:, t] = b / b.sum(axis=1, keepdims=True)
-        both = alpha * beta
-        p = both[:, :, 1] / both.sum(axis=2)
-        pair = alpha[:, :-1, :, None] * step * (emit * beta)[:, 1:, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        inner = real[:, 1:]
-        expected = pair[inner].sum(axis=0)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (labels[:, :-1][inner].astype(int), labels[:, 1:][inner].astype(int)), 1)
-        gap = (labels - p)[real]
-        by_kind = np.bincount(flat, gap, len(features))
+        by_kind, total, by_move = np.zeros(len(features)), 0.0, np.zeros((2, 2))
+        for at in range(0, len(rows), PIECES):
+            part = rows[at : at + PIECES]
+            gap, move = _gradient(part, labels[at : at + PIECES], kind, moves)
+            by_kind += np.bincount(part[part >= 0], gap, len(features))
+            total += gap.sum()
+            by_move += move
         by_name = np.bincount(wide.ravel(), np.repeat(by_kind, 4), len(names) + 1)
         by_name[-1] = 0.0
-        for k, gradient in enumerate((by_name - 0.05 * weights, gap.sum(), seen - expected)):
+        for k, gradient in enumerate((by_name - 0.05 * weights, total, by_move)):
             heat[k] = heat[k] + gradient**2
             change = RATE * gradient / np.sqrt(heat[k])
             if k == 0:
@@ -189,9 +198,12 @@ def fit(messages: list[str], toxic: list[int]) -> Tagger:
                 bias += change
             else:
                 moves = moves + change
-    kept = {f: float(weights[k]) for f, k in names.items() if abs(weights[k]) > 1e-3}
+    kept = {f: float(weights[k]) for f, k in names.items() if abs(weights[k]) > 0.02}
     tagger = Tagger(kept, float(bias), tuple(map(tuple, moves.tolist())), fitted=True)
-    found = [_summary(p) for p in _probabilities(tagger, tokens, {})]
+    odds = np.exp(np.clip(weights[wide].sum(axis=1) + bias, -30, 30))
+    found = []
+    for x in ids:
+        found.append(_summary(marginals(odds[x], np.array([len(x)]), tagger.moves)))
     tagger.layer = _layer(np.array(found), flags.astype(float))
     return tagger
 

@@ -5,7 +5,10 @@ several trees; each tree orders all sets by their hashes as a sequence of levels
 that agree in a long prefix of an order are likely similar, so the next neighbours in
 each order are the candidates, down to a common prefix of ``MIN_DEPTH`` levels. How
 deep neighbours really agree adapts to the region: where many sets are alike, the
-next ones share many levels; elsewhere few do.
+next ones share many levels; elsewhere few do. In a region that holds more sets than
+neighbours are looked at, each set also meets the region's hub, the set with the most
+copies, at a shallow and at a deep level: what is edited from one text is linked
+through it even where all copies of that text are far away in the order.
 
 Equal sets are one class from the start, so copies are never paired with each other.
 Candidates are confirmed on the full sets. The most promising pair of each set comes
@@ -32,7 +35,9 @@ TREES, DEPTH, MIN_DEPTH = 24, 8, 3
 AHEAD = 3
 
 SIGNED = "id long, key long, set_key binary, n_shingles long, signature binary"
-NEAR = "a binary, b binary, depth int, tree int, branch binary, size long"
+NEAR = "a binary, b binary, depth int, tree int, branch binary, size long, copies long"
+#: Levels of a region with a hub; marks the hub rows of a stretch's first and last region.
+HUB_DEPTHS, HUB = (MIN_DEPTH, 5), -1
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MULTIPLY = np.random.default_rng(3).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,42 +93,81 @@ def _sign(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _pairs(frame, i, j, depth, percent: int) -> pd.DataFrame:
+    """Rows i and j as candidates if they agree deep enough and their sizes allow the similarity."""
+    item, size = frame["set_key"].to_numpy(), frame["size"].to_numpy()
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    ok = (depth >= MIN_DEPTH) & (100 * small >= percent * large) & (i != j)
+    out = pd.DataFrame({"a": item[i[ok]], "b": item[j[ok]], "depth": depth[ok]})
+    for name in ("tree", "branch", "size", "copies"):
+        out[name] = None
+    return out
+
+
+def _shared(frame, levels, i, j) -> np.ndarray:
+    tree = frame["tree"].to_numpy()
+    same = (levels[i] == levels[j]) & (tree[i] == tree[j])[:, None]
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+
 def _near(frames: Iterator[pd.DataFrame], percent: int, edges: bool) -> Iterator[pd.DataFrame]:
-    """Neighbours in one stretch of the sorted orders; with ``edges`` also its first and last rows."""
+    """Candidates in one stretch of the sorted orders.
+
+    With ``edges`` also its first and last rows, and the hubs of its first and last
+    region, which may go on in the neighbouring stretches.
+    """
     carry, first = None, None
-    for frame in frames:
-        if not len(frame):
+    hubs: dict[int, pd.DataFrame | None] = dict.fromkeys(HUB_DEPTHS)
+    first_hub = None
+    for part in frames:
+        if not len(part):
             continue
-        frame = frame if carry is None else pd.concat([carry, frame], ignore_index=True)
+        frame = part if carry is None else pd.concat([carry, part], ignore_index=True)
         new = 0 if carry is None else len(carry)
         carry = frame.tail(AHEAD)
         first = frame.head(AHEAD) if first is None or len(first) < AHEAD else first
-        tree, item, size = (frame[x].to_numpy() for x in ("tree", "set_key", "size"))
         levels = np.frombuffer(b"".join(frame["branch"]), np.uint16).reshape(-1, DEPTH)
         for step in range(1, AHEAD + 1):
             i = np.arange(max(0, new - step), len(frame) - step)
-            same = (levels[i] == levels[i + step]) & (tree[i] == tree[i + step])[:, None]
-            depth = np.logical_and.accumulate(same, axis=1).sum(axis=1)
-            small, large = np.minimum(size[i], size[i + step]), np.maximum(size[i], size[i + step])
-            ok = (depth >= MIN_DEPTH) & (100 * small >= percent * large)
-            out = pd.DataFrame({"a": item[i[ok]], "b": item[i[ok] + step], "depth": depth[ok]})
-            out["tree"], out["branch"], out["size"] = None, None, None
-            yield out
+            yield _pairs(frame, i, i + step, _shared(frame, levels, i, i + step), percent)
+
+        # The hub so far of a region that began in an earlier frame stands before the new rows.
+        for depth in HUB_DEPTHS:
+            held = hubs[depth]
+            rows = part if held is None else pd.concat([held, part], ignore_index=True)
+            levels = np.frombuffer(b"".join(rows["branch"]), np.uint16).reshape(-1, DEPTH)
+            k = np.arange(1, len(rows))
+            starts = np.concatenate([[0], k[_shared(rows, levels, k - 1, k) < depth]])
+            size = np.diff(np.append(starts, len(rows)))
+            copies = rows["copies"].to_numpy()
+            region = np.repeat(np.arange(len(starts)), size)
+            best = np.lexsort((-copies, region))[starts]
+            hubs[depth] = rows.iloc[[best[-1]]]
+            if first_hub is None and depth == MIN_DEPTH:
+                first_hub = rows.iloc[[best[0]]]
+            wide = np.flatnonzero(size[region] > AHEAD + 1)
+            hub = best[region[wide]]
+            yield _pairs(rows, wide, hub, _shared(rows, levels, wide, hub), percent)
     if edges and carry is not None:
         out = pd.concat([first, carry]).rename(columns={"set_key": "a"})
         out["b"], out["depth"] = None, None
-        yield out[["a", "b", "depth", "tree", "branch", "size"]]
+        ends = pd.concat([first_hub, hubs[MIN_DEPTH]]).rename(columns={"set_key": "a"})
+        ends["branch"] = [x[: 2 * MIN_DEPTH] for x in ends["branch"]]
+        ends["b"], ends["depth"] = None, HUB
+        for rows in (out, ends):
+            yield rows[["a", "b", "depth", "tree", "branch", "size", "copies"]]
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of neighbouring sets and score, the levels they share over all orders.
 
-    ``sets`` has set_key, n_shingles and signature, one row per distinct set. A range
-    partition splits even a region that most sets fall into; the few rows at the
-    ends of the stretches are then compared once more across the cuts.
+    ``sets`` has set_key, n_shingles, copies and signature, one row per distinct set.
+    A range partition splits even a region that most sets fall into; the few rows at
+    the ends of the stretches are then compared once more across the cuts, and the
+    hubs of regions that were cut meet all sets of these.
     """
     branches = sets.select(
-        "set_key", F.col("n_shingles").alias("size"),
+        "set_key", F.col("n_shingles").alias("size"), "copies",
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(TREES - 1)),
@@ -133,14 +177,25 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
                 ),
             )
         ).alias("t"),
-    ).select(F.col("t.tree").alias("tree"), F.col("t.branch").alias("branch"), "set_key", "size")
+    ).select(F.col("t.tree").alias("tree"), F.col("t.branch").alias("branch"), "set_key", "size", "copies")
     order = ["tree", "branch", "set_key"]
     ranged = branches.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ranged.mapInPandas(lambda frames: _near(frames, percent, True), NEAR), "near-sets")
-    ends = found.where("b IS NULL").select("tree", "branch", F.col("a").alias("set_key"), "size")
+    ends = found.where("depth IS NULL").select("tree", "branch", F.col("a").alias("set_key"), "size", "copies")
     ends = ends.distinct().repartition(1).sortWithinPartitions(*order)  # 2 * AHEAD rows per task
     across = ends.mapInPandas(lambda frames: _near(frames, percent, False), NEAR)
-    pairs = found.where("b IS NOT NULL").unionByName(across)
+
+    hubs = found.where(F.col("depth") == HUB).groupBy("tree", F.col("branch").alias("region")).agg(
+        F.max_by(F.struct("a", "size"), F.struct("copies", "a")).alias("hub"), F.count("*").alias("n")
+    )
+    # At most two rows per task; a region within one task has met its hub there.
+    hubs = F.broadcast(hubs.where("n > 1").select("tree", "region", F.col("hub.a").alias("a"), F.col("hub.size").alias("hub_size")))
+    cut = branches.withColumn("region", F.substring("branch", 1, 2 * MIN_DEPTH)).join(hubs, ["tree", "region"])
+    fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    cut = cut.where(fits & (F.col("a") != F.col("set_key")))
+    cut = cut.select("a", F.col("set_key").alias("b"), F.lit(MIN_DEPTH).alias("depth"))
+
+    pairs = found.where("b IS NOT NULL").unionByName(across).select("a", "b", "depth").unionByName(cut)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth")
     return pairs.groupBy("a", "b").agg(F.sum("depth").alias("score"))
 
@@ -192,6 +247,7 @@ def near_copies(
     sets = stored(
         known.groupBy("set_key").agg(
             F.min(F.struct("id", "key")).alias("first"),
+            F.count("*").alias("copies"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"),
         ),

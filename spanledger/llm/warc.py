@@ -197,7 +197,13 @@ def captures(records: DataFrame) -> DataFrame:
     named = joined.select(
         F.col("capture_id").alias("named"), F.col("metadata.page_id").alias("refers_to_page")
     ).where("named IS NOT NULL")
-    return joined.join(named, joined["response.refers_to"] == named["named"], "left").drop("named")
+    # Captures that revisit nothing look up themselves, so they do not meet in one task.
+    refers = F.col("response.refers_to")
+    joined = joined.withColumn("looked_up", F.coalesce(refers, "capture_id"))
+    found = joined.join(named, joined["looked_up"] == named["named"], "left")
+    return found.select(
+        "capture_id", "request", "response", "metadata", F.when(refers.isNotNull(), F.col("refers_to_page")).alias("refers_to_page")
+    )
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:

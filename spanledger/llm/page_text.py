@@ -65,24 +65,35 @@ _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 
 
-def _set_apart(tag: str, attributes: str) -> bool:
-    """Whether an element holds menus, adverts, notices, forms or comments."""
-    if tag in APART:
-        return True
+#: How an element is set apart: not, by its names, by what it is.
+NOT, NAMED, KIND = 0, 1, 2
+
+
+def _set_apart(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether an element holds menus, adverts, notices, forms or comments.
+
+    The header of a main section is its title, and a page's body is never set apart.
+    """
+    if tag == "body":
+        return NOT
+    if tag in APART and not (tag == "header" and in_main):
+        return KIND
     for name, value in _NAMES.findall(attributes) if attributes else ():
         words = set(re.split(r"[^a-z]+", value.lower()))
-        if words & (ROLES if name.lower() == "role" else MARKS):
-            return True
-    return "hidden" in attributes and bool(re.search(r"""(?<![\w"'=-])hidden(?![\w-])""", attributes))
+        if words & (ROLES if name.lower() == "role" else MARKS - {"header"} if in_main else MARKS):
+            return NAMED
+    hidden = "hidden" in attributes and re.search(r"""(?<![\w"'=-])hidden(?![\w-])""", attributes)
+    return KIND if hidden else NOT
 
 
 class Block:
     """Text between two block elements, and where it stands."""
 
-    __slots__ = ("text", "linked", "apart", "main", "heading", "label")
+    __slots__ = ("text", "linked", "apart", "around", "main", "heading", "label")
 
-    def __init__(self, text: str, linked: int, apart: bool, main: int, heading: bool):
-        self.text, self.linked, self.apart, self.main, self.heading = text, linked, apart, main, heading
+    def __init__(self, text: str, linked: int, apart: bool, around: bool, main: int, heading: bool):
+        self.text, self.linked, self.apart, self.around = text, linked, apart, around
+        self.main, self.heading = main, heading
         self.label = OPEN
 
 
@@ -91,7 +102,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, set apart, number of the main section
+    stack: list[tuple[str, int, int]] = []  # element, set apart, number of the main section
     in_link, sections, at = 0, 0, 0
 
     def close() -> None:
@@ -99,9 +110,12 @@ def blocks_of(page: str) -> list[Block]:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             inside = _SPACE.sub(" ", html.unescape("".join(linked))).strip()
-            main = next((m for _, _, m in reversed(stack) if m), 0)
+            inner = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][2]), None)
+            main = stack[inner][2] if inner is not None else 0
+            apart = any(x == KIND or x and k >= (inner or 0) for k, (_, x, _) in enumerate(stack))
+            around = any(x == NAMED for _, x, _ in stack[: inner or 0])
             heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
-            out.append(Block(text, len(inside), any(x for _, x, _ in stack), main, heading))
+            out.append(Block(text, len(inside), apart, around, main, heading))
         parts, linked = [], []
 
     def add(text: str) -> None:
@@ -128,7 +142,7 @@ def blocks_of(page: str) -> list[Block]:
                     sections += 1
                     main = sections
                 if not token[4].endswith("/"):
-                    stack.append((tag, _set_apart(tag, token[4]), main))
+                    stack.append((tag, _set_apart(tag, token[4], any(x[2] for x in stack)), main))
             elif any(x[0] == tag for x in stack):
                 while stack.pop()[0] != tag:
                     pass
@@ -142,6 +156,10 @@ def blocks_of(page: str) -> list[Block]:
 def classify(blocks: list[Block]) -> None:
     """Label every block good or bad, in place."""
     has_main = any(b.main and not b.apart for b in blocks)
+    # Names of elements around a main section count only if another one has none around it.
+    if any(b.main and not b.apart and not b.around for b in blocks):
+        for b in blocks:
+            b.apart = b.apart or b.around
     for b in blocks:
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words)

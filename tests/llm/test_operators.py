@@ -394,6 +394,11 @@ def test_page_text(spark):
     assert main_text(plain)[0].endswith("on the road. Soon")
     assert main_text("<article><p>Kurz</p></article>")[0] == "Kurz"
     assert main_text("<article><p>a &lt;b&gt; &nbsp; c<script>x<y</script> d")[0] == "a <b> c d"
+    wrapped = '<body class="has-sidebar"><div class="ad-wrap"><article><header><h1>Pier</h1></header><p>Long.</p></article></div></body>'
+    assert main_text(wrapped)[0] == "Pier Long."
+    replies = '<article><p>Pier</p></article><section id="comments"><article><p>Me too.</p></article></section>'
+    assert main_text(replies)[0] == "Pier"
+    assert main_text('<header class="top"><p>Site</p></header><main><p>Pier</p><div class="related">More</div></main>')[0] == "Pier"
     long_page = "<article>" + "<p>word of the day</p>" * 20_000
     rows = [(1, "u", PAGE), (None, None, None), (2, "u", ""), (1, "u", PAGE), (3, "u", long_page)]
     got = page_texts(pages(spark, rows)).collect()

@@ -148,9 +148,9 @@ def hot_keys(df: DataFrame, key: str) -> tuple[DataFrame, int] | None:
     There can be no more of them than the table has such portions of rows.
     """
     limit = hot_limit(df)
-    found = durable(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit))
+    found = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
     rows = found.agg(F.sum("__n")).first()[0]
-    return None if rows is None else (found.select(key), int(rows))
+    return None if rows is None else (durable(found.select(key)), int(rows))
 
 
 def ordered_scan(

@@ -36,6 +36,12 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
         self._read: dict[str, DataFrame] = {}
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """An input that several checks of a query share, planned once so its shuffles are reused."""
+        if f".{name}" not in self._read:
+            self._read[f".{name}"] = make()
+        return self._read[f".{name}"]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -76,8 +76,11 @@ def record(t):
 
 
 def expected(t):
-    long, forms = record(t)
-    return R.form_expected(long, forms, "k", R.form_map(t.spark))
+    def make():
+        long, forms = record(t)
+        return R.form_expected(long, forms, "k", R.form_map(t.spark))
+
+    return t.once("expected", make)
 
 
 @query("form_expected", f"WITH {RECORD_SQL} SELECT k, sheet, cell, expected FROM exp WHERE expected IS NOT NULL")

@@ -299,7 +299,21 @@ def cut_mark_component(t):
     return G.cut_mark_component(marks, labels, caps, "sheet", 500.0)
 
 
-@query("ring_regions")
+@query(
+    "ring_regions",
+    f"""WITH RECURSIVE {RECTS}, l AS (SELECT id AS lid, sheet, CASE WHEN id%3=0 THEN 'pilecap' ELSE 'pier' END AS component, x, y FROM p WHERE id%40=0),
+    g AS (SELECT sheet, 'pilecap' AS component, (xmin+xmax)/2 AS rx, (ymin+ymax)/2 AS ry FROM r WHERE id%120=0),
+    f AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.sheet=l.sheet AND g.component=l.component AND (rx-l.x)**2+(ry-l.y)**2<9e6)),
+    d AS (SELECT f.lid, f.sheet, f.component, f.x AS lx, f.y AS ly, p.id, p.x, p.y FROM f JOIN p ON p.sheet=f.sheet WHERE (p.x-f.x)**2+(p.y-f.y)**2<9e6),
+    e AS (SELECT a.lid, a.id AS u, b.id AS v FROM d a JOIN d b ON a.lid=b.lid WHERE (a.x-b.x)**2+(a.y-b.y)**2<=490000),
+    n(lid, id, root) AS (SELECT lid, id, id FROM d UNION SELECT e.lid, e.v, n.root FROM n JOIN e ON e.lid=n.lid AND e.u=n.id WHERE n.root<e.v),
+    m AS (SELECT lid, id, min(root) AS cluster FROM n GROUP BY 1,2),
+    k AS (SELECT sheet, lid, component, cluster, min(lx) AS lx, min(ly) AS ly, avg(x) AS mx, avg(y) AS my, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, count(*) AS dots
+      FROM d JOIN m USING (lid, id) GROUP BY 1,2,3,4 HAVING count(*)>=8),
+    b AS (SELECT *, xmax-xmin AS w, ymax-ymin AS h FROM k QUALIFY row_number() OVER (PARTITION BY lid ORDER BY (mx-lx)**2+(my-ly)**2, -dots, cluster)=1)
+    SELECT sheet, lid, component, xmin, ymin, xmax, ymax, dots FROM b WHERE w>0 AND h>0 AND component =
+      CASE WHEN w/h>1.5 AND w BETWEEN 1000 AND 15000 AND h>=200 THEN 'pilecap' WHEN w/h BETWEEN 0.6 AND 1.6 AND w BETWEEN 300 AND 6000 AND h BETWEEN 300 AND 6000 THEN 'pier' END""",
+)
 def ring_regions(t):
     p = points(t)
     labels = p.filter("id % 40 = 0").select("sheet", c("id").alias("lid"), F.when(c("id") % 3 == 0, "pilecap").otherwise("pier").alias("component"), "x", "y")

@@ -7,7 +7,7 @@ from corpus_pipeline import ORACLE_SQL, run
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import licences, quality
+from spanledger.llm import licences, oracles, quality
 from spanledger.llm.language import identify_language, learn_languages
 from spanledger.llm.leaks import find_cases
 from spanledger.llm.near_copies import near_copies
@@ -49,6 +49,9 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op1_quality"] = quality.oracle()
+ORACLES["op3_near_copies"] = oracles.NEAR_COPIES
+ORACLES["op6_archives"] = oracles.ARCHIVES
+ORACLES["op9_decontamination"] = oracles.LEAKS
 
 
 @query

@@ -209,7 +209,7 @@ def fit(messages: list[str], toxic: list[int]) -> Tagger:
 
 
 def _probabilities(tagger: Tagger, tokens: list[list[str]], known: dict[str, float]) -> list[np.ndarray]:
-    if len(known) > 200_000:
+    if len(known) > 600_000:
         known.clear()
     weights = tagger.weights
     for x in tokens:

@@ -10,6 +10,11 @@ neighbours are looked at, each set also meets the region's hub, the set with the
 copies, at a shallow and at a deep level: what is edited from one text is linked
 through it even where all copies of that text are far away in the order.
 
+Regions wider than that which still hold several components are then finished: first
+every set meets the region's centre, the set that agrees most with the region's usual
+hashes, then all pairs of different components are compared. So each pair that shares
+``MIN_DEPTH`` levels of some tree is linked or was compared, however many sets are alike.
+
 Equal sets are one class from the start, so copies are never paired with each other.
 Candidates are confirmed on the full sets. The most promising pair of each set comes
 first; after that only pairs are checked whose sets are not connected yet, since all
@@ -38,6 +43,8 @@ SIGNED = "id long, key long, set_key binary, n_shingles long, signature binary"
 NEAR = "a binary, b binary, depth int, tree int, branch binary, size long, copies long"
 #: Levels of a region with a hub; marks the hub rows of a stretch's first and last region.
 HUB_DEPTHS, HUB = (MIN_DEPTH, 5), -1
+#: Sets of a block of a wide region on its two sides; about so many sets show a region's usual hashes.
+CHUNK, SLICE, SAMPLE = 512, 4096, 128
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MULTIPLY = np.random.default_rng(3).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -200,6 +207,128 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("depth").alias("score"))
 
 
+def _spots(sets: DataFrame) -> DataFrame:
+    """tree, region, set_key, size and component: each set in its region of each tree."""
+    spots = sets.select(
+        "set_key", F.col("n_shingles").alias("size"), "component",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(TREES - 1)),
+                lambda t: F.struct(
+                    t.alias("tree"),
+                    F.xxhash64(t, F.substring("signature", t * (2 * DEPTH) + 1, F.lit(2 * MIN_DEPTH))).alias("region"),
+                ),
+            )
+        ).alias("t"),
+    )
+    return spots.select("t.tree", "t.region", "set_key", "size", "component")
+
+
+def _with_components(sets: DataFrame, joined: DataFrame) -> DataFrame:
+    own = joined.select(F.col("node").alias("set_key"), F.col("component").alias("in_"))
+    return sets.join(own, "set_key", "left").withColumn("component", F.coalesce("in_", "set_key")).drop("in_")
+
+
+def wide_rows(sets: DataFrame, joined: DataFrame) -> DataFrame:
+    """tree, region, set_key and size of all sets of wide regions with several components."""
+    spots = _spots(_with_components(sets, joined))
+    component = F.xxhash64("component")
+    wide = spots.groupBy("region").agg(
+        F.count("*").alias("n"), F.min(component).alias("low"), F.max(component).alias("high")
+    ).where(F.col("n") > AHEAD + 1).where("low <> high")
+    return spots.join(wide.select("region"), "region").select("tree", "region", "set_key", "size")
+
+
+def _usual(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The most frequent hash of each place among the signatures of a region."""
+    for frame in frames:
+        out = []
+        for signatures in frame["signatures"]:
+            places = np.sort(np.frombuffer(b"".join(signatures), np.uint16).reshape(len(signatures), -1), axis=0)
+            best, most, run = places[0].copy(), np.ones(places.shape[1], int), np.ones(places.shape[1], int)
+            for before, row in zip(places, places[1:], strict=False):
+                run = np.where(row == before, run + 1, 1)
+                best, most = np.where(run > most, row, best), np.maximum(most, run)
+            out.append(best.astype(np.uint16).tobytes())
+        yield pd.DataFrame({"region": frame["region"], "usual": out})
+
+
+def _agreeing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        x, y = (np.frombuffer(b"".join(frame[k]), np.uint16).reshape(len(frame), -1) for k in ("signature", "usual"))
+        yield frame[["region", "set_key", "size"]].assign(agreeing=(x == y).sum(axis=1))
+
+
+def central_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of each set of a region and the region's centre, of different components.
+
+    ``rows`` are wide_rows with component, ``sets`` has the signatures.
+    """
+    signed = rows.join(sets.select("set_key", "signature"), "set_key")
+    n = rows.groupBy("region").agg(F.count("*").alias("n"))
+    some = signed.join(n, "region").where(F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / SAMPLE)) == 0)
+    some = some.groupBy("region").agg(F.collect_list("signature").alias("signatures"))
+    usual = some.mapInPandas(_usual, "region long, usual binary")
+    met = signed.join(usual, "region").select("region", "set_key", "size", "signature", "usual")
+    met = met.mapInPandas(_agreeing, "region long, set_key binary, size long, agreeing long")
+    centre = met.groupBy("region").agg(F.max_by(F.struct("set_key", "size"), F.struct("agreeing", "set_key")).alias("c"))
+    other = rows.select("region", F.col("set_key").alias("a"), F.col("component").alias("a_in"))
+    centre = centre.select("region", F.col("c.set_key").alias("a"), F.col("c.size").alias("a_size")).join(other, ["region", "a"])
+    fits = 100 * F.least("size", "a_size") >= percent * F.greatest("size", "a_size")
+    pairs = rows.join(centre, "region").where(fits & (F.col("a_in") != F.col("component")))
+    return pairs.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct()
+
+
+def _block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Candidates of one block: its held sets with all others, of different components.
+
+    Signatures leave out what is six standard deviations below the similarity. A pair
+    is given in the first tree whose region it shares.
+    """
+    held, met = frame[frame["held"]].reset_index(drop=True), frame[~frame["held"]].reset_index(drop=True)
+    out = pd.DataFrame({"a": [], "b": []}, dtype=object)
+    if not len(held) or not len(met):
+        return out
+    tree, n, share = frame["tree"].iloc[0], TREES * DEPTH, percent / 100
+    least = n * share - 6 * (n * share * (1 - share)) ** 0.5
+    x, y = (np.frombuffer(b"".join(f["signature"]), np.uint16).reshape(len(f), n) for f in (held, met))
+    keys, sizes, own = met["set_key"].to_numpy(), met["size"].to_numpy(), met["component"].to_numpy()
+    a, b = [], []
+    for k, (key, size, component) in enumerate(zip(held["set_key"], held["size"], held["component"], strict=True)):
+        ok = (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (own != component)
+        at = np.flatnonzero(ok)
+        at = at[(y[at] == x[k]).sum(axis=1) >= least]
+        if len(at):
+            levels = (y[at] == x[k]).reshape(-1, TREES, DEPTH)[:, :, :MIN_DEPTH].all(axis=2)
+            at = at[levels.any(axis=1) & (levels.argmax(axis=1) == tree)]
+            a += [min(key, keys[j]) for j in at]
+            b += [max(key, keys[j]) for j in at]
+    return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+
+def remaining_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of all sets of one region and of different components.
+
+    Sets outside a region's largest component are held in chunks and met by slices of
+    all its sets; each chunk and slice is one block, so no region is one task.
+    """
+    parts = rows.groupBy("region", "component").agg(F.count("*").alias("k"))
+    parts = parts.groupBy("region").agg(
+        F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main")
+    ).where("n > most")
+    chunks, slices = F.ceil((F.col("n") - F.col("most")) / CHUNK), F.ceil(F.col("n") / SLICE)
+    parts = parts.select("region", "main", chunks.alias("chunks"), slices.alias("slices"))
+    spots = rows.join(parts, "region").withColumn("h", F.xxhash64("set_key"))
+    held = spots.where("component <> main").withColumn("held", F.lit(True)).withColumn("chunk", F.pmod("h", "chunks"))
+    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    met = spots.withColumn("held", F.lit(False)).withColumn("slice", F.pmod("h", "slices"))
+    met = met.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    names = ["region", "chunk", "slice", "held", "tree", "set_key", "size", "component"]
+    both = held.select(*names).unionByName(met.select(*names)).join(sets.select("set_key", "signature"), "set_key")
+    found = both.groupBy("region", "chunk", "slice").applyInPandas(lambda f: _block(f, percent), "a binary, b binary")
+    return found.distinct()
+
+
 def _confirm(frames: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
     shingles, last = Shingles(words), {}
     for frame in frames:
@@ -254,9 +383,13 @@ def near_copies(
         "distinct-sets",
     )
     pairs = stored(candidates(sets, percent), "set-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(sets, "set_key")
-    nodes = nodes.select("set_key", "first.id", "first.key").hint("merge")
-    sources = stored(docs.join(nodes, ["id", "key"]).select("set_key", "content").dropDuplicates(["set_key"]), "pair-texts")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(sets, "set_key")
+        nodes = nodes.select("set_key", "first.id", "first.key").hint("merge")
+        return stored(docs.join(nodes, ["id", "key"]).select("set_key", "content").dropDuplicates(["set_key"]), "pair-texts")
+
+    sources = texts_of(pairs)
 
     # The best partner of each set first, then what still crosses components.
     ends = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("node"))
@@ -272,6 +405,15 @@ def near_copies(
     links = links.unionByName(confirmed(rest, sources, words, percent))
     joined = stored(components(links), "set-components")
 
+    # What is left in wide regions: through their centres first, then pair by pair.
+    rows = stored(wide_rows(sets, joined), "wide-rows")
+    for more in (central_pairs, remaining_pairs):
+        pairs = stored(more(_with_components(rows, joined), sets, percent), "wide-pairs")
+        if not pairs.isEmpty():
+            links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = links.unionByName(confirmed(pairs, texts_of(pairs), words, percent))
+            joined = stored(components(links), "set-components")
+
     members = sets.join(joined, sets["set_key"] == joined["node"], "left").select(
         "set_key", F.col("first.id").alias("own"), F.coalesce("component", "set_key").alias("component")
     )

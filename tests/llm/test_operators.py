@@ -154,6 +154,31 @@ def test_near_copies_equal_all_pairs(spark, n):
     assert near_copies(messages(spark, [])).count() == 0
 
 
+def edits(rng, words, name, n, changed):
+    """``n`` different edits of a text, each with ``changed`` of its words replaced."""
+    for k in range(n):
+        own = list(words)
+        for j, at in enumerate(rng.sample(range(len(words)), changed)):
+            own[at] = f"{name}x{k}x{j}"
+        yield " ".join(own)
+
+
+def test_near_copies_of_a_text_that_itself_has_one_copy(spark):
+    # All sets differ; edits of one text share about 0.86 with it and 0.74 with each other.
+    rng = random.Random(5)
+    first = prose(rng, 200).split()
+    second = first[:160] + prose(rng, 40).split()
+    rows = [(k, t) for k, t in enumerate(edits(rng, first, "a", 500, 3))] + [(900, " ".join(first))]
+    rows += [(1000 + k, t) for k, t in enumerate(edits(rng, second, "b", 200, 3))] + [(1900, " ".join(second))]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    for i, x in sets.items():
+        y = sets[900 if i <= 900 else 1900]
+        assert 100 * len(x & y) >= 80 * len(x | y)
+    assert max(len(x & y) / len(x | y) for i, x in sets.items() for j, y in sets.items() if i < 1000 <= j) < 0.8
+    got = {r.id: r.component_id for r in near_copies(messages(spark, rows)).collect()}
+    assert got == {i: 0 if i <= 900 else 1000 for i, _ in rows}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 90), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}

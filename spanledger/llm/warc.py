@@ -64,9 +64,10 @@ def write_archives(
     """Write three records for each page into gzipped archives in ``folder``.
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` bytes, the one
-    with the smallest id is the response, the others revisit it. A null html is an
-    empty payload; a page without id is a response unless one with an id has its
-    payload; rows equal in id, url and html are one capture.
+    with the smallest id is the response, the others revisit it. If several rows have
+    that id, each is a response and the one with the smallest url is revisited. A null
+    html is an empty payload; a page without id is a response unless one with an id has
+    its payload; rows equal in id, url and html are one capture.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
@@ -74,7 +75,10 @@ def write_archives(
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("payload"),
     ).withColumn("sha1", F.sha1("payload"))
     size = F.octet_length("payload")
-    first = rows.where(size >= min_revisit_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"))
+    first = rows.where((size >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("sha1").agg(
+        F.min(F.struct("page_id", "url")).alias("first")
+    )
+    first = first.select("sha1", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     rows = rows.join(first, "sha1", "left")
 
     def record_id(kind: str, item: str, address: Column) -> Column:
@@ -82,8 +86,7 @@ def write_archives(
         parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
-    # A revisit names its response by the record id without an address.
-    own = record_id("response", "page_id", F.lit(""))
+    own = record_id("response", "page_id", F.col("url"))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     digest = F.concat(F.lit("sha1:"), base32_digest(F.col("sha1")))
     http = F.concat(
@@ -100,7 +103,7 @@ def write_archives(
         fields(
             F.when(revisit, "revisit").otherwise("response"), own, "application/http; msgtype=response",
             ("WARC-Payload-Digest", digest),
-            ("WARC-Refers-To", F.when(revisit, record_id("response", "first_id", F.lit("")))),
+            ("WARC-Refers-To", F.when(revisit, record_id("response", "first_id", F.col("first_url")))),
             ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ),
         F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))),

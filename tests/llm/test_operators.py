@@ -391,6 +391,19 @@ def test_archives_round_trip(spark, tmp_path):
     assert archive_pages(pages(spark, [])).count() == 0
 
 
+def test_captures_of_pages_that_differ_in_url_only(spark):
+    rows = [
+        (None, "http://a/1", ""), (None, "http://a/2", ""), (None, "http://a/3", None), (4, "http://b/2", "same"),
+        (4, "http://b/1", "same"), (5, "http://b/3", "same"), (None, "http://b/4", "same"),
+    ]
+    got = archive_pages(pages(spark, rows)).collect()
+    found = [(r.metadata.page_id, r.response.target_uri, r.response.record_type, r.refers_to_page) for r in got]
+    answer = {(i, u): ("revisit", 4) if h == "same" and i != 4 else ("response", None) for i, u, h in rows}
+    assert Counter(found) == Counter((i, u, *answer[i, u]) for i, u, _ in rows)
+    named = {r.response.record_id: r.response.target_uri for r in got}
+    assert {named[r.response.refers_to] for r in got if r.response.refers_to} == {"http://b/1"}
+
+
 def test_captures_without_some_records(spark):
     kinds = "record_id string, record_type string, concurrent_to string, refers_to string, page_id long, payload string"
     rows = [("<r>", "request", "<gone>", None, None, None), ("<a>", "response", None, None, None, None), ("<i>", "warcinfo", None, None, None, None)]

@@ -1,6 +1,7 @@
 """Licences named in texts, by sentences and ordered rules over them.
 
-A text is cut into sentences, each is normalised, and those equal to or starting with
+A text is cut at line ends and stops, a piece goes on into the next ones up to a full
+stop or a blank line (licence texts are wrapped), each is normalised, and those equal to or starting with
 a known licence sentence get its identifier. The sequence of identifiers is then
 matched with the rules in their order; a rule that finds its sentences next to each
 other (other text may lie between) claims them, so a general rule only gets what the
@@ -67,16 +68,34 @@ RULES = [
 #: A sentence without one of these can match no known sentence.
 KEYWORDS = "licen|copyright|redistribut|warrant|permission is hereby|public domain|rights reserved|endorse"
 
+#: What begins a comment line; the first words of the known sentences; more words than any has.
+COMMENT = "^\\s*(//+|/[*]+|--+)"
+STARTS = "^(this|released|licensed|distributed|available|you|unless|permission|the|redistributions?|neither|all)\\b"
+WORDS = 40
+#: A text without one of these words has no known sentence, however it is wrapped.
+ANYWHERE = "licen|copyright|redistribut|warrant|permission|public|reserved|endorse"
+
 
 def licence_sentences(messages: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
     """id and sentences, the identifiers of the known sentences of each whole text in order."""
     docs = texts(messages, id_column, content)
     cut = F.regexp_replace(F.coalesce("content", F.lit("")), "([.!?;:]) +", "$1\n")
-    found = F.filter(F.split(F.lower(cut), "\n"), lambda s: s.rlike(KEYWORDS))
+    lines = F.split(F.lower(cut), "\r?\n")
     plain = F.transform(
-        found,
+        lines,
         lambda s: F.btrim(
-            F.regexp_replace(F.regexp_replace(s, "[^a-z0-9./,-]+", " "), "[ .,]+( |$)", " "), F.lit(" ")
+            F.regexp_replace(
+                F.regexp_replace(F.regexp_replace(s, COMMENT, ""), "[^a-z0-9./,-]+", " "), "[ .,]+( |$)", " "
+            ),
+            F.lit(" "),
+        ),
+    )
+    pieces = F.transform(
+        F.arrays_zip(lines.alias("raw"), plain.alias("plain")),
+        # A blank line or a full stop ends a sentence, so no sentence goes on behind it.
+        lambda x: F.struct(
+            x["plain"].alias("plain"),
+            F.when((x["plain"] == "") | x["raw"].rlike("[.!?][^a-z0-9]*$"), "\n").otherwise(" ").alias("end"),
         ),
     )
 
@@ -86,7 +105,16 @@ def licence_sentences(messages: DataFrame, id_column: str = "id", content: str =
             out = F.when(s.rlike("^" + _without_stops(pattern)), name).otherwise(out)
         return out
 
-    return docs.select("id", F.filter(F.transform(plain, known), lambda x: x.isNotNull()).alias("sentences"))
+    def at(x, k):
+        near = F.slice("pieces", k + 1, WORDS)
+        joined = F.array_join(F.transform(near, lambda y: F.concat(y["plain"], y["end"])), "")
+        alone = F.when(x["plain"].rlike(KEYWORDS), known(x["plain"]))
+        # gpl_any means the bare name, which only the end of a line shows.
+        return F.when(x["plain"].rlike(STARTS), F.coalesce(alone, known(joined)))
+
+    some = F.lower("content").rlike(ANYWHERE)
+    docs = docs.select("id", F.when(some, pieces).otherwise(F.array().cast("array<struct<plain:string,end:string>>")).alias("pieces"))
+    return docs.select("id", F.filter(F.transform("pieces", at), lambda x: x.isNotNull()).alias("sentences"))
 
 
 def _without_stops(pattern: str) -> str:

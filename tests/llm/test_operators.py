@@ -465,6 +465,57 @@ def test_licences(spark):
     assert licences.licence_findings(messages(spark, [])).count() == 0
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from it."""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_wrapped_licence_texts(spark):
+    whole = [(MIT_TEXT, "MIT"), (BSD_TEXT, "BSD-3-Clause"), (APACHE_TEXT, "Apache-2.0"), (GPL_TEXT, "GPL"), (GPL_TEXT.replace("software:", "software;"), "GPL")]
+    rows, want = [], {}
+    for k, (text, licence) in enumerate(whole):
+        for j, mark in enumerate(("", "// ", "# ", " * ")):
+            rows.append((10 * k + j, "\r\n".join(mark + x for x in text.split("\n")) if j == 1 else "\n".join(mark + x for x in text.split("\n"))))
+            want[10 * k + j] = ([licence], [])
+    rows.append((90, "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software"))
+    got = licences.licence_findings(messages(spark, rows)).collect()
+    assert {r.id: (r.licences, r.unclaimed) for r in got} == want | {90: ([], [])}
+
+
 def test_extra_columns_do_not_leak(spark):
     df = messages(spark, [(1, "a")]).withColumn("content", F.lit("b"))
     assert near_copies(df).columns == ["id", "key", "n_shingles", "component_id", "kept"]

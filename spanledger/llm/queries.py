@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.llm import licences, oracles, quality
+from spanledger.llm.backoff import score_messages
 from spanledger.llm.language import identify_language, learn_languages
 from spanledger.llm.leaks import find_cases
 from spanledger.llm.near_copies import near_copies
@@ -128,6 +129,17 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query
+def op13_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    scored = score_messages(documents.withColumn("training", fold(7) != 2), "doc_id", "text")
+    scored = scored.withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 QUERIES["pipeline"] = run
 if ORACLE_SQL:
     ORACLES["pipeline"] = ORACLE_SQL

@@ -7,7 +7,7 @@ from corpus_pipeline import ORACLE_SQL, run
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import licences, oracles, quality
+from spanledger.llm import licences, oracles, phrases, quality
 from spanledger.llm.backoff import score_messages
 from spanledger.llm.language import identify_language, learn_languages
 from spanledger.llm.leaks import find_cases
@@ -129,6 +129,15 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    return phrases.phrases(documents, "text", "lang").withColumnRenamed("language", "lang")
+
+
+ORACLES["op11_phrases"] = phrases.oracle()
+
+
 @query
 def op13_backoff(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")

@@ -7,7 +7,7 @@ from corpus_pipeline import ORACLE_SQL, run
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm import licences, oracles, phrases, quality
+from spanledger.llm import licences, oracles, phrases, quality, spelling
 from spanledger.llm.backoff import score_messages
 from spanledger.llm.language import identify_language, learn_languages
 from spanledger.llm.leaks import find_cases
@@ -138,6 +138,18 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op11_phrases"] = phrases.oracle()
 
 
+#: One of so many words of a document loses a letter.
+SLIPS = 199
+
+
+@query
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.message_words(messages_of(spark, folder), slips=SLIPS))
+
+
+ORACLES["op12_spelling"] = spelling.oracle(SLIPS)
+
+
 @query
 def op13_backoff(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")

@@ -31,9 +31,14 @@ from spanledger.llm.token_batches import (
     answered,
     in_shards,
     packed,
+    packed_ascending,
+    packed_values,
     shards_for,
     token_batches,
     unpacked,
+    unpacked_ascending,
+    unpacked_values,
+    unpacked_words,
     word_ids,
     word_shards,
 )
@@ -41,7 +46,7 @@ from spanledger.llm.token_batches import (
 #: Highest order; counts above ``KEPT`` are not discounted.
 ORDER, KEPT = 2, 5
 
-LEAN = "batch long, n_tokens long, ids array<long>, counted array<boolean>, lengths array<int>, tokens binary, word_shard binary"
+LEAN = "batch long, ids array<long>, counted array<boolean>, lengths array<int>, tokens binary, word_shard binary"
 ANSWER = "level int, kind string, shard long, batch long, x binary, y binary"
 ASKED = "shard long, batch long, context binary, word binary, n binary, lower binary"
 SCORED = "id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -195,9 +200,12 @@ def _ask(row: pa.Table, answers: pa.Table, unigrams, shards, heard) -> pa.Table:
         n = np.bincount(chain.of, weights=chain.counted[chain.at], minlength=len(chain.some)).astype(np.int64)
         for shard, places in chain.questions():
             chosen = chain.some[places]
-            row_ = (shard, one["batch"], chain.context[chosen], chain.word[chosen], n[places], chain.p[chosen])
-            for name, value in zip(names, row_, strict=True):
-                out[name].append(packed(value) if isinstance(value, np.ndarray) else value)
+            asked = (
+                shard, one["batch"], packed(chain.context[chosen]), packed_ascending(chain.word[chosen]), packed(n[places]),
+                packed_values(chain.p[chosen]),
+            )
+            for name, value in zip(names, asked, strict=True):
+                out[name].append(value)
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
     return pa.Table.from_pydict(out, pa.schema(list(zip(names, kinds, strict=True))))
 
@@ -206,12 +214,14 @@ _TABLE = [("shard", pa.int64()), ("batch", pa.int64()), *[(k, pa.binary()) for k
 COUNTED = "shard long, batch long, x binary, y binary, context binary, word binary, lower binary"
 
 
-def _count(table: pa.Table, shards: int) -> pa.Table:
+def _count(table: pa.Table, shards: int, last: bool) -> pa.Table:
     """Counts (x) and ids (y) of a shard's types: answers to the batches, and the seen ones as a row without batch."""
     rows = table.to_pylist()
-    context, word, n = (np.concatenate([unpacked(r[k], np.int64) for r in rows]) for k in ("context", "word", "n"))
-    lower = np.concatenate([unpacked(r["lower"], float) for r in rows])
-    sizes = [len(unpacked(r["n"], np.int64)) for r in rows]
+    each = [unpacked(r["n"], np.int64) for r in rows]
+    context = np.concatenate([unpacked(r["context"], np.int64) for r in rows])
+    word = np.concatenate([unpacked_ascending(r["word"]) for r in rows])
+    lower = np.concatenate([unpacked_values(r["lower"]) for r in rows])
+    n, sizes = np.concatenate(each), list(map(len, each))
     order = np.lexsort((word, context))
     starts = np.ones(len(order), bool)
     starts[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
@@ -221,18 +231,22 @@ def _count(table: pa.Table, shards: int) -> pa.Table:
     np.add.at(total, type_, n)
     some = order[starts]
     shard = rows[0]["shard"]
-    ids = np.where(total > 0, (np.cumsum(total > 0) - 1) * shards + shard + FIRST_ID, UNKNOWN)
+    # Only a further order asks for the ids.
+    ids = np.where((total > 0) & (not last), (np.cumsum(total > 0) - 1) * shards + shard + FIRST_ID, UNKNOWN)
     out: dict[str, list] = {k: [] for k, _ in _TABLE}
 
     def add(*values):
         for name, value in zip(out, values, strict=True):
-            out[name].append(packed(value) if isinstance(value, np.ndarray) else value)
+            out[name].append(value)
 
     for row, of in zip(rows, np.split(type_, np.cumsum(sizes)[:-1]), strict=True):
-        add(shard, row["batch"], total[of], ids[of], None, None, None)
+        add(shard, row["batch"], packed(total[of]), packed(ids[of]), None, None, None)
     seen = total > 0
     some = some[seen]
-    add(shard, None, total[seen], ids[seen], context[some], word[some], lower[some])
+    add(
+        shard, None, packed(total[seen]), packed(ids[seen]), packed_ascending(context[some]), packed(word[some]),
+        packed_values(lower[some]),
+    )
     return pa.Table.from_pydict(out, pa.schema(_TABLE))
 
 
@@ -253,11 +267,11 @@ def _sums(frames: Iterator[pa.RecordBatch], d: np.ndarray, below: int) -> Iterat
     schema = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), *[(k, pa.binary()) for k in (*_SUMS, "ids")]])
     for frame in frames:
         for row in frame.to_pylist():
-            c, context = unpacked(row["x"], np.int64), unpacked(row["context"], np.int64)
+            c, context = unpacked(row["x"], np.int64), unpacked_ascending(row["context"])
             if not len(c):
                 continue
             contexts, starts = np.unique(context, return_index=True)  # in order of context already
-            columns = [np.add.reduceat(x, starts) for x in (c, discounted(c, d), unpacked(row["lower"], float))]
+            columns = [np.add.reduceat(x, starts) for x in (c, discounted(c, d), unpacked_values(row["lower"]))]
             out: dict[str, list] = {k: [] for k in schema.names}
             for shard, places in in_shards((contexts - FIRST_ID) % below):
                 out["shard"].append(shard)
@@ -301,8 +315,8 @@ def _tell(table: pa.Table, level: int) -> pa.Table:
     return pa.Table.from_pydict(out, pa.schema(list(zip(out, kinds, strict=True))))
 
 
-def _counted(asked: DataFrame, shards: int) -> DataFrame:
-    return asked.groupBy("shard").applyInArrow(lambda table: _count(table, shards), COUNTED)
+def _counted(asked: DataFrame, shards: int, last: bool) -> DataFrame:
+    return asked.groupBy("shard").applyInArrow(lambda table: _count(table, shards, last), COUNTED)
 
 
 def _told(both: DataFrame, level: int) -> DataFrame:
@@ -334,17 +348,11 @@ def _lean(frames: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBa
     """Batches with the shards of their words instead of the words."""
     for frame in frames:
         for row in frame.to_pylist():
-            shard = word_shards(row["words"], shards).astype(np.int32)
+            shard = word_shards(unpacked_words(row["words"]), shards).astype(np.int32)
             out = {k: [row[k]] for k in ("batch", "ids", "counted", "lengths", "tokens")}
-            out |= {"n_tokens": [int(np.sum(row["lengths"]))], "word_shard": [packed(shard)]}
-            yield pa.RecordBatch.from_pydict(
-                {k: out[k] for k in ("batch", "n_tokens", "ids", "counted", "lengths", "tokens", "word_shard")},
-                pa.schema(
-                    [("batch", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())),
-                     ("counted", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()),
-                     ("word_shard", pa.binary())]
-                ),
-            )
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            out["word_shard"] = [packed(shard)]
+            yield pa.RecordBatch.from_pydict(out, pa.schema(list(zip(out, kinds, strict=True))))
 
 
 def _unigrams(known: DataFrame, texts: int) -> Unigrams:
@@ -397,7 +405,7 @@ def score_messages(
     unigrams = _unigrams(known, n_texts)
     lean = batches.mapInArrow(partial(_lean, shards=n_shards), LEAN)
 
-    n_tokens = batches.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    n_tokens = batches.agg(F.sum("n_tokens")).first()[0] or 0
     shards, heard = [n_shards], []
     of_batch = F.col("batch").isNotNull()
     answers = known.where(of_batch).select(
@@ -413,7 +421,7 @@ def score_messages(
     for level in range(2, order + 1):
         shards.append(shards_for(n_tokens))
         asked = cogrouped(_ask, ASKED)
-        counted = stored(_counted(asked, shards[-1]), "counted-grams")
+        counted = stored(_counted(asked, shards[-1], level == order), "counted-grams")
         table = counted.where("batch IS NULL")
         low = dict(table.select("x").mapInArrow(_low_counts, "r long, n long").groupBy("r").agg(F.sum("n")).collect())
         d = discounts([low.get(r, 0) for r in range(1, KEPT + 2)])

@@ -26,6 +26,7 @@ from spanledger.llm.token_batches import (
     packed,
     token_batches,
     unpacked,
+    unpacked_words,
     word_ids,
     word_shards,
 )
@@ -217,8 +218,9 @@ def _dictionary(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         for row in frame.to_pylist():
             columns: list[list] = [[], [], [], []]
-            both = zip(row["words"], unpacked(row["ids"], np.int64).tolist(), unpacked(row["totals"], np.int64).tolist(), strict=True)
-            for marked, word_id, total in both:
+            ids, totals = (unpacked(row[k], np.int64).tolist() for k in ("ids", "totals"))
+            marked = unpacked_words(row["words"]) if ids else []
+            for marked, word_id, total in zip(marked, ids, totals, strict=True):
                 part, word = marked.split(BREAK, 1)
                 if word != BREAK:
                     for column, value in zip(columns, (word_id, part, word, total), strict=True):
@@ -233,7 +235,7 @@ def _dictionary(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lean(frames: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         for row in frame.to_pylist():
-            shard = packed(word_shards(row["words"], shards).astype(np.int32))
+            shard = packed(word_shards(unpacked_words(row["words"]), shards).astype(np.int32))
             yield pa.RecordBatch.from_pydict({"batch": [row["batch"]], "tokens": [row["tokens"]], "word_shard": [shard]})
 
 
@@ -270,8 +272,7 @@ def phrases(
     words = known.where("batch IS NULL").select("words", "ids", "totals")
     words = stored(words.mapInArrow(_dictionary, "word_id long, part string, word string, f long"), "dictionary")
     largest = words.agg(F.max("word_id")).first()[0] or 1
-    held = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = batches.agg(F.count("*"), F.sum(held)).first()
+    sizes = batches.agg(F.count("*"), F.sum("n_tokens")).first()
     layout = Layout(largest, sizes[0], 2 * (sizes[1] or 0))
 
     lean = batches.mapInArrow(lambda x: _lean(x, n_shards), "batch long, tokens binary, word_shard binary")
@@ -280,7 +281,7 @@ def phrases(
         lambda row, said: _filters(row, said, layout), FILTERS
     )
     found = stored(filters.groupBy("shard").applyInArrow(lambda t: _phrases(t, layout, least), PHRASES), "phrase-counts")
-    total = batches.groupBy("part").agg(F.sum(held - F.col("counts")[0]).alias("n"))
+    total = batches.groupBy("part").agg(F.sum("n_counted").alias("n"))
     return _ranked(_scored(found, words, covered), first).join(total, "part").select(
         F.col("part").alias("language"), "rank", "phrase", "a", "l", "r", "n", "score"
     )

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from spanledger.llm.rows import stored
 
 #: Bytes of text of a batch; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: About so many entries meet in a shard; there are at least so many shards.
-SHARD_ENTRIES, LEAST_SHARDS = 500_000, 16
+SHARD_ENTRIES, LEAST_SHARDS = 1_000_000, 16
 #: Stands for the end of a text or a piece: no byte of UTF-8, so never a word.
 BREAK = b"\xff"
 #: Ids below hold no word: unknown words, and the place before a text.
@@ -36,11 +36,11 @@ UNKNOWN, START, FIRST_ID = 0, 1, 2
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 BATCH = (
-    "batch long, part string, n_words long, words array<binary>, counts array<long>, ids array<long>, "
-    "counted array<boolean>, lengths array<int>, tokens binary"
+    "batch long, part string, n_words long, n_tokens long, n_counted long, words binary, counts binary, "
+    "ids array<long>, counted array<boolean>, lengths array<int>, tokens binary"
 )
-WORDS_ASKED = "shard long, batch long, words array<binary>, counts array<long>"
-WORDS_KNOWN = "shard long, batch long, ids binary, totals binary, words array<binary>"
+WORDS_ASKED = "shard long, batch long, words binary, counts binary"
+WORDS_KNOWN = "shard long, batch long, ids binary, totals binary, words binary"
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -55,6 +55,35 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
+def packed_words(words: list[bytes]) -> bytes:
+    """Words, none of which holds a line end."""
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
+def packed_ascending(numbers: np.ndarray) -> bytes:
+    return packed(np.diff(numbers, prepend=0))
+
+
+def unpacked_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.int64))
+
+
+def packed_values(numbers: np.ndarray) -> bytes:
+    """Doubles of which many are equal: the distinct ones and places in these."""
+    values, at = np.unique(numbers, return_inverse=True)
+    head = packed(values)
+    return len(head).to_bytes(8, "little") + head + packed(at.astype(np.int32))
+
+
+def unpacked_values(data: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return unpacked(data[8:cut], float)[unpacked(data[cut:], np.int32)]
+
+
 class _Open:
     """A batch that still takes texts."""
 
@@ -67,10 +96,11 @@ class _Open:
         tokens = np.concatenate(self.parts)
         lengths = np.fromiter(map(len, self.parts), np.int32, len(self.parts))
         counted = tokens[np.repeat(np.array(self.counted, bool), lengths)]
+        counts = np.bincount(counted, minlength=len(self.words))
         return {
-            "batch": batch, "part": part, "n_words": len(self.words), "words": list(self.words),
-            "counts": np.bincount(counted, minlength=len(self.words)), "ids": self.ids, "counted": self.counted,
-            "lengths": lengths, "tokens": packed(tokens),
+            "batch": batch, "part": part, "n_words": len(self.words), "n_tokens": len(tokens),
+            "n_counted": int(counts[1:].sum()), "words": packed_words(list(self.words)), "counts": packed(counts),
+            "ids": self.ids, "counted": self.counted, "lengths": lengths, "tokens": packed(tokens),
         }
 
 
@@ -106,13 +136,14 @@ def token_batches(rows: DataFrame, split: Callable[[bytes], list[bytes]], name:
     """Stored batches of the texts of ``rows`` (part, id, counted, content).
 
     ``split`` gives the words of a text and ``BREAK`` at its end; a batch holds texts of
-    one part. ``counts`` are the words' occurrences in the texts that are counted.
+    one part. ``counts`` are the words' occurrences in the texts that are counted, n_counted
+    is their sum without BREAK.
     """
     schema = pa.schema(
         [
-            ("batch", pa.int64()), ("part", pa.string()), ("n_words", pa.int64()), ("words", pa.list_(pa.binary())),
-            ("counts", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("counted", pa.list_(pa.bool_())),
-            ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()),
+            ("batch", pa.int64()), ("part", pa.string()), *[(k, pa.int64()) for k in ("n_words", "n_tokens", "n_counted")],
+            ("words", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())),
+            ("counted", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()),
         ]
     )
     return stored(rows.mapInArrow(lambda frames: _batches(frames, split, schema.names, schema), BATCH), name)
@@ -133,33 +164,31 @@ def in_shards(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(found.tolist(), np.split(order, starts[1:]), strict=True)
 
 
+_WORDS_ASKED = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+_WORDS_KNOWN = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), *[(k, pa.binary()) for k in ("ids", "totals", "words")]])
+
+
 def _asked(frames: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         for row in frame.to_pylist():
             mark = (row["part"] or "").encode() + BREAK
-            counts = np.array(row["counts"], np.int64)
-            out = {"shard": [], "batch": [], "words": [], "counts": []}
-            for shard, places in in_shards(word_shards(row["words"], shards)):
+            words, counts = unpacked_words(row["words"]), unpacked(row["counts"], np.int64)
+            out: dict[str, list] = {k: [] for k in _WORDS_ASKED.names}
+            for shard, places in in_shards(word_shards(words, shards)):
                 out["shard"].append(shard)
                 out["batch"].append(row["batch"])
-                out["words"].append([mark + row["words"][k] for k in places])
-                out["counts"].append(counts[places])
-            yield pa.RecordBatch.from_pydict(
-                out,
-                pa.schema(
-                    [("shard", pa.int64()), ("batch", pa.int64()), ("words", pa.list_(pa.binary())),
-                     ("counts", pa.list_(pa.int64()))]
-                ),
-            )
+                out["words"].append(packed_words([mark + words[k] for k in places]))
+                out["counts"].append(packed(counts[places]))
+            yield pa.RecordBatch.from_pydict(out, _WORDS_ASKED)
 
 
 def _known(table: pa.Table, shards: int, least: int) -> pa.Table:
     """Answers to all batches, and the shard's words as a row without batch."""
-    table = table.combine_chunks()
     shard = table["shard"][0].as_py()
-    sizes = pc.list_value_length(table["words"]).to_numpy()
-    coded = pc.list_flatten(table["words"]).combine_chunks().dictionary_encode()
-    counts = pc.list_flatten(table["counts"]).to_numpy()
+    chunks = [pa.array(unpacked_words(x.as_py()), pa.binary()) for x in table["words"]]
+    counts = np.concatenate([unpacked(x.as_py(), np.int64) for x in table["counts"]])
+    ends = np.cumsum(list(map(len, chunks)))[:-1]
+    coded = pa.concat_arrays(chunks).dictionary_encode()
     place, words = coded.indices.to_numpy(), coded.dictionary
     totals = np.zeros(len(words), np.int64)
     np.add.at(totals, place, counts)
@@ -167,22 +196,15 @@ def _known(table: pa.Table, shards: int, least: int) -> pa.Table:
     order = order[totals[order] >= least]
     ids = np.zeros(len(words), np.int64)
     ids[order] = np.arange(len(order)) * shards + shard + FIRST_ID
-    ends = np.cumsum(sizes)[:-1]
     answers = np.split(place, ends)
     rows = {
         "shard": [shard] * (len(answers) + 1),
         "batch": [*table["batch"].to_pylist(), None],
         "ids": [*(packed(ids[k]) for k in answers), packed(ids[order])],
         "totals": [*(packed(totals[k]) for k in answers), packed(totals[order])],
-        "words": [*([None] * len(answers)), words.take(pa.array(order)).to_pylist()],
+        "words": [*([None] * len(answers)), packed_words(words.take(pa.array(order)).to_pylist())],
     }
-    return pa.Table.from_pydict(
-        rows,
-        pa.schema(
-            [("shard", pa.int64()), ("batch", pa.int64()), ("ids", pa.binary()), ("totals", pa.binary()),
-             ("words", pa.list_(pa.binary()))]
-        ),
-    )
+    return pa.Table.from_pydict(rows, _WORDS_KNOWN)
 
 
 def word_ids(batches: DataFrame, least: int, name: str) -> tuple[DataFrame, int]:

@@ -147,16 +147,17 @@ class Chain:
         # Answers on contexts stand in the order of the types of the order below.
         shard, of = self.asked
         below = self.answers.get((self.level, "context"), {})
-        weight, total = (answered(shard, {s: a[k] for s, a in below.items()}, float)[of] for k in (0, 1))
+        weight, more = (answered(shard, {s: a[k] for s, a in below.items()}, float)[of] for k in (0, 1))
         if self.level > 2:
             fill = np.zeros((2, len(self.tokens)))
-            fill[:, self.asked_at] = weight, total
-            weight, total = fill
-        weight, total = (np.concatenate([[0], x[:-1]]) for x in (weight, total))
-        weight[self.first], total[self.first] = start if self.level == 2 else (0, 0)
+            fill[:, self.asked_at] = weight, more
+            weight, more = fill
+        weight, more = (np.concatenate([[0], x[:-1]]) for x in (weight, more))
+        weight[self.first], more[self.first] = start if self.level == 2 else (0, 0)
+        # A context of training is followed as often as it occurs; more is 1 above what its divisor adds to that.
         with np.errstate(divide="ignore", invalid="ignore"):
-            seen = discounted(n, d) / total
-        self.p = np.where(n > 0, seen, np.where(total > 0, weight, 1.0) * self.p)
+            seen = discounted(n, d) / (self.followed + more - 1)
+        self.p = np.where(n > 0, seen, np.where(more > 0, weight, 1.0) * self.p)
         self.gram, self.n, self.asked_at = gram, n, self.at
         # Within a shard the types were asked in order of word and context.
         order = np.concatenate([places for _, places in self.questions()]) if len(self.some) else np.zeros(0, int)
@@ -202,7 +203,7 @@ def _ask(row: pa.Table, answers: pa.Table, unigrams, shards, heard) -> pa.Table:
             chosen = chain.some[places]
             asked = (
                 shard, one["batch"], packed(chain.context[chosen]), packed_ascending(chain.word[chosen]), packed(n[places]),
-                packed_values(chain.p[chosen]),
+                packed(chain.count[chosen]) if chain.level == 2 else packed_values(chain.p[chosen]),
             )
             for name, value in zip(names, asked, strict=True):
                 out[name].append(value)
@@ -214,13 +215,14 @@ _TABLE = [("shard", pa.int64()), ("batch", pa.int64()), *[(k, pa.binary()) for k
 COUNTED = "shard long, batch long, x binary, y binary, context binary, word binary, lower binary"
 
 
-def _count(table: pa.Table, shards: int, last: bool) -> pa.Table:
+def _count(table: pa.Table, shards: int, level: int, last: bool) -> pa.Table:
     """Counts (x) and ids (y) of a shard's types: answers to the batches, and the seen ones as a row without batch."""
     rows = table.to_pylist()
     each = [unpacked(r["n"], np.int64) for r in rows]
     context = np.concatenate([unpacked(r["context"], np.int64) for r in rows])
     word = np.concatenate([unpacked_ascending(r["word"]) for r in rows])
-    lower = np.concatenate([unpacked_values(r["lower"]) for r in rows])
+    # A word stands for its probability by its count.
+    lower = np.concatenate([(unpacked(r["lower"], np.int64) if level == 2 else unpacked_values(r["lower"])) for r in rows])
     n, sizes = np.concatenate(each), list(map(len, each))
     order = np.lexsort((word, context))
     starts = np.ones(len(order), bool)
@@ -245,7 +247,7 @@ def _count(table: pa.Table, shards: int, last: bool) -> pa.Table:
     some = some[seen]
     add(
         shard, None, packed(total[seen]), packed(ids[seen]), packed_ascending(context[some]), packed(word[some]),
-        packed_values(lower[some]),
+        packed(lower[some]) if level == 2 else packed_values(lower[some]),
     )
     return pa.Table.from_pydict(out, pa.schema(_TABLE))
 
@@ -262,7 +264,7 @@ _SUMS = ["context", "total", "kept", "lower"]
 SUMS = "shard long, batch long, context binary, total binary, kept binary, lower binary, ids binary"
 
 
-def _sums(frames: Iterator[pa.RecordBatch], d: np.ndarray, below: int) -> Iterator[pa.RecordBatch]:
+def _sums(frames: Iterator[pa.RecordBatch], d: np.ndarray, below: int, level: int, unigrams: Unigrams) -> Iterator[pa.RecordBatch]:
     """Sums over the seen types of each context, for the shard of the context in the order below."""
     schema = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), *[(k, pa.binary()) for k in (*_SUMS, "ids")]])
     for frame in frames:
@@ -271,7 +273,8 @@ def _sums(frames: Iterator[pa.RecordBatch], d: np.ndarray, below: int) -> Iterat
             if not len(c):
                 continue
             contexts, starts = np.unique(context, return_index=True)  # in order of context already
-            columns = [np.add.reduceat(x, starts) for x in (c, discounted(c, d), unpacked_values(row["lower"]))]
+            lower = unigrams(unpacked(row["lower"], np.int64)) if level == 2 else unpacked_values(row["lower"])
+            columns = [np.add.reduceat(x, starts) for x in (c, discounted(c, d), lower)]
             out: dict[str, list] = {k: [] for k in schema.names}
             for shard, places in in_shards((contexts - FIRST_ID) % below):
                 out["shard"].append(shard)
@@ -283,14 +286,14 @@ def _sums(frames: Iterator[pa.RecordBatch], d: np.ndarray, below: int) -> Iterat
 
 
 def _weights(total, kept, lower) -> tuple[np.ndarray, np.ndarray]:
-    """Backoff weight and divisor of contexts by the sums over what was seen after them."""
+    """Backoff weight of contexts by the sums over what was seen after them, and 1 above what the divisor adds to the total."""
     divisor = scale(total, kept)
     free = np.maximum(1 - lower, np.finfo(float).tiny)
-    return (1 - kept / divisor) / free, divisor.astype(float)
+    return (1 - kept / divisor) / free, divisor - total + 1.0
 
 
 def _tell(table: pa.Table, level: int) -> pa.Table:
-    """Backoff weight (x) and divisor (y) of the contexts that batches asked for; 0 where a context has none."""
+    """What ``_weights`` gives (x, y) of the contexts that batches asked for; 0 where a context was never seen."""
     rows = table.to_pylist()
     sums = [r for r in rows if r["batch"] is None]
     out: dict[str, list] = {k: [] for k in ("level", "kind", "shard", "batch", "x", "y")}
@@ -299,24 +302,24 @@ def _tell(table: pa.Table, level: int) -> pa.Table:
         kept, lower = (np.concatenate([unpacked(r[k], float) for r in sums]) for k in ("kept", "lower"))
         contexts, of = np.unique(context, return_inverse=True)
         sums = [np.bincount(of, weights=x, minlength=len(contexts)) for x in (total, kept, lower)]
-        weight, divisor = _weights(*sums)
+        weight, more = _weights(*sums)
     else:
-        contexts, weight, divisor = np.array([-1]), np.zeros(1), np.zeros(1)
+        contexts, weight, more = np.array([-1]), np.zeros(1), np.zeros(1)
     for row in rows:
         if row["batch"] is None:
             continue
         ids = unpacked(row["ids"], np.int64)
         at = np.minimum(np.searchsorted(contexts, ids), len(contexts) - 1)
         known = contexts[at] == ids
-        values = (level, "context", row["shard"], row["batch"], packed(weight[at] * known), packed(divisor[at] * known))
+        values = (level, "context", row["shard"], row["batch"], packed(weight[at] * known), packed(more[at] * known))
         for name, value in zip(out, values, strict=True):
             out[name].append(value)
     kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.Table.from_pydict(out, pa.schema(list(zip(out, kinds, strict=True))))
 
 
-def _counted(asked: DataFrame, shards: int, last: bool) -> DataFrame:
-    return asked.groupBy("shard").applyInArrow(lambda table: _count(table, shards, last), COUNTED)
+def _counted(asked: DataFrame, shards: int, level: int, last: bool) -> DataFrame:
+    return asked.groupBy("shard").applyInArrow(lambda table: _count(table, shards, level, last), COUNTED)
 
 
 def _told(both: DataFrame, level: int) -> DataFrame:
@@ -421,11 +424,11 @@ def score_messages(
     for level in range(2, order + 1):
         shards.append(shards_for(n_tokens))
         asked = cogrouped(_ask, ASKED)
-        counted = stored(_counted(asked, shards[-1], level == order), "counted-grams")
+        counted = stored(_counted(asked, shards[-1], level, level == order), "counted-grams")
         table = counted.where("batch IS NULL")
         low = dict(table.select("x").mapInArrow(_low_counts, "r long, n long").groupBy("r").agg(F.sum("n")).collect())
         d = discounts([low.get(r, 0) for r in range(1, KEPT + 2)])
-        sums = stored(table.select("x", "context", "lower").mapInArrow(partial(_sums, d=d, below=shards[-2]), SUMS), "contexts")
+        sums = stored(table.select("x", "context", "lower").mapInArrow(partial(_sums, d=d, below=shards[-2], level=level, unigrams=unigrams), SUMS), "contexts")
 
         nothing = [F.lit(None).cast("binary").alias(k) for k in _SUMS]
         both = sums.unionByName(below.select("shard", "batch", *nothing, "ids"))
@@ -441,7 +444,7 @@ def score_messages(
 
 
 def _start(sums: DataFrame, below: int) -> tuple[float, float]:
-    """Backoff weight and divisor of the place before a text: at most one row of sums for each shard of types."""
+    """What ``_weights`` gives for the place before a text: at most one row of sums for each shard of types."""
 
     def of_start(frames):
         for frame in frames:
@@ -455,5 +458,5 @@ def _start(sums: DataFrame, below: int) -> tuple[float, float]:
     total, kept, lower = found.agg(*[F.sum(k) for k in _SUMS[1:]]).first()
     if not total:
         return 0.0, 0.0
-    weight, divisor = _weights(np.array([total]), np.array([kept]), np.array([lower]))
-    return float(weight[0]), float(divisor[0])
+    weight, more = _weights(np.array([total]), np.array([kept]), np.array([lower]))
+    return float(weight[0]), float(more[0])

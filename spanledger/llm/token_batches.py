@@ -159,6 +159,8 @@ def word_shards(words: list[bytes], shards: int) -> np.ndarray:
 
 def in_shards(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that occurs and the places of its entries, in their order."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     found, starts = np.unique(shard[order], return_index=True)
     yield from zip(found.tolist(), np.split(order, starts[1:]), strict=True)

@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 from check import rows_of
-from test_operators import prose, shingles, without, words_of
+from test_llm_operators import prose, shingles, without, words_of
 from tokenizers import Tokenizer
 
 from spanledger.llm.quality import judge_messages

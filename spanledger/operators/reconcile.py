@@ -200,6 +200,31 @@ def _total_checks(comp: Column, mark: Column, d: dict[str, Column], w: dict[str,
     ]
 
 
+def zone_pairs(design: DataFrame, drawing: DataFrame) -> DataFrame:
+    """The zone rows of a mark that are compared one by one: mark, no, design and drawing as structs.
+
+    Only marks with equally many (more than one) zone rows on both sides are paired: the
+    design row with the largest count first, each with the closest drawing row left.
+    """
+    c = F.col
+
+    def side(df: DataFrame, length: str, name: str) -> DataFrame:
+        row = F.struct(
+            c("zone_ord").alias("ord"), c("count").cast("double").alias("count"),
+            c(length).cast("double").alias("length"), c("total_wt_kg").cast("double").alias("wt"),
+        )
+        # The zone rows of one mark of one sheet: a handful of printed rows.
+        rows = df.groupBy(*BAR).agg(F.array_sort(F.collect_list(row)).alias(name))
+        return rows.withColumn("n", F.size(name))
+
+    both = side(design, "total_len_m", "dr").join(side(drawing, "total_length_m", "wr"), [*BAR, "n"]).filter("n > 1")
+    pick = lambda rows, o: F.get(F.filter(rows, lambda r: r["ord"] == o), 0)
+    pairs = both.select("*", F.posexplode(N.closest_pairs(c("dr"), c("wr"))).alias("no", "pair"))
+    return pairs.select(
+        *BAR, "no", pick(c("dr"), c("pair.design_ord")).alias("design"), pick(c("wr"), c("pair.drawing_ord")).alias("drawing")
+    )
+
+
 def bar_total_issues(design: DataFrame, summary: DataFrame, drawing: DataFrame, piles: DataFrame) -> DataFrame:
     """Count, total length and total weight of each mark.
 
@@ -236,34 +261,13 @@ def bar_total_issues(design: DataFrame, summary: DataFrame, drawing: DataFrame,
         ),
     )
 
-    # The zone rows of one mark of one sheet: a handful of printed rows.
-    paired = marks.filter("paired").select(*BAR, "mark_ord", "ring", "piles")
-    side = lambda df, ln: df.join(paired.select(*BAR), BAR, "left_semi").groupBy(*BAR).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    c("zone_ord").alias("ord"),
-                    c("count").cast("double").alias("count"),
-                    c(ln).cast("double").alias("length"),
-                    c("total_wt_kg").cast("double").alias("wt"),
-                )
-            )
-        ).alias("rows")
-    )
-    both = (
-        paired.join(side(design, "total_len_m").withColumnRenamed("rows", "dr"), BAR)
-        .join(side(drawing, "total_length_m").withColumnRenamed("rows", "wr"), BAR)
-    )
-    pick = lambda rows, o: F.get(F.filter(rows, lambda r: r["ord"] == o), 0)
-    pairs = both.select("*", F.posexplode_outer(N.closest_pairs(c("dr"), c("wr"))).alias("no", "pair")).withColumns(
-        {"d1": pick(c("dr"), c("pair.design_ord")), "w1": pick(c("wr"), c("pair.drawing_ord"))}
-    )
+    pairs = zone_pairs(design, drawing).join(marks.select(*BAR, "mark_ord", "ring", "piles"), BAR)
     one_by_one = emit(
         pairs, BAR, [*ordering[:3], c("no") + 1000],
         _total_checks(
             comp, mark,
-            {"count": c("d1.count"), "len": c("d1.length"), "wt": c("d1.wt")},
-            {"count": c("w1.count"), "len": c("w1.length"), "wt": c("w1.wt")},
+            {"count": c("design.count"), "len": c("design.length"), "wt": c("design.wt")},
+            {"count": c("drawing.count"), "len": c("drawing.length"), "wt": c("drawing.wt")},
             c("ring"), c("piles"), zone,
         ),
     )
@@ -421,17 +425,17 @@ def geometry_issues(readings: DataFrame, design: DataFrame) -> DataFrame:
     off = geometry_deviation(readings, wanted, ["drawing_id", "param"], "val_mm", "design_mm", "tol").join(many, ["drawing_id", "param"])
     near = F.struct(c("x_pct").alias("x"), c("y_pct").alias("y"), F.lit(5.0).alias("w"), F.lit(2.0).alias("h"))
     suffix = F.when(c("n") > 1, F.concat(F.lit(" (view near x="), whole(F.coalesce("x_pct", F.lit(50.0))).cast("string"), F.lit("%)"))).otherwise("")
-    a = emit(off, ["drawing_id"], [F.lit(12), c("no"), c("ord")],
+    a = emit(off, ["drawing_id"], [F.lit(13), c("no"), c("ord")],
              [(F.lit(True), issue("geometry", box=near, label=c("label"), w=whole(c("val_mm")), d=whole(c("design_mm")), suffix=suffix,
                                   pct=F.format_string("%.1f", c("diff_pct")), tol=c("tol")))])
     absent = wanted.filter("param = 'pilecap_depth'").join(readings.select("drawing_id", "param").distinct(), ["drawing_id", "param"], "left_anti")
     mid = F.struct(F.lit(50.0).alias("x"), F.lit(50.0).alias("y"), F.lit(5.0).alias("w"), F.lit(2.0).alias("h"))
-    b = emit(absent, ["drawing_id"], [F.lit(12), c("no"), F.lit(0)], [(F.lit(True), issue("geometry_missing", box=mid, label=c("label")))])
+    b = emit(absent, ["drawing_id"], [F.lit(13), c("no"), F.lit(0)], [(F.lit(True), issue("geometry_missing", box=mid, label=c("label")))])
     spread = spread_check(
         readings.join(wanted, ["drawing_id", "param"]), ["drawing_id", "param", "no", "label", "tol"], "val_mm", c("tol")
     ).join(many.select("drawing_id", "param", "at"), ["drawing_id", "param"])
     at = F.struct(c("at.x_pct").alias("x"), c("at.y_pct").alias("y"), F.lit(5.0).alias("w"), F.lit(2.0).alias("h"))
-    e = emit(spread, ["drawing_id"], [F.lit(12), c("no"), F.lit(2147483000)], [(F.lit(True), issue("geometry_spread", box=at, label=c("label")))])
+    e = emit(spread, ["drawing_id"], [F.lit(13), c("no"), F.lit(2147483000)], [(F.lit(True), issue("geometry_spread", box=at, label=c("label")))])
     return a.unionByName(b).unionByName(e)
 
 
@@ -469,7 +473,7 @@ def section_spacing_issues(sections: DataFrame) -> DataFrame:
     # How a kind of irregularity is called.
     kind = F.when(c("s.type") == "clustering", "bar clustering").when(c("s.type") == "gap", "gap between bars").when(c("s.type") == "missing_bar", "possible missing bar").otherwise(c("s.type"))
     place = F.when(c("s.location") != "", F.concat(F.lit(" at "), c("s.location"))).otherwise("")
-    return emit(rows, ["drawing_id"], [F.lit(8), c("no")],
+    return emit(rows, ["drawing_id"], [F.lit(9), c("no")],
                 [(F.lit(True), issue("section_spacing", box=marker_box(c("bbox"), c("s.angle_rad")), section=c("section_name"), mark=c("bar_mark"), kind=kind, place=place))])
 
 

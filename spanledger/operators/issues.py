@@ -58,8 +58,8 @@ MESSAGES = {
     "label_error": ("Label Errors", "{name}", "{name}"),
     "dimension_error": ("Dimension Errors", "{name}", "{name}"),
     "stray_box": ("Drawing Quality", "Stray box / erroneous outline", "{name}"),
-    "notes_grade": ("Notes", "{name}", "{name}"),
-    "diagnostic": ("Extraction", "{name}", "{name}"),
+    "notes_grade": ("Notes", "{name}", "{text}"),
+    "diagnostic": ("Extraction", "{name}", "{text}"),
     "design_unreadable": ("Input", "Design input could not be parsed", "{name}"),
     "system": ("System", "Processing failed", "{name}"),
 }

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from spanledger.queries.registry import ORACLES, QUERIES
 
-for _name in ("reviews", "scalars", "reconcile", "texts", "places", "streams", "schedules", "reports", "findings"):
+for _name in ("reviews", "scalars", "reconcile", "texts", "places", "streams", "schedules", "reports", "findings", "drawing_review"):
     import_module(f"spanledger.queries.{_name}")
 
 __all__ = ["QUERIES", "ORACLES"]

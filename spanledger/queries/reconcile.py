@@ -272,6 +272,13 @@ def geometry_check(t):
     UNION ALL SELECT id, 'geometry_spread', param, 1 FROM r JOIN ck USING (id, param) GROUP BY id, param, tol HAVING count(*)>1 AND (max(r.v)-min(r.v))/max(r.v)*100>tol""",
 )
 def geometry_issues(t):
+    labels = {label: p for p, _, _, label, _ in C.GEOMETRY_CHECKS} | {"Pier plan dimension": "pier_plan_dim"}
+    back = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    param = back[F.regexp_extract("title", r"^(.*?): ", 1)].alias("param")
+    return geometry_findings(t).groupBy("drawing_id", "code", param).agg(F.count(F.lit(1)).alias("n"))
+
+
+def geometry_findings(t):
     c = F.col
     names = ["pilecap_depth", "pile_spacing", "pile_overhang", "pile_dia", "pier_plan_dim"]
     param = F.lit("pilecap_width")
@@ -286,10 +293,7 @@ def geometry_issues(t):
               "pier_length": F.lit(2.0), "pier_width": F.lit(4.0), "pilecap_length_across": F.lit(2.5)}
     kv = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in values.items()])
     design = t.orders.select(c("o_orderkey").alias("drawing_id"), F.inline(kv))
-    labels = {label: p for p, _, _, label, _ in C.GEOMETRY_CHECKS} | {"Pier plan dimension": "pier_plan_dim"}
-    back = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    out = C.geometry_issues(readings, design)
-    return out.groupBy("drawing_id", "code", back[F.regexp_extract("title", r"^(.*?): ", 1)].alias("param")).agg(F.count(F.lit(1)).alias("n"))
+    return C.geometry_issues(readings, design)
 
 
 @query(
@@ -356,6 +360,10 @@ def y_calibration(t):
     UNION ALL SELECT id, 2, 'Revision format invalid: "'||v||'"' FROM f WHERE field='revision' AND NOT regexp_full_match(v,'R\d+')""",
 )
 def title_check(t):
+    return title_issues(t).select("drawing_id", F.get("ord", 0).alias("check"), "title")
+
+
+def title_issues(t):
     c = F.col
     fields = {
         "drawing_number": c("o_orderkey").cast("string"),
@@ -365,8 +373,7 @@ def title_check(t):
         "scale": F.when(c("o_custkey") % 5 != 0, "1:50"),
     }
     long = t.orders.select(c("o_orderkey").alias("drawing_id"), F.inline(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()])))
-    out = C.title_check(long, t.orders.select(c("o_orderkey").alias("drawing_id")), "drawing_id")
-    return out.select("drawing_id", F.get("ord", 0).alias("check"), "title")
+    return C.title_check(long, t.orders.select(c("o_orderkey").alias("drawing_id")), "drawing_id")
 
 
 @query(
@@ -376,6 +383,10 @@ def title_check(t):
     UNION ALL SELECT id, 'pile_length' FROM n WHERE abs(dl-pl)/dl*100>1 UNION ALL SELECT id, 'pile_fixity' FROM n WHERE pf<>0 AND abs(df-pf)/df*100>1""",
 )
 def notes_check(t):
+    return notes_issues(t).select("drawing_id", "code")
+
+
+def notes_issues(t):
     c = F.col("o_custkey")
     notes = t.orders.select(
         F.col("o_orderkey").alias("drawing_id"),
@@ -384,7 +395,7 @@ def notes_check(t):
         (20.0 + c % 2).alias("pile_length_m"), F.lit(20.0).alias("pile_length"),
         (c % 5).cast("double").alias("pile_fixity_m"), F.lit(3.0).alias("pile_fixity"),
     )
-    return C.notes_check(notes, "drawing_id").select("drawing_id", "code")
+    return C.notes_check(notes, "drawing_id")
 
 
 @query(

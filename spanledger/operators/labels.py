@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanledger.functions.numbers import safe_float
 from spanledger.functions.text import first_group, let, normal_hyphens, strip
+from spanledger.plans.containment import contained
 
 # Required views and the words that show them.
 REQUIRED_SECTIONS = {
@@ -258,37 +259,39 @@ def duplicate_headers(cells: DataFrame, keys: list[str], text: str, word: str, x
     )
 
 
-def section_box(issues: DataFrame, labels: DataFrame, key: str, issue_id: str, text: str) -> DataFrame:
-    """The box of the view an issue text names.
+def section_box(issues: DataFrame, labels: DataFrame, key: str, issue_id: str, text: str, sections: DataFrame | None = None) -> DataFrame:
+    """The box of the view an issue text names: key, issue_id, label, space and box.
 
-    A label matches if the text holds the whole label or one of its words of five
-    letters or more. PDF-space labels come first, then DXF-space ones, each in
-    order. Issue words meet label words in an equi-join; a whole label is confirmed
-    on the joined rows. ``labels``: key, label, space, ord, box columns in ``box``.
+    Sources come in this order, and each in its own: labels in PDF space, ``sections``,
+    labels in DXF space. A label matches if the text holds the whole label or one of
+    its words of five letters or more; a section if it holds the name, or what stands
+    before its first bracket if that has six letters or more. ``labels``: key, label,
+    space, ord, box; ``sections``: key, name, ord, box. Case does not matter; rows
+    without a box or with a blank name match nothing.
     """
+    c = F.col
     up = F.upper("label")
-    words = F.array_distinct(F.split(up, r"\s+"))
-    long = F.filter(words, lambda w: F.length(w) >= 5)
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
-    lw = labels.select(
-        key, "label", "space", "ord", "box", (F.size(long) == 0).alias("whole"),
-        F.explode(F.when(F.size(long) > 0, long).otherwise(F.array(longest))).alias("word"),
-    )
-    # A label word may sit inside a longer word of the text.
-    tokens = F.array_distinct(F.split(F.upper(text), r"\s+"))
-    iw = issues.select(key, issue_id, F.upper(text).alias("__text"), F.explode(tokens).alias("tok")).filter("tok <> ''")
-    inner = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("tok")),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.length("tok") - i + 1), lambda n: F.substring(F.col("tok"), i, n)
-            ),
+    long = F.filter(F.split(up, r"\s+"), lambda w: F.length(w) >= 5)
+    named = labels.select(
+        key, "label", "space", F.struct(F.when(c("space") == "dxf", 2).otherwise(0).alias("source"), "ord").alias("rank"), "box",
+        F.explode(F.array_distinct(F.concat(F.array(up), long))).alias("needle"),
+    )
+    if sections is not None:
+        name = F.upper(F.trim("name"))
+        short = F.trim(F.substring_index(name, "(", 1))
+        parts = F.array_compact(F.array(name, F.when(F.length(short) >= 6, short)))
+        named = named.unionByName(
+            sections.select(
+                key, c("name").alias("label"), F.lit("list").alias("space"), F.struct(F.lit(1).alias("source"), "ord").alias("rank"), "box",
+                F.explode(F.array_distinct(parts)).alias("needle"),
+            )
         )
-    )
-    pieces = iw.select(key, issue_id, "__text", F.explode(F.array_distinct(inner)).alias("word"))
-    hits = pieces.join(lw, [key, "word"]).filter(~F.col("whole") | F.col("__text").contains(F.upper("label")))
-    rank = F.struct(F.when(F.col("space") == "pdf", 0).otherwise(1), F.col("ord"))
-    return hits.groupBy(key, issue_id).agg(F.min_by(F.struct("label", "space", "box"), rank).alias("hit")).select(key, issue_id, "hit.*")
+    # Of all names that a text matches by the same words only the first counts.
+    known = named.filter("box IS NOT NULL").groupBy(key, "needle").agg(F.min_by(F.struct("rank", "label", "space", "box"), "rank").alias("best"))
+    said = issues.select(key, issue_id, F.upper(text).alias("__said"))
+    hits = contained(known.select(key, "needle", c("needle").alias("nid")), said, [key], "nid", "needle", issue_id, "__said", least=1)
+    found = hits.join(known.withColumnRenamed("needle", "nid"), [key, "nid"])
+    return found.groupBy(key, issue_id).agg(F.min_by("best", "best.rank").alias("hit")).select(key, issue_id, "hit.label", "hit.space", "hit.box")
 
 
 # Callouts and dimensions ----------------------------------------------------

@@ -1,110 +1,100 @@
-"""Which texts contain which others, without comparing all pairs."""
+"""Which texts contain which others, without comparing all pairs.
+
+Texts meet on sampled grams. Of every window of neighbouring grams the one with the
+least hash is kept; a text that holds another holds all its windows and so keeps the
+same grams. Only a fraction of a text's grams travels, and long words need no
+special care: a text of any length is worked through once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.functions.text import let
+from spanledger.plans.durable import durable
 
-GRAM = 8
-NONE = "array<string>"
+#: Least length of a needle, size of its grams and grams in a window: the longer a needle, the fewer of a text's
+#: grams are needed. A window of ``GRAMS[k]`` is never longer than the least length.
+GRAMS = ((1, 1, 1), (2, 2, 1), (3, 3, 1), (8, 5, 4), (32, 16, 17))
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
-def _runs(words: Column, n: int) -> Column:
-    """All runs of ``n`` words."""
-    return F.when(
-        F.size(words) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
-        ),
-    ).otherwise(F.array().cast(NONE))
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-def _grams(word: Column, n: int) -> Column:
-    return F.when(
-        F.length(word) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n))),
-    ).otherwise(F.array().cast(NONE))
 
+def sampled_grams(text: str, kind: int) -> np.ndarray:
+    """Hashes of the grams that the windows of a text keep, each once."""
+    _, size, window = GRAMS[kind]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(code) - size + 1
+    if n < window:
+        return np.zeros(0, np.int64)
+    grams = np.full(n, kind + 1, np.uint64)
+    for k in range(size):
+        grams = grams * _BASE + code[k : k + n]
+    grams = _mixed(grams)
+    least = grams[: n - window + 1].copy()
+    for k in range(1, window):
+        np.minimum(least, grams[k : k + len(least)], out=least)
+    return np.unique(least).view(np.int64)
 
-def _tag(kind: str, pieces: Column) -> Column:
-    return F.transform(pieces, lambda p: F.concat(F.lit(kind), p))
 
+def kind_of(length: int) -> int:
+    """Which of ``GRAMS`` a needle of this length uses."""
+    return max(k for k, (least, _, _) in enumerate(GRAMS) if length >= least)
 
-def needle_pieces(needle: Column) -> Column:
-    """Tagged pieces of which every text holding the needle has all.
 
-    Words inside the needle stand between white space, so they are whole words of
-    the text: three of them make runs (R), fewer stand alone (W). A needle of two
-    words ends one word of the text (S) and starts the next (P). A needle of one
-    word lies inside a word: as a whole if short (T), else its runs of eight
-    characters (G).
-    """
-    return let(F.split(needle, r"\s+"), lambda words: _needle_pieces(needle, words))
-
-
-def _needle_pieces(needle: Column, words: Column) -> Column:
-    n = F.size(words)
-    inner = F.slice(words, 2, F.greatest(n - 2, F.lit(0)))
-    edges = F.array_compact(
-        F.array(
-            F.when(F.get(words, 0) != "", F.concat(F.lit("S"), F.get(words, 0))),
-            F.when(F.get(words, 1) != "", F.concat(F.lit("P"), F.get(words, 1))),
-        )
-    )
-    return (
-        F.when(n >= 5, _tag("R", _runs(inner, 3)))
-        .when(n >= 3, _tag("W", inner))
-        .when(n == 2, edges)
-        .when(F.length(needle) >= GRAM, _tag("G", _grams(needle, GRAM)))
-        .otherwise(F.array(F.concat(F.lit("T"), needle)))
-    )
-
-
-def text_pieces(text: Column, kinds: Column) -> Column:
-    """The tagged pieces of a text, of the kinds that are asked for only."""
-    lengths = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1)))
-
-    def grams_of(words: Column, n: int) -> Column:
-        return once(words, lambda w: _grams(w, n))
-
-    def once(words: Column, make) -> Column:
-        return F.flatten(F.transform(F.array_distinct(words), make))
-
-    def cut(words: Column) -> Column:
-        options = {
-            "R": _runs(words, 3),
-            "W": F.array_distinct(words),
-            "S": once(words, lambda w: F.transform(lengths(w), lambda i: F.substring(w, i, F.length(w)))),
-            "P": once(words, lambda w: F.transform(lengths(w), lambda i: F.substring(w, F.lit(1), i))),
-            "G": grams_of(words, GRAM),
-            "T": F.flatten(F.array(*[grams_of(words, n) for n in range(3, GRAM)])),
-        }
-        parts = [F.when(F.array_contains(kinds, k), _tag(k, p)).otherwise(F.array().cast(NONE)) for k, p in options.items()]
-        return F.array_distinct(F.flatten(F.array(*parts)))
-
-    return let(F.split(text, r"\s+"), cut)
-
-
-def contained(needles: DataFrame, haystacks: DataFrame, keys: list[str], nid: str, needle: str, hid: str, text: str) -> DataFrame:
+def _cut(frames: Iterator[pa.RecordBatch], names: list[str], own: bool) -> Iterator[pa.RecordBatch]:
+    for frame in frames:
+        found = []
+        kinds = frame["__kinds"].to_pylist()
+        for text, asked in zip(frame["__text"].to_pylist(), kinds, strict=True):
+            wanted = [kind_of(len(text))] if own else asked
+            found.append(np.concatenate([sampled_grams(text, k) for k in wanted]) if wanted else np.zeros(0, np.int64))
+        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        kept = frame.select(names).take(pa.array(rows))
+        piece = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([*kept.columns, piece], names=[*names, "piece"])
+
+
+def _pieces(df: DataFrame, names: list[str], own: bool) -> DataFrame:
+    """names and piece of texts (``__text``, ``__kinds``): those of their own kind, or of all kinds that are asked for."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+    return df.select(*names, "__text", "__kinds").mapInArrow(lambda frames: _cut(frames, names, own), f"{schema}, piece bigint")
+
+
+def contained(
+    needles: DataFrame, haystacks: DataFrame, keys: list[str], nid: str, needle: str, hid: str, text: str, least: int = 3
+) -> DataFrame:
     """Pairs (nid, hid) of a key whose haystack text contains the needle text.
 
-    Needles have at least three characters and are not blank. Each needle meets the
-    texts on the one of its pieces that the fewest texts have, and every met pair is
-    confirmed on the full texts. Texts are cut only into the kinds of pieces that
-    the needles have.
+    Needles have at least ``least`` characters and are not blank; null texts are in no
+    pair. Each needle meets the texts on the one of its grams that the fewest texts
+    keep, and every met pair is confirmed on the full texts, which is the only time
+    that these are shuffled.
     """
     c = F.col
-    nd = needles.select(*keys, nid, c(needle).alias("__needle")).filter((F.length("__needle") >= 3) & c("__needle").rlike(r"\S"))
-    cut = nd.select(*keys, nid, F.explode(F.array_distinct(needle_pieces(c("__needle")))).alias("piece"))
-    kinds = cut.agg(F.collect_set(F.substring("piece", 1, 1))).scalar()
-    hs = haystacks.select(*keys, hid, c(text).alias("__text"))
-    hay = hs.withColumn("__kinds", kinds).select(*keys, hid, F.explode(text_pieces(c("__text"), c("__kinds"))).alias("piece"))
-
-    # Pieces that no needle has are dropped where they arise, if the needles are few.
+    nd = needles.select(*keys, nid, c(needle).alias("__needle"))
+    nd = nd.filter((F.length("__needle") >= max(1, least)) & c("__needle").rlike(r"\S"))
+    kind = F.lit(0)
+    for k, (length, _, _) in enumerate(GRAMS):
+        kind = F.when(F.length("__needle") >= length, k).otherwise(kind)
+    none = F.array().cast("array<int>")
+    cut = _pieces(nd.withColumns({"__text": c("__needle"), "__kinds": none}), [*keys, nid], own=True)
+    kinds = nd.agg(F.array_sort(F.collect_set(kind))).scalar()
+    hs = haystacks.select(*keys, hid, c(text).alias("__text")).filter("__text IS NOT NULL")
+    hay = _pieces(hs.withColumn("__kinds", F.coalesce(kinds, none)), [*keys, hid], own=False)
+
+    # Grams that no needle keeps are dropped where they arise, if the needles are few.
     asked = cut.select(*keys, "piece").distinct()
-    hay = hay.join(asked, [*keys, "piece"], "left_semi")
+    hay = durable(hay.join(asked, [*keys, "piece"], "left_semi"))
     counts = hay.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("__c"))
     rated = cut.join(counts, [*keys, "piece"], "left")
     best = rated.groupBy(*keys, nid).agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), c("piece").alias("p"))).alias("b"))

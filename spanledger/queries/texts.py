@@ -405,17 +405,21 @@ def section_grades(t):
 
 @query(
     "section_box",
-    """WITH l AS (SELECT o_custkey AS id, o_orderkey AS ord, CASE WHEN o_orderstatus='F' THEN 'dxf' ELSE 'pdf' END AS space, CASE WHEN o_orderkey%3=0 THEN 'TOP Z-Z' ELSE upper(o_orderpriority) END AS label FROM orders),
-    i AS (SELECT c_custkey AS id, 'Bars in '||CASE WHEN c_nationkey%3=0 THEN 'top z-z' WHEN c_nationkey%3=1 THEN 'x1-urgenty' ELSE 'view 4-not' END||' are wrong' AS text FROM customer),
-    h AS (SELECT i.id, l.label, l.space, l.ord FROM i JOIN l USING (id) WHERE contains(upper(i.text), l.label) OR len(list_filter(string_split(l.label,' '), lambda w: len(w)>=5 AND contains(upper(i.text), w)))>0)
-    SELECT id, label, space, ord AS box FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY space<>'pdf', ord)=1""",
+    """WITH l AS (SELECT o_custkey AS id, o_orderkey AS ord, CASE WHEN o_orderstatus='F' THEN 2 ELSE 0 END AS src, CASE WHEN o_orderkey%3=0 THEN 'TOP Z-Z' ELSE upper(o_orderpriority) END AS label FROM orders WHERE o_orderkey%5<>0),
+    s AS (SELECT o_custkey AS id, o_orderkey AS ord, o_orderpriority||' (plan)' AS label FROM orders WHERE o_orderkey%4=0),
+    i AS (SELECT c_custkey AS id, 'Bars in '||CASE WHEN c_nationkey%3=0 THEN 'top z-z' WHEN c_nationkey%3=1 THEN 'x1-urgenty' ELSE 'view 4-not specified' END||' are wrong' AS text FROM customer),
+    h AS (SELECT i.id, l.label, src, ord FROM i JOIN l USING (id) WHERE contains(upper(i.text), l.label) OR len(list_filter(string_split(l.label,' '), lambda w: len(w)>=5 AND contains(upper(i.text), w)))>0
+      UNION ALL SELECT i.id, s.label, 1, ord FROM i JOIN s USING (id) WHERE contains(upper(i.text), upper(s.label)) OR (len(upper(split_part(s.label,' (',1)))>=6 AND contains(upper(i.text), upper(split_part(s.label,' (',1)))))
+    SELECT id, label, ['pdf','list','dxf'][src+1] AS space, ord AS box FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY src, ord)=1""",
 )
 def section_box(t):
-    labels = t.orders.select(
-        c("o_custkey").alias("id"), c("o_orderkey").alias("ord"), F.when(c("o_orderstatus") == "F", "dxf").otherwise("pdf").alias("space"),
-        F.when(c("o_orderkey") % 3 == 0, "TOP Z-Z").otherwise(F.upper("o_orderpriority")).alias("label"), c("o_orderkey").alias("box"),
+    own = [c("o_custkey").alias("id"), c("o_orderkey").alias("ord"), c("o_orderkey").alias("box")]
+    labels = t.orders.filter("o_orderkey % 5 <> 0").select(
+        *own, F.when(c("o_orderstatus") == "F", "dxf").otherwise("pdf").alias("space"),
+        F.when(c("o_orderkey") % 3 == 0, "TOP Z-Z").otherwise(F.upper("o_orderpriority")).alias("label"),
     )
+    sections = t.orders.filter("o_orderkey % 4 = 0").select(*own, F.concat("o_orderpriority", F.lit(" (plan)")).alias("name"))
     n = c("c_nationkey") % 3
-    place = F.when(n == 0, "top z-z").when(n == 1, "x1-urgenty").otherwise("view 4-not")
+    place = F.when(n == 0, "top z-z").when(n == 1, "x1-urgenty").otherwise("view 4-not specified")
     issues = t.customer.select(c("c_custkey").alias("id"), F.concat(F.lit("Bars in "), place, F.lit(" are wrong")).alias("text"))
-    return L.section_box(issues.withColumn("iid", c("id")), labels, "id", "iid", "text").drop("iid")
+    return L.section_box(issues.withColumn("iid", c("id")), labels, "id", "iid", "text", sections).drop("iid")

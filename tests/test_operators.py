@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanledger.operators import forms, geometry, labels, rules, schedule
 from spanledger.operators.issues import passthrough
+from spanledger.operators.labels import section_box
 from spanledger.streaming import machine
 from spanledger.streaming.intake import sessions_batch
 
@@ -196,3 +197,30 @@ def test_every_control_of_the_machine_is_listed():
     for _ in range(20_000):
         state = machine.run({"msg_id": [1], "type": [str(rng.choice(["text", "image"]))], "content": [str(rng.choice(words))]}, state)[1]
         assert machine.control_of(state) in known
+
+
+def test_section_box_takes_its_sources_in_order(spark):
+    labels = spark.createDataFrame(
+        [
+            (1, "Section Z-Z (pile)", "dxf", 0, 10), (1, "detail of pilecap", "pdf", 5, 11), (1, "PLAN", "pdf", 1, 12), (1, "x", "pdf", 0, None),
+            (2, "SECTION Z-Z", "dxf", 0, 20), (3, "e" * 100_000, "pdf", 0, 30), (4, "", "pdf", 0, 40),
+        ],
+        "d long, label string, space string, ord int, box int",
+    )
+    sections = spark.createDataFrame(
+        [(1, "Section B-B (pier)", 0, 50), (2, "SHORT (a)", 0, 60), (2, "section z-z (pile)", 1, 61), (2, None, 2, 62)],
+        "d long, name string, ord int, box int",
+    )
+    said = [
+        (1, 1, "see the DETAILED drawing"),  # a label's word inside another word
+        (1, 2, "pilecap in section b-b is wrong"),  # a word of a PDF label before the list
+        (1, 3, "section b-b is wrong"),  # the name before the bracket
+        (1, 4, "section only"),  # a word of the DXF label
+        (2, 5, "bars in section z-z"),  # the list before the DXF label
+        (2, 6, "short"),  # five letters before the bracket are too few
+        (3, 7, "in " + "E" * 100_001), (4, 8, "anything"), (5, 9, "plan"), (1, 10, None), (1, 11, "a plan"),
+    ]
+    issues = spark.createDataFrame(said, "d long, i int, t string")
+    got = {r.i: (r.space, r.box) for r in section_box(issues, labels, "d", "i", "t", sections).collect()}
+    assert got == {1: ("pdf", 11), 2: ("pdf", 11), 3: ("list", 50), 4: ("dxf", 10), 5: ("list", 61), 7: ("pdf", 30), 11: ("pdf", 12)}
+    assert {r.i for r in section_box(issues, labels, "d", "i", "t").collect()} == {1, 2, 3, 4, 5, 7, 11}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanledger.plans import grid, scan
-from spanledger.plans.containment import contained
+from spanledger.plans.containment import GRAMS, contained, sampled_grams
 from spanledger.plans.fold import fold
 from spanledger.plans.scan import Neighbour, Running, ordered_scan
 
@@ -83,6 +83,40 @@ def test_containment_equals_all_pairs(spark):
     assert got == {(n[0], h[0]) for n in needles for h in hay if n[1] == h[1] and n[2] in h[2]}
 
 
+def test_containment_of_needles_of_all_lengths(spark):
+    rnd = random.Random(5)
+    hay = [(i, "k", "".join(rnd.choice("ab é\n") for _ in range(rnd.choice([0, 1, 7, 40, 300])))) for i in range(40)]
+    hay += [(90, "k", None), (91, "k", "ab" * 50_000), (92, "k", "x" * 100_000)]  # words of 100,000 characters
+    needles = [(0, "k", "a"), (1, "k", "b "), (2, "k", " "), (3, "k", None), (4, "k", ""), (5, "k", "ba" * 40_000), (6, "k", "x" * 99_999 + "y"), (7, "z", "a")]
+    for i in range(10, 90):
+        base = rnd.choice(hay[:40])[2]
+        at, n = rnd.randrange(len(base) + 1), rnd.choice([1, 2, 3, 7, 8, 9, 31, 32, 33, 200])
+        needles.append((i, "k", base[at : at + n]))
+    n_df = spark.createDataFrame(needles, "nid int, k string, needle string")
+    h_df = spark.createDataFrame(hay, "hid int, k string, text string")
+    for least in (1, 3):
+        got = {(r["nid"], r["hid"]) for r in contained(n_df, h_df, ["k"], "nid", "needle", "hid", "text", least).collect()}
+        want = {(n[0], h[0]) for n in needles for h in hay if n[2] and h[2] and n[1] == h[1] and n[2].strip() and len(n[2]) >= least and n[2] in h[2]}
+        assert got == want
+    none = n_df.limit(0)
+    assert contained(none, h_df, ["k"], "nid", "needle", "hid", "text").count() == 0
+
+
+@pytest.mark.parametrize("kind", range(len(GRAMS)))
+def test_a_text_keeps_all_grams_of_its_parts(kind):
+    rnd = random.Random(kind)
+    least, size, window = GRAMS[kind]
+    assert size + window - 1 <= least
+    for _ in range(200):
+        text = "".join(rnd.choice("abc") for _ in range(rnd.randrange(least, 4 * least + 5)))
+        at = rnd.randrange(len(text) - least + 1)
+        part = text[at : at + rnd.randrange(least, len(text) - at + 1)]
+        kept = sampled_grams(part, kind)
+        assert len(kept) and set(kept.tolist()) <= set(sampled_grams(text, kind).tolist())
+    long = "".join(rnd.choice("abcdefgh") for _ in range(20_000))
+    assert len(sampled_grams(long, kind)) <= 3 * len(long) / (window + 1)
+
+
 def cloud(spark, n=150):
     rnd = random.Random(11)
     pts = [(i, i % 2, round(rnd.gauss(0, 300), 1), round(rnd.gauss(0, 300), 1)) for i in range(n)]

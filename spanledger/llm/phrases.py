@@ -281,7 +281,7 @@ def phrases(
         lambda row, said: _filters(row, said, layout), FILTERS
     )
     found = stored(filters.groupBy("shard").applyInArrow(lambda t: _phrases(t, layout, least), PHRASES), "phrase-counts")
-    total = batches.groupBy("part").agg(F.sum("n_counted").alias("n"))
+    total = batches.select(F.inline(F.arrays_zip("parts", "n_counted"))).groupBy(F.col("parts").alias("part")).agg(F.sum("n_counted").alias("n"))
     return _ranked(_scored(found, words, covered), first).join(total, "part").select(
         F.col("part").alias("language"), "rank", "phrase", "a", "l", "r", "n", "score"
     )

@@ -36,7 +36,7 @@ UNKNOWN, START, FIRST_ID = 0, 1, 2
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 BATCH = (
-    "batch long, part string, n_words long, n_tokens long, n_counted long, words binary, counts binary, "
+    "batch long, n_words long, n_tokens long, parts array<string>, n_counted array<long>, words binary, counts binary, "
     "ids array<long>, counted array<boolean>, lengths array<int>, tokens binary"
 )
 WORDS_ASKED = "shard long, batch long, words binary, counts binary"
@@ -85,68 +85,70 @@ def unpacked_values(data: bytes) -> np.ndarray:
 
 
 class _Open:
-    """A batch that still takes texts."""
+    """A batch that still takes texts. Words of different parts have different numbers, BREAK is 0 in all."""
 
     def __init__(self):
-        self.words = defaultdict(itertools.count().__next__)
-        self.words[BREAK]
-        self.parts, self.ids, self.counted = [], [], []
-
-    def row(self, part: str, batch: int) -> dict:
-        tokens = np.concatenate(self.parts)
-        lengths = np.fromiter(map(len, self.parts), np.int32, len(self.parts))
+        self.next = itertools.count(1).__next__
+        self.words: dict[str, defaultdict] = {}
+        self.texts, self.parts, self.ids, self.counted = [], [], [], []
+
+    def add(self, part: str, item: int | None, counted: bool, words: list[bytes]) -> None:
+        if part not in self.words:
+            self.words[part] = defaultdict(self.next, {BREAK: 0})
+        self.texts.append(np.array(list(map(self.words[part].__getitem__, words)), np.int32))
+        self.parts.append(part)
+        self.ids.append(item)
+        self.counted.append(counted)
+
+    def row(self, batch: int) -> dict:
+        tokens = np.concatenate(self.texts)
+        lengths = np.fromiter(map(len, self.texts), np.int32, len(self.texts))
         counted = tokens[np.repeat(np.array(self.counted, bool), lengths)]
-        counts = np.bincount(counted, minlength=len(self.words))
+        named = {0: BREAK + BREAK}
+        for part, words in self.words.items():
+            mark = part.encode() + BREAK
+            named |= {k: mark + w for w, k in words.items() if k}
+        counts = np.bincount(counted, minlength=len(named))
+        n_counted = [int(counts[[k for k in words.values() if k]].sum()) for words in self.words.values()]
         return {
-            "batch": batch, "part": part, "n_words": len(self.words), "n_tokens": len(tokens),
-            "n_counted": int(counts[1:].sum()), "words": packed_words(list(self.words)), "counts": packed(counts),
-            "ids": self.ids, "counted": self.counted, "lengths": lengths, "tokens": packed(tokens),
+            "batch": batch, "n_words": len(named), "n_tokens": len(tokens), "parts": list(self.words), "n_counted": n_counted,
+            "words": packed_words([named[k] for k in range(len(named))]), "counts": packed(counts), "ids": self.ids,
+            "counted": self.counted, "lengths": lengths, "tokens": packed(tokens),
         }
 
 
-def _batches(frames: Iterator[pa.RecordBatch], split: Callable, names: list[str], schema: pa.Schema):
-    task = TaskContext.get().partitionId() << 32
-    numbers, open_, held = itertools.count(task), {}, 0
-
-    def closed():
-        rows = [b.row(part, next(numbers)) for part, b in open_.items()]
-        open_.clear()
-        for row in rows:
-            yield pa.RecordBatch.from_pylist([{k: row[k] for k in names}], schema)
-
+def _batches(frames: Iterator[pa.RecordBatch], split: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    numbers = itertools.count(TaskContext.get().partitionId() << 32)
+    batch, held = _Open(), 0
     for frame in frames:
         contents = frame["content"].cast(pa.binary())
         rows = zip(frame["part"].to_pylist(), frame["id"].to_pylist(), frame["counted"].to_pylist(), strict=True)
         for k, (part, item, counted) in enumerate(rows):
             content = contents[k].as_py() or b""
-            if part not in open_:
-                open_[part] = _Open()
-            batch = open_[part]
-            batch.parts.append(np.array(list(map(batch.words.__getitem__, split(content))), np.int32))
-            batch.ids.append(item)
-            batch.counted.append(bool(counted))
+            batch.add(part, item, bool(counted), split(content))
             held += len(content)
             if held >= BATCH_BYTES:
-                yield from closed()
-                held = 0
-    yield from closed()
+                yield pa.RecordBatch.from_pylist([batch.row(next(numbers))], schema)
+                batch, held = _Open(), 0
+    if batch.texts:
+        yield pa.RecordBatch.from_pylist([batch.row(next(numbers))], schema)
 
 
 def token_batches(rows: DataFrame, split: Callable[[bytes], list[bytes]], name: str) -> DataFrame:
     """Stored batches of the texts of ``rows`` (part, id, counted, content).
 
-    ``split`` gives the words of a text and ``BREAK`` at its end; a batch holds texts of
-    one part. ``counts`` are the words' occurrences in the texts that are counted, n_counted
-    is their sum without BREAK.
+    ``split`` gives the words of a text and ``BREAK`` at its end. Words of different parts
+    are different: ``words`` has each as its part, BREAK and the word. ``counts`` are their
+    occurrences in the texts that are counted, n_counted the sums over ``parts`` without BREAK.
     """
     schema = pa.schema(
         [
-            ("batch", pa.int64()), ("part", pa.string()), *[(k, pa.int64()) for k in ("n_words", "n_tokens", "n_counted")],
-            ("words", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())),
+            ("batch", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("parts", pa.list_(pa.string())),
+            ("n_counted", pa.list_(pa.int64())), ("words", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())),
             ("counted", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()),
         ]
     )
-    return stored(rows.mapInArrow(lambda frames: _batches(frames, split, schema.names, schema), BATCH), name)
+    return stored(rows.mapInArrow(lambda frames: _batches(frames, split, schema), BATCH), name)
 
 
 def shards_for(entries: int) -> int:
@@ -173,13 +175,12 @@ _WORDS_KNOWN = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), *[(k, pa
 def _asked(frames: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         for row in frame.to_pylist():
-            mark = (row["part"] or "").encode() + BREAK
             words, counts = unpacked_words(row["words"]), unpacked(row["counts"], np.int64)
             out: dict[str, list] = {k: [] for k in _WORDS_ASKED.names}
             for shard, places in in_shards(word_shards(words, shards)):
                 out["shard"].append(shard)
                 out["batch"].append(row["batch"])
-                out["words"].append(packed_words([mark + words[k] for k in places]))
+                out["words"].append(packed_words([words[k] for k in places]))
                 out["counts"].append(packed(counts[places]))
             yield pa.RecordBatch.from_pydict(out, _WORDS_ASKED)
 
@@ -216,8 +217,8 @@ def word_ids(batches: DataFrame, least: int, name: str) -> tuple[DataFrame, int]
     order. Rows without batch are the shard's words with at least ``least`` counted
     occurrences, as the part, BREAK and the word. All other words have the id UNKNOWN.
     """
-    shards = shards_for(batches.agg(F.sum("n_words")).first()[0] or 0)
-    asked = batches.select("batch", "part", "words", "counts")
+    shards = shards_for(2 * (batches.agg(F.sum("n_words")).first()[0] or 0))  # words are larger than numbers
+    asked = batches.select("batch", "words", "counts")
     asked = asked.mapInArrow(lambda frames: _asked(frames, shards), WORDS_ASKED)
     known = asked.groupBy("shard").applyInArrow(lambda t: _known(t, shards, least), WORDS_KNOWN)
     return stored(known, name), shards

@@ -12,7 +12,9 @@ through it even where all copies of that text are far away in the order.
 
 Regions wider than that which still hold several components are then finished: first
 every set meets the region's centre, the set that agrees most with the region's usual
-hashes, then all pairs of different components are compared. So each pair that shares
+hashes; then a region's sets come together with their shingles, in blocks of bounded
+size, and whatever does not hang together there yet is compared on the full sets. A
+block gives the links that join its components, no pairs. So each pair that shares
 ``MIN_DEPTH`` levels of some tree is linked or was compared, however many sets are alike.
 
 Equal sets are one class from the start, so copies are never paired with each other.
@@ -43,8 +45,8 @@ SIGNED = "id long, key long, set_key binary, n_shingles long, signature binary"
 NEAR = "a binary, b binary, depth int, tree int, branch binary, size long, copies long"
 #: Levels of a region with a hub; marks the hub rows of a stretch's first and last region.
 HUB_DEPTHS, HUB = (MIN_DEPTH, 5), -1
-#: Sets of a block of a wide region on its two sides; about so many sets show a region's usual hashes.
-CHUNK, SLICE, SAMPLE = 512, 4096, 128
+#: Shingles of a block of a wide region on its two sides; about so many sets show a region's usual hashes.
+CHUNK, SLICE, SAMPLE = 1_000_000, 2_000_000, 128
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MULTIPLY = np.random.default_rng(3).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,7 +198,7 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
         F.max_by(F.struct("a", "size"), F.struct("copies", "a")).alias("hub"), F.count("*").alias("n")
     )
     # At most two rows per task; a region within one task has met its hub there.
-    hubs = F.broadcast(hubs.where("n > 1").select("tree", "region", F.col("hub.a").alias("a"), F.col("hub.size").alias("hub_size")))
+    hubs = hubs.where("n > 1").select("tree", "region", F.col("hub.a").alias("a"), F.col("hub.size").alias("hub_size"))
     cut = branches.withColumn("region", F.substring("branch", 1, 2 * MIN_DEPTH)).join(hubs, ["tree", "region"])
     fits = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
     cut = cut.where(fits & (F.col("a") != F.col("set_key")))
@@ -232,11 +234,16 @@ def _with_components(sets: DataFrame, joined: DataFrame) -> DataFrame:
 def wide_rows(sets: DataFrame, joined: DataFrame) -> DataFrame:
     """tree, region, set_key and size of all sets of wide regions with several components."""
     spots = _spots(_with_components(sets, joined))
+    return _several(spots, AHEAD + 1).select("tree", "region", "set_key", "size")
+
+
+def _several(spots: DataFrame, above: int = 1) -> DataFrame:
+    """Those of ``spots`` whose region has more than ``above`` sets and more than one component."""
     component = F.xxhash64("component")
-    wide = spots.groupBy("region").agg(
+    open_ = spots.groupBy("region").agg(
         F.count("*").alias("n"), F.min(component).alias("low"), F.max(component).alias("high")
-    ).where(F.col("n") > AHEAD + 1).where("low <> high")
-    return spots.join(wide.select("region"), "region").select("tree", "region", "set_key", "size")
+    ).where(F.col("n") > above).where("low <> high")
+    return spots.join(open_.select("region"), "region")
 
 
 def _usual(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,54 +286,77 @@ def central_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct()
 
 
+class _Joined:
+    """Components that grow together, by the names of their members."""
+
+    def __init__(self):
+        self.above: dict = {}
+
+    def root(self, x):
+        while (y := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> None:
+        self.above[self.root(x)] = self.root(y)
+
+
 def _block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Candidates of one block: its held sets with all others, of different components.
+    """Links that join components of one block: its held sets are compared with all its met sets."""
+    out = []
+    held, met = frame[frame["held"]].reset_index(drop=True), frame[frame["met"]].reset_index(drop=True)
+    if len(held) and len(met):
+        sizes, keys, own = met["size"].to_numpy(), met["set_key"].to_numpy(), met["component"].to_numpy()
+        shingles, place = np.unique(np.frombuffer(b"".join(met["shingles"]), np.uint64), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        joined, marks = _Joined(), np.zeros(len(shingles) + 1, np.int32)
+        for key, size, component, data in zip(held["set_key"], held["size"], held["component"], held["shingles"], strict=True):
+            x = np.frombuffer(data, np.uint64)
+            at = np.searchsorted(shingles, x)
+            at = at[shingles[np.minimum(at, len(shingles) - 1)] == x]
+            marks[at] = 1
+            shared = np.add.reduceat(marks[place], starts)
+            marks[at] = 0
+            for k in np.flatnonzero(100 * shared >= percent * (size + sizes - shared)):
+                if joined.root(own[k]) != joined.root(component):
+                    joined.join(own[k], component)
+                    out.append((min(key, keys[k]), max(key, keys[k])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+
+def _shingled(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    shingles = Shingles(words)
+    for frame in frames:
+        yield pd.DataFrame({"set_key": frame["set_key"], "shingles": [shingles.of(t).tobytes() for t in frame["content"]]})
 
-    Signatures leave out what is six standard deviations below the similarity. A pair
-    is given in the first tree whose region it shares.
-    """
-    held, met = frame[frame["held"]].reset_index(drop=True), frame[~frame["held"]].reset_index(drop=True)
-    out = pd.DataFrame({"a": [], "b": []}, dtype=object)
-    if not len(held) or not len(met):
-        return out
-    tree, n, share = frame["tree"].iloc[0], TREES * DEPTH, percent / 100
-    least = n * share - 6 * (n * share * (1 - share)) ** 0.5
-    x, y = (np.frombuffer(b"".join(f["signature"]), np.uint16).reshape(len(f), n) for f in (held, met))
-    keys, sizes, own = met["set_key"].to_numpy(), met["size"].to_numpy(), met["component"].to_numpy()
-    a, b = [], []
-    for k, (key, size, component) in enumerate(zip(held["set_key"], held["size"], held["component"], strict=True)):
-        ok = (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (own != component)
-        at = np.flatnonzero(ok)
-        at = at[(y[at] == x[k]).sum(axis=1) >= least]
-        if len(at):
-            levels = (y[at] == x[k]).reshape(-1, TREES, DEPTH)[:, :, :MIN_DEPTH].all(axis=2)
-            at = at[levels.any(axis=1) & (levels.argmax(axis=1) == tree)]
-            a += [min(key, keys[j]) for j in at]
-            b += [max(key, keys[j]) for j in at]
-    return pd.DataFrame({"a": a, "b": b}, dtype=object)
-
-
-def remaining_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of all sets of one region and of different components.
 
+def remaining_links(rows: DataFrame, shingled: DataFrame, percent: int) -> DataFrame:
+    """Links a < b between sets of one region and of different components, as many as join these.
+
+    ``rows`` are wide_rows with component, ``shingled`` has the shingles of their sets.
     Sets outside a region's largest component are held in chunks and met by slices of
-    all its sets; each chunk and slice is one block, so no region is one task.
+    all its sets; each chunk and slice is one block of bounded size, so no region is one task.
     """
-    parts = rows.groupBy("region", "component").agg(F.count("*").alias("k"))
+    parts = rows.groupBy("region", "component").agg(F.count("*").alias("k"), F.sum("size").alias("s"))
     parts = parts.groupBy("region").agg(
-        F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main")
-    ).where("n > most")
-    chunks, slices = F.ceil((F.col("n") - F.col("most")) / CHUNK), F.ceil(F.col("n") / SLICE)
-    parts = parts.select("region", "main", chunks.alias("chunks"), slices.alias("slices"))
+        F.count("*").alias("components"), F.sum("s").alias("s"),
+        F.max_by(F.struct("component", "s"), F.struct("k", "component")).alias("main"),
+    ).where("components > 1")
+    chunks, slices = F.ceil((F.col("s") - F.col("main.s")) / CHUNK), F.ceil(F.col("s") / SLICE)
+    parts = parts.select("region", F.col("main.component").alias("main"), chunks.alias("chunks"), slices.alias("slices"))
     spots = rows.join(parts, "region").withColumn("h", F.xxhash64("set_key"))
-    held = spots.where("component <> main").withColumn("held", F.lit(True)).withColumn("chunk", F.pmod("h", "chunks"))
+    spots = spots.withColumn("held", F.col("component") != F.col("main")).withColumn("met", F.lit(True))
+    one = (F.col("chunks") == 1) & (F.col("slices") == 1)
+    names = ["region", "chunk", "slice", "held", "met", "set_key", "size", "component"]
+    whole = spots.where(one).withColumns({"chunk": F.lit(0).cast("long"), "slice": F.lit(0).cast("long")}).select(*names)
+    cut = spots.where(~one)
+    held = cut.where("held").withColumns({"met": F.lit(False), "chunk": F.pmod("h", "chunks")})
     held = held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    met = spots.withColumn("held", F.lit(False)).withColumn("slice", F.pmod("h", "slices"))
+    met = cut.withColumns({"held": F.lit(False), "slice": F.pmod("h", "slices")})
     met = met.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    names = ["region", "chunk", "slice", "held", "tree", "set_key", "size", "component"]
-    both = held.select(*names).unionByName(met.select(*names)).join(sets.select("set_key", "signature"), "set_key")
-    found = both.groupBy("region", "chunk", "slice").applyInPandas(lambda f: _block(f, percent), "a binary, b binary")
-    return found.distinct()
+    blocks = whole.unionByName(held.select(*names)).unionByName(met.select(*names)).join(shingled.hint("merge"), "set_key")
+    return blocks.groupBy("region", "chunk", "slice").applyInPandas(lambda f: _block(f, percent), "a binary, b binary").distinct()
 
 
 def _confirm(frames: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -384,10 +414,16 @@ def near_copies(
     )
     pairs = stored(candidates(sets, percent), "set-pairs")
 
+    def sources_of(nodes: DataFrame) -> DataFrame:
+        nodes = nodes.join(sets, "set_key").select("set_key", "first.id", "first.key").hint("merge")
+        return docs.join(nodes, ["id", "key"]).select("set_key", "content").dropDuplicates(["set_key"])
+
     def texts_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(sets, "set_key")
-        nodes = nodes.select("set_key", "first.id", "first.key").hint("merge")
-        return stored(docs.join(nodes, ["id", "key"]).select("set_key", "content").dropDuplicates(["set_key"]), "pair-texts")
+        return stored(sources_of(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()), "pair-texts")
+
+    def with_links(joined: DataFrame, more: DataFrame) -> DataFrame:
+        links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return stored(components(links.unionByName(more)), "set-components")
 
     sources = texts_of(pairs)
 
@@ -407,12 +443,14 @@ def near_copies(
 
     # What is left in wide regions: through their centres first, then pair by pair.
     rows = stored(wide_rows(sets, joined), "wide-rows")
-    for more in (central_pairs, remaining_pairs):
-        pairs = stored(more(_with_components(rows, joined), sets, percent), "wide-pairs")
-        if not pairs.isEmpty():
-            links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            links = links.unionByName(confirmed(pairs, texts_of(pairs), words, percent))
-            joined = stored(components(links), "set-components")
+    pairs = stored(central_pairs(_with_components(rows, joined), sets, percent), "central-pairs")
+    if not pairs.isEmpty():
+        joined = with_links(joined, confirmed(pairs, texts_of(pairs), words, percent))
+    rows = stored(_several(_with_components(rows, joined)), "open-rows")
+    if not rows.isEmpty():
+        own = rows.select("set_key").distinct()
+        shingled = sources_of(own).mapInPandas(lambda frames: _shingled(frames, words), "set_key binary, shingles binary")
+        joined = with_links(joined, remaining_links(rows, stored(shingled, "wide-shingles"), percent))
 
     members = sets.join(joined, sets["set_key"] == joined["node"], "left").select(
         "set_key", F.col("first.id").alias("own"), F.coalesce("component", "set_key").alias("component")

@@ -553,9 +553,12 @@ def raw_label_gaps(raw: DataFrame, key: str, text: str, filled: DataFrame) -> Da
 def word_losses(long: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
     """The word variant of rules 1 and 4: values that the document's text does not contain."""
     c = F.col
-    v = long.withColumn("v", T.strip(T.present_text(c("value")))).filter("v IS NOT NULL").join(documents.select(key, text), key).filter(~F.contains(c(text), c("v")))
-    lost = v.filter(c("field").isin(*WORD_FIELDS)).select(key, F.lit(1).alias("rule"), "field", F.substring("v", 1, 120).alias("expected"))
-    return lost.unionByName(v.filter(T.is_protected(c("v"))).select(key, F.lit(4).alias("rule"), "field", c("v").alias("expected")))
+    v = long.withColumn("v", T.strip(T.present_text(c("value")))).filter("v IS NOT NULL")
+    # A document's values, as many as a record has fields, meet its text at once.
+    wanted = v.groupBy(key).agg(F.collect_list(F.struct("field", "v")).alias("__values"))
+    gone = wanted.join(documents.select(key, text), key).select(key, F.inline(F.filter("__values", lambda x: ~F.contains(c(text), x["v"]))))
+    lost = gone.filter(c("field").isin(*WORD_FIELDS)).select(key, F.lit(1).alias("rule"), "field", F.substring("v", 1, 120).alias("expected"))
+    return lost.unionByName(gone.filter(T.is_protected(c("v"))).select(key, F.lit(4).alias("rule"), "field", c("v").alias("expected")))
 
 
 def corrected_cells(actual: DataFrame, issues: DataFrame, key: str) -> DataFrame:

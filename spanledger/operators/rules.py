@@ -235,7 +235,13 @@ def load_concepts(spark, path: str) -> DataFrame:
     return concepts
 
 
+#: Faults that the error names; the others are counted.
+SHOWN_FAULTS = 20
+
+
 def _fail_on(faults: DataFrame) -> None:
-    found = faults.limit(20).collect()
+    found = faults.limit(SHOWN_FAULTS).collect()
     if found:
-        raise ValueError("; ".join(f"{r[0]}: {r[1]}" for r in found))
+        more = faults.count() - len(found)
+        rest = [f"and {more} more"] if more else []
+        raise ValueError("; ".join([f"{r[0]}: {r[1]}" for r in found] + rest))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.plans.durable import durable
-from spanledger.plans.scan import numbered
+from spanledger.plans.scan import Neighbour, numbered, ordered_scan
 
 
 def _aside(df: DataFrame, keys: list[str], pid: str | None = None) -> tuple[DataFrame, list[str], dict[str, str]]:
@@ -237,44 +237,75 @@ def gap_clusters(points: DataFrame, keys: list[str], gap: float, pid: str) -> Da
 def two_nearest(points: DataFrame, keys: list[str], pid: str) -> DataFrame:
     """The nearest and second nearest other point of each point within its key.
 
-    Cells start at about the size that holds one point and double for the points
-    that have not yet seen two others within a cell's size, so crowded places are
-    searched at close range. Adds n1, d1, n2, d2, NULL where a key is too small.
-    Ties go to the lower ``pid``.
+    The places of a key are put in the order of a curve that fills the plane, by levels
+    of a quad tree; a place's neighbours in that order bound the distance of the two it
+    looks for. It then looks around it in cells of the size of that bound, so neither an
+    outlier nor a crowd makes a cell of many places, and there are no rounds. Points in
+    one place are one place. Adds n1, d1, n2, d2, NULL where a key is too small. Ties
+    go to the lower ``pid``.
     """
     points, inner, back = _aside(points.select(*keys, pid, "x", "y"), keys, pid)
     return _two_nearest(points, inner, "__pid").withColumnsRenamed(back)
 
 
+def _spread_bits(v: Column) -> Column:
+    """The 31 bits of a number, each followed by a zero."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
 def _two_nearest(points: DataFrame, keys: list[str], pid: str) -> DataFrame:
-    shape = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), (F.max("x") - F.min("x")).alias("__w"), (F.max("y") - F.min("y")).alias("__h")
-    )
+    c = F.col
+    # A place has the least numbers of its points; a point looks for those of others there first.
+    points = points.withColumns({"x": c("x") + F.lit(0.0), "y": c("y") + F.lit(0.0)})  # one zero
+    place = [*keys, "x", "y"]
+    first = points.groupBy(*place).agg(F.min(pid).alias("p1"), F.count(F.lit(1)).alias("__n"))
+    crowds = points.join(first.filter("__n > 1").drop("__n"), place).filter(c(pid) > c("p1"))
+    second = crowds.groupBy(*place).agg(F.min(pid).alias("p2"))
+    third = crowds.join(second, place).filter(c(pid) > c("p2")).groupBy(*place).agg(F.min(pid).alias("p3"))
+    places = durable(first.drop("__n").join(second, place, "left").join(third, place, "left"))
+
+    low = places.groupBy(*keys).agg(F.min("x").alias("__x0"), F.min("y").alias("__y0"), (F.max("x") - F.min("x")).alias("__w"), (F.max("y") - F.min("y")).alias("__h"))
     side = F.greatest("__w", "__h")
-    shape = shape.select(*keys, "__n", F.when(side > 0, side).otherwise(1.0).alias("__side"))
-    base = F.col("__side") / F.greatest(F.floor(F.sqrt("__n")), F.lit(1))
-    p = durable(points.select(*keys, pid, "x", "y").join(shape, keys).withColumn("__size", base))
-    open_, done = p, None
-    while True:
-        size = F.col("__size")
-        looking = open_.withColumns({"__cx": cell("x", size), "__cy": cell("y", size), "__lvl": size})
-        sizes = open_.select(*keys, F.col("__size").alias("__lvl")).distinct()
-        others = p.drop("__size", "__n", "__side").join(sizes, keys)
-        others = around(others, "x", "y", F.col("__lvl")).select(*keys, "__lvl", "__cx", "__cy", F.col(pid).alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        d = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2)
-        hits = looking.join(others, [*keys, "__lvl", "__cx", "__cy"]).filter(F.col(pid) != F.col("o")).withColumn("d", d)
-        hits = hits.select(*keys, pid, F.struct("d", "o").alias("h"))
-        first = hits.groupBy(*keys, pid).agg(F.min("h").alias("h1"))
-        second = hits.join(first, [*keys, pid]).filter(F.col("h") > F.col("h1")).groupBy(*keys, pid).agg(F.min("h").alias("h2"))
-        seen = open_.join(first, [*keys, pid], "left").join(second, [*keys, pid], "left")
-        whole = F.col("__size") > 2 * F.col("__side")
-        settled = whole | (F.coalesce(F.col("h2.d"), F.lit(float("inf"))) <= F.col("__size"))
-        seen = durable(seen.withColumn("__ok", settled))
-        part = seen.filter("__ok").select(*keys, pid, F.col("h1.o").alias("n1"), F.col("h1.d").alias("d1"), F.col("h2.o").alias("n2"), F.col("h2.d").alias("d2"))
-        done = part if done is None else done.unionByName(part)
-        open_ = seen.filter("NOT __ok").drop("h1", "h2", "__ok").withColumn("__size", F.col("__size") * 2)
-        if open_.isEmpty():
-            return done
+    low = low.select(*keys, "__x0", "__y0", F.when(side > 0, side).otherwise(1.0).alias("__side"))
+    step = lambda v, v0: _spread_bits(F.floor((c(v) - c(v0)) / c("__side") * (2**31 - 1)).cast("long"))
+    z = step("x", "__x0").bitwiseOR(F.shiftleft(step("y", "__y0"), 1))
+    curve = places.join(low, keys).withColumn("__z", z).drop("__x0", "__y0", "__side")
+    here = F.struct("x", "y", "p2")
+    order = ["__z", "x", "y"]
+    curve = ordered_scan(curve, keys, order, {"__s0": Neighbour(here, -1), "__s1": Neighbour(here, 1)})
+    curve = ordered_scan(curve, keys, order, {"__s2": Neighbour("__s0", -1), "__s3": Neighbour("__s1", 1)})
+    far = lambda o: F.sqrt((c("x") - c(o)["x"]) ** 2 + (c("y") - c(o)["y"]) ** 2)
+    seen = [F.when(c(f"__s{i}").isNotNull(), far(f"__s{i}")) for i in range(4)]
+    seen += [F.when(c(f"__s{i}.p2").isNotNull(), far(f"__s{i}")) for i in range(4)]
+    seen = F.array_sort(F.array_compact(F.array(*seen)))
+    bound = F.coalesce(F.get(seen, 1), F.get(seen, 0))  # the only other place of a key
+    level = F.pow(F.lit(2.0), F.ceil(F.log2(bound)))
+    open_ = curve.select(*place, F.when(level < bound, level * 2).otherwise(level).alias("__lvl")).filter("__lvl IS NOT NULL")
+
+    looking = durable(open_.withColumns({"__cx": cell("x", c("__lvl")), "__cy": cell("y", c("__lvl"))}))
+    cells = looking.select(*keys, "__lvl", "__cx", "__cy").distinct()
+    wanted = cells.withColumn("__s", F.explode(_shifts(1))).select(
+        *keys, "__lvl", "__cx", "__cy", (c("__cx") + c("__s.i")).alias("__nx"), (c("__cy") + c("__s.j")).alias("__ny")
+    )
+    own = places.select(*keys, c("x").alias("ox"), c("y").alias("oy"), c("p1").alias("o1"), c("p2").alias("o2"))
+    own = own.join(cells.select(*keys, "__lvl").distinct(), keys).withColumns({"__nx": cell("ox", c("__lvl")), "__ny": cell("oy", c("__lvl"))})
+    near = wanted.join(own, [*keys, "__lvl", "__nx", "__ny"]).drop("__nx", "__ny")
+    d = F.sqrt((c("x") - c("ox")) ** 2 + (c("y") - c("oy")) ** 2)
+    hits = looking.join(near, [*keys, "__lvl", "__cx", "__cy"]).filter((c("x") != c("ox")) | (c("y") != c("oy"))).filter(d <= c("__lvl"))
+    both = F.array_compact(F.array(F.struct(d.alias("d"), c("o1").alias("o")), F.when(c("o2").isNotNull(), F.struct(d.alias("d"), c("o2").alias("o")))))
+    hits = hits.select(*place, F.explode(both).alias("h"))
+    one = hits.groupBy(*place).agg(F.min("h").alias("h1"))
+    two = hits.join(one, place).filter(c("h") > c("h1")).groupBy(*place).agg(F.min("h").alias("h2"))
+    done = places.join(one, place, "left").join(two, place, "left")
+
+    at = lambda o: F.when(c(o).isNotNull() & (c(o) != c(pid)), F.struct(F.lit(0.0).alias("d"), c(o).alias("o")))
+    found = F.array_sort(F.array_compact(F.array(at("p1"), at("p2"), at("p3"), c("h1"), c("h2"))))
+    out = points.join(done, place).withColumn("__f", found)
+    return out.select(
+        *keys, pid, F.get("__f", 0)["o"].alias("n1"), F.get("__f", 0)["d"].alias("d1"), F.get("__f", 1)["o"].alias("n2"), F.get("__f", 1)["d"].alias("d2")
+    )
 
 
 def close_pairs(points: DataFrame, keys: list[str], pid: str, radius: str) -> DataFrame:

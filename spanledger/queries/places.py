@@ -142,11 +142,12 @@ def sheet_regions(t):
 
 @query(
     "unlabeled_views",
-    f"""WITH {RECTS}, v AS (SELECT * FROM r WHERE id%5=0), tt AS (SELECT * FROM p WHERE id%9=1)
+    f"""WITH {RECTS}, v AS (SELECT * FROM r WHERE id%2=0), tt AS (SELECT * FROM p WHERE id%2=1)
     SELECT id FROM v WHERE NOT EXISTS (SELECT 1 FROM tt WHERE tt.sheet=v.sheet AND tt.x BETWEEN xmin-200 AND xmax+200 AND tt.y BETWEEN ymin-200 AND ymax+200)""",
 )
 def unlabeled_views(t):
-    return G.unlabeled_views(rects(t).filter("id % 5 = 0"), points(t).filter("id % 9 = 1"), ["sheet"], "id", 200.0).select("id")
+    # Every place is either a view or a title.
+    return G.unlabeled_views(rects(t).filter("id % 2 = 0"), points(t).filter("id % 2 = 1"), ["sheet"], "id", 200.0).select("id")
 
 
 @query(
@@ -323,14 +324,17 @@ def ring_regions(t):
 
 @query(
     "search_boxes",
-    f"""WITH {RECTS}, l AS (SELECT id, sheet, x, y FROM p WHERE id%6=0), g AS (SELECT sheet, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM r WHERE sheet%2=0 GROUP BY 1)
-    SELECT id, round(CASE WHEN g.sheet IS NULL THEN x-4500 ELSE xmin-600 END,3) AS x0, round(CASE WHEN g.sheet IS NULL THEN y+700 ELSE ymax+600 END,3) AS y1 FROM l LEFT JOIN g USING (sheet)""",
+    f"""WITH {RECTS}, l AS (SELECT id, sheet, id%3 AS comp, x, y FROM p), g AS (SELECT sheet, id%2 AS comp, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM r GROUP BY 1,2)
+    SELECT id, round(CASE WHEN g.sheet IS NULL THEN x-4500 ELSE xmin-600 END,3) AS x0, round(CASE WHEN g.sheet IS NULL THEN y-5000 ELSE ymin-600 END,3) AS y0, round(CASE WHEN g.sheet IS NULL THEN x+4500 ELSE xmax+600 END,3) AS x1,
+      round(CASE WHEN g.sheet IS NULL THEN y+700 ELSE ymax+600 END,3) AS y1 FROM l LEFT JOIN g USING (sheet, comp)""",
 )
 def search_boxes(t):
-    labels = points(t).filter("id % 6 = 0").select("id", "sheet", F.lit("pier").alias("component"), "x", "y")
-    regions = rects(t).filter("sheet % 2 = 0").groupBy("sheet").agg(F.lit("pier").alias("component"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+    # Labels of three components; the regions of a sheet are of two of them.
+    name = lambda n: F.get(F.array(F.lit("pier"), F.lit("pile"), F.lit("pilecap")), n.cast("int"))
+    labels = points(t).select("id", "sheet", name(c("id") % 3).alias("component"), "x", "y")
+    regions = rects(t).groupBy("sheet", name(c("id") % 2).alias("component")).agg(*[F.min(n).alias(n) for n in ("xmin", "ymin")], *[F.max(n).alias(n) for n in ("xmax", "ymax")])
     out = G.search_boxes(labels, regions, "sheet", F.lit(1.0))
-    return out.select("id", F.round(c("xmin").cast("double"), 3).alias("x0"), F.round(c("ymax").cast("double"), 3).alias("y1"))
+    return out.select("id", *[F.round(c(n).cast("double"), 3).alias(k) for n, k in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1"))])
 
 
 @query(

@@ -266,14 +266,13 @@ def stretched_photos(t):
 
 @query(
     "sequential_fields",
-    r"""WITH RECURSIVE s AS (SELECT doc_id, [regexp_replace(regexp_replace(x,'[;,]\s*$',''),'^\s+|\s+$','','g') FOR x IN string_split(regexp_replace('Deck level: 7 then '||source||' next next '||lang||' and then x '||regexp_replace(text,'(next|then)','_','gi'), '\b(?:and\s+then|next|then)\b', chr(1), 'gi'), chr(1))] AS p FROM documents),
+    r"""WITH s AS (SELECT doc_id, [regexp_replace(regexp_replace(x,'[;,]\s*$',''),'^\s+|\s+$','','g') FOR x IN string_split(regexp_replace('Deck level: 7 then '||source||' next next '||lang||' and then x '||text, '\b(?:and\s+then|next|then)\b', chr(1), 'gi'), chr(1))] AS p FROM documents),
     l AS (SELECT doc_id, unnest(p) AS v, unnest(range(1, len(p)+1)) AS i FROM s)
-    SELECT doc_id, CAST(i+19 AS INTEGER) AS seq, ['deck_level','design_scour_level','design_foundation_level','foundation_type','substructure_type'][i] AS field, CASE WHEN i=1 THEN '7' ELSE v END AS value FROM l WHERE v<>''""",
+    SELECT doc_id, CAST(i+19 AS INTEGER) AS seq, {DICTATED}[i+19] AS field, CASE WHEN i=1 THEN '7' ELSE v END AS value FROM l WHERE v<>'' AND i+19<={N}""".replace("{DICTATED}", str(R.DICTATED)).replace("{N}", str(len(R.DICTATED))),
 )
 def sequential_fields(t):
-    # The whole text is dictated as one value; it holds no separator and starts with no label.
-    tail = F.regexp_replace("text", r"(?i)(next|then)", "_")
-    note = F.concat(F.lit("Deck level: 7 then "), "source", F.lit(" next next "), "lang", F.lit(" and then x "), tail)
+    # The whole text is dictated, with the separators that it holds itself.
+    note = F.concat(F.lit("Deck level: 7 then "), "source", F.lit(" next next "), "lang", F.lit(" and then x "), "text")
     return R.sequential_fields(t.documents.select("doc_id", note.alias("note")), ["doc_id"], "note")
 
 

@@ -1,10 +1,14 @@
 """Session machine in batch and as a stream, on messages made of the events."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from spanledger.operators import geometry as G  # noqa: F401
+from spanledger.plans.scan import numbered
 from spanledger.queries.registry import query
+from spanledger.session import checkpoint_root
 from spanledger.streaming import intake
+from spanledger.streaming.reports import ReportChain
 
 c = F.col
 
@@ -71,9 +75,89 @@ def event_stream(t):
     return t.spark.readStream.schema(schema).parquet(f"{t.folder}/event[s].parquet")
 
 
+#: Slices of the source, one for each micro-batch, and their length: what belongs to a slice comes with the next one
+#: for every seventh event, so the newest message seen may be two slices ahead.
+SLICES, SLICE_S = 3, 10 * 86_400
+
+
+def message_files(t, rows):
+    """Messages as files in order of arrival, and at last a tick for every phone."""
+    start = F.to_timestamp(F.lit("2024-01-01"))
+    no = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(start)) / SLICE_S) + F.when(c("msg_id") % 7 == 0, 1).otherwise(0)
+    rows = rows.withColumn("no", F.least(F.greatest(no, F.lit(0)), F.lit(SLICES)))
+    path = f"{checkpoint_root(t.spark)}/messages-{uuid.uuid4().hex}"
+    for k in range(SLICES + 1):
+        rows.filter(c("no") == k).drop("no").coalesce(1).write.mode("append").parquet(path)
+    last = rows.groupBy("phone").agg(F.max("ts").alias("ts"))
+    ticks = last.select(
+        "phone", F.lit(None).cast("bigint").alias("msg_id"), (c("ts") + F.expr(f"INTERVAL {3 * SLICE_S} SECONDS")).alias("ts"),
+        F.lit(intake.TICK).alias("type"), F.lit(None).cast("string").alias("content"),
+    )
+    ticks.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def sessions(t, rows):
+    source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(message_files(t, rows))
+    return intake.sessions_stream(source, delay_s=2 * SLICE_S)
+
+
 @query("stream_sessions", MACHINE_SQL)
 def stream_sessions(t):
-    return intake.drain(intake.sessions_stream(messages(event_stream(t)))).select(*SHOWN)
+    return intake.drain(sessions(t, messages(t.events))).select(*SHOWN)
+
+
+#: The events of a user as a script: hello, a format, notes on the bridge, the report, and over again.
+SCRIPT_SQL = """e AS (SELECT user_id AS phone, event_id AS msg_id, ts, CAST(props->>'k' AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS i FROM events),
+rec AS (SELECT phone, CAST(i//7+1 AS INTEGER) AS session_no, CASE phone%3 WHEN 0 THEN 'word' WHEN 1 THEN 'excel_rb' ELSE 'excel_amc' END AS fmt, max('Tapi '||k) FILTER (WHERE i%7=3) AS river,
+  max('C'||k) FILTER (WHERE i%7=4 AND k%2=0) AS circle, max('Seen maximum scour level 12.'||k||' m') FILTER (WHERE i%7=4 AND k%2=1) AS title, max('12.'||k||' m') FILTER (WHERE i%7=4 AND k%2=1) AS scour
+  FROM e GROUP BY 1,2,3 HAVING count(*)=7),"""
+
+#: Corrected cells of all reports.
+CHAIN_SQL = f"""WITH {SCRIPT_SQL}
+cells AS (SELECT phone, session_no, fmt, unnest(list_filter([{{'sheet':'Appendix-A','cell':'C4','value':coalesce(title, river)}},{{'sheet':'Appendix-A','cell':'C6','value':river}},
+    {{'sheet':'Appendix-A','cell':'C11','value':circle}},{{'sheet':'Appendix-A','cell':'C12','value':circle}},{{'sheet':'Appendix-A','cell':'C48','value':scour}},
+    {{'sheet':'Appendix-B','cell':'C4','value':coalesce(title, river)}},{{'sheet':'Appendix-B','cell':'C6','value':river}},{{'sheet':'Appendix-B','cell':'C10','value':circle}}], lambda q: q.value IS NOT NULL AND (fmt<>'word' OR q.cell='C48')), recursive := true)
+  FROM rec)"""
+
+
+def script(t):
+    k, i = F.get_json_object("props", "$.k").cast("int"), c("i") % 7
+    rows = numbered(t.events.select("user_id", "event_id", "ts", "props"), ["user_id"], ["ts", "event_id"], "i").withColumn("i", c("i") - 1)
+    text = k.cast("string")
+    content = (
+        F.when(i == 0, "hi").when(i == 1, (c("user_id") % 3 + 1).cast("string")).when(i == 2, "1").when(i == 3, F.concat(F.lit("river Tapi "), text))
+        .when((i == 4) & (k % 2 == 0), F.concat(F.lit("circle C"), text)).when(i == 4, F.concat(F.lit("Seen maximum scour level 12."), text, F.lit(" m")))
+        .when(i == 5, "done").otherwise("6")
+    )
+    return rows.select(c("user_id").alias("phone"), c("event_id").alias("msg_id"), c("ts").cast("timestamp").alias("ts"), F.lit("text").alias("type"), content.alias("content"))
+
+
+def chain(t):
+    """The chain over all micro-batches, each of them given twice."""
+    rows = script(t)
+    path = f"{checkpoint_root(t.spark)}/reports-{uuid.uuid4().hex}"
+    reports = ReportChain(path, rows)
+
+    def work(done, batch):
+        for _ in range(2):
+            reports.apply(done, batch)
+
+    intake.each_batch(sessions(t, rows), work, f"{path}/checkpoint").awaitTermination()
+    return reports
+
+
+@query("report_chain", f"{CHAIN_SQL} SELECT phone, session_no, fmt, sheet, cell, value FROM cells")
+def report_chain(t):
+    return chain(t).cells().select("phone", "session_no", "fmt", "sheet", "cell", "value")
+
+
+@query(
+    "report_log",
+    f"""{CHAIN_SQL} SELECT phone, session_no, fmt, 5 AS rule, cell, '(blank in report_json)' AS found, value AS expected, true AS was_corrected FROM cells WHERE cell='C48'""",
+)
+def report_log(t):
+    return chain(t).log().select("phone", "session_no", "fmt", "rule", "cell", "found", "expected", "was_corrected")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id AS phone, event_id AS msg_id FROM events")

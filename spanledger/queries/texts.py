@@ -177,21 +177,27 @@ def missing_notes(t):
 
 @query(
     "note_values",
-    """SELECT doc_id, CAST(CASE WHEN doc_id%3=0 THEN n_chars/8.0 END AS DOUBLE) AS pile_length_m, CAST(CASE WHEN doc_id%3=1 THEN 2.5 END AS DOUBLE) AS pile_fixity_m,
-    CASE doc_id%3 WHEN 0 THEN 'FE500D' WHEN 1 THEN 'TMT' ELSE 'HYSD' END AS steel_grade, CASE WHEN doc_id%3=2 THEN 'M35' END AS lap_length_concrete_grade FROM documents""",
+    r"""WITH d AS (SELECT doc_id, CASE doc_id%3 WHEN 0 THEN 'Pile length = '||(n_chars/8.0)||' m. Fe 500D' WHEN 1 THEN 'Fix. length: 2.5; TMT bars; pile dia.=1.2 m' ELSE 'Lap length for (M35) concrete, HYSD bars' END AS note, text FROM documents),
+    u AS (SELECT doc_id, upper(CASE WHEN doc_id%2=0 THEN note||chr(10)||text ELSE text||chr(10)||note END) AS t FROM d),
+    m AS (SELECT doc_id, t, regexp_extract(t, 'FIXITY\s*[=:]\s*([\d.]+)\s*M?|FIX\.?\s*LENGTH\s*[=:]\s*([\d.]+)', ['a','b']) AS fx FROM u)
+    SELECT doc_id, TRY_CAST(regexp_extract(t, 'PILE\s+LENGTH\s*[=:]\s*([\d.]+)\s*M?', 1) AS DOUBLE) AS pile_length_m, TRY_CAST(CASE WHEN fx.a<>'' THEN fx.a ELSE fx.b END AS DOUBLE) AS pile_fixity_m,
+      TRY_CAST(regexp_extract(t, 'PILE\s+DIA\.?\s*[=:]\s*([\d.]+)\s*M?', 1) AS DOUBLE) AS pile_dia_m, TRY_CAST(regexp_extract(t, 'MAX\.?\s+(?:SAFE\s+)?PILE\s+LOAD\s*[=:]\s*([\d.]+)\s*T', 1) AS DOUBLE) AS max_pile_load_t,
+      TRY_CAST(regexp_extract(t, 'CLEAR\s+COVER\s+TO\s+ANY\s+REINFORCEMENT\s*[=:]\s*([\d.]+)\s*MM', 1) AS DOUBLE) AS clear_cover_mm,
+      nullif(regexp_replace(regexp_extract(t, '\b(FE\s*-?\s*\d+[A-Z]*|HYSD|TMT)\b', 1), '\s+', '', 'g'), '') AS steel_grade,
+      nullif(regexp_extract(t, 'LAP\s+LENGTH\b[^.!?\n]{0,120}?\b(M\d+)\b', 1), '') AS lap_length_concrete_grade FROM m""",
 )
 def note_values(t):
     k = c("doc_id") % 3
     note = (
-        F.when(k == 0, F.concat(F.lit("Pile length = "), (c("n_chars") / 8).cast("string"), F.lit(" m. Fe 500D\n")))
-        .when(k == 1, "Fix. length: 2.5; TMT bars\n")
-        .otherwise("Lap length for (M35) concrete, HYSD bars\n")
+        F.when(k == 0, F.concat(F.lit("Pile length = "), (c("n_chars") / 8).cast("string"), F.lit(" m. Fe 500D")))
+        .when(k == 1, "Fix. length: 2.5; TMT bars; pile dia.=1.2 m")
+        .otherwise("Lap length for (M35) concrete, HYSD bars")
     )
     v = L.note_values(c("note"))
-    # The note comes first, so its values go before any that the text itself holds.
-    docs = spread(t.documents, "doc_id").select("doc_id", F.concat(note, "text").alias("note"))
-    names = ["pile_length_m", "pile_fixity_m", "steel_grade", "lap_length_concrete_grade"]
-    return docs.select("doc_id", *[v[n].alias(n) for n in names])
+    # The note stands before every second text and after the others, so what a text itself holds counts first there.
+    first = c("doc_id") % 2 == 0
+    whole = F.when(first, F.concat(note, F.lit("\n"), "text")).otherwise(F.concat("text", F.lit("\n"), note))
+    return spread(t.documents, "doc_id").select("doc_id", whole.alias("note")).select("doc_id", *[x.alias(n) for n, x in v.items()])
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,14 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
 
 from spanledger.plans.fold import CHUNK_ROWS, Relative, fold
 from spanledger.session import ROCKSDB_PROVIDER, checkpoint_root
 from spanledger.streaming import machine
 
-#: Messages of a phone that one step of the stream writes out together.
-PIECE_ROWS = 10_000
+#: Messages of a phone that one step of the stream holds together; microseconds of a bucket of waiting messages.
+PIECE_ROWS, BUCKET_US = 10_000, 60_000_000
+#: Type of a row that only tells the time; action of a message that came too late.
+TICK, LATE = "tick", "late"
 
 # The part of a webhook body that is read.
 PAYLOAD = (
@@ -79,50 +82,107 @@ def sessions_batch(messages: DataFrame, phone: str, order: list[str], chunk_rows
 
 
 class SessionProcessor(StatefulProcessor):
-    """The session machine of one phone; its state is one JSON text."""
+    """The session machine of one phone, in the order of the messages' own times.
+
+    Messages wait in the state, in pieces of buckets of time, until the phone's newest
+    message or tick is ``delay`` later than their bucket; then the buckets are applied
+    one after the other. What the state, a piece and a bucket hold bounds the memory,
+    not what arrives of a phone at once. A message that comes after a later one was
+    applied is given out as ``late`` and changes nothing.
+    """
+
+    def __init__(self, delay_us: int):
+        self.delay_us = delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("session", StructType([StructField("state", StringType())]))
+        self.saved = handle.getValueState("session", "state string, ts bigint, msg_id bigint")
+        self.seen = handle.getValueState("seen", "newest bigint, pieces bigint")
+        self.pieces = handle.getMapState("pieces", "bucket bigint, no bigint", "messages string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "msg_id"])
-        state = self.saved.get()[0] if self.saved.exists() else None
-        for at in range(0, len(batch), PIECE_ROWS):
-            piece = batch.iloc[at : at + PIECE_ROWS]
-            done, state = machine.run({c: piece[c].to_numpy() for c in ("msg_id", "type", "content")}, state)
-            out = pd.DataFrame(done).astype({"photo_num": "Int32"})
-            out.insert(0, "phone", key[0])
-            yield out
-        self.saved.update((state,))
+        state, *last = self.saved.get() if self.saved.exists() else (None, -(1 << 62), -1)
+        newest, pieces = self.seen.get() if self.seen.exists() else (-(1 << 62), 0)
+        for batch in rows:
+            ts = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            newest = max(newest, int(ts.max()))
+            kept = (batch["type"] != TICK).to_numpy()
+            ids = batch["msg_id"].fillna(-1).to_numpy().astype("int64")  # a tick has none
+            late = kept & ((ts < last[0]) | ((ts == last[0]) & (ids <= last[1])))
+            if late.any():
+                yield self._late(key, batch[late])
+            waiting = batch.assign(ts=ts, msg_id=ids)[kept & ~late]
+            for bucket, part in waiting.groupby(waiting["ts"] // BUCKET_US):
+                for at in range(0, len(part), PIECE_ROWS):
+                    some = part.iloc[at : at + PIECE_ROWS][["ts", "msg_id", "type", "content"]]
+                    self.pieces.updateValue((int(bucket), pieces), (some.to_json(orient="values"),))
+                    pieces += 1
+        self.seen.update((newest, pieces))
+
+        due = sorted(k for k in self.pieces.keys() if (k[0] + 1) * BUCKET_US <= newest - self.delay_us)
+        for _, names in itertools.groupby(due, key=lambda k: k[0]):
+            names = list(names)
+            found = sorted((r for k in names for r in json.loads(self.pieces.getValue(k)[0])), key=lambda r: (r[0], r[1]))
+            for at in range(0, len(found), PIECE_ROWS):
+                _, ids, kinds, contents = (list(x) for x in zip(*found[at : at + PIECE_ROWS], strict=True))
+                done, state = machine.run({"msg_id": ids, "type": kinds, "content": contents}, state)
+                yield self._rows(key, done)
+            last = found[-1][:2]
+            self.saved.update((state, *last))
+            for k in names:
+                self.pieces.removeKey(k)
+
+    def _rows(self, key, done: dict) -> pd.DataFrame:
+        out = pd.DataFrame(done).astype({"photo_num": "Int32", "session_no": "Int32", "is_open": "boolean"})
+        out.insert(0, "phone", key[0])
+        return out
+
+    def _late(self, key, batch: pd.DataFrame) -> pd.DataFrame:
+        done = dict.fromkeys(machine.OUTPUT_NAMES, [None] * len(batch))
+        return self._rows(key, done | {"msg_id": batch["msg_id"].to_list(), "action": [LATE] * len(batch)})
 
     def close(self) -> None:
         pass
 
 
-def sessions_stream(messages: DataFrame, phone_type: str = "bigint") -> DataFrame:
+def sessions_stream(messages: DataFrame, phone_type: str = "bigint", delay_s: int = 0) -> DataFrame:
     """The session machine over a stream with phone, msg_id, ts, type and content.
 
-    The rows of one phone within a micro-batch are applied in (ts, msg_id) order.
+    The messages of a phone are applied in (ts, msg_id) order, whatever batches they
+    come in, if none is more than ``delay_s`` behind the phone's newest; ``late_messages``
+    gives the others. A row of type ``tick`` is no message: it only tells a phone the
+    time, so that a silent one does not wait.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    return known(messages).groupBy("phone").transformWithStateInPandas(
-        statefulProcessor=SessionProcessor(),
+    ticks = messages.filter((F.col("type") == TICK) & F.col("phone").isNotNull())
+    rows = known(messages.filter(F.coalesce(F.col("type") != TICK, F.lit(False)))).unionByName(ticks)
+    return rows.filter("ts IS NOT NULL").groupBy("phone").transformWithStateInPandas(
+        statefulProcessor=SessionProcessor(delay_s * 1_000_000),
         outputStructType=f"phone {phone_type}, {machine.OUTPUT}",
         outputMode="Append",
         timeMode="None",
     )
 
 
+def late_messages(done: DataFrame) -> DataFrame:
+    """phone and msg_id of the messages that came too late to be applied."""
+    return done.filter(F.col("action") == LATE).select("phone", "msg_id")
+
+
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
     """Run ``work`` on every micro-batch until the source is drained."""
     return stream.writeStream.outputMode("append").foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, out: str | None = None) -> DataFrame:
+def late_count(query) -> int:
+    """Rows that a stream dropped because they were older than its watermark, over the progress that Spark keeps."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+
+def drain(stream: DataFrame, out: str | None = None, counts: dict | None = None) -> DataFrame:
     """Run a stream to the end of its input and read back what it wrote.
 
     Each micro-batch overwrites a folder of its own, so a repeated batch leaves no
-    duplicates.
+    duplicates. ``counts`` receives ``late``, the rows dropped by the watermark.
     """
     spark = stream.sparkSession
     root = out or f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
@@ -131,7 +191,10 @@ def drain(stream: DataFrame, out: str | None = None) -> DataFrame:
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
 
-    each_batch(stream, write, f"{root}/checkpoint").awaitTermination()
+    running = each_batch(stream, write, f"{root}/checkpoint")
+    running.awaitTermination()
+    if counts is not None:
+        counts["late"] = late_count(running)
     return spark.read.schema(schema).parquet(f"{root}/rows").drop("batch")
 
 

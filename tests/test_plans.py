@@ -124,6 +124,27 @@ def cloud(spark, n=150):
     return pts, spark.createDataFrame(pts, "id long, s int, x double, y double")
 
 
+def test_two_nearest_with_an_outlier_and_a_crowd(spark):
+    rnd = np.random.default_rng(4)
+    xy = np.vstack([rnd.normal(0, 3, (700, 2)), rnd.normal(5000, 0.01, (300, 2)), [[1e9, -1e9], [-0.0, 7.0], [0.0, 7.0]]]).round(4)
+    pts = [(i, 0, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+    pts += [(20_000 + i, 0, 123.0, 45.0) for i in range(10_000)]  # a crowd in one place
+    pts += [(40_000, 1, 1.0, 1.0), (40_001, 2, 1.0, 1.0), (40_002, 2, 1.0, 1.0), (40_003, 3, 0.0, 0.0), (40_004, 3, 5.0, 0.0)]
+    df = spark.createDataFrame(pts, "id long, s int, x double, y double")
+    got = {r["id"]: (r["n1"], r["d1"], r["n2"], r["d2"]) for r in grid.two_nearest(df, ["s"], "id").collect()}
+    assert len(got) == len(pts)
+    ids = np.array([p[0] for p in pts if p[1] == 0])
+    at = np.array([p[2:] for p in pts if p[1] == 0])
+    few = list(range(0, 1003, 7)) + [1000, 1001, 1002, 20_000, 20_001, 20_002, 29_999]
+    for i in few:
+        me = at[ids == i][0]
+        d = np.sqrt(((at - me) ** 2).sum(axis=1))
+        d[ids == i] = np.inf
+        a, b = np.lexsort((ids, d))[:2]
+        assert got[i] == (ids[a], d[a], ids[b], d[b])
+    assert got[40_000] == (None,) * 4 and got[40_001] == (40_002, 0.0, None, None) and got[40_003] == (40_004, 5.0, None, None)
+
+
 def test_gap_clusters_equal_closure(spark):
     pts, df = cloud(spark)
     got = {r["id"]: r["cluster"] for r in grid.gap_clusters(df, ["s"], 60.0, "id").collect()}

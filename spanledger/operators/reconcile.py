@@ -550,6 +550,25 @@ def keyed_union(sources: list[DataFrame], keys: list[str], value: str) -> DataFr
     return out.filter(full).groupBy(*keys).agg(F.max_by(value, "__rank").alias(value))
 
 
+def merge_design_files(files: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Parsed design files of a drawing as one design, and the files that could not be read.
+
+    ``files``: keys, ord, name and body, the file's content as one JSON object. Returns
+    (keys, field, value) with nested values as JSON, where later non-empty values replace
+    earlier ones, and (keys, ord, name, message) of the damaged files: a file that is
+    damaged does not keep the others from being read. An empty body is damaged too.
+    """
+    c = F.col
+    parsed = files.withColumn("__v", F.from_json("body", "map<string,string>")).withColumn("__ok", F.try_parse_json("body").isNotNull())
+    good = c("__v").isNotNull() & c("__ok")
+    rows = parsed.filter(good).select(*keys, "ord", F.explode("__v").alias("field", "value"))
+    # What counts as empty.
+    full = rows.filter(~F.coalesce(F.trim("value"), F.lit("")).isin("", "{}", "[]", "null", "false", "0", "0.0"))
+    merged = full.groupBy(*keys, "field").agg(F.max_by("value", "ord").alias("value"))
+    broken = parsed.filter(~F.coalesce(good, F.lit(False)))
+    return merged, broken.select(*keys, "ord", "name", F.concat("name", F.lit(": not readable")).alias("message"))
+
+
 def running_header(rows: DataFrame, keys: list[str], order: list[str], header: Column, name: str) -> DataFrame:
     """Carry the latest header down its rows; rows before any header are dropped."""
     marked = rows.withColumn("__h", header)

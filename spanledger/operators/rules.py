@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.text import fill, number_g, strip
+from spanledger.plans.scan import numbered
 
 # Phrases by which a finding says that nothing is wrong.
 NEGATIVE_PHRASES = [
@@ -167,6 +168,56 @@ def summary_lines(bars: DataFrame, key: str) -> DataFrame:
     )
 
 
+def summary_digest(drawings: DataFrame, bars: DataFrame, geometry: DataFrame, notes: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """The whole digest of each drawing: key, line_no and line.
+
+    ``geometry`` and ``notes`` have key, name and value (text; nulls are left out),
+    ``issues`` key, ord, category and title. The parts are the components, their
+    schedules, the geometry, the notes and what other checks found; a part without
+    rows has no lines, but for the first and the last. A digest stays rows and is
+    numbered in its order, whatever its length.
+    """
+    c, text = F.col, "string"
+    last = "\U0010ffff"  # after every name
+
+    def lines(df: DataFrame, part: int, line, a="", b="", n=0) -> DataFrame:
+        col = lambda v, kind: (F.lit(v) if isinstance(v, (str, int)) and not isinstance(v, bool) else v).cast(kind)
+        return df.select(key, F.lit(part).alias("part"), col(a, text).alias("a"), col(b, text).alias("b"), col(n, "bigint").alias("n"), line.alias("line"))
+
+    all_ = drawings.select(key).distinct()
+    known = bars.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("component")), ", ").alias("c"))  # a fixed set of components
+    present = all_.join(known, key, "left").select(key, F.concat(F.lit("Components present: "), F.coalesce("c", F.lit("(none detected)"))).alias("c"))
+    schedules = bars.select(key, "component").distinct()
+    zones = summary_lines(bars, key)
+    out = [
+        lines(all_, 0, F.lit("DRAWING SUMMARY")), lines(all_, 0, F.lit(""), n=1), lines(present, 1, c("c")), lines(all_, 1, F.lit(""), n=1),
+        lines(schedules, 2, F.concat(F.upper("component"), F.lit(" schedule:")), F.upper("component"), "", -1),
+        lines(zones, 2, c("line"), c("section"), c("bar_mark"), c("zone_ord")), lines(schedules, 2, F.lit(""), F.upper("component"), last),
+    ]
+    # The heads of the parts.
+    heads = {3: "Geometry (dimensions extracted from drawing):", 4: "Notes:"}
+    for part, rows in ((3, geometry), (4, notes)):
+        given = rows.filter("value IS NOT NULL")
+        own = given.select(key).distinct()
+        row = F.concat(F.lit("  "), "name", F.lit(": "), c("value").cast(text))
+        out += [lines(own, part, F.lit(heads[part]), "", "", -1), lines(given, part, row, c("name")), lines(own, part, F.lit(""), last)]
+    flagged = issues.select(key).distinct()
+    head = (
+        "ALREADY-FLAGGED ISSUES (from the deterministic/rule/vision checks that already ran — for reference only, do not re-flag these "
+        "individually; consider what they might indicate holistically):"
+    )
+    said = F.concat(F.lit("  ["), F.coalesce("category", F.lit("General")), F.lit("] "), F.coalesce("title", F.lit("")))
+    none = F.lit("ALREADY-FLAGGED ISSUES: none found by the other checks.")
+    out += [
+        lines(flagged, 5, F.lit(head), "", "", -1), lines(issues, 5, said, "a", "", c("ord")),
+        lines(all_.join(flagged, key, "left_anti"), 5, none, "", "", -1), lines(all_, 5, F.lit(""), last),
+    ]
+    union = out[0]
+    for part in out[1:]:
+        union = union.unionByName(part)
+    return numbered(union, [key], ["part", "a", "b", "n"], "line_no").select(key, "line_no", "line")
+
+
 # Registry -----------------------------------------------------------------
 
 RULE_SCHEMA = (

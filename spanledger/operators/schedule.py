@@ -168,6 +168,31 @@ def table_windows(labels: DataFrame, keys: list[str], x: str, tie: str, xmin: st
     ).drop("__p", "__n")
 
 
+#: How the first data row of a table begins.
+DATA_ROW = r"(?i)^\(?(LP|RP)\d+\b"
+
+
+def table_header_cells(cells: DataFrame, windows: DataFrame, keys: list[str], tid: str) -> DataFrame:
+    """The cells of each table between its label and its first data row, with the table's ``tid``.
+
+    ``cells``: keys, ord, x, row, row_y, text, rows counted from the top; ``windows``: keys,
+    tid, y (of the label), left, right, as ``table_windows`` cuts them. A cell finds its
+    window by one pass over both in order of x. A data row is one whose first cell that
+    is not blank begins like one; a table without such a row has header cells to the end.
+    """
+    c = F.col
+    table = F.struct(c(tid).alias("tid"), c("y").alias("y"), c("right").alias("right"))
+    kind = cells.schema["ord"].dataType
+    starts = windows.select(*keys, c("left").alias("__x"), F.lit(0).alias("__no"), F.lit(None).cast(kind).alias("ord"), table.alias("__w"))
+    own = cells.withColumns({"__x": c("x"), "__no": F.lit(1)})
+    line = own.unionByName(starts.withColumn("__tie", F.col("__w.tid")), allowMissingColumns=True)
+    placed = ordered_scan(line, keys, ["__x", "__no", "__tie", "ord"], {"__in": Running("last", "__w")}).filter("__no = 1")
+    inside = placed.filter((c("x") < c("__in.right")) & (c("row_y") < c("__in.y") - 1e-6)).select(*cells.columns, c("__in.tid").alias(tid))
+    said = inside.filter(F.trim("text") != "").groupBy(*keys, tid, "row").agg(F.min_by(F.trim("text"), F.struct("x", "ord")).alias("__said"))
+    end = said.filter(c("__said").rlike(DATA_ROW)).groupBy(*keys, tid).agg(F.min("row").alias("__end"))
+    return inside.join(end, [*keys, tid], "left").filter(c("__end").isNull() | (c("row") < c("__end"))).drop("__end")
+
+
 def section_bands(headers: DataFrame, keys: list[str], name: str, top: str, height: str) -> DataFrame:
     """The band of each component: from its topmost header to the next one, or to 82 % of the page."""
     c = F.col

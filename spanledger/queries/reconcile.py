@@ -429,6 +429,31 @@ def keyed_union(t):
     return C.keyed_union([a, b, s], ["k"], "v")
 
 
+DESIGN_SQL = """f AS (SELECT o_custkey AS k, o_orderkey AS ord, o_orderkey%5 AS m, o_orderpriority AS p FROM orders),
+    v AS (SELECT k, ord, unnest([{'field':'pile_dia','value':CASE m WHEN 1 THEN '' ELSE '1.'||m END},{'field':'pier','value':CASE m WHEN 2 THEN '{}' ELSE '{"shape":"'||p||'"}' END},{'field':'own'||m,'value':p}], recursive := true) FROM f WHERE m>0)"""
+
+
+def design_files(t):
+    """The orders of a customer as its design files; every fifth is damaged."""
+    m = F.col("o_orderkey") % 5
+    dia = F.when(m == 1, "").otherwise(F.concat(F.lit("1."), m.cast("string")))
+    pier = F.when(m == 2, "{}").otherwise(F.concat(F.lit('{"shape":"'), "o_orderpriority", F.lit('"}')))
+    body = F.concat(F.lit('{"pile_dia": "'), dia, F.lit('", "pier": '), pier, F.lit(', "own'), m.cast("string"), F.lit('": "'), "o_orderpriority", F.lit('"'))
+    body = F.when(m == 0, F.concat(body, F.lit(": broken"))).otherwise(F.concat(body, F.lit("}")))
+    name = F.concat(F.col("o_orderkey").cast("string"), F.lit(".json"))
+    return t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"), name.alias("name"), body.alias("body"))
+
+
+@query("design_merge", f"WITH {DESIGN_SQL} SELECT k, field, arg_max(value, ord) AS value FROM v WHERE value NOT IN ('', '{{}}') GROUP BY 1,2")
+def design_merge(t):
+    return C.merge_design_files(design_files(t), ["k"])[0]
+
+
+@query("design_errors", f"WITH {DESIGN_SQL} SELECT k, ord, ord||'.json: not readable' AS message FROM f WHERE m=0")
+def design_errors(t):
+    return C.merge_design_files(design_files(t), ["k"])[1].select("k", "ord", "message")
+
+
 @query(
     "header_carry",
     """SELECT * FROM (SELECT event_id, user_id, last_value(CASE WHEN event_type='signup' THEN value END IGNORE NULLS)

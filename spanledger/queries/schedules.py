@@ -88,6 +88,24 @@ def table_windows(t):
     return out.select("event_id", F.round("left", 4).alias("left"), F.round("right", 4).alias("right"))
 
 
+@query(
+    "table_header_cells",
+    """WITH e AS (SELECT event_id, user_id, value AS x, CAST(ts AS DATE)-DATE '2024-01-01' AS day, event_type AS t FROM events),
+    l AS (SELECT event_id AS tid, user_id, day AS lday, x, lag(x) OVER w AS p, lead(x) OVER w AS n FROM e WHERE t='signup' AND day<12 WINDOW w AS (PARTITION BY user_id ORDER BY x, event_id)),
+    k AS (SELECT tid, e.* FROM e JOIN l ON l.user_id=e.user_id AND e.day>lday AND e.x>=coalesce((p+l.x)/2, -1.0) AND e.x<coalesce((l.x+n)/2, 1000.0)),
+    f AS (SELECT tid, min(day) AS stop FROM (SELECT tid, day, arg_min(t, {'x': x, 'e': event_id}) AS t FROM k WHERE t<>'purchase' GROUP BY 1,2) WHERE t='error' GROUP BY 1)
+    SELECT tid, event_id FROM k LEFT JOIN f USING (tid) WHERE stop IS NULL OR day<stop""",
+)
+def table_header_cells(t):
+    day = F.datediff(c("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    e = c("event_type")
+    text = F.when(e == "error", F.concat(F.lit(" (LP"), c("event_id").cast("string"), F.lit(" 110.5"))).when(e == "purchase", "  ").otherwise(F.concat(F.upper(e), F.lit(" LVL")))
+    cells = t.events.select("user_id", c("event_id").alias("ord"), c("value").alias("x"), day.alias("row"), (-day).cast("double").alias("row_y"), text.alias("text"), "event_type")
+    labels = cells.filter("event_type = 'signup' AND row < 12").select("user_id", c("ord").alias("tid"), "x", c("row_y").alias("y"), F.lit(-1.0).alias("lo"), F.lit(1000.0).alias("hi"))
+    windows = S.table_windows(labels, ["user_id"], "x", "tid", "lo", "hi")
+    return S.table_header_cells(cells.drop("event_type"), windows, ["user_id"], "tid").select("tid", c("ord").alias("event_id"))
+
+
 @query(
     "section_bands",
     """WITH f AS (SELECT user_id, event_type, min(value) AS y FROM events WHERE value<100*0.80 GROUP BY 1,2)

@@ -123,6 +123,38 @@ def summary_lines(t):
     return U.summary_lines(drawing_bars(t), "drawing_id")
 
 
+DIGEST_SQL = f"""{SHEET_SQL}, z AS (SELECT drawing_id, component, bar_mark, count(*) AS zones FROM w GROUP BY 1,2,3), o AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderpriority AS p FROM orders),
+    bl AS (SELECT drawing_id AS id, upper(component) AS a, bar_mark AS b, zone_ord AS n, '  '||bar_mark||CASE WHEN zones>1 THEN ' (zone '||zone_ord||')' ELSE '' END||': dia='||coalesce(col_dia::VARCHAR,'None')||'mm'
+      ||coalesce(', spacing='||CAST(sp AS DOUBLE)||'mm','')||', count='||cnt||', length='||CAST(len AS DOUBLE)||'m' AS line FROM w JOIN z USING (drawing_id, component, bar_mark) WHERE drawing_id IN (SELECT id FROM o)),
+    sc AS (SELECT DISTINCT id, a FROM bl), kv AS (SELECT id, 3 AS part, 'pile_dia' AS name, (1000+k%3)::VARCHAR AS v FROM o WHERE k%2=0 UNION ALL SELECT id, 3, 'depth', '1800' FROM o WHERE k%4=0
+      UNION ALL SELECT id, 4, 'cover', '75' FROM o WHERE k%3=0 UNION ALL SELECT id, 4, 'lap', 'M35' FROM o WHERE k%6=0),
+    fl AS (SELECT id, p, n FROM o, (SELECT unnest([2, 1]) AS n) WHERE k%5=0),
+    u AS (SELECT id, 0 AS part, '' AS a, '' AS b, 0 AS n, 'DRAWING SUMMARY' AS line FROM o UNION ALL SELECT id, 0, '', '', 1, '' FROM o
+      UNION ALL SELECT o.id, 1, '', '', 0, 'Components present: '||coalesce(string_agg(lower(a), ', ' ORDER BY a), '(none detected)') FROM o LEFT JOIN sc USING (id) GROUP BY o.id UNION ALL SELECT id, 1, '', '', 1, '' FROM o
+      UNION ALL SELECT id, 2, a, '', -1, a||' schedule:' FROM sc UNION ALL SELECT id, 2, a, b, n, line FROM bl UNION ALL SELECT id, 2, a, '~', 0, '' FROM sc
+      UNION ALL SELECT DISTINCT id, part, '', '', -1, CASE part WHEN 3 THEN 'Geometry (dimensions extracted from drawing):' ELSE 'Notes:' END FROM kv UNION ALL SELECT id, part, name, '', 0, '  '||name||': '||v FROM kv UNION ALL SELECT DISTINCT id, part, '~', '', 0, '' FROM kv
+      UNION ALL SELECT DISTINCT id, 5, '', '', -1, 'ALREADY-FLAGGED ISSUES (from the deterministic/rule/vision checks that already ran — for reference only, do not re-flag these individually; consider what they might indicate holistically):' FROM fl
+      UNION ALL SELECT id, 5, 'a', '', n, '  ['||CASE n WHEN 1 THEN 'Notes' ELSE 'General' END||'] '||p||n FROM fl
+      UNION ALL SELECT id, 5, '', '', -1, 'ALREADY-FLAGGED ISSUES: none found by the other checks.' FROM o WHERE k%5<>0 UNION ALL SELECT id, 5, '~', '', 0, '' FROM o)"""
+
+
+@query("summary_digest", f"WITH {DIGEST_SQL} SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, a, b, n) AS line_no, line FROM u")
+def summary_digest(t):
+    o = t.orders.select(c("o_orderkey").alias("id"), c("o_custkey").alias("k"), c("o_orderpriority").alias("p"))
+
+    def pairs(**values):
+        each = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")) for n, v in values.items()])
+        return o.select("id", F.inline(each))
+
+    k = c("k")
+    geometry = pairs(pile_dia=F.when(k % 2 == 0, 1000 + k % 3), depth=F.when(k % 4 == 0, F.lit(1800)))
+    notes = pairs(lap=F.when(k % 6 == 0, F.lit("M35")), cover=F.when(k % 3 == 0, F.lit(75)))
+    n = F.explode(F.array(F.lit(2), F.lit(1)))
+    issues = o.filter("k % 5 = 0").select("id", "p", n.alias("ord")).select("id", "ord", F.when(c("ord") == 1, "Notes").alias("category"), F.concat("p", c("ord").cast("string")).alias("title"))
+    bars = drawing_bars(t).withColumnRenamed("drawing_id", "id").join(o.select("id"), "id", "left_semi")
+    return U.summary_digest(o, bars, geometry, notes, issues, "id")
+
+
 SECTIONS = {"the": ["THE"], "there": ["THERE"], "other": ["OTHER"], "and": ["AND"], "hand": ["HAND", "BRAND"], "la": ["LA"]}
 
 

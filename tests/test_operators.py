@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanledger.operators import forms, geometry, labels, rules, schedule
+from spanledger.operators import forms, geometry, labels, reconcile, rules, schedule
 from spanledger.operators.issues import passthrough
 from spanledger.operators.labels import section_box
 from spanledger.streaming import machine
@@ -224,3 +224,56 @@ def test_section_box_takes_its_sources_in_order(spark):
     got = {r.i: (r.space, r.box) for r in section_box(issues, labels, "d", "i", "t", sections).collect()}
     assert got == {1: ("pdf", 11), 2: ("pdf", 11), 3: ("list", 50), 4: ("dxf", 10), 5: ("list", 61), 7: ("pdf", 30), 11: ("pdf", 12)}
     assert {r.i for r in section_box(issues, labels, "d", "i", "t").collect()} == {1, 2, 3, 4, 5, 7, 11}
+
+
+def test_header_cells_end_at_each_table_s_own_data_row(spark):
+    cells = [
+        # two tables side by side; rows count from the top
+        (1, 0, 10.0, 1, 90.0, "TABLE-1"), (1, 1, 60.0, 1, 90.0, "TABLE 1"), (1, 2, 5.0, 2, 80.0, "TOP LVL"), (1, 3, 70.0, 2, 80.0, "TOP LVL"),
+        (1, 4, 8.0, 3, 70.0, "LP1"), (1, 5, 9.0, 3, 70.0, "x"), (1, 6, 65.0, 3, 70.0, "BOT LVL"), (1, 7, 64.0, 4, 60.0, " "), (1, 8, 66.0, 4, 60.0, "(rp2 5.5"),
+        (1, 9, 67.0, 5, 50.0, "late"), (1, 10, 7.0, 0, 95.0, "above"),
+    ]
+    cells += [(2, 0, 10.0, 1, 90.0, "TABLE-1")] + [(2, k, 10.0 + k, 2, 80.0, f"c{k}") for k in range(1, 60)]  # no data row, and many cells
+    df = spark.createDataFrame(cells, "d long, ord long, x double, row int, row_y double, text string")
+    labels = spark.createDataFrame([(1, 0, 10.0, 90.0, 0.0, 100.0), (1, 1, 60.0, 90.0, 0.0, 100.0), (2, 0, 10.0, 90.0, 0.0, 100.0)], "d long, tid long, x double, y double, lo double, hi double")
+    windows = schedule.table_windows(labels, ["d"], "x", "tid", "lo", "hi")
+    got = sorted((r.d, r.tid, r.ord) for r in schedule.table_header_cells(df, windows, ["d"], "tid").collect())
+    assert got == [(1, 0, 2), (1, 1, 3), (1, 1, 6)] + [(2, 0, k) for k in range(1, 60)]
+    assert schedule.table_header_cells(df.limit(0), windows, ["d"], "tid").count() == 0
+
+
+def test_digest_of_drawings_with_and_without_parts(spark):
+    drawings = spark.createDataFrame([(1,), (2,)], "d long")
+    bars = spark.createDataFrame(
+        [(1, "pile", "b", 1, 16, None, 4, None), (1, "pile", "a", 1, None, 150.0, None, 2.5), (1, "pile", "a", 2, 20, None, None, None)],
+        "d long, component string, bar_mark string, zone_ord int, bar_dia_mm int, spacing_mm double, count int, length_m double",
+    )
+    pairs = lambda rows: spark.createDataFrame(rows, "d long, name string, value string")
+    issues = spark.createDataFrame([(1, 2, None, "second"), (1, 1, "Notes", "first")], "d long, ord int, category string, title string")
+    out = rules.summary_digest(drawings, bars, pairs([(1, "z", "1"), (1, "a", "2")]), pairs([(1, "n", None)]), issues, "d").orderBy("d", "line_no").collect()
+    one = [r.line for r in out if r.d == 1]
+    assert one[:4] == ["DRAWING SUMMARY", "", "Components present: pile", ""] and one[4] == "PILE schedule:"
+    assert one[5:9] == ["  a (zone 1): dia=Nonemm, spacing=150.0mm, length=2.5m", "  a (zone 2): dia=20mm", "  b: dia=16mm, count=4", ""]
+    assert one[9:13] == ["Geometry (dimensions extracted from drawing):", "  a: 2", "  z: 1", ""]
+    assert one[13].startswith("ALREADY-FLAGGED ISSUES (") and one[14:] == ["  [Notes] first", "  [General] second", ""]
+    assert [r.line for r in out if r.d == 2] == [
+        "DRAWING SUMMARY", "", "Components present: (none detected)", "", "ALREADY-FLAGGED ISSUES: none found by the other checks.", "",
+    ]
+
+
+def test_a_damaged_design_file_keeps_no_other_from_being_read(spark):
+    files = [
+        (1, 0, "a", '{"dia": "1.2", "pier": {"shape": "Circular"}, "cap": 5}'), (1, 1, "b", '{"dia": '), (1, 2, "c", '{"dia": "", "pier": {}, "cap": 0, "new": [1]}'),
+        (1, 3, "d", None), (1, 4, "e", "[1, 2]"), (2, 0, "f", "not json"),
+    ]
+    merged, broken = reconcile.merge_design_files(spark.createDataFrame(files, "k long, ord int, name string, body string"), ["k"])
+    assert sorted((r.k, r.field, r.value) for r in merged.collect()) == [
+        (1, "cap", "5"), (1, "dia", "1.2"), (1, "new", "[1]"), (1, "pier", '{"shape":"Circular"}'),
+    ]
+    assert sorted((r.k, r["name"], r.message) for r in broken.collect()) == [(k, n, f"{n}: not readable") for k, n in ((1, "b"), (1, "d"), (1, "e"), (2, "f"))]
+
+
+def test_all_faults_of_a_registry_are_counted(spark, tmp_path):
+    (tmp_path / "r.json").write_text("\n".join(json.dumps({"rule_id": f"r{k}"}) for k in range(9)))
+    with pytest.raises(ValueError, match=r"and \d+ more$"):
+        rules.load_rules(spark, str(tmp_path / "r.json"))

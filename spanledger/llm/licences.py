@@ -25,6 +25,15 @@ SENTENCES = [
     ("apache_use", "you may not use this file except in compliance with the license"),
     ("apache_copy", "you may obtain a copy of the license at"),
     ("apache_limits", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis"),
+    ("agpl_3", "(this (work|program|software|file) is )?(licensed|released|distributed) under the (terms of the )?gnu affero general public license,? version 3"),
+    ("lgpl_3", "(this (work|program|software|file|library) is )?(licensed|released|distributed) under the (terms of the )?gnu lesser general public license,? version 3"),
+    ("lgpl_21", "(this (work|program|software|file|library) is )?(licensed|released|distributed) under the (terms of the )?gnu lesser general public license,? version 2[.]1"),
+    ("mpl_2", "this source code form is subject to the terms of the mozilla public license,? v\\b"),
+    ("epl_2", "this program and the accompanying materials are made available under the terms of the eclipse public license,? (v |version )?2[.]0"),
+    ("boost_1", "(this (work|program|software|file) is )?(licensed|released|distributed) under the boost software license,? version 1[.]0"),
+    ("isc_grant", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc_as_is", "the software is provided as is and the author disclaims all warranties"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("gpl_3", "(this (work|program|software|file) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license,? version 3"),
     ("gpl_2", "(this (work|program|software|file) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license,? version 2"),
     ("gpl_any", "(this (work|program|software|file) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license$"),
@@ -53,7 +62,16 @@ RULES = [
     ("MIT", ["mit_grant", "mit_notice", "as_is"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_name"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
+    ("ISC", ["isc_grant", "isc_as_is"]),
     ("Apache-2.0", ["apache_2"]),
+    ("AGPL-3.0-only", ["agpl_3"]),
+    ("LGPL-3.0-only", ["lgpl_3"]),
+    ("LGPL-2.1-only", ["lgpl_21"]),
+    ("MPL-2.0", ["mpl_2"]),
+    ("EPL-2.0", ["epl_2"]),
+    ("BSL-1.0", ["boost_1"]),
+    ("ISC", ["isc_grant"]),
+    ("Unlicense", ["unlicense"]),
     ("GPL-3.0-only", ["gpl_3"]),
     ("GPL-2.0-only", ["gpl_2"]),
     ("GPL", ["gpl_any"]),
@@ -122,56 +140,69 @@ def _without_stops(pattern: str) -> str:
     return pattern.replace(",?", "").replace(",", "")
 
 
+def _sequence(names: list[str]) -> str:
+    return "".join(f"<{n}>" for n in names)
+
+
 def licence_findings(messages: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
     """id, sentences, licences (without repeats, in rule order) and unclaimed sentences.
 
-    unclaimed holds the known sentences that no rule claimed, which hints at a licence
-    text that is incomplete or changed. A null or empty text has none of them; a null
-    id is passed on; repeated rows are judged each; no rows give no rows.
+    A rule claims its sentences wherever they follow each other and no rule before it
+    has claimed one of them, however often. unclaimed holds the known sentences that no
+    rule claimed, which hints at a licence text that is incomplete or changed. A null or
+    empty text has none of them; a very long text is judged whole; a null id is passed
+    on; repeated rows are judged each; no rows give no rows.
     """
     df = licence_sentences(messages, id_column, content)
-    df = df.withColumn("left_", F.concat(F.lit(","), F.array_join(F.transform("sentences", lambda x: F.concat(x, F.lit(","))), "")))
+    df = df.withColumn("left_", F.array_join(F.transform("sentences", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     df = df.withColumn("named", F.array().cast("array<string>"))
     for licence, names in RULES:
-        wanted = "," + ",".join(names) + ","
-        hit = F.contains("left_", F.lit(wanted))
-        df = df.withColumn("hit", hit).withColumn(
+        wanted = F.lit(_sequence(names))
+        df = df.withColumn("hit", F.contains("left_", wanted)).withColumn(
             "named", F.when(F.col("hit"), F.array_union("named", F.array(F.lit(licence)))).otherwise(F.col("named"))
         )
-        # Twice, as neighbouring finds share a comma.
-        for _ in range(2):
-            df = df.withColumn("left_", F.when(F.col("hit"), F.replace("left_", F.lit(wanted), F.lit(","))).otherwise(F.col("left_")))
-    rest = F.filter(F.split("left_", ","), lambda x: x != "")
+        # What was claimed leaves a mark, so that its neighbours do not become neighbours.
+        df = df.withColumn("left_", F.when(F.col("hit"), F.replace("left_", wanted, F.lit("|"))).otherwise(F.col("left_")))
+    rest = F.regexp_extract_all("left_", F.lit("<([a-z0-9_]+)>"), F.lit(1))
     return df.select("id", "sentences", F.col("named").alias("licences"), rest.alias("unclaimed"))
 
 
 def oracle(table: str = "documents", id_column: str = "doc_id", content: str = "text") -> str:
     """The same findings as DuckDB SQL, lists as comma-joined text."""
-    cases = " ".join(
-        f"WHEN regexp_matches(s, '^{_without_stops(pattern)}') THEN '{name}'" for name, pattern in SENTENCES
-    )
+
+    def known(s: str) -> str:
+        # A joined text may end with the line end that closes its sentence.
+        return "CASE " + " ".join(
+            f"WHEN regexp_matches({s}, '^{_without_stops(pattern)}') THEN '{name}'".replace("$'", "\\n?$'") for name, pattern in SENTENCES
+        ) + " END"
+
     steps, at = [], "found"
     for k, (licence, names) in enumerate(RULES):
-        wanted = "," + ",".join(names) + ","
+        wanted = _sequence(names)
         steps.append(
             f"r{k} AS (SELECT id, sentences, CASE WHEN contains(rest, '{wanted}') AND NOT list_contains(named, '{licence}') "
-            f"THEN list_append(named, '{licence}') ELSE named END AS named, "
-            f"replace(replace(rest, '{wanted}', ','), '{wanted}', ',') AS rest FROM {at})"
+            f"THEN list_append(named, '{licence}') ELSE named END AS named, replace(rest, '{wanted}', '|') AS rest FROM {at})"
         )
         at = f"r{k}"
     return f"""
     WITH cut AS (
-        SELECT {id_column} AS id, list_filter(
-            string_split(lower(regexp_replace(coalesce({content}, ''), '([.!?;:]) +', '\\1' || chr(10), 'g')), chr(10)),
-            lambda s: regexp_matches(s, '{KEYWORDS}')) AS parts FROM {table}
+        SELECT row_number() OVER () AS row, {id_column} AS id, CASE WHEN regexp_matches(lower({content}), '{ANYWHERE}') THEN string_split_regex(
+            lower(regexp_replace({content}, '([.!?;:]) +', '\\1' || chr(10), 'g')), '\\r?\\n') ELSE [] END AS lines FROM {table}
     ), plain AS (
-        SELECT id, list_transform(parts, lambda s: trim(regexp_replace(regexp_replace(
-            s, '[^a-z0-9./,-]+', ' ', 'g'), '[ .,]+( |$)', ' ', 'g'))) AS parts FROM cut
+        SELECT row, id, lines, list_transform(lines, lambda s: trim(regexp_replace(regexp_replace(regexp_replace(
+            s, '^\\s*(//+|/[*]+|--+)', ''), '[^a-z0-9./,-]+', ' ', 'g'), '[ .,]+( |$)', ' ', 'g'))) AS plain FROM cut
+    ), pieces AS (
+        SELECT row, id, plain, list_transform(range(1, len(lines) + 1), lambda k: plain[k] ||
+            CASE WHEN plain[k] = '' OR regexp_matches(lines[k], '[.!?][^a-z0-9]*$') THEN chr(10) ELSE ' ' END) AS ended FROM plain
+    ), starts AS (
+        SELECT row, k, plain[k] AS s, array_to_string(ended[k:k + {WORDS - 1}], '') AS j
+        FROM (SELECT row, plain, ended, unnest(range(1, len(plain) + 1)) AS k FROM pieces) WHERE regexp_matches(plain[k], '{STARTS}')
     ), named AS (
-        SELECT id, list_filter(list_transform(parts, lambda s: CASE {cases} END), lambda x: x IS NOT NULL) AS sentences FROM plain
+        SELECT row, k, coalesce(CASE WHEN regexp_matches(s, '{KEYWORDS}') THEN {known("s")} END, {known("j")}) AS name FROM starts
     ), found AS (
-        SELECT id, sentences, CAST([] AS VARCHAR[]) AS named,
-            ',' || array_to_string(list_transform(sentences, lambda x: x || ','), '') AS rest FROM named
+        SELECT id, coalesce(sentences, []) AS sentences, CAST([] AS VARCHAR[]) AS named,
+            array_to_string(list_transform(coalesce(sentences, []), lambda x: '<' || x || '>'), '') AS rest
+        FROM cut LEFT JOIN (SELECT row, list(name ORDER BY k) AS sentences FROM named WHERE name IS NOT NULL GROUP BY 1) USING (row)
     ), {", ".join(steps)}
     SELECT id AS doc_id, array_to_string(sentences, ',') AS sentences, array_to_string(named, ',') AS licences,
-        array_to_string(list_filter(string_split(rest, ','), lambda x: x <> ''), ',') AS unclaimed FROM {at}"""
+        array_to_string(regexp_extract_all(rest, '<([a-z0-9_]+)>', 1), ',') AS unclaimed FROM {at}"""

@@ -65,24 +65,26 @@ def write_archives(
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` bytes, the one
     with the smallest id is the response, the others revisit it. If several rows have
-    that id, each is a response and the one with the smallest url is revisited. A null
+    that id, each is a response and the first with the smallest url is revisited. A null
     html is an empty payload; a page without id is a response unless one with an id has
-    its payload; rows equal in id, url and html are one capture.
+    its payload. Each row is a capture of its own, a repeated one too: its place in the
+    table's files enters its record ids.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\r\n]+", "%0D%0A").alias("url"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("payload"),
+        F.monotonically_increasing_id().alias("place"),
     ).withColumn("sha1", F.sha1("payload"))
     size = F.octet_length("payload")
     first = rows.where((size >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("sha1").agg(
-        F.min(F.struct("page_id", "url")).alias("first")
+        F.min(F.struct("page_id", "url", "place")).alias("first")
     )
-    first = first.select("sha1", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    first = first.select("sha1", *[F.col(f"first.{k}").alias(v) for k, v in (("page_id", "first_id"), ("url", "first_url"), ("place", "first_place"))])
     rows = rows.join(first, "sha1", "left")
 
-    def record_id(kind: str, item: str, address: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(F.col(item).cast("string"), F.lit("-")), address, "sha1"))
+    def record_id(kind: str, item: str, address: Column, place: str = "place") -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(F.col(item).cast("string"), F.lit("-")), address, "sha1", F.col(place).cast("string")))
         parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
         return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -103,7 +105,7 @@ def write_archives(
         fields(
             F.when(revisit, "revisit").otherwise("response"), own, "application/http; msgtype=response",
             ("WARC-Payload-Digest", digest),
-            ("WARC-Refers-To", F.when(revisit, record_id("response", "first_id", F.col("first_url")))),
+            ("WARC-Refers-To", F.when(revisit, record_id("response", "first_id", F.col("first_url"), "first_place"))),
             ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ),
         F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))),

@@ -30,7 +30,9 @@ GRAMS, SLOTS, HASHES = 20_000, 1 << 20, 3
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
 
-_REST = re.compile(r"[\W\d_]+")
+# Letters are what is left: signs of numbers such as fractions count as word characters, but are none.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_REST = re.compile(f"[\\W\\d_{re.escape(_NUMBERS)}]+")
 
 
 def grams(text: str | None) -> np.ndarray:

@@ -343,6 +343,12 @@ def test_language_of_held_out_messages(spark):
     assert identify_language(messages(spark, []), filters).count() == 0
 
 
+def test_signs_of_numbers_are_no_letters():
+    for text in ("½ ²", "12 ¾", "Ⅻ", "_1", "", None):
+        assert not len(grams(text))
+    assert (grams("a½b") == grams("a b")).all() and len(grams("é")) and len(grams("字"))
+
+
 def test_sliced_filter_returns_every_language_of_a_gram():
     filters = Filters()
     en, de = grams("the thing"), grams("die unge the")
@@ -371,7 +377,7 @@ def test_archives_round_trip(spark, tmp_path):
         if item is not None:
             first[html or ""] = min(first.get(html or "", item), item)
     got = archive_pages(pages(spark, rows)).collect()
-    assert len(got) == len(set(rows))
+    assert len(got) == len(rows)
     for r in got:
         html = next((h or "") for i, _, h in rows if i == r.metadata.page_id)
         body = html.encode()
@@ -516,6 +522,44 @@ def test_wrapped_licence_texts(spark):
     assert {r.id: (r.licences, r.unclaimed) for r in got} == want | {90: ([], [])}
 
 
+def test_repeated_sentences_leave_nothing_unclaimed(spark):
+    rows = [(n, "All rights reserved.\n" * n) for n in range(1, 11)] + [(20, (MIT_TEXT + "\n\n") * 7)]
+    for r in licences.licence_findings(messages(spark, rows)).collect():
+        assert r.unclaimed == [] and r.licences == (["MIT"] if r.id == 20 else ["All-Rights-Reserved"])
+    # Sentences do not become neighbours by what was claimed between them.
+    text = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\nLicensed under the MIT license.\nThe software is provided as is and the author disclaims all warranties."
+    (r,) = licences.licence_findings(messages(spark, [(1, text)])).collect()
+    assert (r.licences, r.unclaimed) == (["ISC", "MIT"], ["isc_as_is"])
+
+
+OTHERS = {
+    "AGPL-3.0-only": "This program is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.1-only": "This library is distributed under the terms of the GNU Lesser General Public License,\nversion 2.1",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES',
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_licence_sql_reads_wrapped_texts_alike(spark):
+    import duckdb
+
+    whole = [MIT_TEXT, BSD_TEXT, APACHE_TEXT, GPL_TEXT, *OTHERS.values(), "all rights reserved. " * 6, None, ""]
+    rows = [(3 * k + j, t and "\n".join(mark + x for x in t.split("\n"))) for k, t in enumerate(whole) for j, mark in enumerate(("", "// ", " * "))]
+    rows += [(99, MIT_TEXT.replace("\n", "\r\n")), (98, "licensed under the gnu general public license"), (98, "licensed under the gnu general public license\nx")]
+    got = licences.licence_findings(messages(spark, rows)).collect()
+    named = {r.id: r.licences for r in got}
+    for k, licence in enumerate(OTHERS):
+        assert named[3 * (k + 4)] == [licence]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(licences.oracle()).fetchall()
+    assert sorted((r.id, ",".join(r.sentences), ",".join(r.licences), ",".join(r.unclaimed)) for r in got) == sorted(want)
+
+
 def test_extra_columns_do_not_leak(spark):
     df = messages(spark, [(1, "a")]).withColumn("content", F.lit("b"))
     assert near_copies(df).columns == ["id", "key", "n_shingles", "component_id", "kept"]

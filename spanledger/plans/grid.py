@@ -321,29 +321,63 @@ def close_pairs(points: DataFrame, keys: list[str], pid: str, radius: str) -> Da
     return left.join(right, [*keys, "__cx", "__cy"]).filter("a < b").withColumn("d", d).filter(F.col("d") <= F.col(radius)).drop("__cx", "__cy", radius).withColumnsRenamed(back)
 
 
+def chain_roots(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Where chains of ``links`` (keys, v, up) begin: keys, v, root and odd, whether that is an odd number of steps away.
+
+    Each v has one link, none leads back. Every round doubles the steps that are taken
+    at once, so rounds grow with the logarithm of the longest chain.
+    """
+    state = durable(links.select(*keys, "v", F.col("up").alias("root"), F.lit(True).alias("odd")))
+    while True:
+        on = state.select(*keys, F.col("v").alias("root"), F.col("root").alias("__r"), F.col("odd").alias("__o"))
+        joined = durable(state.join(on, [*keys, "root"], "left"))
+        if joined.filter("__r IS NOT NULL").isEmpty():
+            return state
+        odd = F.when(F.col("__o"), ~F.col("odd")).otherwise(F.col("odd"))
+        state = durable(joined.select(*keys, "v", F.coalesce("__r", "root").alias("root"), odd.alias("odd")))
+
+
 def greedy_matching(pairs: DataFrame, keys: list[str], weight: list[str]) -> DataFrame:
     """The pairs a greedy pass by ascending weight takes, each point once.
 
     ``pairs`` has a, b, which no key may be called. A pair that is the smallest of all open pairs at both of
     its points is certain to be taken; each round takes all such pairs at once and
-    drops what they rule out.
+    drops what they rule out. A pair that waits for one other only is taken if that is
+    not: whole chains of such pairs are settled in the round that settles their first.
     """
     order = F.struct(*weight, "a", "b")
-    open_, taken = durable(pairs), None
+    open_, taken = durable(pairs.withColumn("__w", order)), None
     while True:
-        ends = open_.select(*keys, F.explode(F.array("a", "b")).alias("__p"), order.alias("__w"))
-        best = ends.groupBy(*keys, "__p").agg(F.min("__w").alias("__w"))
-        sure = open_.withColumn("__w", order)
+        ends = open_.select(*keys, "__w", F.explode(F.array("a", "b")).alias("__p"))
+        # The two smallest pairs of a point decide whether a pair waits for none, one or more.
+        first = ends.groupBy(*keys, "__p").agg(F.min("__w").alias("__w1"))
+        second = ends.join(first, [*keys, "__p"]).filter("__w > __w1").groupBy(*keys, "__p").agg(F.min("__w").alias("__w2"))
+        at = durable(first.join(second, [*keys, "__p"], "left"))
+        seen = open_
         for end in ("a", "b"):
-            sure = sure.join(best.withColumnRenamed("__p", end), [*keys, end, "__w"], "left_semi")
-        sure = durable(sure.drop("__w"))
+            own = at.select(*keys, F.col("__p").alias(end), F.col("__w1").alias(f"__1{end}"), F.col("__w2").alias(f"__2{end}"))
+            seen = seen.join(own, [*keys, end])
+        before = lambda e: F.when(F.col("__w") == F.col(f"__1{e}"), 0).when(F.col("__w") == F.col(f"__2{e}"), 1).otherwise(2)
+        seen = durable(seen.withColumn("__n", before("a") + before("b")))
+        sure = seen.filter("__n = 0").select(*open_.columns)
         if sure.isEmpty():
-            return taken if taken is not None else sure
-        taken = sure if taken is None else taken.unionByName(sure)
-        gone = sure.select(*keys, F.explode(F.array("a", "b")).alias("__p"))
+            return (taken if taken is not None else sure).drop("__w")
+        up = F.when(F.col("__w") == F.col("__1a"), F.col("__1b")).otherwise(F.col("__1a"))
+        # Pairs are named by their own order, so a chain leads to ever smaller ones.
+        links = seen.filter("__n = 1").select(*keys, F.col("__w").alias("v"), up.alias("up"))
+        roots = chain_roots(links, keys)
+        even = roots.filter("NOT odd").join(sure.select(*keys, F.col("__w").alias("root")), [*keys, "root"], "left_semi")
+        more = open_.join(even.select(*keys, F.col("v").alias("__w")), [*keys, "__w"], "left_semi").select(*open_.columns)
+        new = durable(sure.unionByName(more))
+        taken = new if taken is None else taken.unionByName(new)
+        gone = new.select(*keys, F.explode(F.array("a", "b")).alias("__p"))
         for end in ("a", "b"):
             open_ = open_.join(gone.withColumnRenamed("__p", end), [*keys, end], "left_anti")
-        open_ = durable(open_)
+        open_ = durable(open_.select(*new.columns))
+
+
+#: Points around a point up to which its earlier neighbours are counted.
+FEW = 12
 
 
 def keep_first_apart(points: DataFrame, keys: list[str], pid: str, size: float) -> DataFrame:
@@ -351,25 +385,35 @@ def keep_first_apart(points: DataFrame, keys: list[str], pid: str, size: float)
 
     At most one point per cell of that size can be kept. Each round keeps the first
     open point of every cell that precedes all open points of the cells around it,
-    and drops the open points it rules out.
+    and drops the open points it rules out. Where few points are around, one that has a
+    single earlier neighbour is kept if that is not: whole chains of such points are
+    settled in the round that settles their first.
     """
     open_ = durable(points.withColumns({"__cx": cell("x", size), "__cy": cell("y", size)}))
     kept = None
     here = [*keys, "__cx", "__cy"]
+    c = F.col
+    close = (F.abs(c("x") - c("__kx")) < size) & (F.abs(c("y") - c("__ky")) < size)
+
+    def spread_out(df: DataFrame, *names: str) -> DataFrame:
+        return df.withColumn("__s", F.explode(_shifts(1))).select(*keys, (c("__cx") + c("__s.i")).alias("__cx"), (c("__cy") + c("__s.j")).alias("__cy"), *names)
+
     while True:
-        firsts = open_.groupBy(*here).agg(F.min(pid).alias("__f"))
-        spread = firsts.withColumn("__s", F.explode(_shifts(1))).select(
-            *keys, (F.col("__cx") + F.col("__s.i")).alias("__cx"), (F.col("__cy") + F.col("__s.j")).alias("__cy"), "__f"
-        )
-        lowest = spread.groupBy(*here).agg(F.min("__f").alias("__low"))
-        winners = firsts.join(lowest, here).filter("__f = __low").select(*keys, F.col("__f").alias(pid))
+        firsts = open_.groupBy(*here).agg(F.min(pid).alias("__f"), F.count(F.lit(1)).alias("__k"))
+        lowest = spread_out(firsts, "__f", "__k").groupBy(*here).agg(F.min("__f").alias("__low"), F.sum("__k").alias("__k"))
+        winners = firsts.drop("__k").join(lowest, here).filter("__f = __low").select(*keys, c("__f").alias(pid))
         new = durable(open_.join(winners, [*keys, pid], "left_semi"))
         if new.isEmpty():
             return (kept if kept is not None else new).drop("__cx", "__cy")
+
+        sparse = open_.join(lowest.filter(c("__k") <= FEW).select(*here), here, "left_semi")
+        others = spread_out(open_.select(*here, c(pid).alias("__o"), c("x").alias("__kx"), c("y").alias("__ky")), "__o", "__kx", "__ky")
+        earlier = sparse.join(others, here).filter((c("__o") < c(pid)) & close).groupBy(*keys, pid).agg(F.min("__o").alias("up"), F.count(F.lit(1)).alias("__n"))
+        roots = chain_roots(earlier.filter("__n = 1").select(*keys, c(pid).alias("v"), "up"), keys)
+        even = roots.filter("NOT odd").join(new.select(*keys, c(pid).alias("root")), [*keys, "root"], "left_semi")
+        new = durable(new.unionByName(open_.join(even.select(*keys, c("v").alias(pid)), [*keys, pid], "left_semi").select(*new.columns)))
+
         kept = new if kept is None else kept.unionByName(new)
-        ruling = new.withColumn("__s", F.explode(_shifts(1))).select(
-            *keys, (F.col("__cx") + F.col("__s.i")).alias("__cx"), (F.col("__cy") + F.col("__s.j")).alias("__cy"),
-            F.col("x").alias("__kx"), F.col("y").alias("__ky"),
-        )
-        out = open_.join(ruling, here).filter((F.abs(F.col("x") - F.col("__kx")) < size) & (F.abs(F.col("y") - F.col("__ky")) < size)).select(*keys, pid).distinct()
+        ruling = spread_out(new.withColumns({"__kx": c("x"), "__ky": c("y")}), "__kx", "__ky")
+        out = open_.join(ruling, here).filter(close).select(*keys, pid).distinct()
         open_ = durable(open_.join(out, [*keys, pid], "left_anti"))

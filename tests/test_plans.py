@@ -145,6 +145,49 @@ def test_two_nearest_with_an_outlier_and_a_crowd(spark):
     assert got[40_000] == (None,) * 4 and got[40_001] == (40_002, 0.0, None, None) and got[40_003] == (40_004, 5.0, None, None)
 
 
+@pytest.fixture
+def rounds(monkeypatch):
+    """Counts how often a plan stores what it has so far."""
+    calls = []
+    real = grid.durable
+    monkeypatch.setattr(grid, "durable", lambda df: calls.append(1) or real(df))
+    return calls
+
+
+def test_points_along_a_line_take_few_rounds(spark, rounds):
+    line = [(i, 0, i * 7.0, 0.0) for i in range(1000)] + [(2000 + i, 1, 0.0, 0.0) for i in range(30)]
+    got = {r["id"] for r in grid.keep_first_apart(spark.createDataFrame(line, "id long, s int, x double, y double"), ["s"], "id", 10.0).collect()}
+    assert got == {*range(0, 1000, 2), 2000}
+    assert len(rounds) <= 40  # 12 doublings, and what stands around them
+
+
+def test_pairs_along_a_line_take_few_rounds(spark, rounds):
+    pairs = [(0, i, i + 1, float(i)) for i in range(1000)]
+    got = sorted((r["a"], r["b"]) for r in grid.greedy_matching(spark.createDataFrame(pairs, "s int, a long, b long, d double"), ["s"], ["d"]).collect())
+    assert got == [(i, i + 1) for i in range(0, 1000, 2)]
+    assert len(rounds) <= 45
+
+
+def test_matching_and_thinning_equal_the_greedy_pass(spark):
+    rnd = random.Random(6)
+    pairs = {(min(a, b), max(a, b)): rnd.randint(1, 9) for a, b in ((rnd.randrange(40), rnd.randrange(40)) for _ in range(160)) if a != b}
+    used, want = set(), []
+    for (a, b), d in sorted(pairs.items(), key=lambda x: (x[1], x[0])):
+        if not used & {a, b}:
+            used |= {a, b}
+            want.append((a, b))
+    df = spark.createDataFrame([(0, a, b, d) for (a, b), d in pairs.items()], "s int, a long, b long, d int")
+    assert sorted((r["a"], r["b"]) for r in grid.greedy_matching(df, ["s"], ["d"]).collect()) == sorted(want)
+    assert grid.greedy_matching(df.limit(0), ["s"], ["d"]).count() == 0
+    pts = [(i, 0, rnd.uniform(0, 60), rnd.uniform(0, 60)) for i in range(200)]
+    kept = []
+    for p in pts:
+        if not any(abs(p[2] - q[2]) < 10 and abs(p[3] - q[3]) < 10 for q in kept):
+            kept.append(p)
+    got = grid.keep_first_apart(spark.createDataFrame(pts, "id long, s int, x double, y double"), ["s"], "id", 10.0).collect()
+    assert sorted(r["id"] for r in got) == [p[0] for p in kept]
+
+
 def test_gap_clusters_equal_closure(spark):
     pts, df = cloud(spark)
     got = {r["id"]: r["cluster"] for r in grid.gap_clusters(df, ["s"], 60.0, "id").collect()}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.llm.components import components
-from spanledger.llm.rows import stored, text_key, texts
+from spanledger.llm.rows import released, stored, text_key, texts
 
 WORDS, SIMILARITY = 5, 80
 TREES, DEPTH, MIN_DEPTH = 24, 8, 3
@@ -46,7 +46,7 @@ NEAR = "a binary, b binary, depth int, tree int, branch binary, size long, copie
 #: Levels of a region with a hub; marks the hub rows of a stretch's first and last region.
 HUB_DEPTHS, HUB = (MIN_DEPTH, 5), -1
 #: Shingles of a block of a wide region on its two sides; about so many sets show a region's usual hashes.
-CHUNK, SLICE, SAMPLE = 1_000_000, 2_000_000, 128
+CHUNK, SLICE, SAMPLE = 300_000, 600_000, 128
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _MULTIPLY = np.random.default_rng(3).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,10 +189,10 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     ).select(F.col("t.tree").alias("tree"), F.col("t.branch").alias("branch"), "set_key", "size", "copies")
     order = ["tree", "branch", "set_key"]
     ranged = branches.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(ranged.mapInPandas(lambda frames: _near(frames, percent, True), NEAR), "near-sets")
+    found = stored(ranged.mapInPandas(released(lambda frames: _near(frames, percent, True)), NEAR), "near-sets")
     ends = found.where("depth IS NULL").select("tree", "branch", F.col("a").alias("set_key"), "size", "copies")
     ends = ends.distinct().repartition(1).sortWithinPartitions(*order)  # 2 * AHEAD rows per task
-    across = ends.mapInPandas(lambda frames: _near(frames, percent, False), NEAR)
+    across = ends.mapInPandas(released(lambda frames: _near(frames, percent, False)), NEAR)
 
     hubs = found.where(F.col("depth") == HUB).groupBy("tree", F.col("branch").alias("region")).agg(
         F.max_by(F.struct("a", "size"), F.struct("copies", "a")).alias("hub"), F.count("*").alias("n")
@@ -275,9 +275,9 @@ def central_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n = rows.groupBy("region").agg(F.count("*").alias("n"))
     some = signed.join(n, "region").where(F.pmod(F.xxhash64("set_key"), F.ceil(F.col("n") / SAMPLE)) == 0)
     some = some.groupBy("region").agg(F.collect_list("signature").alias("signatures"))
-    usual = some.mapInPandas(_usual, "region long, usual binary")
+    usual = some.mapInPandas(released(_usual), "region long, usual binary")
     met = signed.join(usual, "region").select("region", "set_key", "size", "signature", "usual")
-    met = met.mapInPandas(_agreeing, "region long, set_key binary, size long, agreeing long")
+    met = met.mapInPandas(released(_agreeing), "region long, set_key binary, size long, agreeing long")
     centre = met.groupBy("region").agg(F.max_by(F.struct("set_key", "size"), F.struct("agreeing", "set_key")).alias("c"))
     other = rows.select("region", F.col("set_key").alias("a"), F.col("component").alias("a_in"))
     centre = centre.select("region", F.col("c.set_key").alias("a"), F.col("c.size").alias("a_size")).join(other, ["region", "a"])
@@ -309,7 +309,7 @@ def _block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     if len(held) and len(met):
         sizes, keys, own = met["size"].to_numpy(), met["set_key"].to_numpy(), met["component"].to_numpy()
         shingles, place = np.unique(np.frombuffer(b"".join(met["shingles"]), np.uint64), return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
+        place, starts = place.astype(np.int32), np.cumsum(sizes) - sizes
         joined, marks = _Joined(), np.zeros(len(shingles) + 1, np.int32)
         for key, size, component, data in zip(held["set_key"], held["size"], held["component"], held["shingles"], strict=True):
             x = np.frombuffer(data, np.uint64)
@@ -378,7 +378,7 @@ def confirmed(pairs: DataFrame, sources: DataFrame, words: int, percent: int) ->
     a = sources.select(F.col("set_key").alias("a"), F.col("content").alias("text_a")).hint("merge")
     b = sources.select(F.col("set_key").alias("b"), F.col("content").alias("text_b")).hint("merge")
     both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInPandas(lambda frames: _confirm(frames, words, percent), "a binary, b binary")
+    return both.mapInPandas(released(lambda frames: _confirm(frames, words, percent)), "a binary, b binary")
 
 
 def near_copies(
@@ -401,7 +401,7 @@ def near_copies(
     empty table gives no rows.
     """
     docs = texts(messages, id_column, content).withColumn("key", text_key(F.col("content")))
-    signed = stored(docs.mapInPandas(lambda frames: _sign(frames, words), SIGNED), "signatures")
+    signed = stored(docs.mapInPandas(released(lambda frames: _sign(frames, words)), SIGNED), "signatures")
     known = signed.where("id IS NOT NULL AND n_shingles > 0")
     sets = stored(
         known.groupBy("set_key").agg(
@@ -449,7 +449,7 @@ def near_copies(
     rows = stored(_several(_with_components(rows, joined)), "open-rows")
     if not rows.isEmpty():
         own = rows.select("set_key").distinct()
-        shingled = sources_of(own).mapInPandas(lambda frames: _shingled(frames, words), "set_key binary, shingles binary")
+        shingled = sources_of(own).mapInPandas(released(lambda frames: _shingled(frames, words)), "set_key binary, shingles binary")
         joined = with_links(joined, remaining_links(rows, stored(shingled, "wide-shingles"), percent))
 
     members = sets.join(joined, sets["set_key"] == joined["node"], "left").select(

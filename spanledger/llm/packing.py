@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanledger.llm.rows import stored, texts
+from spanledger.llm.rows import released, stored, texts
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -203,7 +203,7 @@ def pack_messages(
     are packed each; an empty table gives no rows.
     """
     docs = texts(messages, id_column, content)
-    packed = docs.mapInPandas(lambda frames: _pack(frames, tokenizer, window, open_windows, slack), PIECES)
+    packed = docs.mapInPandas(released(lambda frames: _pack(frames, tokenizer, window, open_windows, slack)), PIECES)
     packed = stored(packed, "message-pieces")
     left = packed.where(~F.col("whole")).withColumn("part", F.floor(F.col("part") / MERGED_TASKS))
     merged = left.groupBy("part").applyInPandas(lambda frame: _merge(frame, window), PIECES)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.rows import in_small_batches, text_key
+from spanledger.llm.rows import in_small_batches, released, text_key
 
 LENGTH = 50
 GRAM = 12
@@ -509,9 +509,9 @@ def without_repeats(
     blocks = max(16, int(total // BLOCK_TEXT) + 1)
     long_enough = docs.drop("others").where(F.col("id").isNotNull() & (F.octet_length("content") >= length))
     # fmt: off
-    pieces = long_enough.mapInPandas(lambda frames: _cut(frames, length, blocks), PACKED)
+    pieces = long_enough.mapInPandas(released(lambda frames: _cut(frames, length, blocks)), PACKED)
     ranges = pieces.groupBy("block").applyInPandas(lambda frame: _resolve(frame, length, blocks), PACKED)
-    shelved = docs.mapInPandas(lambda frames: _shelve(frames, blocks), PACKED)
+    shelved = docs.mapInPandas(released(lambda frames: _shelve(frames, blocks)), PACKED)
     # fmt: on
     return ranges.unionByName(shelved).groupBy("block").applyInPandas(_gather, LEFT).withColumn(
         "others", F.from_json("others", kind).dropFields("spanledger_row") if others else F.lit(None)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,21 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` of a Python task that gives its memory back at the end, as the process goes on to other tasks."""
+
+    def run(frames: Iterator) -> Iterator:
+        try:
+            yield from work(frames)
+        finally:
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def texts(messages: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
     """Only ``id`` (long) and ``content`` of the messages, whatever else they carry."""
     return in_small_batches(messages).select(
